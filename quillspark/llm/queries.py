@@ -5,15 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, token_counts, toxicity
+from . import chat, crosspoly, exact_dedup, html_extract, langid, minhash_join, mixing, packing, token_counts, toxicity
 from .bytebpe import byte_bpe_path
 from .common import crc_mod, load
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs)).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), byte_bpe_path())
 
 
+def op3_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspoly.near_duplicate_vectors(load(spark, sf_dir, "embeddings"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.DigestIndex(spark).absorb(load(spark, sf_dir, "documents"))
 
@@ -25,6 +34,26 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r
 """
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_conversations(rows.unionByName(extra)))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(load(spark, sf_dir, "pages"))
+
+
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_duplicates(load(spark, sf_dir, "documents"), width=2)
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(load(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", F.col("slot_").alias("slot"), F.col("place_").alias("place"), F.col("block_").alias("block"), F.col("in_horizon_").alias("in_horizon"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = toxicity.fit(docs, load(spark, sf_dir, "labels"))
@@ -36,7 +65,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_packing, op4_exact_dedup, op9_toxicity, op10_token_counts)}
+    return {f.__name__: f for f in (op1_langid, op2_packing, op3_vector_near_dedup, op4_exact_dedup, op5_chat_format, op6_html_text, op7_minhash_near_dedup, op8_mixing, op9_toxicity, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
