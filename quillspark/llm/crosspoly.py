@@ -109,10 +109,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _first_meeting(main: np.ndarray, probes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The first table in which the vectors ``a`` and ``b`` meet."""
-    met = (probes[a] == main[b][:, :, None]).any(axis=2) | (probes[b] == main[a][:, :, None]).any(axis=2)
-    return met.argmax(axis=1)
+def _met_before(codes: np.ndarray, table: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the vectors ``a`` and ``b`` meet in a table before ``table``."""
+    out, open_ = np.zeros(len(a), dtype=bool), np.arange(len(a))
+    for t in range(table):
+        p, q = a[open_], b[open_]
+        met = (codes[p, t] == codes[q, t, 0][:, None]).any(axis=1) | (codes[q, t] == codes[p, t, 0][:, None]).any(axis=1)
+        out[open_[met]] = True
+        open_ = open_[~met]
+        if not len(open_):
+            break
+    return out
 
 
 def _compare(rows: pd.DataFrame, threshold: float, tables: int, hashes: int, probes: int) -> pd.DataFrame:
@@ -122,27 +129,31 @@ def _compare(rows: pd.DataFrame, threshold: float, tables: int, hashes: int, pro
     low, high = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
     unit = _unit(np.array(rows["vector"].tolist(), dtype=np.float64))
     ids, weight, block = rows["id"].to_numpy(), rows["weight"].to_numpy(), rows["block"].to_numpy()
-    codes = hasher(unit.shape[1], tables, hashes, probes).buckets(unit)
-    main = codes[:, :, 0]
-    here = main[:, table] == bucket
     links, label = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
     left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-    edges: list[tuple[np.ndarray, np.ndarray]] = []
+    near: list[tuple[np.ndarray, np.ndarray]] = []
     for at in range(0, len(left), 256):
         part = left[at : at + 256]
         i, j = np.nonzero(unit[part] @ unit[right].T >= threshold)
         a, b = part[i], right[j]
-        if low == high:
-            a, b = a[a < b], b[a < b]
-        else:
-            a, b = np.minimum(a, b), np.maximum(a, b)
+        keep = a < b if low == high else np.ones(len(a), dtype=bool)
+        near.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep]))
+    linked = np.unique(np.concatenate([x for pair in near for x in pair])) if near else np.zeros(0, dtype=np.int64)
+    if not len(linked):
+        return pd.DataFrame({"id": ids[:0], "links": links[:0], "other": ids[:0]})
+    codes = np.zeros((len(ids), tables, probes), dtype=np.int64)  # of vectors with a near one only
+    codes[linked] = hasher(unit.shape[1], tables, hashes, probes).buckets(unit[linked])
+    main = codes[:, :, 0]
+    here = main[:, table] == bucket
+    edges: list[tuple[np.ndarray, np.ndarray]] = []
+    for a, b in near:
         for k in range(0, len(a), 100_000):
             p, q = a[k : k + 100_000], b[k : k + 100_000]
-            ok = here[p] | here[q]
-            p, q = p[ok], q[ok]
             # counted once: in the first table where they meet, in the bucket of the smaller id if the other visits it
             visits = (codes[q, table] == main[p, table][:, None]).any(axis=1)
-            ok = np.where(visits, here[p], here[q] & ~here[p]) & (_first_meeting(main, codes, p, q) == table)
+            ok = np.where(visits, here[p], here[q] & ~here[p])
+            p, q = p[ok], q[ok]
+            ok = ~_met_before(codes, table, p, q)
             p, q = p[ok], q[ok]
             np.add.at(links, p, weight[q])
             np.add.at(links, q, weight[p])
