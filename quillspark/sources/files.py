@@ -47,7 +47,7 @@ def append_logs(logs: DataFrame, folder: str) -> None:
 def read_logs(spark: SparkSession, *paths: str, keep_broken: bool = False) -> DataFrame:
     """Log entries; lines that aren't JSON are left out, or kept in ``_corrupt_record``."""
     rows = spark.read.schema(LOG).json(list(paths), mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
-    return rows if keep_broken else rows.where("_corrupt_record is null").drop("_corrupt_record")
+    return rows if keep_broken else rows.drop("_corrupt_record").where(F.coalesce("timestamp", "module", "level", "message", "data").isNotNull())
 
 
 def not_yet_done(inputs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
