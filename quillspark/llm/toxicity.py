@@ -191,24 +191,35 @@ def fit_texts(texts: list[str], labels: list[int]) -> Model:
     rate = (n1 + 0.5) / (n + 1)
     if not 0 < n1 < n:
         return Model(bias=math.log(rate / (1 - rate)), slope=0.0)
-    counts, where, bags = (Counter(), Counter()), {}, []
+    counts, where = (Counter(), Counter()), {}
     seen: set[int] = set()
-    for text, y in zip(texts, labels, strict=True):
+
+    def bag_of(text: str) -> set[str]:
         words = _new_words(text, seen)
-        bag = {w + "$" for w in words} | {w[:k] for w in words for k in STEMS if len(w) >= k}
-        counts[y].update(bag)
-        bags.append(bag if y else None)
+        return {w + "$" for w in words} | {w[:k] for w in words for k in STEMS if len(w) >= k}
+
+    # candidates come from texts with label 1; of the others only these are counted
+    bags = [(i, bag_of(text)) for i, (text, y) in enumerate(zip(texts, labels, strict=True)) if y]
+    for _, bag in bags:
+        counts[1].update(bag)
+    candidates = len(counts[1])
     keys = [k for k, c in counts[1].items() if c >= 4]
+    known = set(keys)
+    bags = [(i, bag & known) for i, bag in bags]
+    for text, y in zip(texts, labels, strict=True):
+        if not y:
+            counts[0].update(bag_of(text) & known)
+    del seen
     c1 = np.array([counts[1][k] for k in keys], dtype=np.float64)
     c = c1 + np.array([counts[0][k] for k in keys])
     sure = c * _divergence(c1 / c, rate) if keys else c
-    good = np.flatnonzero((c1 / np.maximum(c, 1) > max(0.8, rate)) & (sure > math.log(len(counts[1]) + 1) + 3)) if keys else []
+    good = np.flatnonzero((c1 / np.maximum(c, 1) > max(0.8, rate)) & (sure > math.log(candidates + 1) + 3)) if keys else []
     odds = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c - c1 + 0.5) / (n - n1 + 1)) if keys else c
     for i in good:
         where[keys[i]] = (sure[i], odds[i])
     holders: dict[str, set[int]] = {k: set() for k in where}
-    for i, bag in enumerate(bags):
-        for k in bag or ():
+    for i, bag in bags:
+        for k in bag:
             if k in holders:
                 holders[k].add(i)
     model, left = Model(), {i for i, y in enumerate(labels) if y}
@@ -251,7 +262,7 @@ def _new_words(text: str, seen: set[int]) -> set[str]:
 
 def _fit_contexts(model: Model, texts: list[str], labels: list[int]) -> None:
     """Log-odds that a target, a negation or a report in the clause of a match adds, shrunk to the
-    given values by ten clauses' worth of evidence."""
+    given values by ten clauses' worth of evidence; these stay if texts with label 0 hardly have matches."""
     scorer = Scorer(model)
     seen = {k: [0, 0] for k in ("target", "negated", "reported", "")}
     lists = {"target": set(TARGETS), "negated": set(NEGATIONS), "reported": set(REPORTS)}
@@ -263,6 +274,8 @@ def _fit_contexts(model: Model, texts: list[str], labels: list[int]) -> None:
             for k, known in lists.items():
                 if words & known:
                     seen[k][y] += 1
+    if seen[""][0] < 20:  # matches in texts with label 0 are too few to tell contexts apart
+        return
     base = math.log((seen[""][1] + 1) / (seen[""][0] + 1))
     for k in lists:
         a, b = seen[k]
@@ -270,7 +283,7 @@ def _fit_contexts(model: Model, texts: list[str], labels: list[int]) -> None:
         setattr(model, k, getattr(model, k) * (1 - share) + learned * share)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = (4500, 1500), fold: tuple[int, int] = (3, 1)) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = (3000, 1000), fold: tuple[int, int] = (3, 1)) -> Model:
     """Fit on a bounded sample of labelled rows: at most ``per_label[y]`` documents of label ``y``, those
     with the smallest hash of the id, from rows whose crc32 of the id modulo ``fold[0]`` isn't
     ``fold[1]``. Rows without an id or label are left out; a repeated id counts once, as toxic if
