@@ -58,7 +58,7 @@ def schedule(quota: list[int]) -> list[int]:
 
 def mix(
     df: DataFrame, weights: dict | None = None, exponent: float = 0.5, id_col: str = "doc_id", source_col: str = "source",
-    block_docs: int = 16, period: int = 1024, most_sources: int = 2048, bucket_docs: int = 4000,
+    block_docs: int = 16, period: int = 1024, most_sources: int = 2048, bucket_docs: int = 500,
 ) -> DataFrame:
     """The rows of ``df`` with ``slot_``, ``place_`` (in the block), ``block_`` and ``in_horizon_``; sorting by slot and
     place gives the mixed order. No row is dropped or repeated.
@@ -70,8 +70,8 @@ def mix(
     by the id. An empty table gives no rows. More than ``most_sources`` sources are an error: the
     table of slots, which is broadcast, holds one row for each slot of a period.
 
-    The rank of a row in its source is found without bringing a source together: rows go to buckets of
-    about ``bucket_docs`` by their hash, and only counts of buckets are summed over a source.
+    The rank of a row in its source is found without bringing a source together: a source's rows go to buckets
+    of about ``bucket_docs`` by their hash, and only counts of buckets are summed over a source.
     """
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
     counts = {r[0]: r[1] for r in df.groupBy(source.alias("s")).count().limit(most_sources + 1).collect()}
@@ -91,14 +91,14 @@ def mix(
         horizon = min(horizon, last // q * period + where[s, last % q])
     spark = df.sparkSession
     slots = spark.createDataFrame(plan, "s_ string, k_ long, at_ long, q_ long")
-    shares = spark.createDataFrame([(s, q) for s, q in zip(names, quota, strict=True)], "s_ string, q_ long")
+    shares = spark.createDataFrame([(s, q, -(-counts[s] // bucket_docs)) for s, q in zip(names, quota, strict=True)], "s_ string, q_ long, parts_ long")
 
-    buckets = max(1, -(-sum(counts.values()) // bucket_docs))
     h = F.xxhash64(F.col(id_col).cast("string"))
-    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row_"), F.col(id_col).alias("id_"), source.alias("s_"), h.alias("h_"), F.pmod(F.shiftrightunsigned(h, 20), F.lit(buckets)).alias("b_"))
+    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row_"), F.col(id_col).alias("id_"), source.alias("s_"), h.alias("h_"))
+    rows = rows.join(F.broadcast(shares), "s_").withColumn("b_", F.pmod(F.shiftrightunsigned("h_", 20), F.col("parts_"))).drop("parts_")
     sizes = rows.groupBy("s_", "b_").agg(F.count(F.lit(1)).alias("n_"))
     # running counts over the buckets of a source, in two steps so that no source is one task
-    wide = max(1, int(buckets**0.5))
+    wide = max(1, int((max(counts.values(), default=0) / bucket_docs) ** 0.5))
     sizes = materialise(sizes.withColumn("g_", F.floor(F.col("b_") / wide)), "bucket-sizes")
     inner = Window.partitionBy("s_", "g_").orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy("s_").orderBy("g_").rowsBetween(Window.unboundedPreceding, -1)
@@ -106,7 +106,7 @@ def mix(
     offsets = materialise(sizes.select("s_", "g_", "b_", F.coalesce(F.sum("n_").over(inner), F.lit(0)).alias("below_")).join(above, ["s_", "g_"]).select("s_", "b_", (F.col("below_") + F.col("above_")).alias("before_")), "bucket-offsets")
     ranked = rows.withColumn("r_", F.row_number().over(Window.partitionBy("s_", "b_").orderBy("h_", "id_")) - 1)
     ranked = ranked.join(offsets, ["s_", "b_"]).withColumn("r_", F.col("r_") + F.col("before_"))
-    ranked = ranked.withColumn("block_", F.floor(F.col("r_") / block_docs)).join(F.broadcast(shares), "s_").withColumn("k_", F.col("block_") % F.col("q_"))
+    ranked = ranked.withColumn("block_", F.floor(F.col("r_") / block_docs)).withColumn("k_", F.col("block_") % F.col("q_"))
     ranked = ranked.join(F.broadcast(slots.drop("q_")), ["s_", "k_"])
     slot = F.floor(F.col("block_") / F.col("q_")) * period + F.col("at_")
     limit = F.lit(int(horizon) if horizon != float("inf") else 0)
