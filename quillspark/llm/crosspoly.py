@@ -12,7 +12,6 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +25,20 @@ BLOCK = 1024
 
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of the last axis, whose length is a power of two."""
-    n, shape = x.shape[-1], x.shape
-    h = 1
+    return np.moveaxis(_hadamard_first(np.ascontiguousarray(np.moveaxis(x, -1, 0))), 0, -1)
+
+
+def _hadamard_first(x: np.ndarray) -> np.ndarray:
+    """The transform of the first axis, in place: each step adds and subtracts long contiguous rows."""
+    n, h = len(x), 1
     while h < n:
-        x = x.reshape(*shape[:-1], n // (2 * h), 2, h)
-        x = np.stack([x[..., 0, :] + x[..., 1, :], x[..., 0, :] - x[..., 1, :]], axis=-2)
+        halves = x.reshape(n // (2 * h), 2, h, -1)
+        upper, lower = halves[:, 0], halves[:, 1]
+        gap = upper - lower
+        upper += lower
+        lower[...] = gap
         h *= 2
-    return x.reshape(shape)
+    return x
 
 
 class CrossPolytope:
@@ -41,42 +47,42 @@ class CrossPolytope:
     def __init__(self, dim: int, tables: int, hashes: int, probes: int, seed: int = 1):
         self.dim, self.tables, self.hashes, self.probes = dim, tables, hashes, probes
         self.size = 1 << max(1, (dim - 1).bit_length())
+        if hashes * self.size.bit_length() > 62:
+            raise ValueError("a bucket's number must fit in 62 bits: use fewer hashes")
         rng = np.random.default_rng([seed, dim])
-        self.signs = rng.choice([-1.0, 1.0], (tables, hashes, 3, self.size))
-        self.salt = rng.integers(1, 1 << 62, tables, dtype=np.int64)
+        self.signs = rng.choice([-1.0, 1.0], (tables, hashes, 3, self.size)) / np.sqrt(self.size)
 
     def buckets(self, unit: np.ndarray) -> np.ndarray:
         """Buckets (n, tables, probes) of unit vectors; the first probe is the vector's own bucket."""
         n = len(unit)
-        x = np.zeros((n, self.size))
-        x[:, : self.dim] = unit
+        x = np.zeros((self.size, n))  # vectors are columns
+        x[: self.dim] = unit.T
         out = np.empty((n, self.tables, self.probes), dtype=np.int64)
         # choices: for each hash the nearest and the second axis; a probe swaps some hashes for their second
         swaps = np.array(sorted(range(1 << self.hashes), key=lambda m: (bin(m).count("1"), m)))
         bits = (swaps[:, None] >> np.arange(self.hashes)) & 1
-        with np.errstate(over="ignore"):
-            for t in range(self.tables):
-                code, loss = np.empty((n, self.hashes, 2), dtype=np.int64), np.empty((n, self.hashes))
+        for t in range(self.tables):
+            code, loss = np.empty((n, self.hashes, 2), dtype=np.int64), np.empty((n, self.hashes))
+            for k in range(self.hashes):
+                y = x
+                for r in range(3):
+                    y = _hadamard_first(y * self.signs[t, k, r][:, None])
+                y = np.ascontiguousarray(y.T)
+                size = np.abs(y)
+                top = np.argpartition(size, self.size - 2, axis=1)[:, -2:]
+                near = np.take_along_axis(size, top, axis=1)
+                top = np.where(near[:, :1] > near[:, 1:], top, top[:, ::-1])  # first, second axis
+                for j in range(2):
+                    code[:, k, j] = 2 * top[:, j] + (y[np.arange(n), top[:, j]] < 0)
+                loss[:, k] = np.abs(near[:, 0] - near[:, 1])
+            total = loss @ bits.T  # what each set of swaps gives up
+            order = np.argsort(total, axis=1, kind="stable")[:, : self.probes]
+            for p in range(self.probes):
+                mask = bits[order[:, p]]
+                key = np.zeros(n, dtype=np.int64)
                 for k in range(self.hashes):
-                    y = x
-                    for r in range(3):
-                        y = hadamard(y * self.signs[t, k, r]) / np.sqrt(self.size)
-                    size = np.abs(y)
-                    top = np.argpartition(size, self.size - 2, axis=1)[:, -2:]
-                    near = np.take_along_axis(size, top, axis=1)
-                    top = np.where(near[:, :1] > near[:, 1:], top, top[:, ::-1])  # first, second axis
-                    for j in range(2):
-                        code[:, k, j] = 2 * top[:, j] + (y[np.arange(n), top[:, j]] < 0)
-                    loss[:, k] = np.abs(near[:, 0] - near[:, 1])
-                total = loss @ bits.T  # what each set of swaps gives up
-                order = np.argsort(total, axis=1, kind="stable")[:, : self.probes]
-                for p in range(self.probes):
-                    mask = bits[order[:, p]]
-                    key = np.full(n, self.salt[t])
-                    for k in range(self.hashes):
-                        key = (key ^ code[np.arange(n), k, mask[:, k]]) * np.int64(-7046029254386353131)
-                        key ^= (key >> np.int64(29)) & np.int64((1 << 35) - 1)
-                    out[:, t, p] = key
+                    key = key * (2 * self.size) + code[np.arange(n), k, mask[:, k]]
+                out[:, t, p] = key
         return out
 
 
@@ -85,6 +91,11 @@ def hasher(dim: int, tables: int, hashes: int, probes: int) -> CrossPolytope:
     return CrossPolytope(dim, tables, hashes, probes)
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All items of a column of lists, nulls as nan, and where each list begins and ends."""
+    return column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+
+
 def _vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``(id, key, vector)``: the digest of a vector that can link, null for one that can't."""
 
@@ -93,8 +104,9 @@ def _vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
         for b in batches:
             keys, vectors = [], []
-            for v in b.column(1).to_pylist():
-                x = np.array([np.nan if c is None else c for c in v], dtype=np.float64) if v else np.zeros(0)
+            values, at = _flat(b.column(1))
+            for i, known in enumerate(b.column(1).is_valid().to_pylist()):
+                x = values[at[i] : at[i + 1]] if known else values[:0]
                 ok = len(x) > 0 and np.isfinite(x).all() and (x != 0).any()
                 keys.append(hashlib.md5((x + 0.0).tobytes()).hexdigest() if ok else None)
                 vectors.append(x if ok else None)
@@ -122,13 +134,33 @@ def _met_before(codes: np.ndarray, table: int, a: np.ndarray, b: np.ndarray) ->
     return out
 
 
-def _compare(rows: pd.DataFrame, threshold: float, tables: int, hashes: int, probes: int) -> pd.DataFrame:
-    """Links between two blocks of a bucket: for each vector the rows it links with, and a forest."""
-    rows = rows.drop_duplicates("id").sort_values("id", ignore_index=True)
-    table, bucket = int(rows["table"].iloc[0]), int(rows["bucket"].iloc[0])
-    low, high = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
-    unit = _unit(np.array(rows["vector"].tolist(), dtype=np.float64))
-    ids, weight, block = rows["id"].to_numpy(), rows["weight"].to_numpy(), rows["block"].to_numpy()
+def _comparisons(batches):
+    """One comparison after the other, from rows that come sorted by their first five columns (table, dim,
+    bucket, low, high): that key and the arrays of ids, blocks, weights, vectors and codes. A comparison has two
+    blocks at most, so what is held is bounded."""
+    key, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(k).to_numpy() for k in range(5)], axis=1)
+        plain, lists = [b.column(k).to_numpy() for k in (5, 6, 7)], [_flat(b.column(k)) for k in (8, 9)]
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            own = tuple(keys[begin].tolist())
+            if own != key:
+                if held:
+                    yield key, held[0] if len(held) == 1 else [np.concatenate(x) for x in zip(*held, strict=True)]
+                key, held = own, []
+            held.append([x[begin:end] for x in plain] + [values[at[begin] : at[end]].reshape(end - begin, -1) for values, at in lists])
+    if held:
+        yield key, held[0] if len(held) == 1 else [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _compare(key: tuple, rows: list[np.ndarray], threshold: float, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Links between two blocks of a bucket: ids, the rows each links with, and a forest."""
+    table, _, bucket, low, high = key
+    ids, block, weight, vectors, codes = rows
+    unit = _unit(vectors)
     links, label = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
     left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
     near: list[tuple[np.ndarray, np.ndarray]] = []
@@ -138,11 +170,9 @@ def _compare(rows: pd.DataFrame, threshold: float, tables: int, hashes: int, pro
         a, b = part[i], right[j]
         keep = a < b if low == high else np.ones(len(a), dtype=bool)
         near.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep]))
-    linked = np.unique(np.concatenate([x for pair in near for x in pair])) if near else np.zeros(0, dtype=np.int64)
-    if not len(linked):
-        return pd.DataFrame({"id": ids[:0], "links": links[:0], "other": ids[:0]})
-    codes = np.zeros((len(ids), tables, probes), dtype=np.int64)  # of vectors with a near one only
-    codes[linked] = hasher(unit.shape[1], tables, hashes, probes).buckets(unit[linked])
+    if not any(len(a) for a, _ in near):
+        return None
+    codes = codes.reshape(len(ids), tables, -1)
     main = codes[:, :, 0]
     here = main[:, table] == bucket
     edges: list[tuple[np.ndarray, np.ndarray]] = []
@@ -168,7 +198,7 @@ def _compare(rows: pd.DataFrame, threshold: float, tables: int, hashes: int, pro
         if (label == old).all():
             break
     some = links > 0
-    return pd.DataFrame({"id": ids[some], "links": links[some], "other": ids[label[some]]})
+    return ids[some], links[some], ids[label[some]]
 
 
 def near_duplicate_vectors(
@@ -177,7 +207,8 @@ def near_duplicate_vectors(
     """``(id, n_links, component_id, kept)``: links are pairs with a cosine of at least ``threshold``.
 
     With 16 tables, 3 hashes and 4 probes a pair at cosine 0.95 in 64 dimensions meets in a table with
-    probability 0.56, so about 2 pairs in a million are missed; nearer pairs less often. Equal vectors
+    probability 0.56, so about 2 pairs in a million are missed; nearer pairs less often. A vector is hashed
+    once; its codes go with it, so that a pair that meets in several tables is counted in one. Equal vectors
     are compared once and counted as often as they occur. Vectors that are null, empty, zero or hold a
     null or non-finite component link with nothing, vectors of different lengths don't link. A null
     id is no vertex: such rows get 0 links and a null component. Ids are taken to be unique; a
@@ -189,28 +220,49 @@ def near_duplicate_vectors(
 
     def hash_rows(batches):
         for b in batches:
-            ids, by_dim = b.column(0).to_numpy(), {}
-            for i, v in enumerate(b.column(1).to_pylist()):
-                by_dim.setdefault(len(v), []).append((i, v))
-            for dim, some in by_dim.items():
-                for at in range(0, len(some), 2000):
-                    part = some[at : at + 2000]
-                    own = ids[[i for i, _ in part]]
-                    codes = hasher(dim, tables, hashes, probes).buckets(_unit(np.array([v for _, v in part])))
-                    n = len(own) * tables * probes
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.repeat(own, tables * probes)), pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), probes), len(own))),
-                        pa.array(np.full(n, dim, dtype=np.int32)), pa.array(codes.reshape(-1)), pa.array(np.tile(np.arange(probes) == 0, len(own) * tables)),
-                    ], names=["id", "table", "dim", "bucket", "own"])
-
-    visits = materialise(groups.select("id", "vector").mapInArrow(hash_rows, "id long, table int, dim int, bucket long, own boolean"), "visits")
+            codes: list = [None] * b.num_rows
+            values, at = _flat(b.column(3))
+            dims = np.diff(at)
+            for dim in np.unique(dims).tolist():
+                family, some = hasher(dim, tables, hashes, probes), np.flatnonzero(dims == dim)
+                step = max(1, (1 << 17) // family.size)
+                for k in range(0, len(some), step):
+                    part = some[k : k + step]
+                    found = family.buckets(_unit(values[at[part][:, None] + np.arange(dim)]))
+                    for i, own in zip(part, found.reshape(len(part), -1), strict=True):
+                        codes[i] = own
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.list_(pa.int64()))], names=[*b.schema.names, "codes"])
+
+    # dealt out anew, as few small files would be few tasks
+    hashed = groups.select("key", "id", "weight", "vector").repartition("id").mapInArrow(hash_rows, "key string, id long, weight long, vector array<double>, codes array<long>")
+    groups = materialise(hashed, "hashed-groups")
+    visits = groups.select("id", F.size("vector").alias("dim"), F.posexplode("codes").alias("place", "bucket"))
+    visits = visits.select("id", F.expr(f"place div {probes}").cast("int").alias("table"), "dim", "bucket", (F.col("place") % probes == 0).alias("own"))
     key = ["table", "dim", "bucket"]
     crowded = visits.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("some")).where("n > 1 and some").select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     crowded = materialise(crowded, "crowded")
     met = materialise(visits.join(crowded, key).select("id", *key, "blocks", F.pmod(F.xxhash64("id", "table"), F.col("blocks")).cast("int").alias("block")), "met")
     tasks = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", *key, "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    rows = tasks.join(groups.select("id", "weight", "vector"), "id")
-    found = rows.groupBy(*key, "low", "high").applyInPandas(lambda pdf: _compare(pdf, threshold, tables, hashes, probes), "id long, links long, other long")
+    columns = [*key, "low", "high", "id", "block", "weight", "vector", "codes"]
+    rows = tasks.join(groups.select("id", "weight", "vector", "codes"), "id").select(*columns)
+
+    def compare(batches):
+        def batch(parts):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["id", "links", "other"])
+
+        ready, n = [], 0
+        for of, arrays in _comparisons(batches):
+            if part := _compare(of, arrays, threshold, tables):
+                ready.append(part)
+                n += len(part[0])
+            if n >= 10_000:
+                yield batch(ready)
+                ready, n = [], 0
+        if ready:
+            yield batch(ready)
+
+    # a task reads its comparisons as one sorted stream: a Python call for each would cost more than most of them
+    found = rows.repartition(*columns[:5]).sortWithinPartitions(*columns[:6]).mapInArrow(compare, "id long, links long, other long")
     found = materialise(found, "found")
     links = materialise(found.groupBy("id").agg(F.sum("links").alias("links")), "links")
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
