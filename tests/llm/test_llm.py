@@ -283,3 +283,16 @@ def test_pipeline_stages(spark):
     near = P.drop_near_copies(spark, kept, "")
     assert sorted(r["doc_id"] for r in near.collect()) == [2, 3, 4]
     assert sorted(r["doc_id"] for r in P.mix_sources(spark, near, "").collect()) == [2, 3, 4]
+
+
+def test_vectors_with_nulls_lengths_repeats_and_clashing_columns(spark):
+    schema = "vec_id long, embedding array<float>, key string, table int"
+    vectors = [
+        (1, [1.0, 0.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [2.0, 0.0]), (5, None), (6, [None, 1.0]), (7, []),
+        (8, [float("nan"), 1.0]), (9, [0.0, 0.0]), (None, [1.0, 0.0]), (10, [5.0]), (11, [7.0]), (12, [-7.0]), (13, [1e30, 0.0]),
+    ]
+    got = crosspoly.near_duplicate_vectors(spark.createDataFrame([(i, v, "a", 1) for i, v in vectors], schema)).collect()
+    linked = {1: (1, 1), 2: (1, 1), 3: (3, 3), 4: (3, 3), 10: (1, 10), 11: (1, 10), 13: (3, 3)}
+    want = [(i, *linked.get(i, (0, i)), i is None or i == linked.get(i, (0, i))[1]) for i, _ in vectors]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert crosspoly.near_duplicate_vectors(spark.createDataFrame([], schema)).collect() == []
