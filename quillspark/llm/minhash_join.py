@@ -28,6 +28,7 @@ from .components import connected_components
 FIRST, LAST = 3, 6  # levels at which nodes are looked at
 LEAF = 32
 BLOCK = 256
+CACHED = 1 << 14  # hashes worked on at a time
 
 _SALT = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -81,19 +82,28 @@ def shingles(text: str, width: int = 2) -> np.ndarray:
 
 
 def paths(s: np.ndarray, trees: int) -> np.ndarray:
-    """Nodes (trees, LAST - FIRST + 1) of a set at the levels FIRST to LAST."""
+    """Nodes (trees, LAST - FIRST + 1) of a set at the levels FIRST to LAST.
+
+    Trees go through a level together, as many as fit a cache; beyond that a long set is hashed one tree
+    at a time, so memory stays a few times the set's.
+    """
     out = np.empty((trees, LAST - FIRST + 1), dtype=np.uint64)
-    whole = (1 << 64) - 1
-    for t in range(trees):
-        node = (0x9E3779B97F4A7C15 * (2 * t + 1)) & whole
+    start = np.arange(trees, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    step = max(1, min(trees, CACHED // len(s)))
+    h, shifted = np.empty((2, step, len(s)), dtype=np.uint64)
+    for begin in range(0, trees, step):
+        node = start[begin : begin + step] * _ODD
+        a, b = h[: len(node)], shifted[: len(node)]
         for level in range(1, LAST + 1):
-            h = (s ^ np.uint64(node)) * np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(32)
-            token = int(s[(h * np.uint64(0xCA5A826395121157)).argmin()])
-            node = ((node ^ token) * 0xFF51AFD7ED558CCD + level) & whole
-            node ^= node >> 29
+            np.bitwise_xor(s, node[:, None], out=a)
+            np.multiply(a, np.uint64(0xD6E8FEB86659FD93), out=a)
+            np.right_shift(a, np.uint64(32), out=b)
+            np.bitwise_xor(a, b, out=a)
+            np.multiply(a, np.uint64(0xCA5A826395121157), out=a)
+            node = (node ^ s[a.argmin(axis=1)]) * np.uint64(0xFF51AFD7ED558CCD) + np.uint64(level)
+            node ^= node >> np.uint64(29)
             if level >= FIRST:
-                out[t, level - FIRST] = node
+                out[begin : begin + step, level - FIRST] = node
     return out
 
 
