@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether each vertex ``u`` has one neighbour ``v`` and none is both: then ``v`` is the component's smallest."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("up")), F.struct(F.col("v").alias("id"), F.lit(None).cast("int").alias("up")))).alias("e")).select("e.*")
+    seen = ends.groupBy("id").agg(F.sum("up").alias("up"), F.count(F.lit(1)).alias("n"))
+    return seen.where("up > 1 or up < n").agg(F.count(F.lit(1))).first()[0] == 0
 
 
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -17,28 +20,23 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     smallest id.
 
     Alternating large-star and small-star rounds: neighbourhoods are only ever reduced to a minimum,
-    never gathered, and each round ends in a table in the shared folder. Links with a null or with
+    never gathered, and each round ends in a table in the shared folder, until only stars are left. Links with a null or with
     equal ends are passed over; no links give no rows.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = materialise(edges, "edges")
-    before = _fingerprint(edges)
-    if not before[0]:
-        return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     for _ in range(rounds):
+        if _only_stars(edges):
+            break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lows = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lows")
-        # large star: larger neighbours go to the smallest of all
-        large = both.where("v > u").join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # large star: larger neighbours go to the smallest of all; as many rows as links, equal ones go below
+        large = both.where("v > u").join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = materialise(large, "large-star")
         # small star: smaller neighbours, and the vertex itself, go to the smallest
         lows = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "lows")
         small = large.join(lows, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lows.select("u", F.col("m").alias("v"))).distinct()
         edges = materialise(small, "small-star")
-        after = _fingerprint(edges)
-        if after == before:
-            break
-        before = after
     else:
         raise RuntimeError("components didn't settle")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

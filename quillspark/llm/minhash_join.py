@@ -221,7 +221,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         members = met.where(F.col("size") > LEAF).select("rep", *rest[1:])
     pairs = functools.reduce(DataFrame.union, stars)
     pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pivot-pairs")
-    leaves = materialise(functools.reduce(DataFrame.union, leaves), "leaves")
+    leaves = functools.reduce(DataFrame.union, leaves)
 
     # texts of the documents that met others; of rows with one id that whose set it is
     active = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(groups.select("rep", "k1", "k2"), "rep")
@@ -246,7 +246,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     small = loose.where(F.col("size") <= LEAF)
     more = small.alias("x").join(small.alias("y"), "node").where("x.rep < y.rep and x.part <> y.part").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "leaf-pairs")
-    links = links.union(_verify(more, texts, width, percent))
+    further = _verify(more, texts, width, percent)
 
     # large nodes: members outside the node's main part against all, in blocks
     large = loose.where(F.col("size") > LEAF)
@@ -257,9 +257,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     as_other = large.select("node", "rep", "part", F.lit(False).alias("loose"), F.explode(F.sequence(F.lit(0).cast("long"), (F.col("l_") - 1).cast("long"))).alias("i"), F.pmod("h_", F.col("m_").cast("long")).alias("j"))
     blocks = as_loose.union(as_other).withColumnRenamed("rep", "id").join(texts, "id")
     found = blocks.groupBy("node", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, width, percent), "a long, b long")
-    links = materialise(links.union(found).distinct(), "all-links")
+    # what is connected already goes in as stars
+    stars = parts.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    further = materialise(further.union(found), "further-links")
 
-    classes = connected_components(links).withColumnRenamed("id", "rep")
+    classes = connected_components(stars.union(further)).withColumnRenamed("id", "rep")
     classes = materialise(groups.select("k1", "k2", "rep").join(classes, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_")), "classes")
     # one set may be that of a third of all rows: both sides are plain shuffles, so Spark splits a skewed one
     ids = signed.select("id", "n", F.when(F.col("id").isNotNull(), F.col("k1")).alias("k1"), "k2")
