@@ -6,11 +6,12 @@ again as the next one's ``docs``. All but the last return the columns of ``docum
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspark.llm import exact_dedup, minhash_join, mixing, packing, toxicity
 from quillspark.llm.bytebpe import byte_bpe_path
-from quillspark.llm.common import load, materialise
+from quillspark.llm.common import load, materialise, text_or_empty
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,16 +22,41 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=COLUMNS[1:]).where("predicted = 0").select(*COLUMNS)
 
 
+def _row_key(digest: Column) -> Column:
+    """One string for an id, which may be null, and a digest of the text, whose length is fixed."""
+    return F.concat(digest, F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")))
+
+
+def _rows_of(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
+    """The rows whose key is in ``kept``, one for each key: the longest text, then the smallest row in the order
+    of ``COLUMNS``. Rows are reduced before they move, so a key that many rows share is no large task."""
+    row = F.struct((-F.length(text_or_empty())).alias("n_"), *COLUMNS[1:], "doc_id")
+    rows = docs.select(key.alias("key_"), row.alias("row_")).groupBy("key_").agg(F.min("row_").alias("row_"))
+    return rows.join(kept.select("key_").distinct(), "key_", "left_semi").select("row_.*").select(*COLUMNS)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each exact text."""
-    kept = exact_dedup.DigestIndex(spark).absorb(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each exact text. Rows are told apart by id and text: a null id may be the one that stays,
+    and of different texts under one id each stays."""
+    kept = exact_dedup.DigestIndex(spark).absorb(docs).where("kept").select(_row_key(F.col("text_sha256")).alias("key_"))
+    return _rows_of(docs, _row_key(exact_dedup.text_digest(text_or_empty())), kept)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five words, similarity 0.8 or more."""
-    kept = minhash_join.near_duplicates(docs, width=5).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each group of near-duplicates (five words, similarity 0.8 or more): the one with the smallest
+    id, a null id first, then the smallest digest of the text. Rows are told apart by id and text and compared
+    under numbers made of both, so null and repeated ids take part."""
+    key = _row_key(F.sha2(text_or_empty().cast("binary"), 256))
+    keys = materialise(docs.select("doc_id", key.alias("key_")).distinct(), "row-keys")
+    number = lambda seed: F.xxhash64(F.lit(seed), "key_")
+    seed = 0  # of the numbers no two may be equal: about one seed in 100,000 gives a clash at 15 million rows
+    while keys.groupBy(number(seed)).count().where("count > 1").limit(1).count():
+        seed += 1
+    numbered = docs.select(key.alias("key_"), "text").select(number(seed).alias("number_"), "text")
+    found = minhash_join.near_duplicates(numbered, id_col="number_", width=5).select("number_", "component_id").distinct()
+    groups = keys.withColumn("number_", number(seed)).join(found, "number_").groupBy("component_id")
+    kept = groups.agg(F.min(F.struct("doc_id", "key_")).alias("best_")).select(F.col("best_.key_").alias("key_"))
+    return _rows_of(docs, key, kept)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -285,6 +285,29 @@ def test_pipeline_stages(spark):
     assert sorted(r["doc_id"] for r in P.mix_sources(spark, near, "").collect()) == [2, 3, 4]
 
 
+def test_pipeline_stages_keep_null_and_repeated_ids(spark):
+    import corpus_pipeline as P
+
+    words = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdefg"]
+    near = words[0] + " more"
+    rows = docs(spark, [(None, words[0]), (7, words[0]), (None, words[1]), (None, words[2]), (None, words[2]), (3, words[3]), (3, words[4]), (2, words[4]), (3, words[5]), (3, words[5] + " "), (4, words[6]), (4, words[6])]).select(*P.COLUMNS)
+    kept = [(None, words[0]), (None, words[1]), (None, words[2]), (3, words[3]), (2, words[4]), (3, words[5] + " "), (4, words[6])]
+    order = lambda frame: sorted(((r["doc_id"], r["text"]) for r in frame.collect()), key=str)
+    assert order(P.drop_copies(spark, rows, "")) == sorted(kept, key=str)
+    # near copies: of a null id, under one id, and of a text whose id another text shares
+    rows = docs(spark, [(9, near), *kept, (3, words[5] + " more"), (1, words[3] + " more")]).select(*P.COLUMNS)
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    five = min(words[5] + " ", words[5] + " more", key=digest)
+    want = [(3, five) if t == words[5] + " " else (1, words[3] + " more") if t == words[3] else (i, t) for i, t in kept]
+    near_free = P.drop_near_copies(spark, rows, "")
+    assert order(near_free) == sorted(want, key=str) and near_free.columns == list(P.COLUMNS)
+    repeated = docs(spark, [(5, words[0]), (5, words[0]), (None, words[1]), (None, words[1])]).select(*P.COLUMNS)
+    assert order(P.drop_near_copies(spark, repeated, "")) == sorted([(5, words[0]), (None, words[1])], key=str)
+    mixed = P.mix_sources(spark, near_free, "")
+    assert order(mixed) == order(near_free)
+    assert sorted((str(r["doc_id"]) for r in P.pack(spark, mixed, "").select("doc_id").collect())) == sorted(str(i) for i, _ in want)
+
+
 def test_vectors_with_nulls_lengths_repeats_and_clashing_columns(spark):
     schema = "vec_id long, embedding array<float>, key string, table int"
     vectors = [
