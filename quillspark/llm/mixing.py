@@ -3,14 +3,19 @@
 Each source's documents form blocks. Block ``j`` of a source with weight ``w`` is released at slot
 ``floor(j / w)`` and due by slot ``ceil((j + 1) / w)``; of the released blocks the one with the earliest
 deadline takes the next slot. Then the blocks that a source has had differ from ``w`` times the slots
-by less than one block at all times. Weights are whole shares of a period, after which the schedule
-repeats, so one period is computed and every block's slot follows by arithmetic.
+by less than one block at all times. Releases and deadlines come from the exact weights, as whole numbers,
+over the whole length of the schedule; one task writes it as a table of a row for each block.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
+import math
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +27,7 @@ ADDED = ("slot_", "place_", "block_", "in_horizon_")
 
 
 def quotas(weights: list[float], period: int) -> list[int]:
-    """Slots of each source in a period, at least one, by largest remainders."""
+    """Slots of each source in a period, at least one, by largest remainders: weights for :func:`schedule`. :func:`mix` doesn't round."""
     total = sum(weights)
     exact = [w / total * period for w in weights]
     out = [max(1, int(x)) for x in exact]
@@ -40,20 +45,63 @@ def quotas(weights: list[float], period: int) -> list[int]:
 
 def schedule(quota: list[int]) -> list[int]:
     """The source of each slot of a period, by earliest deadline among released blocks."""
-    period = sum(quota)
-    coming = [[] for _ in range(period)]
-    for i, q in enumerate(quota):
-        for j in range(q):
-            coming[j * period // q].append((-(-(j + 1) * period // q), i, j))
+    return [i for i, _, _ in assignments(quota, quota)]
+
+
+def whole_shares(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportions of ``weights``."""
+    if not all(math.isfinite(w) and w >= 0 for w in weights):
+        raise ValueError("weights must be finite and not negative")
+    exact = [Fraction(w) for w in weights]
+    scale = math.lcm(*(w.denominator for w in exact))
+    return [int(w * scale) for w in exact]
+
+
+def assignments(shares: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int]]:
+    """``(source, block, slot)`` of ``blocks[i]`` blocks of each source with weight ``shares[i] / sum(shares)``, by slot.
+
+    A source without blocks left asks for no slot; the others keep to their windows, so slots may stay empty.
+    Only the next block of each source is in memory.
+    """
+    total = sum(shares)
+    coming = [(0, i, 0) for i, n in enumerate(blocks) if n]
     ready: list[tuple[int, int, int]] = []
-    out = []
-    for slot in range(period):
-        for block in coming[slot]:
-            heapq.heappush(ready, block)
-        due, i, _ = heapq.heappop(ready)
+    slot = 0
+    while coming or ready:
+        if not ready:
+            slot = max(slot, coming[0][0])
+        while coming and coming[0][0] <= slot:
+            _, i, j = coming[0]
+            heapq.heappush(ready, (-(-(j + 1) * total // shares[i]), i, j))
+            if j + 1 < blocks[i]:
+                heapq.heapreplace(coming, ((j + 1) * total // shares[i], i, j + 1))
+            else:
+                heapq.heappop(coming)
+        due, i, j = heapq.heappop(ready)
         assert slot < due
-        out.append(i)
-    return out
+        yield i, j, slot
+        slot += 1
+
+
+def plan(weights: list[float], blocks: list[int]) -> Iterator[tuple[int, int, int]]:
+    """``(source, block, slot)`` of all blocks, and for each source with a weight one block more: the first it can't fill.
+
+    Sources of weight 0 are due nothing, but their rows aren't dropped: they follow the last slot of the others,
+    in equal shares.
+    """
+    shares, end = whole_shares(weights), 0
+    for i, j, slot in assignments(shares, [n + 1 if w else 0 for n, w in zip(blocks, shares, strict=True)]):
+        yield i, j, slot
+        end = slot + 1
+    rest = [i for i, w in enumerate(shares) if not w]
+    for i, j, slot in assignments([1] * len(rest), [blocks[i] for i in rest]):
+        yield rest[i], j, end + slot
+
+
+def _batches(rows: Iterator[tuple], size: int = 50_000) -> Iterator[pa.RecordBatch]:
+    while part := list(itertools.islice(rows, size)):
+        arrays = [pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.bool_()), strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["s_", "block_", "at_", "beyond_"])
 
 
 def mix(
@@ -64,12 +112,15 @@ def mix(
     place gives the mixed order. No row is dropped or repeated.
 
     ``weights`` gives a weight for each source; without it, and for sources it doesn't name, a source's
-    weight is its number of rows to the power ``exponent``. When a source has no rows left (from slot
-    ``in_horizon_`` is false on), its slots stay empty and the others go on in proportion.
+    weight is its number of rows to the power ``exponent``. Weights are kept exactly: at every slot before the
+    horizon a source has had less than one block more or less than its weight times the slots. When a source has
+    no rows left (from slot ``in_horizon_`` is false on), its slots stay empty and the others go on in proportion.
+    Sources of weight 0 come last. ``period`` has no effect any more.
     A null source is a source. Inside a source the order is that of a hash of the id; ties are broken
-    by the id. An empty table gives no rows. More than ``most_sources`` sources are an error: the
-    table of slots, which is broadcast, holds one row for each slot of a period.
+    by the id. An empty table gives no rows. More than ``most_sources`` sources are an error.
 
+    The schedule takes one task a few microseconds a block, in memory for one block of each source. Its slots
+    reach the rows as a map in the table of buckets, so the rows move once.
     The rank of a row in its source is found without bringing a source together: a source's rows go to buckets
     of about ``bucket_docs`` by their hash, and only counts of buckets are summed over a source.
     """
@@ -79,19 +130,19 @@ def mix(
         raise ValueError(f"more than {most_sources} sources")
     names = sorted(counts)
     given = {"null" if k is None else f"={k}": float(v) for k, v in (weights or {}).items()}
-    period = max(period, 2 * len(names))
-    quota = quotas([given.get(s, counts[s] ** exponent) for s in names], period) if names else []
-    plan, seen, horizon = [], [0] * len(names), float("inf")
-    for slot, i in enumerate(schedule(quota) if names else []):
-        plan.append((names[i], seen[i], slot, quota[i]))
-        seen[i] += 1
-    where = {(s, k): slot for s, k, slot, _ in plan}
-    for s, q in zip(names, quota, strict=True):
-        last = -(-counts[s] // block_docs)  # the first block that the source can't fill
-        horizon = min(horizon, last // q * period + where[s, last % q])
+    wanted = [given.get(s, counts[s] ** exponent) for s in names]
+    whole_shares(wanted)
+    blocks = [-(-counts[s] // block_docs) for s in names]
     spark = df.sparkSession
-    slots = spark.createDataFrame(plan, "s_ string, k_ long, at_ long, q_ long")
-    shares = spark.createDataFrame([(s, q, -(-counts[s] // bucket_docs)) for s, q in zip(names, quota, strict=True)], "s_ string, q_ long, parts_ long")
+    shares = spark.createDataFrame([(s, -(-counts[s] // bucket_docs)) for s in names], "s_ string, parts_ long")
+
+    def run(batches):
+        for b in batches:
+            for _ in range(b.num_rows):
+                yield from _batches(((names[i], j, slot, j == blocks[i]) for i, j, slot in plan(wanted, blocks)))
+
+    slots = materialise(spark.range(0, 1, 1, 1).mapInArrow(run, "s_ string, block_ long, at_ long, beyond_ boolean"), "slots")
+    horizon = slots.where("beyond_").agg(F.min("at_")).first()[0]
 
     h = F.xxhash64(F.col(id_col).cast("string"))
     rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row_"), F.col(id_col).alias("id_"), source.alias("s_"), h.alias("h_"))
@@ -103,13 +154,15 @@ def mix(
     inner = Window.partitionBy("s_", "g_").orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy("s_").orderBy("g_").rowsBetween(Window.unboundedPreceding, -1)
     above = sizes.groupBy("s_", "g_").agg(F.sum("n_").alias("n_")).select("s_", "g_", F.coalesce(F.sum("n_").over(outer), F.lit(0)).alias("above_"))
-    offsets = materialise(sizes.select("s_", "g_", "b_", F.coalesce(F.sum("n_").over(inner), F.lit(0)).alias("below_")).join(above, ["s_", "g_"]).select("s_", "b_", (F.col("below_") + F.col("above_")).alias("before_")), "bucket-offsets")
+    offsets = sizes.select("s_", "g_", "b_", "n_", F.coalesce(F.sum("n_").over(inner), F.lit(0)).alias("below_")).join(above, ["s_", "g_"]).select("s_", "b_", "n_", (F.col("below_") + F.col("above_")).alias("before_"))
+    held = F.sequence(F.floor(F.col("before_") / block_docs), F.floor((F.col("before_") + F.col("n_") - 1) / block_docs))
+    offsets = offsets.select("s_", "b_", "before_", F.explode(held).alias("block_")).join(slots, ["s_", "block_"])
+    offsets = materialise(offsets.groupBy("s_", "b_", "before_").agg(F.map_from_entries(F.collect_list(F.struct("block_", "at_"))).alias("slots_")), "bucket-offsets")
     ranked = rows.withColumn("r_", F.row_number().over(Window.partitionBy("s_", "b_").orderBy("h_", "id_")) - 1)
     ranked = ranked.join(offsets, ["s_", "b_"]).withColumn("r_", F.col("r_") + F.col("before_"))
-    ranked = ranked.withColumn("block_", F.floor(F.col("r_") / block_docs)).withColumn("k_", F.col("block_") % F.col("q_"))
-    ranked = ranked.join(F.broadcast(slots.drop("q_")), ["s_", "k_"])
-    slot = F.floor(F.col("block_") / F.col("q_")) * period + F.col("at_")
-    limit = F.lit(int(horizon) if horizon != float("inf") else 0)
+    ranked = ranked.withColumn("block_", F.floor(F.col("r_") / block_docs))
+    slot = F.element_at("slots_", F.col("block_"))
+    limit = F.lit(horizon if horizon is not None else 0)
     kept = [F.col("row_").getField(c).alias(c) for c in df.columns if c not in ADDED]
     return ranked.select(*kept, slot.cast("long").alias("slot_"), (F.col("r_") % block_docs).cast("long").alias("place_"), F.col("block_").cast("long").alias("block_"), (slot < limit).alias("in_horizon_"))
 

@@ -253,6 +253,26 @@ def test_schedule_stays_within_a_block():
         assert had == quota
 
 
+def test_mix_keeps_exact_weights_over_many_periods(spark):
+    rng = random.Random(3)
+    for weights in ([600**0.5, 400**0.5], [1, 1e-5], [rng.random() for _ in range(40)], [1.0] * 700 + [1e-3] * 700):
+        total, slots, had = sum(weights), 6000, [0] * len(weights)
+        for i, block, slot in mixing.plan(weights, [slots] * len(weights)):
+            if slot >= slots:
+                break
+            assert block == had[i]
+            had[i] += 1
+            # the source that gets a slot is the one that could be ahead, and all are looked at now and then
+            for k in range(len(weights)) if slot % 500 == 0 else (i,):
+                assert abs(had[k] - weights[k] / total * (slot + 1)) < 1 + 1e-9
+    assert sorted(mixing.plan([0, 1, 0], [2, 1, 1])) == [(0, 0, 2), (0, 1, 4), (1, 0, 0), (1, 1, 1), (2, 0, 3)]
+    # a weight under 1/1024 through the whole operator
+    frame = spark.range(12_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 30, "b").otherwise("a").alias("source"))
+    got = mixing.mix(frame, {"a": 4999, "b": 1}, block_docs=1, bucket_docs=50).groupBy("slot_", "source").count().collect()
+    where = sorted(r["slot_"] for r in got if r["source"] == "b")
+    assert len(got) == 12_000 and all(5000 * k <= slot < 5000 * (k + 1) for k, slot in enumerate(where))
+
+
 def test_mix(spark):
     rows = [(i, None if i % 7 == 0 else "abc"[min(2, i % 5)], "t") for i in range(900)]
     frame = spark.createDataFrame([(i, t, s, "clash") for i, s, t in rows], "doc_id long, text string, source string, slot_ string")
