@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|object|select|textarea|button|title|math|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
@@ -31,9 +31,12 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|aria-label)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_NO_TEXT = re.compile(r"<(?:noscript|template|svg|iframe|object|select|button|canvas|audio|video)(?=[\s/>])", re.I)
 _NAME = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements whose contents are left out, if they are closed. An unclosed one holds nothing.
+NO_TEXT = frozenset("noscript template svg iframe object select button canvas audio video".split())
 #: An element of the key is closed when one of the others opens in it.
 CLOSED_BY = {
     "p": frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()),
@@ -55,25 +58,52 @@ def features(tag: str, attrs: str, parent: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def closed_no_text(page: str) -> set[int]:
+    """Where the elements of ``NO_TEXT`` begin that have a closing tag of their own."""
+    opened: dict[str, list[int]] = {}
+    closed: set[int] = set()
+    for m in _TOKEN.finditer(page):
+        if (name := m[3] or m[6]) and (tag := name.lower()) in NO_TEXT:
+            if ((m[4] if m[3] else m[7]) or "").endswith("/"):
+                continue
+            if not (m[2] or m[5]):
+                opened.setdefault(tag, []).append(m.start())
+            elif opened.get(tag):
+                closed.add(opened[tag].pop())
+    return closed
+
+
 def scan(page: str):
     """The page's items in order: ``(tag, None, open elements)`` for tags, ``(None, text, open elements)``
     for text nodes. Open elements are pairs (tag, features). Scripts, styles, comments and the like are left out."""
     stack: list[tuple[str, tuple[str, ...]]] = []
+    closed = closed_no_text(page) if _NO_TEXT.search(page) else ()
     for m in _TOKEN.finditer(page):
+        inside = closed and any(t in NO_TEXT for t, _ in stack)
         if m[8] is not None:
-            yield None, m[8], stack
+            if not inside:
+                yield None, m[8], stack
             continue
         name = m[3] or m[6]
         if not name:
             continue
         tag, closing, attrs = name.lower(), m[2] or m[5], (m[4] if m[3] else m[7]) or ""
+        if tag in NO_TEXT and not closing:
+            if m.start() in closed and not attrs.endswith("/"):
+                stack.append((tag, ()))
+            continue
         if closing:
-            yield tag, None, stack
+            if not inside and tag not in NO_TEXT:
+                yield tag, None, stack
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
                     break
             continue
+        if inside:
+            if tag not in VOID and not attrs.endswith("/"):
+                stack.append((tag, ()))
+            continue
         for k in range(len(stack) - 1, -1, -1):
             if tag in CLOSED_BY.get(stack[k][0], ()):
                 del stack[k:]

@@ -143,6 +143,20 @@ def test_html(page, want):
     assert html_extract.extract(page, html_extract.learned_weights()) == want
 
 
+@pytest.mark.parametrize(("markup", "want"), [
+    ("<button>", "one two three four five"), ("<div><select><option>x</div>", "one two three four five"), ("<video-player src=a></video-player>", "one two three four five"),
+    ("<title-bar>", "one two three four five"), ("<button>a <button>b</button>", "one two three four five"), ("<svg><g><text>no</text></g></svg>", "one two three four five"),
+])
+def test_html_unclosed_and_custom_elements_hold_nothing(markup, want):
+    page = f"<body>{markup}<article><p>one two three</p><p>four five</p></article></body>"
+    assert html_extract.extract(page, html_extract.learned_weights()).endswith(want)
+
+
+def test_html_keeps_math_and_leaves_closed_controls_out():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be<button>Copy <b>it</b></button> so<svg/> then<object><p>no</p></object>.</p></article>"
+    assert html_extract.extract(page, html_extract.learned_weights()).replace(" ", "") == "Letx=1besothen."
+
+
 def test_html_unseen_layouts():
     wrong = 0
     for page in html_extract.labelled_pages(80, 99):
