@@ -9,8 +9,10 @@ layouts with a fixed seed.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html as _html
+import itertools
 import random
 import re
 
@@ -37,10 +39,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements whose contents are left out, if they are closed. An unclosed one holds nothing.
 NO_TEXT = frozenset("noscript template svg iframe object select button canvas audio video".split())
+#: What may stand in a head; anything else closes it.
+HEAD = frozenset("head base link meta title style script noscript template".split())
+LANDMARKS = frozenset("article main section body".split())
 #: An element of the key is closed when one of the others opens in it.
 CLOSED_BY = {
     "p": frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()),
-    "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"]), "head": frozenset(["body"]),
+    "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"]),
 }
 
 
@@ -73,16 +78,53 @@ def closed_no_text(page: str) -> set[int]:
     return closed
 
 
-def scan(page: str):
-    """The page's items in order: ``(tag, None, open elements)`` for tags, ``(None, text, open elements)``
-    for text nodes. Open elements are pairs (tag, features). Scripts, styles, comments and the like are left out."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+class _Open:
+    """An open element. What is asked of all elements around a word is carried along, so that no word looks
+    through the stack: ``z`` is the sum of the weights of their features, each counted once, ``block`` the place
+    of the innermost one that isn't inline, ``skip`` the place of the outermost one whose contents are left out
+    (0: none)."""
+
+    __slots__ = ("block", "features", "head", "landmark", "skip", "tag", "z")
+
+    def __init__(self, tag, features, z, block, landmark, head, skip):
+        self.tag, self.features, self.z, self.block, self.landmark, self.head, self.skip = tag, features, z, block, landmark, head, skip
+
+
+def scan(page: str, weight: dict[str, float] | None = None):
+    """The page's items in order, in time linear in its length: ``(tag, None, open elements, place)`` for tags,
+    ``(None, text, open elements, place)`` for text nodes. Scripts, styles, comments and the like are left out.
+    ``weight`` gives the weights of features."""
+    stack = [_Open("", (), 0.0, 0, "body", False, 0)]
+    opened: dict[str, list[int]] = {}  # places in the stack by tag
+    holders: dict[str, int] = {}  # how many open elements have a feature
+    weight = weight or {}
+
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            e = stack.pop()
+            opened[e.tag].pop()
+            for f in e.features:
+                holders[f] -= 1
+
+    def push(tag: str, feats: tuple[str, ...]) -> None:
+        up, k = stack[-1], len(stack)
+        skip, z = up.skip or (k if tag in NO_TEXT else 0), up.z
+        for f in feats:
+            n = holders.get(f, 0)
+            if not n:
+                z += weight.get(f, 0.0)
+            holders[f] = n + 1
+        stack.append(_Open(tag, feats, z, up.block if tag in INLINE else k, tag if tag in LANDMARKS else up.landmark, up.head or tag == "head", skip))
+        opened.setdefault(tag, []).append(k)
+
     closed = closed_no_text(page) if _NO_TEXT.search(page) else ()
     for m in _TOKEN.finditer(page):
-        inside = closed and any(t in NO_TEXT for t, _ in stack)
+        top = stack[-1]
         if m[8] is not None:
-            if not inside:
-                yield None, m[8], stack
+            if not top.skip:
+                if top.head and not m[8].isspace():
+                    cut(opened["head"][0])
+                yield None, m[8], stack, m.start()
             continue
         name = m[3] or m[6]
         if not name:
@@ -90,71 +132,78 @@ def scan(page: str):
         tag, closing, attrs = name.lower(), m[2] or m[5], (m[4] if m[3] else m[7]) or ""
         if tag in NO_TEXT and not closing:
             if m.start() in closed and not attrs.endswith("/"):
-                stack.append((tag, ()))
+                push(tag, ())
             continue
         if closing:
-            if not inside and tag not in NO_TEXT:
-                yield tag, None, stack
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if not top.skip and tag not in NO_TEXT:
+                yield tag, None, stack, m.start()
+            places = opened.get(tag)
+            if places and places[-1] >= top.skip:  # inside what is left out, only what opened there is closed
+                cut(places[-1])
             continue
-        if inside:
+        if top.skip:
             if tag not in VOID and not attrs.endswith("/"):
-                stack.append((tag, ()))
+                push(tag, ())
             continue
-        for k in range(len(stack) - 1, -1, -1):
-            if tag in CLOSED_BY.get(stack[k][0], ()):
-                del stack[k:]
+        if top.head and tag not in HEAD:
+            cut(opened["head"][0])
+        k = stack[-1].block
+        while k:
+            e = stack[k]
+            if tag in CLOSED_BY.get(e.tag, ()):
+                cut(k)
                 break
-            if stack[k][0] not in INLINE and stack[k][0] != "p":
+            if e.tag != "p":
                 break
+            k = stack[k - 1].block
         if tag not in VOID and not attrs.endswith("/"):
-            parent = next((t for t, _ in reversed(stack) if t in ("article", "main", "section", "body")), "body")
-            stack.append((tag, features(tag, attrs, parent)))
-        yield tag, None, stack
+            push(tag, features(tag, attrs, stack[-1].landmark))
+        yield tag, None, stack, m.start()
 
 
 class Weights:
-    """``base`` + the weights of the features of all open elements is the log-odds that a word is content."""
+    """``base`` + the weights of the features of the open elements is the log-odds that a word is content."""
 
     def __init__(self, base: float, weight: dict[str, float], tags: dict[str, float]):
         self.base, self.weight, self.tags = base, weight, tags
 
-    @functools.lru_cache(maxsize=20_000)  # noqa: B019  one instance for each worker
-    def element(self, feats: tuple[str, ...]) -> float:
-        return sum(self.weight.get(f, 0.0) for f in feats)
-
-    def word(self, stack) -> float:
-        """Between -0.25 and 1: content words outweigh the boilerplate that stands between them."""
-        z = self.base + sum(self.element(f) for _, f in stack)
+    def word(self, z: float) -> float:
+        """Score of a word from the sum of the weights around it, between -0.25 and 1: content words outweigh the
+        boilerplate that stands between them."""
+        z += self.base
         return min(1.0, z / 2) if z > 0 else max(-0.25, z / 8)
 
 
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """Begin and end of the contiguous region with the largest sum: of equal ones the first to end, of those that
+    the one that begins last; empty if no sum is positive."""
+    best, run, begin, span = 0.0, 0.0, 0, (0, 0)
+    for i, s in enumerate(scores):
+        if run <= 0:
+            run, begin = 0.0, i
+        run += s
+        if run > best:
+            best, span = run, (begin, i + 1)
+    return span
+
+
 def extract(page: str, weights: Weights) -> str:
     """The main text of a page: white space in a block is one space, blocks are joined by one space."""
     scores, parts = [], []
-    for tag, text, stack in scan(page):
+    for tag, text, stack, _ in scan(page, weights.weight):
         if tag is None:
             if text.isspace():
                 parts.append(" ")
                 scores.append(0.0)
                 continue
-            w = weights.word(stack) if not any(t == "head" for t, _ in stack) else -0.25
+            w = weights.word(stack[-1].z)
             scores.append(w * len(text.split()))
             parts.append(_html.unescape(text) if w > 0 else "")
         else:
             scores.append(weights.tags.get(tag, weights.tags["other"]))
             parts.append("" if tag in INLINE else " ")
-    best, run, begin, span = 0.0, 0.0, 0, (0, 0)
-    for i, s in enumerate(scores):
-        if run <= 0:
-            run, begin = 0.0, i
-        run += s
-        if run > best:
-            best, span = run, (begin, i + 1)
-    return " ".join("".join(parts[span[0] : span[1]]).split())
+    begin, end = best_region(scores)
+    return " ".join("".join(parts[begin:end]).split())
 
 
 # -- labelled pages
@@ -220,27 +269,13 @@ def learned_weights() -> Weights:
     rows: list[tuple[set[str], bool, int]] = []
     tags: dict[str, list[int]] = {}
     for page in labelled_pages():
-        ends, total = [], 0
-        for s, y in page:
-            total += len(s)
-            ends.append((total, y))
-        at, k = 0, 0
-        text = "".join(s for s, _ in page)
-        position = 0
-        for tag, node, stack in scan(text):
-            if tag is None:
-                position = text.index(node, position)
-                while ends[k][0] <= position:
-                    k += 1
-                if not any(t == "head" for t, _ in stack):
-                    rows.append(({f for _, fs in stack for f in fs}, ends[k][1], len(node.split())))
-                position += len(node)
-            else:
-                position = text.index("<", position) + 1
-                at = k
-                while ends[at][0] <= position - 1:
-                    at += 1
-                tags.setdefault(tag, [0, 0])[ends[at][1]] += 1
+        ends = list(itertools.accumulate(len(s) for s, _ in page))
+        for tag, node, stack, place in scan("".join(s for s, _ in page)):
+            content = page[bisect.bisect_right(ends, place)][1]
+            if tag is not None:
+                tags.setdefault(tag, [0, 0])[content] += 1
+            elif not stack[-1].head:
+                rows.append(({f for e in stack for f in e.features}, content, len(node.split())))
     names = sorted({f for fs, *_ in rows for f in fs})
     index = {f: i for i, f in enumerate(names)}
     x = np.zeros((len(rows), len(names) + 1))
