@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import functools
 import io
-import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 WINDOW = 512
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 class ByteNet:
@@ -73,18 +73,24 @@ def windows_of(data: bytes) -> np.ndarray:
     return out.reshape(n, WINDOW)
 
 
+def some_windows(data: bytes, most: int, rng: np.random.Generator) -> np.ndarray:
+    """Up to ``most`` random windows of a text."""
+    rows = windows_of(data)
+    return rows[rng.choice(len(rows), most, replace=False)] if len(rows) > most else rows
+
+
 def fit_texts(texts: list[str], langs: list[str], epochs: int = 12, seed: int = 0, per_text: int = 4) -> ByteNet:
-    """Train on up to ``per_text`` random windows of each text, classes weighted alike."""
+    """Train on up to ``per_text`` random windows of each text."""
+    rng = np.random.default_rng(seed)
+    return fit_windows([some_windows(t.encode(), per_text, rng) for t in texts], langs, epochs, seed)
+
+
+def fit_windows(windows: list[np.ndarray], langs: list[str], epochs: int = 12, seed: int = 0) -> ByteNet:
+    """Train on the windows of each text, classes weighted alike."""
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
-    xs, ys = [], []
-    for text, lang in zip(texts, langs, strict=True):
-        rows = windows_of(text.encode())
-        if len(rows) > per_text:
-            rows = rows[rng.choice(len(rows), per_text, replace=False)]
-        xs.append(rows)
-        ys.extend([names.index(lang)] * len(rows))
-    x, y = np.concatenate(xs), np.array(ys)
+    x = np.concatenate(windows)
+    y = np.repeat([names.index(lang) for lang in langs], [len(w) for w in windows])
     # short texts must work too: some windows keep their beginning only
     short = rng.random(len(x)) < 0.3
     keep = np.exp(rng.uniform(np.log(24), np.log(WINDOW), len(x))).astype(int)
@@ -132,29 +138,36 @@ def fit_texts(texts: list[str], langs: list[str], epochs: int = 12, seed: int =
     return ByteNet(tables, hidden, out, bias, names)
 
 
-def fit(docs: DataFrame, per_lang: int = 300, fold: tuple[int, int] = (5, 0), most_langs: int = 200) -> ByteNet | None:
-    """Train on a bounded sample: of each language at most ``per_lang`` documents, those with the
-    smallest hash of the id, from rows with a text, an id and a language whose crc32 of the id modulo
-    ``fold[0]`` isn't ``fold[1]``. More than ``most_langs`` languages are an error. None without rows."""
+def fit(docs: DataFrame, per_lang: int = 300, fold: tuple[int, int] = (5, 0), most_langs: int = 200, per_text: int = 4) -> ByteNet | None:
+    """Train on a bounded sample: of the ``most_langs`` most frequent languages at most ``per_lang`` documents
+    each, those with the smallest hash of the id, from rows with a text, an id and a language whose crc32 of
+    the id modulo ``fold[0]`` isn't ``fold[1]``; of each at most ``per_text`` windows, which are cut out where
+    the text is, so that no long text moves. None without such rows."""
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold[0]
     known = docs.where("doc_id is not null and lang is not null and text is not null").where(rest != fold[1])
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().limit(most_langs + 1).collect()}
-    if len(counts) > most_langs:
-        raise ValueError(f"more than {most_langs} languages")
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     if not counts:
         return None
     # of each language an expected 1.5 samples by hash, then the smallest hashes
     mixed, span = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)), 1 << 40
     limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(span * min(1.0, (1.5 * per_lang + 30) / n)))])
-    rows = known.select("lang", "text", "doc_id", mixed.alias("h")).where(F.col("h") < limits[F.col("lang")]).collect()
-    rows.sort(key=lambda r: (r["lang"], r["h"], r["doc_id"], r["text"]))
+    rows = known.select(F.col("lang").cast("string").alias("lang"), mixed.alias("h"), F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text_")).where(F.col("h") < F.try_element_at(limits, F.col("lang")))
+
+    def cut(batches):
+        for b in batches:
+            parts = [some_windows(t.encode(), per_text, np.random.default_rng(h)).tobytes() for h, t in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(parts, pa.binary())], names=["lang", "h", "id", "windows"])
+
+    # one row for an id and its language, so that a repeated id can't make the sample large
+    found = rows.mapInArrow(cut, "lang string, h long, id string, windows binary").groupBy("lang", "h", "id").agg(F.min("windows").alias("windows")).collect()
     taken: dict[str, int] = {}
-    sample = []
-    for r in rows:
+    windows, langs = [], []
+    for r in sorted(found, key=lambda r: (r["lang"], r["h"], r["id"])):
         if taken.setdefault(r["lang"], 0) < per_lang:
             taken[r["lang"]] += 1
-            sample.append(r)
-    return fit_texts([r["text"] for r in sample], [r["lang"] for r in sample])
+            windows.append(np.frombuffer(bytes(r["windows"]), dtype=np.uint8).reshape(-1, WINDOW))
+            langs.append(r["lang"])
+    return fit_windows(windows, langs)
 
 
 @functools.lru_cache(maxsize=2)
