@@ -106,6 +106,7 @@ class Generation:
 
 
 _LEX = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(\d+)|([A-Za-z]\w*)|(==|!=|<=|>=|[<>+~|.()\[\]]))")
+#: Output, statement or comment; a minus inside the braces removes the white space on its side.
 _TAG = re.compile(r"\{\{-?(.*?)-?\}\}|\{%-?\s*(.*?)\s*-?%\}|\{#.*?#\}", re.S)
 
 
@@ -191,11 +192,16 @@ class _Expression:
 def parse(source: str) -> list:
     """Syntax tree of a template."""
     stack: list[tuple[object, list]] = [(None, [])]
-    at = 0
+    at, strip = 0, False
     for m in _TAG.finditer(source):
-        if m.start() > at:
-            stack[-1][1].append(Text(source[at : m.start()]))
-        at = m.end()
+        text = source[at : m.start()]
+        if strip:
+            text = text.lstrip()
+        if m[0][2] == "-":
+            text = text.rstrip()
+        if text:
+            stack[-1][1].append(Text(text))
+        at, strip = m.end(), m[0][-3] == "-" and len(m[0]) > 5
         if m[1] is not None:
             stack[-1][1].append(Output(_Expression(m[1]).parse()))
         elif m[2] is not None:
@@ -225,8 +231,8 @@ def parse(source: str) -> list:
                     raise TemplateError(f"unexpected {word}")
             else:
                 raise TemplateError(f"no statement {word!r}")
-    if at < len(source):
-        stack[-1][1].append(Text(source[at:]))
+    if text := source[at:].lstrip() if strip else source[at:]:
+        stack[-1][1].append(Text(text))
     if len(stack) > 1:
         raise TemplateError("a block isn't closed")
     return stack[0][1]
@@ -242,6 +248,17 @@ def _str(value) -> str:
     return "" if value is None else str(value)
 
 
+def _constant(node, parts: list):
+    """The value of a node whose parts are constants, by the closure that would run: folding changes no result. What
+    fails is left to fail where it is run, if ever."""
+    if not all(isinstance(p, Const) for p in parts):
+        return node
+    try:
+        return Const(_expr(node)({}))
+    except TypeError:
+        return node
+
+
 def fold(node):
     """Replace what depends on constants only; drop branches that can't be taken; join neighbouring texts."""
     if isinstance(node, list):
@@ -255,10 +272,10 @@ def fold(node):
         return out
     if isinstance(node, Op):
         args = list(map(fold, node.args))
-        return Const(_OPS[node.op](*(a.value for a in args))) if all(isinstance(a, Const) for a in args) else Op(node.op, args)
+        return _constant(Op(node.op, args), args)
     if isinstance(node, Filter):
         of = fold(node.of)
-        return Const(FILTERS[node.name](of.value)) if isinstance(of, Const) else Filter(node.name, of)
+        return _constant(Filter(node.name, of), [of])
     if isinstance(node, Field):
         return Field(fold(node.of), fold(node.key))
     if isinstance(node, Output):
@@ -340,10 +357,10 @@ def _node(node) -> Callable[[dict, Writer], None]:
         of, body, var = _expr(node.of), _closure(node.body), node.var
 
         def loop(env, out):
-            inner = dict(env)
-            for k, x in enumerate(of(env) or ()):
+            inner, items = dict(env), list(of(env) or ())
+            for k, x in enumerate(items):
                 inner[var] = x
-                inner["loop"] = {"index": k + 1, "first": k == 0}
+                inner["loop"] = {"index": k + 1, "index0": k, "first": k == 0, "last": k + 1 == len(items), "length": len(items)}
                 body(inner, out)
 
         return loop
@@ -377,9 +394,13 @@ class Template:
         self.run = _closure(self.tree)
 
     def render(self, messages: Iterable[dict]) -> tuple[str, list[tuple[int, int]]]:
-        """The formatted text and its spans under the loss mask."""
+        """The formatted text and its spans under the loss mask. What a template asks of values of the wrong kind
+        is a :class:`TemplateError`."""
         out = Writer()
-        self.run({"messages": messages}, out)
+        try:
+            self.run({"messages": messages}, out)
+        except TypeError as e:
+            raise TemplateError(str(e)) from e
         return "".join(out.pieces), out.spans
 
 
