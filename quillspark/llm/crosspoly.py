@@ -2,25 +2,28 @@
 
 A vector is rotated pseudo-randomly (three rounds of random signs and a Hadamard transform); its hash
 is the signed axis nearest to it. Several such hashes make a table's bucket. A vector also visits the
-buckets it nearly fell into. Vectors that meet are compared exactly, in blocks, so that a crowded
-bucket is many tasks and no list of pairs leaves one: a task gives the number of links of each vector
-and a spanning forest.
+buckets it nearly fell into. How many hashes and tables there are follows from the number of vectors.
+Vectors that meet by chance are told by sketches of a few bytes, before any vector moves. The others are
+compared exactly, in blocks, so that a crowded bucket is many tasks and no list of pairs leaves one: a
+task gives the number of links of each vector and a spanning forest.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import materialise
+from .common import Scratch
 from .components import connected_components
 
 BLOCK = 1024
+FEW = 64  # up to so many vectors a bucket is sifted by sketches
+BITS = 256  # of a sketch
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -91,13 +94,55 @@ def hasher(dim: int, tables: int, hashes: int, probes: int) -> CrossPolytope:
     return CrossPolytope(dim, tables, hashes, probes)
 
 
+def design(dim: int, n: int, threshold: float, miss: float) -> tuple[int, int, int]:
+    """(tables, hashes, probes) for ``n`` vectors.
+
+    As many hashes as let a bucket hold about one vector by chance, with probes half the ways to swap axes
+    (16 at most); tables until a pair at exactly ``threshold`` meets in none with a chance of at most ``miss``.
+    The chance to meet in one table is measured on random pairs with a fixed seed.
+    """
+    size = 1 << max(1, (dim - 1).bit_length())
+    hashes, probes = 1, 1
+    while n * probes > (2 * size) ** hashes and (hashes + 1) * size.bit_length() <= 62:
+        hashes += 1
+        probes = min(16, 1 << (hashes - 1))
+    rng, pairs = np.random.default_rng([7, dim]), 1500
+    a, b = rng.normal(size=(2, pairs, dim))
+    a = _unit(a)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = _unit(b) if dim > 1 else 0 * b
+    b = _unit(threshold * a + math.sqrt(max(0.0, 1 - threshold**2)) * b)
+    family = hasher(dim, 6, hashes, probes)
+    x, y = family.buckets(a), family.buckets(b)
+    met = ((x == y[:, :, :1]) | (y == x[:, :, :1])).any(axis=2).mean()
+    return max(1, math.ceil(math.log(miss) / math.log(1 - min(max(met, 0.01), 0.999)))), hashes, probes
+
+
+@functools.lru_cache(maxsize=8)
+def _directions(dim: int) -> np.ndarray:
+    return np.random.default_rng([9, dim]).normal(size=(dim, BITS)).astype(np.float32)
+
+
+def sketches(unit: np.ndarray) -> np.ndarray:
+    """On which side of ``BITS`` random planes unit vectors lie, as bytes."""
+    return np.packbits(unit.astype(np.float32) @ _directions(unit.shape[1]) > 0, axis=1)
+
+
+def most_bits(threshold: float) -> int:
+    """Different bits of two sketches that a pair at ``threshold`` has but for six and a half standard deviations
+    (a chance of about one in ten million)."""
+    p = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    return math.ceil(BITS * p + 6.5 * math.sqrt(BITS * p * (1 - p)))
+
+
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All items of a column of lists, nulls as nan, and where each list begins and ends."""
     return column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
 
 
-def _vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+def _vectors(df: DataFrame, id_col: str, vector_col: str, single: bool) -> DataFrame:
     """``(id, key, vector)``: the digest of a vector that can link, null for one that can't."""
+    kind, item = ("array<float>", pa.float32()) if single else ("array<double>", pa.float64())
 
     def run(batches):
         import hashlib
@@ -108,15 +153,16 @@ def _vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
             for i, known in enumerate(b.column(1).is_valid().to_pylist()):
                 x = values[at[i] : at[i + 1]] if known else values[:0]
                 ok = len(x) > 0 and np.isfinite(x).all() and (x != 0).any()
-                keys.append(hashlib.md5((x + 0.0).tobytes()).hexdigest() if ok else None)
+                keys.append(hashlib.md5((x + x.dtype.type(0)).tobytes()).hexdigest() if ok else None)
                 vectors.append(x if ok else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.string()), pa.array(vectors, pa.list_(pa.float64()))], names=["id", "key", "vector"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.string()), pa.array(vectors, pa.list_(item))], names=["id", "key", "vector"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v_"))
-    return rows.mapInArrow(run, "id long, key string, vector array<double>")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v_"))
+    return rows.mapInArrow(run, f"id long, key string, vector {kind}")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # huge and tiny components stay finite
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -134,32 +180,62 @@ def _met_before(codes: np.ndarray, table: int, a: np.ndarray, b: np.ndarray) ->
     return out
 
 
-def _comparisons(batches):
-    """One comparison after the other, from rows that come sorted by their first five columns (table, dim,
-    bucket, low, high): that key and the arrays of ids, blocks, weights, vectors and codes. A comparison has two
-    blocks at most, so what is held is bounded."""
+def _groups(batches, keys: int, lists: tuple[int, ...]):
+    """Rows that come sorted by their first ``keys`` columns, cut at the places where these change: the key and the
+    other columns' arrays, ``lists`` naming those of equally long lists. What is held is one group."""
     key, held = None, []
+    join = lambda: held[0] if len(held) == 1 else [np.concatenate(x) for x in zip(*held, strict=True)]
     for b in batches:
         if not b.num_rows:
             continue
-        keys = np.stack([b.column(k).to_numpy() for k in range(5)], axis=1)
-        plain, lists = [b.column(k).to_numpy() for k in (5, 6, 7)], [_flat(b.column(k)) for k in (8, 9)]
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        head = np.stack([b.column(k).to_numpy() for k in range(keys)], axis=1)
+        rest = [_flat(b.column(k)) if k in lists else b.column(k).to_numpy() for k in range(keys, b.num_columns)]
+        cuts = [0, *(np.flatnonzero((head[1:] != head[:-1]).any(axis=1)) + 1).tolist(), len(head)]
         for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
-            own = tuple(keys[begin].tolist())
+            own = tuple(head[begin].tolist())
             if own != key:
                 if held:
-                    yield key, held[0] if len(held) == 1 else [np.concatenate(x) for x in zip(*held, strict=True)]
+                    yield key, join()
                 key, held = own, []
-            held.append([x[begin:end] for x in plain] + [values[at[begin] : at[end]].reshape(end - begin, -1) for values, at in lists])
+            held.append([x[0][x[1][begin] : x[1][end]].reshape(end - begin, -1) if isinstance(x, tuple) else x[begin:end] for x in rest])
     if held:
-        yield key, held[0] if len(held) == 1 else [np.concatenate(x) for x in zip(*held, strict=True)]
+        yield key, join()
+
+
+def _sift(batches, limit: int):
+    """Of rows ``(slot, gid, tag, sketch)`` sorted by slot, those with another one of their slot near them by its
+    sketch, one of the two being at home there. A slot has ``FEW`` rows at most."""
+    rest: list[np.ndarray] = []
+    names = ["slot", "gid", "tag"]
+
+    def near(slot, gid, tag, sketch):
+        words, ok = sketch.view(np.uint64), np.zeros(len(slot), dtype=bool)
+        left = np.arange(len(slot) - 1)
+        gap = 1
+        while len(left := left[left + gap < len(slot)]) and len(left := left[slot[left] == slot[left + gap]]):
+            other = left + gap
+            close = (np.bitwise_count(words[left] ^ words[other]).sum(axis=1) <= limit) & ((tag[left] | tag[other]) & 1 == 1)
+            ok[left[close]] = ok[other[close]] = True
+            gap += 1
+        return pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (slot, gid, tag)], names=names)
 
+    for b in batches:
+        if not b.num_rows:
+            continue
+        own = [b.column(k).to_numpy() for k in range(3)] + [np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)]
+        if rest:
+            own = [np.concatenate(x) for x in zip(rest, own, strict=True)]
+        whole = np.searchsorted(own[0], own[0][-1])  # the last slot may go on in the next batch
+        rest = [x[whole:] for x in own]
+        yield near(*(x[:whole] for x in own))
+    if rest:
+        yield near(*rest)
 
-def _compare(key: tuple, rows: list[np.ndarray], threshold: float, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+
+def _compare(key: tuple, rows: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """Links between two blocks of a bucket: ids, the rows each links with, and a forest."""
-    table, _, bucket, low, high = key
-    ids, block, weight, vectors, codes = rows
+    _, low, high = key
+    ids, block, tag, weight, probes, vectors, codes = rows
     unit = _unit(vectors)
     links, label = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
     left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
@@ -172,9 +248,9 @@ def _compare(key: tuple, rows: list[np.ndarray], threshold: float, tables: int)
         near.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep]))
     if not any(len(a) for a, _ in near):
         return None
-    codes = codes.reshape(len(ids), tables, -1)
+    table, here = int(tag[0]) >> 1, (tag & 1).astype(bool)
+    codes = codes.reshape(len(ids), -1, int(probes[0]))
     main = codes[:, :, 0]
-    here = main[:, table] == bucket
     edges: list[tuple[np.ndarray, np.ndarray]] = []
     for a, b in near:
         for k in range(0, len(a), 100_000):
@@ -202,73 +278,92 @@ def _compare(key: tuple, rows: list[np.ndarray], threshold: float, tables: int)
 
 
 def near_duplicate_vectors(
-    df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 16, hashes: int = 3, probes: int = 4,
+    df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", miss: float = 1e-6, shape: tuple[int, int, int] | None = None,
 ) -> DataFrame:
     """``(id, n_links, component_id, kept)``: links are pairs with a cosine of at least ``threshold``.
 
-    With 16 tables, 3 hashes and 4 probes a pair at cosine 0.95 in 64 dimensions meets in a table with
-    probability 0.56, so about 2 pairs in a million are missed; nearer pairs less often. A vector is hashed
-    once; its codes go with it, so that a pair that meets in several tables is counted in one. Equal vectors
-    are compared once and counted as often as they occur. Vectors that are null, empty, zero or hold a
+    ``shape`` is (tables, hashes, probes); without it :func:`design` chooses it from the number of vectors so that
+    a pair at exactly ``threshold`` is missed with a chance of at most ``miss``, nearer pairs less often. A vector is
+    hashed once; its codes go with it, so that a pair that meets in several tables is counted in one. Equal
+    vectors are compared once and counted as often as they occur. Vectors that are null, empty, zero or hold a
     null or non-finite component link with nothing, vectors of different lengths don't link. A null
-    id is no vertex: such rows get 0 links and a null component. Ids are taken to be unique; a
-    repeated id with the same vector counts as two vectors. Other columns are ignored.
+    id is no vertex: such rows get 0 links and a null component. Rows that repeat an id are vectors of their
+    own, equal or not; they share what the id names. Other columns are ignored; no rows give no rows.
     """
-    vectors = materialise(_vectors(df, id_col, vector_col), "vectors")
-    groups = vectors.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector"))
-    groups = materialise(groups, "vector-groups")
-
-    def hash_rows(batches):
-        for b in batches:
-            codes: list = [None] * b.num_rows
-            values, at = _flat(b.column(3))
-            dims = np.diff(at)
-            for dim in np.unique(dims).tolist():
-                family, some = hasher(dim, tables, hashes, probes), np.flatnonzero(dims == dim)
-                step = max(1, (1 << 17) // family.size)
-                for k in range(0, len(some), step):
-                    part = some[k : k + step]
-                    found = family.buckets(_unit(values[at[part][:, None] + np.arange(dim)]))
-                    for i, own in zip(part, found.reshape(len(part), -1), strict=True):
-                        codes[i] = own
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.list_(pa.int64()))], names=[*b.schema.names, "codes"])
-
-    # dealt out anew, as few small files would be few tasks
-    hashed = groups.select("key", "id", "weight", "vector").repartition("id").mapInArrow(hash_rows, "key string, id long, weight long, vector array<double>, codes array<long>")
-    groups = materialise(hashed, "hashed-groups")
-    visits = groups.select("id", F.size("vector").alias("dim"), F.posexplode("codes").alias("place", "bucket"))
-    visits = visits.select("id", F.expr(f"place div {probes}").cast("int").alias("table"), "dim", "bucket", (F.col("place") % probes == 0).alias("own"))
-    key = ["table", "dim", "bucket"]
-    crowded = visits.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("some")).where("n > 1 and some").select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    crowded = materialise(crowded, "crowded")
-    met = materialise(visits.join(crowded, key).select("id", *key, "blocks", F.pmod(F.xxhash64("id", "table"), F.col("blocks")).cast("int").alias("block")), "met")
-    tasks = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", *key, "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    columns = [*key, "low", "high", "id", "block", "weight", "vector", "codes"]
-    rows = tasks.join(groups.select("id", "weight", "vector", "codes"), "id").select(*columns)
-
-    def compare(batches):
-        def batch(parts):
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["id", "links", "other"])
-
-        ready, n = [], 0
-        for of, arrays in _comparisons(batches):
-            if part := _compare(of, arrays, threshold, tables):
-                ready.append(part)
-                n += len(part[0])
-            if n >= 10_000:
+    single = df.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind = "array<float>" if single else "array<double>"
+    limit = most_bits(threshold)
+    with Scratch(df.sparkSession, "near-vectors") as tmp:
+        vectors = tmp(_vectors(df, id_col, vector_col, single), "vectors", keep=True)
+        groups = vectors.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector"))
+        groups = tmp(groups.withColumn("gid", F.monotonically_increasing_id()), "groups")
+        sizes = {r[0]: r[1] for r in groups.groupBy(F.size("vector")).count().collect()}
+        n = sum(sizes.values())
+        shapes = {dim: shape or design(dim, n, threshold, miss) for dim in sizes}
+
+        def hash_rows(batches):
+            for b in batches:
+                codes, small, probes = [None] * b.num_rows, [None] * b.num_rows, np.zeros(b.num_rows, dtype=np.int32)
+                values, at = _flat(b.column(2))
+                dims = np.diff(at)
+                for dim in np.unique(dims).tolist():
+                    family, some = hasher(dim, *shapes[dim]), np.flatnonzero(dims == dim)
+                    probes[some] = family.probes
+                    step = max(1, (1 << 17) // family.size)
+                    for k in range(0, len(some), step):
+                        part = some[k : k + step]
+                        unit = _unit(values[at[part][:, None] + np.arange(dim)])
+                        found, own = family.buckets(unit).reshape(len(part), -1), sketches(unit)
+                        for i, c, x in zip(part, found, own, strict=True):
+                            codes[i], small[i] = c, x.tobytes()
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(probes), pa.array(codes, pa.list_(pa.int64())), pa.array(small, pa.binary())], names=[*b.schema.names, "probes", "codes", "sketch"])
+
+        # dealt out anew, as few small files would be few tasks
+        hashed = groups.select("gid", "weight", "vector").repartition("gid").mapInArrow(hash_rows, f"gid long, weight long, vector {kind}, probes int, codes array<long>, sketch binary")
+        hashed = tmp(hashed, "hashed")
+        # a slot is a bucket of a table; the tag tells the table and whether the vector is at home in the bucket
+        visits = hashed.select("gid", F.size("vector").alias("dim"), "probes", F.posexplode("codes").alias("place", "bucket"))
+        tag = F.expr("cast(place div probes * 2 + if(place % probes = 0, 1, 0) as int)")
+        visits = visits.select(F.xxhash64("dim", F.expr("place div probes"), "bucket").alias("slot"), "gid", tag.alias("tag"))
+        crowded = visits.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("tag") % 2).alias("home")).where("n > 1 and home = 1").select("slot", "n")
+        met = tmp(visits.join(crowded, "slot"), "met")
+        few = met.where(F.col("n") <= FEW).select("slot", "gid", "tag").join(hashed.select("gid", "sketch"), "gid").select("slot", "gid", "tag", "sketch")
+        few = few.repartition("slot").sortWithinPartitions("slot").mapInArrow(lambda batches: _sift(batches, limit), "slot long, gid long, tag int")
+        few = few.withColumns({"block": F.lit(0), "low": F.lit(0), "high": F.lit(0)})
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        many = met.where(F.col("n") > FEW).withColumn("block", F.pmod(F.xxhash64("gid", "tag"), blocks).cast("int"))
+        many = many.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("slot", "gid", "tag", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        tasks = few.unionByName(many)
+        # codes are compared for equality only: 31 bits of them do, with a chance of error far below ``miss``
+        short = F.transform("codes", lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+        rows = tasks.join(hashed.select("gid", "weight", "probes", "vector", short.alias("codes")), "gid")
+        rows = rows.select("slot", "low", "high", "gid", "block", "tag", "weight", "probes", "vector", "codes")
+
+        def compare(batches):
+            def batch(parts):
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["gid", "links", "other"])
+
+            ready, n = [], 0
+            for of, arrays in _groups(batches, 3, (8, 9)):
+                if part := _compare(of, arrays, threshold):
+                    ready.append(part)
+                    n += len(part[0])
+                if n >= 10_000:
+                    yield batch(ready)
+                    ready, n = [], 0
+            if ready:
                 yield batch(ready)
-                ready, n = [], 0
-        if ready:
-            yield batch(ready)
-
-    # a task reads its comparisons as one sorted stream: a Python call for each would cost more than most of them
-    found = rows.repartition(*columns[:5]).sortWithinPartitions(*columns[:6]).mapInArrow(compare, "id long, links long, other long")
-    found = materialise(found, "found")
-    links = materialise(found.groupBy("id").agg(F.sum("links").alias("links")), "links")
-    parts = connected_components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
-    of_group = groups.select("key", F.col("id").alias("first"), "weight").join(links.withColumnRenamed("id", "first"), "first", "left").join(parts.withColumnRenamed("id", "first"), "first", "left")
-    of_group = materialise(of_group.select("key", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "first").alias("component_id")), "vector-classes")
+
+        # a task reads its comparisons as one sorted stream: a Python call for each would cost more than most of them
+        found = rows.repartition("slot", "low", "high").sortWithinPartitions("slot", "low", "high", "gid").mapInArrow(compare, "gid long, links long, other long")
+        found = tmp(found, "found")
+        links = found.groupBy("gid").agg(F.sum("links").alias("links"))
+        parts = connected_components(found.select(F.col("gid").alias("a"), F.col("other").alias("b")), tmp).withColumnRenamed("id", "gid")
+        of_group = groups.select("key", "gid", "first", "weight").join(links, "gid", "left").join(parts, "gid", "left")
+        of_group = of_group.select("key", "first", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "gid").alias("part"))
+        best = of_group.groupBy("part").agg(F.min("first").alias("component_id"))
+        of_key = tmp(of_group.join(best, "part").select("key", "n_links", "component_id"), "components", keep=True)
     # rows of one vector may be a third of all: both sides are plain shuffles, so Spark splits a skewed one
-    joined = vectors.select("id", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(of_group, "key", "left")
+    joined = vectors.select("id", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(of_key, "key", "left")
     component = F.coalesce("component_id", "id")
     return joined.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -1,10 +1,12 @@
 """Near-duplicate documents by a chosen-path set similarity join over word shingles.
 
-A tree branches documents: at a node each document follows the token of its set with the smallest
-hash, the hash being that of the node, so two documents with Jaccard similarity ``s`` take the same
-branch with probability ``s``. Nodes branch further while they are large; small nodes are compared
-exhaustively; independent trees are repeated until the wanted recall is reached. Every link is
-confirmed on the full sets of shingles.
+A document's set of shingles is represented by its minwise tokens at ``POSITIONS`` positions. A tree
+branches documents: a node chooses one or two of the positions (1 / similarity on average), and a document
+goes on to a child for each, named by its token there. A pair with Jaccard similarity ``s`` agrees in a
+token with probability ``s``, so as many common children as nodes are left on average, and the chance to
+meet falls slowly with depth. Nodes branch while they are large; small nodes are compared exhaustively;
+independent trees are repeated until the wanted recall is reached. Candidates are sifted by the sizes of
+their sets and by the share of equal tokens; every link is confirmed on the full sets of shingles.
 
 Equal sets are one document here. What a large node holds at the last level is a crowd of near
 copies: its members are first compared with two pivots of the node; only members that aren't
@@ -14,24 +16,29 @@ connected by then are compared with the others, in blocks that give links and no
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import materialise
+from .common import Scratch
 from .components import connected_components
 
-FIRST, LAST = 3, 6  # levels at which nodes are looked at
-LEAF = 32
-BLOCK = 256
+POSITIONS = 128
+LEAF = 32  # members of a small node
+DEPTH = 6  # the level at which large nodes are taken for crowds
+BLOCK = 256  # documents of a block
+FEW = 200_000  # up to so many sets to fetch, their ids are sent to all executors
+BLOCK_SHINGLES = 1 << 19
 CACHED = 1 << 14  # hashes worked on at a time
 
 _SALT = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_SHIFT = np.random.default_rng(12).integers(1, 1 << 63, (POSITIONS, 1), dtype=np.uint64)
+_SCALE = np.random.default_rng(13).integers(1, 1 << 63, (POSITIONS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,32 +88,64 @@ def shingles(text: str, width: int = 2) -> np.ndarray:
     return np.unique(_mix(joined))
 
 
-def paths(s: np.ndarray, trees: int) -> np.ndarray:
-    """Nodes (trees, LAST - FIRST + 1) of a set at the levels FIRST to LAST.
+def minwise(s: np.ndarray) -> np.ndarray:
+    """The tokens of a set at all positions: the smallest value under each position's hash.
 
-    Trees go through a level together, as many as fit a cache; beyond that a long set is hashed one tree
-    at a time, so memory stays a few times the set's.
+    Positions are worked on together, as many as fit a cache; a long set takes one at a time, so memory
+    stays a few times the set's.
     """
-    out = np.empty((trees, LAST - FIRST + 1), dtype=np.uint64)
-    start = np.arange(trees, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    step = max(1, min(trees, CACHED // len(s)))
-    h, shifted = np.empty((2, step, len(s)), dtype=np.uint64)
-    for begin in range(0, trees, step):
-        node = start[begin : begin + step] * _ODD
-        a, b = h[: len(node)], shifted[: len(node)]
-        for level in range(1, LAST + 1):
-            np.bitwise_xor(s, node[:, None], out=a)
-            np.multiply(a, np.uint64(0xD6E8FEB86659FD93), out=a)
-            np.right_shift(a, np.uint64(32), out=b)
-            np.bitwise_xor(a, b, out=a)
-            np.multiply(a, np.uint64(0xCA5A826395121157), out=a)
-            node = (node ^ s[a.argmin(axis=1)]) * np.uint64(0xFF51AFD7ED558CCD) + np.uint64(level)
-            node ^= node >> np.uint64(29)
-            if level >= FIRST:
-                out[begin : begin + step, level - FIRST] = node
+    out = np.empty(POSITIONS, dtype=np.uint64)
+    step = max(1, min(POSITIONS, CACHED // len(s)))
+    h = np.empty((step, len(s)), dtype=np.uint64)
+    for begin in range(0, POSITIONS, step):
+        part = h[: min(step, POSITIONS - begin)]
+        np.bitwise_xor(s, _SHIFT[begin : begin + step], out=part)
+        np.multiply(part, _SCALE[begin : begin + step], out=part)
+        part.min(axis=1, out=out[begin : begin + step])
     return out
 
 
+def paths(tokens: np.ndarray, trees: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (document, node) of the nodes at level ``depth`` of all trees, for tokens (documents, POSITIONS)."""
+    doc = np.repeat(np.arange(len(tokens)), trees)
+    node = np.tile(_mix(np.arange(1, trees + 1, dtype=np.uint64) * _ODD), len(tokens))
+    for level in range(depth):
+        choice = _mix(node + np.uint64(level))
+        one = ((choice >> np.uint64(8)) % np.uint64(POSITIONS)).astype(np.int64)
+        two = ((choice >> np.uint64(24)) % np.uint64(POSITIONS)).astype(np.int64)
+        # a quarter of the nodes have a second position
+        both = np.flatnonzero((choice & np.uint64(3) == 0) & (one != two))
+        first = _mix(node * _ODD ^ tokens[doc, one])
+        second = _mix(node[both] * _ODD ^ tokens[doc[both], two[both]] ^ np.uint64(1))
+        doc, node = np.concatenate([doc, doc[both]]), np.concatenate([first, second])
+    return doc, node
+
+
+def _children(node: Column, sketch: Column, level: int) -> Column:
+    """The children of a node that a document goes to, by the tokens of its sketch."""
+    choice = F.xxhash64(node, F.lit(level))
+    one, two = F.pmod(choice, F.lit(POSITIONS)).cast("int"), F.pmod(F.shiftright(choice, 32), F.lit(POSITIONS)).cast("int")
+    child = lambda at, k: F.xxhash64(node, F.lit(k), F.substring(sketch, at + 1, F.lit(1)))
+    second = F.when((F.pmod(F.shiftright(choice, 16), F.lit(4)) == 0) & (one != two), child(two, 2))
+    return F.filter(F.array(child(one, 1), second), lambda x: x.isNotNull())
+
+
+def missed(similarity: float, depth: int) -> float:
+    """Chance that a pair with this similarity has no common node at a level of a tree."""
+    q = 0.0
+    for _ in range(depth):
+        x = 1 - similarity + similarity * q
+        q = 0.75 * x + 0.25 * x * x
+    return q
+
+
+def least_agreement(percent: int) -> int:
+    """Equal tokens of two sketches that a pair with the wanted similarity has but for six standard deviations
+    (a chance below one in a million)."""
+    p = percent / 100 + (1 - percent / 100) / 256
+    return math.floor(POSITIONS * p - 6 * math.sqrt(POSITIONS * p * (1 - p)))
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether ``100 * |a & b| >= percent * |a | b|`` for sorted distinct arrays."""
     if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
@@ -125,63 +164,106 @@ def _set_key(s: np.ndarray) -> tuple[int, int]:
     return as_long(x), as_long(y)
 
 
-def sign(df: DataFrame, id_col: str, text_col: str, width: int, trees: int) -> DataFrame:
-    """``(id, n, k1, k2, nodes)``: the set's size, key and nodes; nulls for an empty set."""
+def sign(df: DataFrame, id_col: str, text_col: str, width: int, trees: int, depth: int) -> DataFrame:
+    """``(id, n, k1, k2, sketch, nodes)``: the set's size and key, a byte of its token at each position, and its
+    nodes at level ``depth``; nulls for an empty set."""
 
     def run(batches):
         for b in batches:
-            n, k1, k2, nodes = [], [], [], []
-            for t in b.column(1).to_pylist():
-                s = shingles(t, width) if t else ()
-                n.append(len(s))
-                key = _set_key(s) if len(s) else (None, None)
-                k1.append(key[0])
-                k2.append(key[1])
-                nodes.append(paths(s, trees).view(np.int64).reshape(-1) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(nodes, pa.list_(pa.int64()))], names=["id", "n", "k1", "k2", "nodes"])
+            texts = b.column(1).to_pylist()
+            sets = [shingles(t, width) if t else () for t in texts]
+            some = [i for i, s in enumerate(sets) if len(s)]
+            keys, sketches, nodes = [(None, None)] * len(sets), [None] * len(sets), [None] * len(sets)
+            n = list(map(len, sets))
+            if some:
+                tokens = np.empty((len(some), POSITIONS), dtype=np.uint64)
+                for k, i in enumerate(some):
+                    keys[i], tokens[k] = _set_key(sets[i]), minwise(sets[i])
+                    sets[i] = None
+                small = _mix(tokens).astype(np.uint8)
+                for at in range(0, len(some), 1000):
+                    doc, node = paths(tokens[at : at + 1000], trees, depth)
+                    order = np.argsort(doc, kind="stable")
+                    ends = np.cumsum(np.bincount(doc, minlength=len(tokens[at : at + 1000])))
+                    for k, own in enumerate(np.split(node[order].view(np.int64), ends[:-1])):
+                        i = some[at + k]
+                        sketches[i], nodes[i] = small[at + k].tobytes(), own
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array([k[j] for k in keys], pa.int64()) for j in (0, 1)), pa.array(sketches, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], names=["id", "n", "k1", "k2", "sketch", "nodes"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t_"))
-    return rows.mapInArrow(run, "id long, n long, k1 long, k2 long, nodes array<long>")
+    return rows.mapInArrow(run, "id long, n long, k1 long, k2 long, sketch binary, nodes array<long>")
+
+
+def _alike(n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
+def _promising(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b, block)`` whose sketches agree in enough places."""
+    least = least_agreement(percent)
+    of = lambda side: groups.select(F.col("gid").alias(side), F.col("sketch").alias(f"sketch_{side}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "block", "sketch_a", "sketch_b")
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, POSITIONS) for k in (3, 4))
+            ok = pa.array((x == y).sum(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(3)], names=["a", "b", "block"]).filter(ok)
+
+    return both.mapInArrow(run, "a long, b long, block long")
+
 
+def _array(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=np.uint64)
 
-def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets are similar. ``texts``: (id, text)."""
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose full sets are similar. ``sets``: (gid, set).
+
+    The partners of a document ``a`` come in blocks; its set goes to each block once and a partner's set once,
+    and a task holds two sets at a time."""
+    own = pairs.select("a", "block", F.lit(None).cast("long").alias("b"), F.col("a").alias("gid")).distinct()
+    rows = own.union(pairs.select("a", "block", "b", F.col("b").alias("gid"))).join(sets, "gid").select("a", "block", "b", "set")
 
     def run(batches):
-        last, own = None, None
+        own = None
         for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            ta, tb = batch.column(2), batch.column(3).to_pylist()
-            ok = np.zeros(len(a), dtype=bool)
-            for i in range(len(a)):
-                if a[i] != last:
-                    last, own = a[i], shingles(ta[i].as_py(), width)
-                ok[i] = similar(own, shingles(tb[i], width), percent)
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
+            out = []
+            for a, b, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if b is None:  # sorted in front of its partners
+                    own = _array(data.as_py())
+                elif similar(own, _array(data.as_py()), percent):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return rows.repartition("a", "block").sortWithinPartitions("a", "block", F.asc_nulls_first("b")).mapInArrow(run, "a long, b long")
 
 
-def _block_links(pdf: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
+def _block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links of the loose members of a block with its other members of another component, one for each
     loose member and component."""
-    loose = pdf[pdf["loose"]].drop_duplicates("id")
-    others = pdf[~pdf["loose"]].drop_duplicates("id")
+    loose = pdf[pdf["loose"]].drop_duplicates("gid")
+    others = pdf[~pdf["loose"]].drop_duplicates("gid")
     out: list[tuple[int, int]] = []
     if len(loose) and len(others):
-        sets = [shingles(t, width) for t in loose["text"]]
+        sets = [_array(x) for x in loose["set"]]
         universe = np.unique(np.concatenate(sets))
-        table = np.zeros((len(universe), len(sets)), dtype=np.int32)
-        for j, s in enumerate(sets):
-            table[np.searchsorted(universe, s), j] = 1
-        sizes, parts, ids = np.array([len(s) for s in sets]), loose["part"].to_numpy(), loose["id"].to_numpy()
+        sizes, parts, ids = np.array([len(s) for s in sets]), loose["part"].to_numpy(), loose["gid"].to_numpy()
+        # which loose members hold a shingle: places by shingle, so that memory is that of the sets
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(np.concatenate(sets), kind="stable")
+        owner = owner[order]
+        begin = np.searchsorted(np.concatenate(sets)[order], universe)
+        end = np.append(begin[1:], len(owner))
         found: set[tuple[int, int]] = set()
-        for key, part, text in zip(others["id"], others["part"], others["text"], strict=True):
-            s = shingles(text, width)
+        for key, part, data in zip(others["gid"], others["part"], others["set"], strict=True):
+            s = _array(data)
             at = np.searchsorted(universe, s)
             at = at[(at < len(universe)) & (universe[np.minimum(at, len(universe) - 1)] == s)]
-            common = table[at].sum(axis=0)
+            held = end[at] - begin[at]
+            places = np.repeat(begin[at] - np.concatenate([[0], np.cumsum(held)[:-1]]), held) + np.arange(held.sum()) if len(at) else at
+            common = np.bincount(owner[places], minlength=len(sets))
             for j in np.flatnonzero((100 * common >= percent * (sizes + len(s) - common)) & (parts != part)):
                 if (mark := (int(ids[j]), int(part))) not in found:
                     found.add(mark)
@@ -189,82 +271,114 @@ def _block_links(pdf: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, trees: int = 20) -> DataFrame:
+def _sets_of(df: DataFrame, id_col: str, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
+    """``(gid, set)`` of the groups ``wanted`` (gid, first, k1, k2): the set of a row with the group's first id that has
+    the group's key."""
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+    rows = df.select(F.col(id_col).cast("long").alias("first"), F.col(text_col).cast("string").alias("t_")).where("t_ is not null").join(wanted, "first")
+
+    def run(batches):
+        for b in batches:
+            keys, out = list(zip(*(b.column(i).to_pylist() for i in (1, 2)), strict=True)), []
+            for t, key in zip(b.column(3), keys, strict=True):
+                s = shingles(t.as_py(), width)
+                out.append(s.tobytes() if len(s) and _set_key(s) == key else None)
+            ok = pa.array([x is not None for x in out], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["gid", "set"]).filter(ok)
+
+    # repeated rows give a set more than once
+    return rows.select("gid", "k1", "k2", "t_").mapInArrow(run, "gid long, set binary").groupBy("gid").agg(F.first("set").alias("set"))
+
+
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, trees: int | None = None, miss: float = 1e-7, first: int | None = None,
+) -> DataFrame:
     """``(id, n_shingles, component_id, kept)``: documents are linked if ``100 * |A & B| >= percent * |A | B|``.
 
-    Recall: a pair at exactly 0.8 shares a node of level 3 in a tree with probability 0.51, so 20 trees miss
-    one in a million; where all its nodes are large and branch down to level 6, 0.26, and 20 trees miss one in
-    four hundred; members of such nodes are besides compared with the node's pivots.
+    ``first`` is the level at which nodes are looked at first (3 up to a million rows, one more for each 32 times as
+    many, so that unrelated documents hardly meet), ``trees`` as many as let a pair at exactly ``percent`` miss
+    each other there with a chance of at most ``miss`` (:func:`missed`); where nodes are large and branch further it is
+    higher: with 16 trees 3e-5 at level ``DEPTH``. At that level all members of a large node are compared.
     A text that is null, empty or without words has no shingles and links with nothing; one with fewer than
     ``width`` words has one shingle. Texts with equal sets are linked. Null ids take part as no document:
-    0 links, null component. Rows that repeat an id count as one document for links (of different texts
-    under one id all are compared). Other columns are ignored; no rows give no rows.
+    0 links, null component. Different texts under one id take part each for itself; rows that repeat an id
+    and a text are one document. Other columns are ignored; no rows give no rows.
     """
-    signed = materialise(sign(df, id_col, text_col, width, trees), "signed")
-    groups = signed.where("k1 is not null and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("nodes").alias("nodes"))
-    groups = materialise(groups, "set-groups")
-    levels = LAST - FIRST + 1
-    at = lambda k: F.element_at("nodes", (F.col("tree") * levels + k + 1).cast("int"))
-    members = groups.select("rep", "nodes", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    members = members.select("rep", *[at(k).alias(f"node{k}") for k in range(levels)])
-
-    # level by level: nodes with two or more members, their size and their pivots; large ones go on
-    leaves, stars = [], []
-    for k in range(levels):
-        nodes = members.groupBy(f"node{k}").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-        nodes = materialise(nodes, f"nodes-{k}")
-        rest = [f"node{j}" for j in range(k, levels)]
-        met = materialise(members.join(nodes, f"node{k}").select("rep", "size", "low", "high", *rest), f"met-{k}")
-        stars += [met.select(F.col(p).alias("a"), F.col("rep").alias("b")).where("a <> b") for p in ("low", "high")]
-        last = k == levels - 1
-        leaves.append(met.where(F.lit(last) | (F.col("size") <= LEAF)).select(F.struct(F.lit(k), f"node{k}").alias("node"), "rep", "size"))
-        members = met.where(F.col("size") > LEAF).select("rep", *rest[1:])
-    pairs = functools.reduce(DataFrame.union, stars)
-    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pivot-pairs")
-    leaves = functools.reduce(DataFrame.union, leaves)
-
-    # texts of the documents that met others; of rows with one id that whose set it is
-    active = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(groups.select("rep", "k1", "k2"), "rep")
-    rows = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(active, "rep")
-
-    def own_text(batches):
-        for b in batches:
-            ok = [_set_key(shingles(t, width)) == (k1, k2) if t else False for t, k1, k2 in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["id", "text"]).filter(pa.array(ok, pa.bool_()))
-
-    texts = rows.select("rep", "text", "k1", "k2").mapInArrow(own_text, T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())]))
-    texts = materialise(texts.dropDuplicates(["id"]), "active-texts")
-
-    links = materialise(_verify(pairs, texts, width, percent), "pivot-links")
-    parts = materialise(connected_components(links), "pivot-parts")
-
-    # nodes whose members aren't all connected yet
-    placed = leaves.join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
-    placed = materialise(placed, "placed")
-    mixed = placed.groupBy("node").agg(F.min("part").alias("main"), F.max("part").alias("most")).where("main < most")
-    loose = materialise(placed.join(materialise(mixed, "mixed-nodes"), "node").select("node", "rep", "size", "part", "main"), "unsettled")
-    small = loose.where(F.col("size") <= LEAF)
-    more = small.alias("x").join(small.alias("y"), "node").where("x.rep < y.rep and x.part <> y.part").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "leaf-pairs")
-    further = _verify(more, texts, width, percent)
-
-    # large nodes: members outside the node's main part against all, in blocks
-    large = loose.where(F.col("size") > LEAF)
-    sizes = large.groupBy("node").agg(F.sum((F.col("part") != F.col("main")).cast("int")).alias("n_loose"), F.count(F.lit(1)).alias("n"))
-    sizes = materialise(sizes.select("node", F.ceil(F.col("n_loose") / BLOCK).cast("int").alias("l_"), F.ceil(F.col("n") / BLOCK).cast("int").alias("m_")), "large-sizes")
-    large = materialise(large.join(sizes, "node").withColumn("h_", F.xxhash64("rep")), "large-members")
-    as_loose = large.where("part <> main").select("node", "rep", "part", F.lit(True).alias("loose"), F.pmod("h_", F.col("l_").cast("long")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), (F.col("m_") - 1).cast("long"))).alias("j"))
-    as_other = large.select("node", "rep", "part", F.lit(False).alias("loose"), F.explode(F.sequence(F.lit(0).cast("long"), (F.col("l_") - 1).cast("long"))).alias("i"), F.pmod("h_", F.col("m_").cast("long")).alias("j"))
-    blocks = as_loose.union(as_other).withColumnRenamed("rep", "id").join(texts, "id")
-    found = blocks.groupBy("node", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, width, percent), "a long, b long")
-    # what is connected already goes in as stars
-    stars = parts.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-    further = materialise(further.union(found), "further-links")
-
-    classes = connected_components(stars.union(further)).withColumnRenamed("id", "rep")
-    classes = materialise(groups.select("k1", "k2", "rep").join(classes, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_")), "classes")
+    if first is None:
+        first = 3 + max(0, math.ceil((math.log2(max(df.count(), 1)) - 20) / 5))
+    trees = trees or math.ceil(math.log(miss) / math.log(missed(min(percent, 99) / 100, first)))
+    with Scratch(df.sparkSession, "near-documents") as tmp:
+        signed = tmp(sign(df, id_col, text_col, width, trees, first), "signed", keep=True)
+        groups = signed.where("k1 is not null and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes"))
+        groups = tmp(groups.withColumn("gid", F.monotonically_increasing_id()), "groups")
+
+        some = lambda df: df.limit(1).count() > 0
+        # level by level: nodes with two or more members, their size and their pivots; large ones go on
+        members = groups.select("gid", "n", F.explode("nodes").alias("node"))
+        leaves, stars = [], []
+        for level in range(first, DEPTH + 1):
+            nodes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("gid", "n")).alias("low"), F.max(F.struct("gid", "n")).alias("high")).where("low.gid < high.gid")
+            met = tmp(members.join(nodes, "node").select("node", "gid", "n", "size", "low", "high"), f"met-{level}")
+            for pivot in ("low", "high"):
+                alike = (F.col(f"{pivot}.gid") != F.col("gid")) & _alike(F.col("n"), F.col(f"{pivot}.n"), percent)
+                stars.append(met.where(alike).select(F.col(f"{pivot}.gid").alias("pivot"), "gid", "size"))
+            large = met.where(F.col("size") > LEAF)
+            go_on = level < DEPTH and some(large)
+            here = met.where(F.col("size") <= LEAF) if go_on else met
+            leaves.append(here.select(F.struct(F.lit(level).alias("level"), "node").alias("node"), "gid", "n", "size"))
+            if not go_on:
+                break
+            deeper = large.select("gid", "n", "node").join(groups.select("gid", "sketch"), "gid")
+            members = deeper.select("gid", "n", F.explode(_children(F.col("node"), F.col("sketch"), level)).alias("node"))
+        pairs = functools.reduce(DataFrame.union, stars).select(F.least("pivot", "gid").alias("a_"), F.greatest("pivot", "gid").alias("b_"), "pivot", "size")
+        pairs = pairs.groupBy("a_", "b_").agg(F.min("pivot").alias("a"), F.max("size").alias("size"))
+        # a pivot has no more partners from a node than the node has members: they are dealt out by its size
+        block = F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / BLOCK))
+        pairs = pairs.select("a", F.when(F.col("a") == F.col("a_"), F.col("b_")).otherwise(F.col("a_")).alias("b"), "size").select("a", "b", block.alias("block"))
+        leaves = functools.reduce(DataFrame.union, leaves)
+        pairs = tmp(_promising(pairs, groups, percent), "pivot-pairs")
+
+        def sets_of(gids: DataFrame, name: str) -> DataFrame:
+            wanted = groups.select("gid", "first", "k1", "k2").join(gids, "gid", "left_semi")
+            return tmp(_sets_of(df, id_col, text_col, width, tmp(wanted, f"{name}-wanted")), name)
+
+        ends = lambda pairs: pairs.select(F.col("a").alias("gid")).union(pairs.select("b"))
+        parts = tmp(connected_components(_verify(pairs, sets_of(ends(pairs), "pivot-sets"), percent), tmp), "pivot-parts")
+
+        # nodes whose members aren't all connected yet
+        placed = leaves.join(parts.withColumnRenamed("id", "gid"), "gid", "left").withColumn("part", F.coalesce("component", "gid")).drop("component")
+        placed = tmp(placed, "placed")
+        mixed = placed.groupBy("node").agg(F.min("part").alias("main"), F.max("part").alias("most")).where("main < most").select("node", "main")
+        loose = tmp(placed.join(mixed, "node"), "unsettled")
+        small = loose.where(F.col("size") <= LEAF)
+        more = small.alias("x").join(small.alias("y"), "node").where(F.expr("x.gid < y.gid and x.part <> y.part") & _alike(F.col("x.n"), F.col("y.n"), percent))
+        more = more.select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b"), F.lit(0).cast("long").alias("block")).distinct()
+        more = tmp(_promising(more, groups, percent), "leaf-pairs")
+
+        # large nodes: members outside the node's main part against all, in blocks
+        large = loose.where(F.col("size") > LEAF)
+        further = []
+        if some(more) or some(large):
+            sets = sets_of(ends(more).union(large.select("gid")), "leaf-sets")
+            further.append(_verify(more, sets, percent))
+        if some(large):
+            is_loose = F.col("part") != F.col("main")
+            count = lambda docs, shingles: F.greatest(F.ceil(docs / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("long")
+            sizes = large.groupBy("node").agg(count(F.sum(is_loose.cast("long")), F.sum(F.when(is_loose, F.col("n")))).alias("l_"), count(F.count(F.lit(1)), F.sum("n")).alias("m_"))
+            large = tmp(large.join(sizes, "node").withColumn("h_", F.xxhash64("gid")), "large-blocks")
+            as_loose = large.where(is_loose).select("node", "gid", "part", F.lit(True).alias("loose"), F.pmod("h_", "l_").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("m_") - 1)).alias("j"))
+            as_other = large.select("node", "gid", "part", F.lit(False).alias("loose"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("l_") - 1)).alias("i"), F.pmod("h_", "m_").alias("j"))
+            blocks = as_loose.union(as_other).join(sets, "gid")
+            further.append(blocks.groupBy("node", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, percent), "a long, b long"))
+
+        # what is connected already goes in as stars
+        if further:
+            stars = parts.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+            parts = connected_components(functools.reduce(DataFrame.union, further, stars), tmp)
+        classes = groups.select("k1", "k2", "gid", "first").join(parts.withColumnRenamed("id", "gid"), "gid", "left").select("k1", "k2", "first", F.coalesce("component", "gid").alias("component"))
+        best = classes.groupBy("component").agg(F.min("first").alias("component_"))
+        of_key = tmp(classes.join(best, "component").select("k1", "k2", "component_"), "components", keep=True)
     # one set may be that of a third of all rows: both sides are plain shuffles, so Spark splits a skewed one
     ids = signed.select("id", "n", F.when(F.col("id").isNotNull(), F.col("k1")).alias("k1"), "k2")
-    joined = ids.join(classes, ["k1", "k2"], "left")
     component = F.coalesce("component_", "id")
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return ids.join(of_key, ["k1", "k2"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

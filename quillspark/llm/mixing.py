@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Scratch
 
 
 #: Columns that :func:`mix` adds; a column of the input with such a name is replaced.
@@ -104,9 +104,13 @@ def _batches(rows: Iterator[tuple], size: int = 50_000) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays(arrays, names=["s_", "block_", "at_", "beyond_"])
 
 
+#: Up to so many sources their table is sent to all executors; beyond that it is joined like any other.
+FEW_SOURCES = 100_000
+
+
 def mix(
     df: DataFrame, weights: dict | None = None, exponent: float = 0.5, id_col: str = "doc_id", source_col: str = "source",
-    block_docs: int = 16, period: int = 1024, most_sources: int = 2048, bucket_docs: int = 500,
+    block_docs: int = 16, bucket_docs: int = 500,
 ) -> DataFrame:
     """The rows of ``df`` with ``slot_``, ``place_`` (in the block), ``block_`` and ``in_horizon_``; sorting by slot and
     place gives the mixed order. No row is dropped or repeated.
@@ -115,49 +119,44 @@ def mix(
     weight is its number of rows to the power ``exponent``. Weights are kept exactly: at every slot before the
     horizon a source has had less than one block more or less than its weight times the slots. When a source has
     no rows left (from slot ``in_horizon_`` is false on), its slots stay empty and the others go on in proportion.
-    Sources of weight 0 come last. ``period`` has no effect any more.
-    A null source is a source. Inside a source the order is that of a hash of the id; ties are broken
-    by the id. An empty table gives no rows. More than ``most_sources`` sources are an error.
+    Sources of weight 0 come last. A null source is a source. Inside a source the order is that of a hash of the
+    id; ties are broken by the id, rows that repeat an id follow each other. An empty table gives no rows.
 
     The schedule takes one task a few microseconds a block, in memory for one block of each source. Its slots
     reach the rows as a map in the table of buckets, so the rows move once.
     The rank of a row in its source is found without bringing a source together: a source's rows go to buckets
     of about ``bucket_docs`` by their hash, and only counts of buckets are summed over a source.
     """
-    source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
-    counts = {r[0]: r[1] for r in df.groupBy(source.alias("s")).count().limit(most_sources + 1).collect()}
-    if len(counts) > most_sources:
-        raise ValueError(f"more than {most_sources} sources")
-    names = sorted(counts)
     given = {"null" if k is None else f"={k}": float(v) for k, v in (weights or {}).items()}
-    wanted = [given.get(s, counts[s] ** exponent) for s in names]
-    whole_shares(wanted)
-    blocks = [-(-counts[s] // block_docs) for s in names]
-    spark = df.sparkSession
-    shares = spark.createDataFrame([(s, -(-counts[s] // bucket_docs)) for s in names], "s_ string, parts_ long")
-
-    def run(batches):
-        for b in batches:
-            for _ in range(b.num_rows):
-                yield from _batches(((names[i], j, slot, j == blocks[i]) for i, j, slot in plan(wanted, blocks)))
-
-    slots = materialise(spark.range(0, 1, 1, 1).mapInArrow(run, "s_ string, block_ long, at_ long, beyond_ boolean"), "slots")
-    horizon = slots.where("beyond_").agg(F.min("at_")).first()[0]
-
-    h = F.xxhash64(F.col(id_col).cast("string"))
-    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row_"), F.col(id_col).alias("id_"), source.alias("s_"), h.alias("h_"))
-    rows = rows.join(F.broadcast(shares), "s_").withColumn("b_", F.pmod(F.shiftrightunsigned("h_", 20), F.col("parts_"))).drop("parts_")
-    sizes = rows.groupBy("s_", "b_").agg(F.count(F.lit(1)).alias("n_"))
-    # running counts over the buckets of a source, in two steps so that no source is one task
-    wide = max(1, int((max(counts.values(), default=0) / bucket_docs) ** 0.5))
-    sizes = materialise(sizes.withColumn("g_", F.floor(F.col("b_") / wide)), "bucket-sizes")
-    inner = Window.partitionBy("s_", "g_").orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy("s_").orderBy("g_").rowsBetween(Window.unboundedPreceding, -1)
-    above = sizes.groupBy("s_", "g_").agg(F.sum("n_").alias("n_")).select("s_", "g_", F.coalesce(F.sum("n_").over(outer), F.lit(0)).alias("above_"))
-    offsets = sizes.select("s_", "g_", "b_", "n_", F.coalesce(F.sum("n_").over(inner), F.lit(0)).alias("below_")).join(above, ["s_", "g_"]).select("s_", "b_", "n_", (F.col("below_") + F.col("above_")).alias("before_"))
-    held = F.sequence(F.floor(F.col("before_") / block_docs), F.floor((F.col("before_") + F.col("n_") - 1) / block_docs))
-    offsets = offsets.select("s_", "b_", "before_", F.explode(held).alias("block_")).join(slots, ["s_", "block_"])
-    offsets = materialise(offsets.groupBy("s_", "b_", "before_").agg(F.map_from_entries(F.collect_list(F.struct("block_", "at_"))).alias("slots_")), "bucket-offsets")
+    whole_shares(list(given.values()))  # an error for weights that aren't any
+    source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
+    with Scratch(df.sparkSession, "mixing") as tmp:
+        counts = tmp(df.groupBy(source.alias("s_")).agg(F.count(F.lit(1)).alias("count_")), "sources", keep=True)
+        sources, largest = counts.agg(F.count(F.lit(1)), F.max("count_")).first()
+
+        def run(batches):
+            held = [(s, n) for b in batches for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            wanted, blocks = [given.get(s, n**exponent) for s, n in held], [-(-n // block_docs) for _, n in held]
+            yield from _batches(((held[i][0], j, slot, j == blocks[i]) for i, j, slot in plan(wanted, blocks)))
+
+        slots = tmp(counts.repartition(1).sortWithinPartitions("s_").mapInArrow(run, "s_ string, block_ long, at_ long, beyond_ boolean"), "slots")
+        horizon = slots.where("beyond_").agg(F.min("at_")).first()[0]
+        shares = counts.select("s_", F.ceil(F.col("count_") / bucket_docs).alias("parts_"))
+        shares = F.broadcast(shares) if sources <= FEW_SOURCES else shares
+
+        h = F.xxhash64(F.col(id_col).cast("string"))
+        rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row_"), F.col(id_col).alias("id_"), source.alias("s_"), h.alias("h_"))
+        rows = rows.join(shares, "s_").withColumn("b_", F.pmod(F.shiftrightunsigned("h_", 20), F.col("parts_"))).drop("parts_")
+        # running counts over the buckets of a source, in two steps so that no source is one task
+        wide = max(1, int(((largest or 0) / bucket_docs) ** 0.5))
+        sizes = tmp(rows.groupBy("s_", "b_").agg(F.count(F.lit(1)).alias("n_")).withColumn("g_", F.floor(F.col("b_") / wide)), "bucket-sizes")
+        inner = Window.partitionBy("s_", "g_").orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
+        outer = Window.partitionBy("s_").orderBy("g_").rowsBetween(Window.unboundedPreceding, -1)
+        above = sizes.groupBy("s_", "g_").agg(F.sum("n_").alias("n_")).select("s_", "g_", F.coalesce(F.sum("n_").over(outer), F.lit(0)).alias("above_"))
+        offsets = sizes.select("s_", "g_", "b_", "n_", F.coalesce(F.sum("n_").over(inner), F.lit(0)).alias("below_")).join(above, ["s_", "g_"]).select("s_", "b_", "n_", (F.col("below_") + F.col("above_")).alias("before_"))
+        held = F.sequence(F.floor(F.col("before_") / block_docs), F.floor((F.col("before_") + F.col("n_") - 1) / block_docs))
+        offsets = offsets.select("s_", "b_", "before_", F.explode(held).alias("block_")).join(slots, ["s_", "block_"])
+        offsets = tmp(offsets.groupBy("s_", "b_", "before_").agg(F.map_from_entries(F.collect_list(F.struct("block_", "at_"))).alias("slots_")), "bucket-offsets", keep=True)
     ranked = rows.withColumn("r_", F.row_number().over(Window.partitionBy("s_", "b_").orderBy("h_", "id_")) - 1)
     ranked = ranked.join(offsets, ["s_", "b_"]).withColumn("r_", F.col("r_") + F.col("before_"))
     ranked = ranked.withColumn("block_", F.floor(F.col("r_") / block_docs))
@@ -168,6 +167,11 @@ def mix(
 
 
 def in_mixed_order(mixed: DataFrame) -> DataFrame:
-    """The rows in the order of the schedule: written, file after file and row after row give it."""
+    """The rows in the order of the schedule: written, file after file and row after row give it.
+
+    Slots hold a block each, so files are equal stretches of slots; no sample is taken to find them."""
     columns = [c for c in mixed.columns if c not in ADDED]
-    return mixed.repartitionByRange("slot_", "place_").sortWithinPartitions("slot_", "place_").select(*columns)
+    files = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last = mixed.agg(F.max("slot_")).first()[0] or 0
+    stretch = F.floor(F.col("slot_") * files / (last + 1)).cast("int")
+    return mixed.repartitionById(files, stretch).sortWithinPartitions("slot_", "place_").select(*columns)

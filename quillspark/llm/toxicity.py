@@ -1,18 +1,21 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A lexical transducer turns words into classes (insult, threat, target, negation, report) with
-weights, and a clause transducer reads the classes: an insult or a threat at a target opens a match,
-negation and reported speech in the same clause take weight away. The two are composed; the score
-of a clause is the best path of the composition. Words alone are never summed: a clause counts once
-for its best match.
-
-Insult stems and all weights come from labelled rows (:func:`fit`); only small closed-class lists are
-given.
+Five transducers read the words of a clause one after the other: insults, threats, targets, negation and
+reported speech. The insult transducer rewrites a learned entry into a mark with its weight, or leaves it a
+plain word; threats are rewritten likewise; the target transducer makes one of the marks the clause's match,
+a threat only if somebody is its target; negation in front of the match and reported speech in the clause
+take weight away. They are composed into one machine, and the best path through it is the clause's score:
+words alone are never summed, a clause counts once.
+
+Insult entries and all weights come from labelled rows (:func:`fit`); only small closed-class lists are
+given, and context weights where label 0 has hardly any match to learn them from.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
+import json
 import math
 import re
 from collections import Counter
@@ -24,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import Scratch
+
 #: Closed classes in the corpus' languages.
 TARGETS = "you your yours youre u he she they them these those du dich dir ihr euch sie tu te toi vous usted ustedes ti vosotros".split()
 NEGATIONS = "not no never nobody isn't aren't wasn't don't nicht kein keine nie niemals pas jamais aucun nunca jamás ningún".split()
@@ -32,21 +37,19 @@ THREATS = "kill hurt destroy strangle murder stab töten umbringen tuer frapper
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 CLAUSE_END = re.compile(r"[.!?;:\n\r|]")
-STEMS = range(4, 11)
+STEMS = range(3, 11)
+NEVER = -math.inf
 
 
 class Transducer:
-    """A deterministic weighted transducer: ``arcs[state][symbol] = (next state, output, weight)``.
-
-    ``other`` stands for any symbol without an arc. Weights add along a path.
-    """
+    """A weighted transducer: ``arcs[state][symbol]`` lists ``(next state, output, weight)``. A symbol without an entry
+    passes as it is, without weight, and the state stays. Weights add along a path; of several paths the best counts."""
 
     def __init__(self, arcs: dict, start, final: dict):
         self.arcs, self.start, self.final = arcs, start, final
 
-    def step(self, state, symbol):
-        row = self.arcs[state]
-        return row.get(symbol) or row["other"]
+    def step(self, state, symbol) -> list[tuple]:
+        return self.arcs[state].get(symbol, [(state, symbol, 0.0)])
 
     def compose(self, other: Transducer) -> Transducer:
         """What reads the input of this one and gives the output of ``other`` on its output."""
@@ -56,121 +59,136 @@ class Transducer:
             state = todo.pop()
             if state in arcs:
                 continue
-            arcs[state] = {}
             a, b = state
-            final[state] = self.final.get(a, 0.0) + other.final.get(b, -math.inf)
-            for symbol, (a2, out, w) in self.arcs[a].items():
-                b2, out2, w2 = other.step(b, out)
-                arcs[state][symbol] = ((a2, b2), out2, w + w2)
-                todo.append((a2, b2))
+            arcs[state] = {}
+            final[state] = self.final.get(a, NEVER) + other.final.get(b, NEVER)
+            for symbol in self.arcs[a].keys() | other.arcs[b].keys():
+                row = [((a2, b2), out2, w + w2) for a2, out, w in self.step(a, symbol) for b2, out2, w2 in other.step(b, out)]
+                arcs[state][symbol] = row
+                todo.extend(r[0] for r in row)
         return Transducer(arcs, start, final)
 
     def run(self, symbols) -> float:
-        """Weight of the path for ``symbols``; minus infinity if it doesn't end in a final state."""
-        state, total = self.start, 0.0
+        """Weight of the best path for ``symbols``; minus infinity if none ends in a final state."""
+        best = {self.start: 0.0}
         for s in symbols:
-            state, _, w = self.step(state, s)
-            total += w
-        return total + self.final.get(state, -math.inf)
+            after: dict = {}
+            for state, weight in best.items():
+                for to, _, w in self.step(state, s):
+                    if weight + w > after.get(to, NEVER):
+                        after[to] = weight + w
+            best = after
+        return max((w + self.final.get(state, NEVER) for state, w in best.items()), default=NEVER)
 
 
 @dataclass
 class Model:
-    stems: dict[str, float] = field(default_factory=dict)  # an insult's beginning and its weight
+    stems: dict[str, float] = field(default_factory=dict)  # a beginning of insults, which are longer, and its weight
     words: dict[str, float] = field(default_factory=dict)  # whole words
+    plain: list[str] = field(default_factory=list)  # words that begin like an insult and aren't one
     #: what contexts add to the log-odds of a matched clause
     target: float = 0.5
     negated: float = -1.5
     reported: float = -1.0
     threat: float = 2.0
+    #: the curve from the sum of matched clauses to a probability
     bias: float = -3.0
     slope: float = 1.0
+    chance: float = 0.0  # weight that a word of a text brings by chance
 
-    def lexicon(self) -> Transducer:
-        """Words to classes. A class of insults stands for each learned entry, with its weight."""
-        row: dict = {"other": (0, "word", 0.0)}
-        for kind, words in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS), ("threat", THREATS)):
-            row |= {w: (0, kind, 0.0) for w in words}
-        for stem, w in self.stems.items():
-            row["^" + stem] = (0, "insult", w)
-        for word, w in self.words.items():
-            row[word] = (0, "insult", w)
-        return Transducer({0: row}, 0, {0: 0.0})
+    def insults(self) -> Transducer:
+        """Entries become the mark ``<insult>`` with their weight, or stay plain."""
+        arcs = {entry: [(0, "<insult>", w), (0, "<word>", 0.0)] for entry, w in [*(("^" + s, w) for s, w in self.stems.items()), *self.words.items()]}
+        return Transducer({0: arcs}, 0, {0: 0.0})
 
-    def grammar(self) -> Transducer:
-        """Clauses. A state is (match, target seen, negated, reported); the first match of a clause brings its
-        weight, later insults in it are paid back in :meth:`clause`."""
+    def threats(self) -> Transducer:
+        return Transducer({0: {w: [(0, "<threat>", 0.0), (0, "<word>", 0.0)] for w in THREATS}}, 0, {0: 0.0})
+
+    def targets(self) -> Transducer:
+        """One mark of the clause is its match; a state is (kind of match, target seen)."""
         arcs, final = {}, {}
-        for match in ("", "insult", "threat"):
-            for seen in (0, 1):
-                for neg in (0, 1):
-                    for rep in (0, 1):
-                        s = (match, seen, neg, rep)
-                        w = {"": 0.0, "insult": self.target * seen, "threat": self.threat if seen else -math.inf}[match]
-                        final[s] = -math.inf if not match else w + self.negated * neg + self.reported * rep
-                        arcs[s] = {
-                            "other": (s, "", 0.0), "target": ((match, 1, neg, rep), "", 0.0), "negation": ((match, seen, neg if match else 1, rep), "", 0.0),
-                            "report": ((match, seen, neg, 1), "", 0.0), "insult": (("insult", seen, neg, rep), "", 0.0), "threat": (("insult" if match == "insult" else "threat", seen, neg, rep), "", 0.0),
-                        }
-        return Transducer(arcs, ("", 0, 0, 0), final)
+        for kind in ("", "insult", "threat"):
+            for seen in (False, True):
+                arcs[kind, seen] = {w: [((kind, True), "<target>", 0.0)] for w in TARGETS}
+                for mark in ("insult", "threat"):
+                    arcs[kind, seen][f"<{mark}>"] = [] if kind else [((mark, seen), "<match>", 0.0)]
+                final[kind, seen] = NEVER if not kind else self.target * seen if kind == "insult" else self.threat if seen else NEVER
+        return Transducer(arcs, ("", False), final)
+
+    def negation(self) -> Transducer:
+        """A state is (negated, matched): what comes behind the match doesn't negate it."""
+        arcs = {(neg, False): {"<match>": [((neg, True), "<match>", 0.0)]} | {w: [((True, False), "<negation>", 0.0)] for w in NEGATIONS} for neg in (False, True)}
+        arcs |= {(neg, True): {} for neg in (False, True)}
+        return Transducer(arcs, (False, False), {(neg, matched): self.negated * (neg and matched) for neg, matched in arcs})
+
+    def reports(self) -> Transducer:
+        return Transducer({0: {w: [(1, "<report>", 0.0)] for w in REPORTS}, 1: {}}, 0, {0: 0.0, 1: self.reported})
+
+    def grammar(self) -> Transducer:
+        return functools.reduce(Transducer.compose, [self.insults(), self.threats(), self.targets(), self.negation(), self.reports()])
 
 
 class Scorer:
     """Scores texts under a model. Candidates for matches are found in one pass of an Aho-Corasick
-    automaton over the whole text; the composed transducer then reads their clauses only."""
+    automaton over the whole text; the composed transducer then reads their clauses only, each whole and once."""
 
     def __init__(self, model: Model):
         import ahocorasick
 
         self.model = model
-        self.machine = model.lexicon().compose(model.grammar())
+        self.machine = model.grammar()
         self.lengths = sorted({len(s) for s in model.stems}, reverse=True)
         self.seeds = ahocorasick.Automaton()
         for s in {*model.stems, *model.words, *THREATS}:
             self.seeds.add_word(s, len(s))
         self.seeds.make_automaton()
         self.known = {*model.words, *TARGETS, *NEGATIONS, *REPORTS, *THREATS}
+        self.plain = frozenset(model.plain)
 
-    def symbol(self, word: str) -> str:
+    def symbol(self, word: str) -> str | None:
+        """What the machine reads for a word; None for one that no transducer knows."""
         if word in self.known:
             return word
-        for n in self.lengths:
-            if word[:n] in self.model.stems:
-                return "^" + word[:n]
-        return "other"
+        if word not in self.plain:
+            for n in self.lengths:
+                if n < len(word) and word[:n] in self.model.stems:
+                    return "^" + word[:n]
+        return None
 
     def clause(self, words: list[str]) -> float:
-        """Weight of a clause: its best single match in its context."""
-        symbols = [self.symbol(w) for w in words]
-        weight = {s: self.machine.step(self.machine.start, s)[2] for s in set(symbols)}
-        best = max(weight.values(), default=0.0)
-        if best > 0:  # of several insults in a clause the strongest stays, the others are plain words
-            keep = next(i for i, s in enumerate(symbols) if weight[s] == best)
-            symbols = [s if i == keep or weight[s] == 0 else "other" for i, s in enumerate(symbols)]
-        return max(0.0, self.machine.run(symbols))
+        """Weight of a clause: the best path, 0 if there is none."""
+        return max(0.0, self.machine.run(s for s in map(self.symbol, words) if s))
 
     def matches(self, text: str) -> list[tuple[int, int, float]]:
         """Matched clauses as (begin, end, weight)."""
-        low = text.lower()
-        if len(low) != len(text):  # a few letters lower to two; spans are then those of the lowered text
-            text = low
-        out, done = [], -1
+        low = text.lower()  # a few letters lower to two; spans are then those of the lowered text
+        out, done, ends = [], -1, None
         for end, n in self.seeds.iter(low):
             at = end - n + 1
             if at < done or at and low[at - 1].isalpha():
                 continue
-            begin = max((m.end() for m in CLAUSE_END.finditer(low, max(0, at - 400), at)), default=max(0, at - 400))
-            stop = CLAUSE_END.search(low, end)
-            done = min(stop.start() if stop else len(low), end + 400)
+            if ends is None:
+                ends = [m.start() for m in CLAUSE_END.finditer(low)]
+            k = bisect.bisect_right(ends, at)
+            begin, done = ends[k - 1] + 1 if k else 0, ends[k] if k < len(ends) else len(low)
             if (w := self.clause(WORD.findall(low, begin, done))) > 0:
                 out.append((begin, done, w))
         return out
 
+    def evidence(self, text: str) -> tuple[int, float, int]:
+        """Number and weight of matched clauses, and the words of the text if there are any."""
+        found = self.matches(text)
+        return len(found), sum(w for *_, w in found), len(text.split()) if found else 0
+
     def total(self, text: str) -> float:
-        return sum(w for *_, w in self.matches(text))
+        return self.evidence(text)[1]
 
     def score(self, text: str) -> float:
-        z = self.model.bias + self.model.slope * math.log1p(self.total(text))
+        return self.probability(*self.evidence(text)[1:])
+
+    def probability(self, total: float, words: int) -> float:
+        m = self.model
+        z = m.bias + m.slope * math.log1p(max(0.0, total - m.chance * words))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -180,71 +198,85 @@ def _divergence(q: np.ndarray, p: float) -> np.ndarray:
 
 
 def fit_texts(texts: list[str], labels: list[int]) -> Model:
-    """Learn entries and weights from labelled texts.
+    """Learn entries and weights from labelled texts. Without both labels the model has no entries and gives
+    the base rate."""
+    if not 0 < sum(labels) < len(labels):
+        return _fit_curve(Model(), [], [], labels)
+    model = _learn_entries(texts, labels)
+    _fit_contexts(model, texts, labels)
+    scorer = Scorer(model)
+    found = [scorer.evidence(t) for t in texts]
+    return _fit_curve(model, [f[1] for f in found], [len(t.split()) for t in texts], labels)
+
 
-    An entry is a word or a word's beginning that is surely more frequent in texts with label 1
-    (Chernoff bound, corrected for the number of candidates); entries are chosen greedily by the
-    texts they add. Contexts and the final logistic curve are fitted on the same texts.
-    Without both labels the model has no entries and gives the base rate.
+def _learn_entries(texts: list[str], labels: list[int]) -> Model:
+    """Entries are words, or beginnings of words, that are surely more frequent in texts with label 1.
+
+    Sure is what a Chernoff bound, corrected for the number of candidates, says of the texts that hold the
+    entry, or of those that hold two different words with the beginning: evidence of inflections is pooled that
+    way, though each may happen once in a clean text. The beginning alone and words that clean texts hold as
+    often are plain. Entries are chosen greedily by the texts they add.
     """
     n1, n = sum(labels), len(labels)
     rate = (n1 + 0.5) / (n + 1)
-    if not 0 < n1 < n:
-        return Model(bias=math.log(rate / (1 - rate)), slope=0.0)
-    counts, where = (Counter(), Counter()), {}
     seen: set[int] = set()
-
-    def bag_of(text: str) -> set[str]:
-        words = _new_words(text, seen)
-        return {w + "$" for w in words} | {w[:k] for w in words for k in STEMS if len(w) >= k}
-
-    # candidates come from texts with label 1; of the others only these are counted
-    bags = [(i, bag_of(text)) for i, (text, y) in enumerate(zip(texts, labels, strict=True)) if y]
-    for _, bag in bags:
-        counts[1].update(bag)
-    candidates = len(counts[1])
-    keys = [k for k, c in counts[1].items() if c >= 4]
-    known = set(keys)
-    bags = [(i, bag & known) for i, bag in bags]
-    for text, y in zip(texts, labels, strict=True):
-        if not y:
-            counts[0].update(bag_of(text) & known)
-    del seen
-    c1 = np.array([counts[1][k] for k in keys], dtype=np.float64)
-    c = c1 + np.array([counts[0][k] for k in keys])
-    sure = c * _divergence(c1 / c, rate) if keys else c
-    good = np.flatnonzero((c1 / np.maximum(c, 1) > max(0.8, rate)) & (sure > math.log(candidates + 1) + 3)) if keys else []
-    odds = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c - c1 + 0.5) / (n - n1 + 1)) if keys else c
-    for i in good:
-        where[keys[i]] = (sure[i], odds[i])
+    # texts with label 1 come first, as they name the candidates; of the others only these are counted
+    order = sorted(range(n), key=lambda i: (-labels[i], i))
+    bags = {i: _new_words(texts[i], seen) for i in order}
+    words = (Counter(), Counter())  # texts that hold a word, by label
+    for i in order:
+        words[labels[i]].update(bags[i])
+    # words as frequent in clean texts as elsewhere are no evidence for their beginnings
+    plain = {w for w, c in words[0].items() if c >= 3 and words[1][w] <= 2 * rate / (1 - rate) * c}
+    stems = lambda i: Counter(w[:k] for w in bags[i] if w not in plain for k in STEMS if len(w) > k)
+    once, twice, all_ = (Counter(), Counter()), (Counter(), Counter()), (Counter(), Counter())
+
+    def count(i: int, known: set[str] | None) -> None:
+        y, held = labels[i], stems(i)
+        held = {k: c for k, c in held.items() if known is None or k in known}
+        for w in bags[i]:
+            if known is None or w + "$" in known:
+                held[w + "$"] = 1
+        once[y].update(held.keys())
+        all_[y].update(held)
+        twice[y].update(k for k, c in held.items() if c > 1)
+
+    for i in order[:n1]:
+        count(i, None)
+    candidates = len(once[1])
+    known = {k for k, c in once[1].items() if c >= 4}
+    for i in order[n1:]:
+        count(i, known)
+    keys = sorted(known)
+    bound = math.log(candidates + 1) + 3
+
+    def surely(counts) -> np.ndarray:
+        c1 = np.array([counts[1][k] for k in keys], dtype=np.float64)
+        c = c1 + np.array([counts[0][k] for k in keys])
+        share = c1 / np.maximum(c, 1)
+        return np.where((share > max(0.8, rate)) & (c > 0), c * _divergence(share, rate), 0.0)
+
+    if not keys:
+        return Model()
+    sure = np.maximum(surely(once), surely(twice))
+    ratio = lambda k: math.log((all_[1][k] + 0.5) / (n1 + 1)) - math.log((all_[0][k] + 0.5) / (n - n1 + 1))
+    # how often a text of either label holds the entry, each of its words counted
+    where = {keys[j]: (sure[j], ratio(keys[j])) for j in np.flatnonzero(sure > bound) if ratio(keys[j]) > 3}
     holders: dict[str, set[int]] = {k: set() for k in where}
-    for i, bag in bags:
-        for k in bag:
-            if k in holders:
-                holders[k].add(i)
-    model, left = Model(), {i for i, y in enumerate(labels) if y}
-    # greedy: the entry with the largest gain over what is covered; the longer one of equals
-    order = sorted(where, key=lambda k: (-where[k][0], -len(k)))
-    for k in order:
-        longer = [x for x in where if x.startswith(k) and x != k and len(holders[x]) >= 0.85 * len(holders[k]) and where[x][1] > where[k][1]]
-        k = max(longer, key=lambda x: (where[x][1], x), default=k)
+    for i in order[:n1]:
+        for k in {*stems(i), *(w + "$" for w in bags[i])} & holders.keys():
+            holders[k].add(i)
+    model, left = Model(), set(order[:n1])
+    for k in sorted(where, key=lambda k: (-where[k][0], -len(k), k)):
+        # a longer beginning that nearly all of them share and that clean texts hold no more
+        longer = [x for x in where if x.startswith(k) and x != k and len(holders[x]) >= 0.85 * len(holders[k]) and where[x][1] >= where[k][1] - 0.1]
+        k = max(longer, key=lambda x: (len(x), x), default=k)
         if len(holders[k] & left) < 2 and any(k.startswith(s) or s.startswith(k.removesuffix("$")) for s in (*model.stems, *model.words)):
             continue
         (model.words if k.endswith("$") else model.stems)[k.removesuffix("$")] = float(where[k][1])
         left -= holders[k]
-    model.words = {w: x for w, x in model.words.items() if not any(w.startswith(s) for s in model.stems)}
-    _fit_contexts(model, texts, labels)
-    scorer = Scorer(model)
-    x = np.log1p([scorer.total(t) for t in texts])
-    y = np.array(labels, dtype=np.float64)
-    w = np.array([math.log(rate / (1 - rate)), 1.0])
-    for _ in range(50):  # Newton steps with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(w[0] + w[1] * x, -30, 30)))
-        g = np.array([(p - y).sum() + 0.01 * w[0], ((p - y) * x).sum() + 0.01 * w[1]])
-        v = p * (1 - p) + 1e-9
-        h = np.array([[v.sum() + 0.01, (v * x).sum()], [(v * x).sum(), (v * x * x).sum() + 0.01]])
-        w = w - np.clip(np.linalg.solve(h, g), -1, 1)
-    model.bias, model.slope = float(w[0]), float(w[1])
+    model.words = {w: x for w, x in model.words.items() if not any(w.startswith(s) and w != s for s in model.stems)}
+    model.plain = sorted(w for w in plain if any(w.startswith(s) for s in model.stems) and w not in model.words)
     return model
 
 
@@ -261,8 +293,8 @@ def _new_words(text: str, seen: set[int]) -> set[str]:
 
 
 def _fit_contexts(model: Model, texts: list[str], labels: list[int]) -> None:
-    """Log-odds that a target, a negation or a report in the clause of a match adds, shrunk to the
-    given values by ten clauses' worth of evidence; these stay if texts with label 0 hardly have matches."""
+    """Log-odds that a target, a negation or a report in the clause of a match adds, shrunk to the given values by
+    ten clauses' worth of evidence of the rarer label: where clean texts have no match they stay as given."""
     scorer = Scorer(model)
     seen = {k: [0, 0] for k in ("target", "negated", "reported", "")}
     lists = {"target": set(TARGETS), "negated": set(NEGATIONS), "reported": set(REPORTS)}
@@ -274,21 +306,50 @@ def _fit_contexts(model: Model, texts: list[str], labels: list[int]) -> None:
             for k, known in lists.items():
                 if words & known:
                     seen[k][y] += 1
-    if seen[""][0] < 20:  # matches in texts with label 0 are too few to tell contexts apart
-        return
-    base = math.log((seen[""][1] + 1) / (seen[""][0] + 1))
+    clean, toxic = seen[""]
+    share = min(clean, toxic) / (min(clean, toxic) + 10)
     for k in lists:
-        a, b = seen[k]
-        learned, share = math.log((b + 1) / (a + 1)) - base, (a + b) / (a + b + 10)
+        learned = math.log((seen[k][1] + 0.5) / (toxic + 1)) - math.log((seen[k][0] + 0.5) / (clean + 1))
         setattr(model, k, getattr(model, k) * (1 - share) + learned * share)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = (3000, 1000), fold: tuple[int, int] = (3, 1)) -> Model:
+def _fit_curve(model: Model, totals: list[float], words: list[int], labels: list[int]) -> Model:
+    """The curve from evidence to probability. What a word brings by chance is the weight of the matches in texts
+    with label 0 over their words; a text's evidence is what it has beyond that."""
+    n1, n = sum(labels), len(labels)
+    rate = (n1 + 0.5) / (n + 1)
+    if not 0 < n1 < n:
+        model.bias, model.slope = math.log(rate / (1 - rate)), 0.0
+        return model
+    y, total, size = np.array(labels, dtype=np.float64), np.array(totals), np.array(words, dtype=np.float64)
+    model.chance = float(total[y == 0].sum() / max(1.0, size[y == 0].sum())) if size.any() else 0.0
+    x = np.log1p(np.maximum(0.0, total - model.chance * size))
+    w = np.array([math.log(rate / (1 - rate)), 1.0])
+    for _ in range(50):  # Newton steps with a small ridge
+        p = 1 / (1 + np.exp(-np.clip(w[0] + w[1] * x, -30, 30)))
+        g = np.array([(p - y).sum() + 0.01 * w[0], ((p - y) * x).sum() + 0.01 * w[1]])
+        v = p * (1 - p) + 1e-9
+        h = np.array([[v.sum() + 0.01, (v * x).sum()], [(v * x).sum(), (v * x * x).sum() + 0.01]])
+        w = w - np.clip(np.linalg.solve(h, g), -1, 1)
+    model.bias, model.slope = float(w[0]), float(w[1])
+    return model
+
+
+def windows_of(text: str, windows: int, width: int) -> str:
+    """A text as it is, or evenly spread windows of one that is longer than they are together."""
+    if len(text) <= windows * width:
+        return text
+    gap = (len(text) - width) / (windows - 1) if windows > 1 else 0.0
+    return "\n".join(text[int(k * gap) : int(k * gap) + width] for k in range(windows))
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = (3000, 1000), fold: tuple[int, int] = (3, 1), windows: int = 32, width: int = 1024) -> Model:
     """Fit on a bounded sample of labelled rows: at most ``per_label[y]`` documents of label ``y``, those
     with the smallest hash of the id, from rows whose crc32 of the id modulo ``fold[0]`` isn't
     ``fold[1]``. Rows without an id or label are left out; a repeated id counts once, as toxic if
-    any of its labels says so. ``docs`` is read for the sampled ids only, whose number is bounded,
-    so that they can be broadcast."""
+    any of its labels says so, with its smallest text. ``docs`` is read for the sampled ids only, whose number is
+    bounded, so that they can be broadcast. Entries and contexts are learned from at most ``windows`` windows of
+    ``width`` characters of a text, which are cut out where the text is; the curve is fitted to whole texts."""
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold[0]
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("y_")).where("doc_id is not null and y_ in (0, 1)").where(rest != fold[1]).groupBy("doc_id").agg(F.max("y_").alias("y_"))
     mixed = F.xxhash64(F.col("doc_id").cast("string"))
@@ -296,17 +357,36 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = (3000,
     for y, most in enumerate(per_label):
         part = known.where(F.col("y_") == y).orderBy(mixed, "doc_id").limit(most)
         sample = part if sample is None else sample.unionByName(part)
-    ids = [(r[0], r[1]) for r in sample.collect()]
-    few = docs.sparkSession.createDataFrame(ids, "doc_id long, y_ int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(few), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return fit_texts([r["text"] for r in rows], [r["y_"] for r in rows])
+    spark = docs.sparkSession
+    few = spark.createDataFrame([(r[0], r[1]) for r in sample.collect()], "doc_id long, y_ int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")
+    with Scratch(spark, "toxicity-sample") as tmp:
+        taken = tmp(rows.groupBy("doc_id", "y_").agg(F.min("text").alias("text")), "texts")
+
+        def cut(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([windows_of(t, windows, width) for t in b.column(2).to_pylist()], pa.string())], names=["doc_id", "y_", "text"])
+
+        parts = sorted(taken.mapInArrow(cut, "doc_id long, y_ int, text string").collect())
+        if len({r[1] for r in parts}) < 2:
+            return _fit_curve(Model(), [], [], [r[1] for r in parts])
+        model = _learn_entries([r[2] for r in parts], [r[1] for r in parts])
+        _fit_contexts(model, [r[2] for r in parts], [r[1] for r in parts])
+        del parts
+        key = json.dumps(model.__dict__)
+
+        def weigh(batches):
+            scorer = _scorer(key)
+            for b in batches:
+                texts = b.column(2).to_pylist()
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([scorer.evidence(t)[1] for t in texts], pa.float64()), pa.array([len(t.split()) for t in texts], pa.int64())], names=["doc_id", "y_", "total", "words"])
+
+        found = sorted(taken.mapInArrow(weigh, "doc_id long, y_ int, total double, words long").collect())
+    return _fit_curve(model, [r[2] for r in found], [r[3] for r in found], [r[1] for r in found])
 
 
 @functools.lru_cache(maxsize=2)
 def _scorer(key: str) -> Scorer:
-    import json
-
     return Scorer(Model(**json.loads(key)))
 
 
@@ -314,25 +394,19 @@ def score(df: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "do
     """``(id, score, predicted, n_matches)`` and the columns ``keep`` for every whole text, without a shuffle.
 
     A null text counts as empty and gets the score of a text without matches; null and repeated ids
-    are returned as they are; columns not named are ignored; an empty table gives no rows.
+    are returned as they are; columns not named are ignored; an empty table gives no rows. A clause is read to its
+    ends, however long.
     """
-    import json
-
     key = json.dumps(model.__dict__)
     names = [id_col, *keep]
 
     def run(batches):
         scorer = _scorer(key)
-        m = scorer.model
         for b in batches:
-            scores, n = [], []
-            for t in b.column(b.num_columns - 1).to_pylist():
-                found = scorer.matches(t) if t else []
-                z = m.bias + m.slope * math.log1p(sum(w for *_, w in found))
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-                n.append(len(found))
+            found = [scorer.evidence(t) if t else (0, 0.0, 0) for t in b.column(b.num_columns - 1).to_pylist()]
+            scores = [scorer.probability(total, words) for _, total, words in found]
             cols = [b.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(n, pa.int32())], names=[*names, "score", "predicted", "n_matches"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array([n for n, *_ in found], pa.int32())], names=[*names, "score", "predicted", "n_matches"])
 
     rows = df.select(*[F.col(c).alias(c) for c in names], F.col(text_col).cast("string").alias("text_to_score_"))
     schema = T.StructType([*rows.schema[: len(names)], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("n_matches", T.IntegerType())])
