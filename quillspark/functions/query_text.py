@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import registry as R
 from .text import contains_any, strip
 
+# How queries name an article; {L} stands for the letter, upper case only or any.
 ARTICLE_PATTERNS = [r"\b(?:article|art\.?)\s*(\d+{L}?)\b", r"\b(\d+{L}?)\s*(?:of|from|in)\s*(?:the\s*)?(?:commercial\s*)?code\b", r"^(\d+{L}?)$"]
 
 
@@ -22,13 +23,13 @@ def keywords(query: Column) -> Column:
     return F.filter(stripped, lambda w: (w != "") & ~F.array_contains(F.array(*map(F.lit, R.STOPWORDS)), w))
 
 
-def analyse(queries: DataFrame, letters: bool = False, column: str = "query") -> DataFrame:
-    """Adds type, article_num, doc_hint, doc_hint_explicit, intent and keywords.
+def analyse(queries: DataFrame, letters: bool = False, widened: bool = False, column: str = "query") -> DataFrame:
+    """Trims the query and adds original_query, type, article_num, doc_hint, doc_hint_explicit, intent and keywords.
 
-    ``letters=False`` reads article numbers without a letter only."""
+    ``letters=False`` reads article numbers without a letter only; ``widened`` knows more words for intents."""
     q = strip(F.col(column))
     low = F.lower(q)
-    out = queries.withColumn(column, q).withColumn("article_num", article_reference(low, letters))
+    out = queries.withColumn("original_query", F.col(column)).withColumn(column, q).withColumn("article_num", article_reference(low, letters))
     explicit, hint = F.lit(False), F.when(contains_any(low, R.HINT_WORDS), "companies_act").when(low.contains("s.l.") | low.contains("subsidiary legislation"), "sl")
     for code, names in reversed(R.EXPLICIT_HINTS):
         hint = F.when(contains_any(low, names), code).otherwise(hint)
@@ -36,7 +37,7 @@ def analyse(queries: DataFrame, letters: bool = False, column: str = "query") ->
     out = out.withColumns({"doc_hint": hint, "doc_hint_explicit": explicit, "type": F.when(F.col("article_num").isNotNull(), "article_lookup").otherwise("general")})
     done = (F.col("type") == "article_lookup") & F.col("doc_hint").isNotNull()
     intent = F.when(done, F.lit(None).cast("string"))
-    for name, triggers in R.INTENTS:
+    for name, triggers in R.WIDENED_INTENTS if widened else R.INTENTS:
         intent = intent.when(contains_any(low, triggers), name)
     return out.withColumns({"intent": intent, "keywords": F.when(done, F.array().cast("array<string>")).otherwise(keywords(q))})
 
@@ -52,6 +53,25 @@ def variants(query: Column) -> Column:
     return F.array(query, F.concat(F.lit("rules for "), query), F.concat(F.lit("requirements of "), query))
 
 
+def synonyms(words: Column, table: dict[str, list[str]] | None = None) -> Column:
+    """The words and the words of their synonyms, each once, in order. ``table``: word to its synonyms."""
+    table = R.SYNONYMS if table is None else table
+    known = F.create_map(*[F.lit(x) for word, others in table.items() for x in (word, " ".join(others))]) if table else None
+    more = F.transform(words, lambda w: F.split(F.coalesce(F.try_element_at(known, w), F.lit("")), " ")) if table else F.array(F.array())
+    return F.array_distinct(F.concat(words, F.filter(F.flatten(more), lambda w: w != "")))
+
+
+def explicit_document(analysed_hint: Column, explicit: Column) -> Column:
+    """The document a search is restricted to: one of the two statutes, if the query names it itself."""
+    return F.when(explicit & analysed_hint.isin(*(code for code, _ in R.EXPLICIT_HINTS)), analysed_hint)
+
+
+def article_boost(text: Column, article_num: Column) -> Column:
+    """0.1 if the first article that a text names is the one asked for."""
+    first = F.upper(F.regexp_extract(F.lower(text), r"\barticle\s+(\d+[a-z]?)\b", 1))
+    return F.when((first != "") & (first == F.upper(article_num)), 0.1).otherwise(0.0)
+
+
 def intent_label(intent: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in R.INTENT_LABELS.items() for x in kv]), intent), F.lit("General information"))
 

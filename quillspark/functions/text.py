@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Patterns of the clean-up, in order, each with what replaces it.
+# Patterns of the clean-up, in order, each with what replaces it.
 CLEANING = [
     ("\r\n?", "\n"),
     (r"(?dmU)^\s*##\s+.*$", ""),
@@ -15,6 +15,7 @@ CLEANING = [
     (r"(?U)(\w)-\s*\n\s*(\w)", "$1$2"),
     (r"\n{2,}", "\n\n"),
 ]
+# Fixed value: a page marker and its number.
 PAGE_MARKER = r"(?iU)---\s*PAGE\s*(\d+)\s*---"
 
 
@@ -66,6 +67,11 @@ def contains_any(c: Column, parts: list[str]) -> Column:
     return out
 
 
+def is_url(c: Column) -> Column:
+    """Whether a place is an address and not a path."""
+    return c.rlike("^(?:http|https|file)://")
+
+
 def file_name_of_url(url: Column) -> Column:
     """Last part of the path, ``document.pdf`` if there is none, with ``.pdf`` added if it lacks an ending."""
     path = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", "")

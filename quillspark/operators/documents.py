@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,12 +84,13 @@ def next_greater(values: pd.Series) -> pd.Series:
 HEADING = r"^[\t  ]*([0-9]{1,4}[A-Z]?)\s*\.(?:\s|$)"
 
 
-def segment(docs: DataFrame, key: str = "doc_code", text: str = "content", most: int = 550, keep_after_markers: bool = True, inline_headings: bool = False) -> DataFrame:
+def segment(docs: DataFrame, key: str = "doc_code", text: str = "content", most: int = 550, keep_after_markers: bool = True, inline_headings: bool = False, enough: int = 500) -> DataFrame:
     """``(key, article, content, page, position)``: articles of cleaned texts, headings being lines that
     begin with a number and a dot. Numbers must rise and be at most ``most``, bodies not be empty.
 
     ``keep_after_markers=False`` ends a body at a page marker. ``inline_headings`` adds numbers with a
-    dot anywhere in the text that are larger than the last heading's."""
+    dot anywhere in the text that are larger than the last heading's, in documents with fewer than ``enough``
+    articles."""
     rows = lines(docs, key, text)
     rows = rows.withColumns({"marker": F.regexp_extract("line", PAGE_MARKER, 1).try_cast("int"), "head": F.regexp_extract("line", HEADING, 1)})
     rows = page_of_line(rows, key, F.col("marker"))
@@ -102,13 +105,13 @@ def segment(docs: DataFrame, key: str = "doc_code", text: str = "content", most:
     blocks = blocks.withColumn("value_", article_value(F.col("article"))).where((F.col("value_") > 0) & (F.col("value_") <= most * 100) & (F.col("content") != ""))
     out = rising(blocks, key, "value_", "order_").withColumn("tier_", F.lit(0))
     if inline_headings:
-        last = out.groupBy(key).agg(F.max("value_").alias("last_"))
+        last = out.groupBy(key).agg(F.max("value_").alias("last_"), F.count(F.lit(1)).alias("n_"))
         found = docs.select(key, F.posexplode(F.split(F.regexp_replace(F.col(text), r"([0-9]{1,4}[A-Z]?)\s*\.", "\u0001$1\u0002"), "\u0001")).alias("order_", "piece")).where("order_ > 0")
         found = found.withColumn("article", article_id(F.split_part("piece", F.lit("\u0002"), F.lit(1)))).withColumn("value_", article_value(F.col("article")))
         listed = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("order_", "value_", "article", "piece"))).alias("all_"))
         listed = listed.withColumn("next_", next_greater(F.transform("all_", lambda x: x["value_"])))
         span = F.transform("all_", lambda x, i: F.struct(x["order_"].alias("order_"), x["value_"].alias("value_"), x["article"].alias("article"), F.array_join(F.transform(F.slice("all_", i + 1, F.coalesce(F.element_at("next_", i + 1) - i - 1, F.size("all_") - i)), lambda y: y["piece"]), "\u0001").alias("raw")))
-        some = listed.select(key, F.inline(span)).join(last, key, "left").where((F.col("value_") > F.coalesce("last_", F.lit(0))) & (F.col("value_") <= most * 100))
+        some = listed.select(key, F.inline(span)).join(last, key, "left").where((F.coalesce("n_", F.lit(0)) < enough) & (F.col("value_") > F.coalesce("last_", F.lit(0))) & (F.col("value_") <= most * 100))
         raw = F.translate(F.regexp_replace("raw", "^[^\u0002]*\u0002", ""), "\u0001\u0002", " .")
         some = some.select(key, "order_", "article", clean_article(raw).alias("content"), F.lit(1).alias("page"), "value_").where("content <> ''")
         out = out.unionByName(rising(some, key, "value_", "order_").withColumn("tier_", F.lit(1)))
@@ -123,16 +126,19 @@ def token_windows(docs: DataFrame, keys: list[str], tokens: Column, size: int =
     n = F.size("tokens_")
     count = F.when(n <= size, 1).otherwise(F.ceil((n - size) / step).cast("int") + 1)
     rows = docs.withColumn("tokens_", tokens).withColumns({"total_chunks": count, "total_chunks_ref": F.greatest(F.ceil(n / size).cast("int"), F.lit(1))})
-    rows = rows.withColumn("chunk_index", F.explode(F.sequence(F.lit(0), F.col("total_chunks") - 1)))
-    return rows.select(*keys, "chunk_index", F.expr(f"slice(tokens_, chunk_index * {step} + 1, {size})").alias("chunk_tokens"), "total_chunks", "total_chunks_ref")
+    # the windows are cut inside the row, so that no window carries the whole text
+    windows = F.transform(F.sequence(F.lit(0), F.col("total_chunks") - 1), lambda i: F.slice("tokens_", i * step + 1, F.lit(size)))
+    return rows.select(*keys, F.posexplode(windows).alias("chunk_index", "chunk_tokens"), "total_chunks", "total_chunks_ref")
 
 
-def chunk_documents(articles: DataFrame, size: int = 3000, overlap: int = 200) -> DataFrame:
-    """Chunks of classified articles, with id and citation."""
-    rows = token_windows(articles, [c for c in articles.columns if c != "content"], words(F.col("content")), size, overlap)
+def chunk_documents(articles: DataFrame, size: int = 3000, overlap: int = 200, tokens: Callable[[Column], Column] = words, joined: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Chunks of classified articles, with id and citation. ``tokens`` makes an array of tokens of a text and ``joined``
+    a text of tokens; a tokenizer's encode and decode fit there as vectorised functions."""
+    rows = token_windows(articles, [c for c in articles.columns if c != "content"], tokens(F.col("content")), size, overlap)
+    joined = joined or (lambda c: F.array_join(c, " "))
     return rows.select(
         F.format_string("%s_%s_%s_p%d_pos%d_chunk_%d", "doc_code", "id_label", "article", "page", "position", F.col("chunk_index") + 1).alias("id"),
-        F.array_join("chunk_tokens", " ").alias("content"), "article", "page", "position", "chunk_index", "total_chunks", F.size("chunk_tokens").alias("tokens"),
+        joined(F.col("chunk_tokens")).alias("content"), "article", "page", "position", "chunk_index", "total_chunks", F.size("chunk_tokens").alias("tokens"),
         F.concat_ws(" ", "citation_prefix", "citation_label", "article").alias("citation"), F.col("citation_prefix").alias("document"), "id_label", "doc_code", "doc_overview")
 
 

@@ -54,3 +54,20 @@ def matching_lines(docs: DataFrame, part: str, key: str = "doc_id", text: str =
     """Lines that contain ``part``, upper and lower case alike."""
     rows = docs.where(F.lower(F.col(text)).contains(part.lower())).select(key, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
     return rows.where(F.lower("line").contains(part.lower())).withColumn("line_no", F.col("line_no") + 1)
+
+
+def log_totals(logs: DataFrame, message: str = "message") -> DataFrame:
+    """Logged queries and different ones."""
+    return logs.agg(F.count(message).alias("total"), F.count_distinct(message).alias("n_unique"))
+
+
+def build_report(articles: DataFrame, chunks: DataFrame, file: str = "stem") -> DataFrame:
+    """``(file, document, articles, chunks, article_list, total_documents, total_articles, total_chunks)``: a row for each
+    file with its articles in order and its chunks before equal ids are merged, and the totals, chunks after that.
+
+    ``articles``: (file, document, article, article_order, position); ``chunks``: (file, id). Files without articles have no row."""
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("article_order", "position", "article"))), lambda x: x["article"]), ",")
+    per_file = articles.groupBy(F.col(file).alias("file")).agg(F.min("document").alias("document"), F.count(F.lit(1)).alias("articles"), listed.alias("article_list"))
+    per_file = per_file.join(chunks.groupBy(F.col(file).alias("file")).agg(F.count(F.lit(1)).alias("chunks")), "file", "left").na.fill(0, ["chunks"])
+    totals = per_file.agg(F.count(F.lit(1)).alias("total_documents"), F.sum("articles").alias("total_articles")).crossJoin(chunks.agg(F.count_distinct("id").alias("total_chunks")))
+    return per_file.select("file", "document", "articles", "chunks", "article_list").crossJoin(F.broadcast(totals))

@@ -1,20 +1,27 @@
 """Nearest neighbours, BM25, fusion, re-ranking, gates and lookups over tables of queries.
 
 Queries are a table. Where they are sent to all executors their number is checked first
-(``most_queries``); beyond that the same operators join and shuffle.
+(``most_queries``); beyond that they go in blocks of that size, each block with a pass of its own.
 """
 
 from __future__ import annotations
 
+import functools
+import re
+from collections import Counter
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.query_text import intent_boost
+from ..functions.query_text import article_boost, intent_boost
 from ..functions.text import terms
 
 MOST_QUERIES = 10_000
+QUERY_BLOCK = 256
+_TERM = re.compile("[a-z0-9]+")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -23,43 +30,83 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def _best(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of hits (query row, score, id) the first ``k`` of each row, best score first, ties by id."""
+    order = np.lexsort((ids, -scores, rows))
+    rows = rows[order]
+    begin = np.searchsorted(rows, rows)
+    keep = np.arange(len(rows)) - begin < k
+    return rows[keep], scores[order][keep], ids[order][keep]
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A column of equally long lists as a matrix."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return values.reshape(len(column), -1)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", filters: tuple[str, str] | None = None, most_queries: int = MOST_QUERIES) -> DataFrame:
     """``(query_id, id, score, rank)``: the ``k`` best by ``1 / (1 + cosine distance)``, ties by id.
 
-    ``queries``: (query_id, vector). Each Arrow batch of vectors is multiplied with all queries and only
-    its best ``k`` for each query leave the task, so what is shuffled doesn't grow with the vectors' width.
-    ``filters = (query column, vector column)`` restricts to rows with equal values."""
+    ``queries``: (query_id, vector). Each Arrow batch of vectors is multiplied with blocks of queries, and a task
+    holds and gives its best ``k`` for each query only, so what is shuffled grows neither with the vectors' width
+    nor with their number in a task. ``filters = (query column, vector column)`` restricts to rows with equal
+    values; a null in the query column restricts nothing. Vectors have one length; null ones are passed over."""
     columns = ["query_id", "vector", *([filters[0]] if filters else [])]
     rows = queries.select(*columns).limit(most_queries + 1).collect()
     if len(rows) > most_queries:
-        return _nearest_by_join(queries, vectors, k, id_col, vector_col, filters)
-    q = np.array([r["vector"] for r in rows], dtype=np.float64)
-    ids = np.array([r["query_id"] for r in rows])
-    q = q / np.sqrt((q * q).sum(axis=1, keepdims=True)) if len(q) else q
-    wanted = np.array([r[filters[0]] for r in rows]) if filters else None
+        n = -(-2 * queries.count() // most_queries)  # blocks of about half the bound
+        block = lambda i: queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
+        return functools.reduce(DataFrame.union, (nearest(block(i), vectors, k, id_col, vector_col, filters, most_queries) for i in range(n)))
+    q = _unit(np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1)) if rows else np.zeros((0, 1))
+    ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
+    wanted = np.array([r[filters[0]] for r in rows], dtype=object) if filters else None
 
     def run(batches):
+        held = np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64)
         for b in batches:
             if not b.num_rows or not len(q):
                 continue
-            x = np.array(b.column(1).to_pylist(), dtype=np.float64)
-            s = 1 / (2 - q @ (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).T)
-            own = b.column(0).to_numpy()
-            if wanted is not None:
-                s = np.where(wanted[:, None] == np.array(b.column(2).to_pylist())[None, :], s, -1.0)
-            order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-            best = np.take_along_axis(s, order, axis=1)
-            keep = best.reshape(-1) >= 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])[keep]), pa.array(own[order].reshape(-1)[keep]), pa.array(best.reshape(-1)[keep])], names=["query_id", "id", "score"])
+            x, own = _unit(_matrix(b.column(1))).T, b.column(0).to_numpy()
+            kind = np.array(b.column(2).to_pylist(), dtype=object) if filters else None
+            for at in range(0, len(q), QUERY_BLOCK):
+                s = np.round(1 / (2 - q[at : at + QUERY_BLOCK] @ x), 12)  # so that equal vectors tie
+                if filters:
+                    mine = wanted[at : at + QUERY_BLOCK, None]
+                    s = np.where((mine == kind[None, :]) | np.equal(mine, None), s, -1.0)
+                # all that reach the k-th best of their row, ties included
+                least = np.partition(s, len(own) - k, axis=1)[:, len(own) - k, None] if len(own) > k else -0.5
+                i, j = np.nonzero((s >= least) & (s >= 0))
+                held = tuple(np.concatenate(p) for p in zip(held, (i + at, s[i, j], own[j]), strict=True))
+            held = _best(*held, k)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[2]), pa.array(held[1])], names=["query_id", "id", "score"])
 
     source = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long"), vector_col, *([filters[1]] if filters else []))
     return ranked(source.mapInArrow(run, "query_id long, id long, score double"), k)
 
 
-def _nearest_by_join(queries, vectors, k, id_col, vector_col, filters):
-    condition = F.col(filters[0]) == F.col(filters[1]) if filters else F.lit(True)
-    both = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v_"), *([filters[1]] if filters else [])).join(queries, condition)
-    return ranked(both.select("query_id", "id", (1 / (2 - cosine(F.col("v_"), F.col("vector")))).alias("score")), k)
+def approximate_nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", bucket: float = 0.5, tables: int = 8, least_cosine: float = 0.0, seed: int = 1) -> DataFrame:
+    """``(query_id, id, score, rank)`` like :func:`nearest`, for tables of queries as large as those of vectors: only
+    pairs that share a bucket of random projections of the unit vectors, and have a cosine of at least
+    ``least_cosine``, are compared. Every row is indexed; there is nothing to fit but the random directions.
+    Narrower buckets compare less and find less: measure the recall against :func:`nearest`."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    def unit(df: DataFrame, key: str, column: str) -> DataFrame:
+        x = F.col(column).cast("array<double>")
+        norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
+        return df.where(F.col(column).isNotNull()).select(F.col(key).alias("key"), array_to_vector(F.transform(x, lambda v: v / norm)).alias("unit"))
+
+    index = unit(vectors, id_col, vector_col)
+    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(index)
+    # of unit vectors the squared distance is twice the cosine distance
+    near = model.approxSimilarityJoin(unit(queries, "query_id", "vector"), index, float(np.sqrt(2 * (1 - least_cosine))) + 1e-9, "d")
+    return ranked(near.select(F.col("datasetA.key").alias("query_id"), F.col("datasetB.key").cast("long").alias("id"), (1 / (1 + F.col("d") * F.col("d") / 2)).alias("score")), k)
 
 
 def ranked(hits: DataFrame, k: int | None = None, by: str = "query_id", score: str = "score", tie: str = "id") -> DataFrame:
@@ -74,24 +121,71 @@ def best_of_key(hits: DataFrame, key: str, n: int) -> DataFrame:
     return ranked(first, n)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(query_id, id, score, rank)`` under BM25. ``queries``: (query_id, terms).
-
-    Frequencies are computed inside a document's row: only occurrences of query terms leave the scan, one
-    row for each document and term."""
-    wanted = queries.select(F.explode("terms").alias("term")).distinct()
-    # a document's terms that are asked for: the set of terms is small and checked
-    asked = [r[0] for r in wanted.limit(MOST_QUERIES + 1).collect()]
-    tokens = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("tokens")).withColumn("len", F.size("tokens"))
+def bm25(
+    docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text",
+    filters: tuple[str, str] | None = None, most_terms: int = MOST_QUERIES,
+) -> DataFrame:
+    """``(query_id, id, score, rank)`` under BM25. ``queries``: (query_id, terms); a term asked twice counts twice.
+
+    One pass counts documents, their lengths and the documents of each asked term; a second one scores, inside
+    a document's row, and only hits leave it. Both send the asked terms to the executors after checking their
+    number; more than ``most_terms`` are joined instead. ``filters`` as in :func:`nearest`."""
+    extra = [filters[0]] if filters else []
+    asks = queries.select("query_id", *extra, F.explode("terms").alias("term")).groupBy("query_id", *extra, "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = asks.limit(most_terms + 1).collect()
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text_"), *([F.col(filters[1]).alias("kind_")] if filters else []))
+    if len(asked) > most_terms:
+        return _bm25_by_join(rows, asks, k, k1, b, filters)
+    wanted: dict[str, list[tuple]] = {}  # term: queries that ask for it, how often, and what they are restricted to
+    for r in asked:
+        wanted.setdefault(r["term"], []).append((r["query_id"], r["times"], r[filters[0]] if filters else None))
+
+    def count(batches):
+        for batch in batches:
+            found = Counter()
+            length = 0
+            for text in batch.column(1).to_pylist():
+                tokens = _TERM.findall(text.lower())
+                length += len(tokens)
+                found.update(wanted.keys() & set(tokens))
+            terms = ["", *found]  # documents themselves are counted under the empty term
+            yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array([batch.num_rows, *found.values()], pa.int64()), pa.array([length] + [0] * len(found), pa.int64())], names=["term", "n", "length"])
+
+    totals = {r[0]: (r[1], r[2]) for r in rows.mapInArrow(count, "term string, n long, length long").groupBy("term").agg(F.sum("n"), F.sum("length")).collect()}
+    n_docs, length = totals.get("", (0, 0))
+    mean = length / n_docs if n_docs else 0.0
+    idf = {t: float(np.log(1 + (n_docs - totals[t][0] + 0.5) / (totals[t][0] + 0.5))) for t in wanted if t in totals}
+
+    def score(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            kinds = batch.column(2).to_pylist() if filters else [None] * batch.num_rows
+            for key, text, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), kinds, strict=True):
+                tokens = _TERM.findall(text.lower())
+                sums: dict = {}
+                for t, tf in Counter(x for x in tokens if x in idf).items():
+                    part = idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(tokens) / mean))
+                    for query, times, of in wanted[t]:
+                        if of is None or of == kind:
+                            sums[query] = sums.get(query, 0.0) + times * part
+                out.extend((query, key, x) for query, x in sums.items())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "score"])
+
+    return ranked(rows.mapInArrow(score, "query_id long, id long, score double").withColumn("score", F.round("score", 6)), k)
+
+
+def _bm25_by_join(rows: DataFrame, asks: DataFrame, k: int, k1: float, b: float, filters: tuple[str, str] | None) -> DataFrame:
+    tokens = rows.withColumn("tokens", terms(F.col("text_"))).drop("text_").withColumn("len", F.size("tokens"))
     stats = tokens.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    if len(asked) <= MOST_QUERIES:
-        tokens = tokens.withColumn("tokens", F.filter("tokens", lambda t: t.isin(asked) if asked else F.lit(False)))
-    tf = tokens.select("id", "len", F.explode("tokens").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    kept = ["id", "len", *(["kind_"] if filters else [])]
+    tf = tokens.select(*kept, F.explode("tokens").alias("term")).join(asks.select("term").distinct(), "term", "left_semi").groupBy(*kept, "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    asks = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     weights = asks.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return ranked(tf.join(F.broadcast(weights), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")), k)
+    hits = tf.join(weights, "term")
+    if filters:
+        hits = hits.where(F.col(filters[0]).isNull() | (F.col(filters[0]) == F.col("kind_")))
+    return ranked(hits.groupBy(F.col("query_id").cast("long").alias("query_id"), "id").agg(F.round(F.sum(part), 6).alias("score")), k)
 
 
 def fuse(semantic: DataFrame, lexical: DataFrame, constant: int = 60) -> DataFrame:
@@ -102,23 +196,61 @@ def fuse(semantic: DataFrame, lexical: DataFrame, constant: int = 60) -> DataFra
     return ranked(both.select("query_id", "id", (one("s_") + one("l_")).alias("score"), source.alias("source")))
 
 
+def union_hits(*tables: DataFrame) -> DataFrame:
+    """Hits of several searches (query_id, id, score, source) as one table: each document of a query once, with its best score
+    and where that came from; ranked anew."""
+    both = functools.reduce(DataFrame.unionByName, [t.select("query_id", "id", "score", "source") for t in tables])
+    best = both.groupBy("query_id", "id").agg(F.min(F.struct((-F.col("score")).alias("s"), "source")).alias("b"))
+    return ranked(best.select("query_id", "id", (-F.col("b.s")).alias("score"), F.col("b.source").alias("source")))
+
+
+def after(hits: DataFrame, offset: int, k: int | None = None) -> DataFrame:
+    """Hits behind the first ``offset`` of their query, at most ``k`` of them."""
+    return hits.where((F.col("rank") > offset) & (F.col("rank") <= offset + k if k else F.lit(True)))
+
+
 def rerank_by_intent(hits: DataFrame) -> DataFrame:
-    """Adds the intent's boost to the score (between 0 and 1) and ranks anew. Needs text and intent."""
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") + intent_boost(F.col("text"), F.col("intent"))))
-    return ranked(hits.drop("rank").withColumn("score", score))
+    """Adds the intent's boost, and that of a named article if there is a column ``article_num``, to the score (between
+    0 and 1) and ranks anew. Needs text and intent."""
+    boost = intent_boost(F.col("text"), F.col("intent"))
+    if "article_num" in hits.columns:
+        boost = boost + article_boost(F.col("text"), F.col("article_num"))
+    return ranked(hits.drop("rank").withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") + boost))))
+
+
+def rerank_by_keyword(hits: DataFrame, k: int = 15) -> DataFrame:
+    """The first ``k`` after adding 1 to the score of texts that hold the query as it is. Needs text and query."""
+    held = F.coalesce(F.col("text").contains(F.col("query")), F.lit(False))
+    return ranked(hits.drop("rank").withColumn("score", F.col("score") + held.cast("int")), k)
+
+
+def _cross(text: pd.Series, query: pd.Series, window: pd.Series) -> pd.Series:
+    """One pass over a text: the positions of query terms, and a window that slides over them."""
+
+    def one(text, query, window):
+        low, asked = (text or "").lower(), set(_TERM.findall((query or "").lower()))
+        spots = [(i, t) for i, t in enumerate(_TERM.findall(low)) if t in asked]
+        n, best, inside, first = max(len(asked), 1), 0, Counter(), 0
+        for i, t in spots:
+            inside[t] += 1
+            while spots[first][0] <= i - window:
+                old = spots[first][1]
+                inside[old] -= 1
+                if not inside[old]:
+                    del inside[old]
+                first += 1
+            best = max(best, len(inside))
+        exact = 1.0 if query is not None and query.lower() in low else 0.0
+        coverage = len({t for _, t in spots}) / n
+        return 0.15 * (0.3 * exact + 0.4 * coverage + 0.3 * (best / n if best >= 2 else 0.0))
+
+    return pd.Series([one(*row) for row in zip(text, query, window, strict=True)], dtype="float64")
 
 
 def cross_score(text: Column, query: Column, window: int = 20) -> Column:
     """0.15 times (0.3 exact phrase + 0.4 share of query terms + 0.3 nearness), nearness being the share of
-    query terms in the best ``window`` tokens, if two or more match."""
-    asked, found = F.array_distinct(terms(query)), terms(text)
-    n = F.greatest(F.size(asked), F.lit(1))
-    coverage = F.size(F.array_intersect(asked, found)) / n
-    spots = F.filter(F.transform(found, lambda t, i: F.when(F.array_contains(asked, t), i)), lambda i: i.isNotNull())
-    seen = lambda i: F.size(F.array_intersect(asked, F.slice(found, i + 1, window)))
-    best = F.coalesce(F.array_max(F.transform(spots, seen)), F.lit(0))
-    exact = F.when(F.lower(text).contains(F.lower(query)), 1.0).otherwise(0.0)
-    return 0.15 * (0.3 * exact + 0.4 * coverage + 0.3 * F.when(best >= 2, best / n).otherwise(0.0))
+    query terms in the best ``window`` tokens, if two or more match. A null text is empty."""
+    return F.pandas_udf(_cross, "double")(text, query, F.lit(window))
 
 
 def gate(hits: DataFrame, threshold: float | Column = 0.45) -> DataFrame:
@@ -126,6 +258,11 @@ def gate(hits: DataFrame, threshold: float | Column = 0.45) -> DataFrame:
     return hits.withColumn("top_", F.max("score").over(Window.partitionBy("query_id"))).where(F.col("top_") >= threshold).drop("top_")
 
 
+def type_threshold(kind: Column, lookups: float = 0.80, others: float = 0.10) -> Column:
+    """The evidence a query needs by its type."""
+    return F.when(kind == "article_lookup", lookups).otherwise(others)
+
+
 def confidence(hits: DataFrame) -> DataFrame:
     """``(query_id, confidence)``: mean of the three best scores, between 0.1 and 0.95."""
     return hits.where("rank <= 3").groupBy("query_id").agg(F.greatest(F.lit(0.1), F.least(F.lit(0.95), F.avg("score"))).alias("confidence"))
@@ -155,10 +292,14 @@ def valid_page(page: Column) -> Column:
     return F.when(number >= 1, number)
 
 
-def context_entry(document: Column, citation: Column, article: Column, page: Column, content: Column) -> Column:
+def context_heading(document: Column, citation: Column, article: Column, page: Column) -> Column:
     at = F.concat(F.lit(" (Page "), valid_page(page).cast("string"), F.lit(")"))
     named = F.coalesce(citation, F.concat(F.lit("Article "), F.coalesce(article, F.lit("?"))))
-    return F.concat(F.lit("["), F.coalesce(document, F.lit("Unknown Document")), F.lit("] "), named, F.coalesce(at, F.lit("")), F.lit(":\n"), F.coalesce(content, F.lit("")))
+    return F.concat(F.lit("["), F.coalesce(document, F.lit("Unknown Document")), F.lit("] "), named, F.coalesce(at, F.lit("")))
+
+
+def context_entry(document: Column, citation: Column, article: Column, page: Column, content: Column) -> Column:
+    return F.concat(context_heading(document, citation, article, page), F.lit(":\n"), F.coalesce(content, F.lit("")))
 
 
 def contexts(hits: DataFrame) -> DataFrame:
@@ -171,3 +312,9 @@ def contexts(hits: DataFrame) -> DataFrame:
 def citations(hits: DataFrame) -> DataFrame:
     """Each (document, article, page) of a query once, in the order of its first hit."""
     return hits.groupBy("query_id", "document", "article", "page").agg(F.min(F.struct("rank", "citation")).alias("f")).select("query_id", "document", "article", "page", F.col("f.citation").alias("citation"), F.col("f.rank").alias("first_rank"))
+
+
+def hit_card(score: Column, citation: Column, content: Column, most: int = 400) -> Column:
+    """What is shown of a hit: citation up to the first comma, score in whole percent, the beginning of the text."""
+    percent = F.concat(F.bround(score * 100, 0).cast("int").cast("string"), F.lit("%"))
+    return F.struct(F.split_part(citation, F.lit(","), F.lit(1)).alias("reference"), percent.alias("match"), F.concat(F.substring(content, 1, most), F.lit("...")).alias("preview"))

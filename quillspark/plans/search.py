@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.query_text import analyse, expanded
-from ..functions.text import clean_document, terms
+from ..functions.query_text import analyse, expanded, explicit_document, synonyms, variants
+from ..functions.text import clean_document, terms, words
 from ..operators import documents as D
+from ..operators import overview as O  # noqa: N812
+from ..operators import reports as P
 from ..operators import retrieval as V
 
 
@@ -23,32 +25,77 @@ def build_chunks(files: DataFrame, size: int = 3000, overlap: int = 200, **segme
     return D.first_wins(chunks, F.col("id"), ["doc_code", "position", "chunk_index"], chunks.columns).drop("key_", "copies")
 
 
+def build_report(files: DataFrame, size: int = 3000, overlap: int = 200, **segmenting) -> DataFrame:
+    """Articles and chunks of each file, and the totals, of what :func:`build_chunks` makes of ``files``."""
+    texts = D.classify(files.withColumn("content", clean_document(F.col("content"))))
+    articles = D.segment(texts, "stem", **segmenting).join(texts.drop("content"), "stem").withColumn("document", F.col("citation_prefix"))
+    rows = articles.select("stem", "article", "page", "position", F.concat_ws("#", "doc_code", F.nullif(F.regexp_extract("stem", r"^\d+\.(\d+)", 1), F.lit(""))).alias("doc_code"), "id_label", "content")
+    chunks = D.token_windows(rows, [c for c in rows.columns if c != "content"], words(F.col("content")), size, overlap)
+    chunks = chunks.select("stem", F.format_string("%s_%s_%s_p%d_pos%d_chunk_%d", "doc_code", "id_label", "article", "page", "position", F.col("chunk_index") + 1).alias("id"))
+    return P.build_report(articles, chunks)
+
+
 class SearchEngine:
-    """Answers queries over ``chunks`` (id, content, doc_code, article, ...) with ``vectors`` (id, embedding).
+    """Answers queries over ``chunks`` (id, content, doc_code, article, chunk_index, ...) with ``vectors`` (id, embedding).
 
-    ``embed`` turns a table with a text column ``query`` into one with ``vector``. ``mode`` is ``semantic`` or
-    ``hybrid`` (BM25 beside it, fused, re-ranked)."""
+    ``embed`` turns a table with a text column ``query`` into one with ``vector``. ``mode`` is ``semantic`` (5 results, the
+    best must reach 0.45) or ``hybrid``: BM25 over the query's terms and their synonyms beside it, fused, re-ranked by
+    closeness to the query; 15 results, 10 more when confidence is low; the best must reach 0.80 for lookups, 0.10 else.
+    ``threshold`` overrides both. Queries that name one of the two statutes search in it alone."""
 
     def __init__(self, chunks: DataFrame, vectors: DataFrame, embed: Callable[[DataFrame], DataFrame], mode: str = "semantic", threshold: float | None = None):
-        self.chunks, self.vectors, self.embed, self.mode = chunks, vectors, embed, mode
-        self.threshold = threshold if threshold is not None else 0.45 if mode == "semantic" else 0.10
+        if mode not in ("semantic", "hybrid"):
+            raise ValueError(f"no mode {mode!r}")
+        self.chunks, self.embed, self.hybrid, self.threshold = chunks, embed, mode == "hybrid", threshold
+        self.vectors = vectors if "doc_code" in vectors.columns else vectors.join(chunks.select("id", "doc_code"), "id")
 
-    def search(self, queries: DataFrame, max_results: int = 5) -> DataFrame:
-        """Hits of all queries (query_id, query): (query_id, id, score, rank, source, text, ...)."""
-        asked = analyse(queries, letters=self.mode == "hybrid")
-        found = V.lookup(asked.where("type = 'article_lookup'").select("query_id", "article_num", "doc_hint"), self.chunks).where(F.col("rank") <= max_results)
+    def analyse(self, queries: DataFrame) -> DataFrame:
+        asked = analyse(queries.select("query_id", "query"), letters=self.hybrid, widened=self.hybrid)
+        return asked.withColumn("wanted", explicit_document(F.col("doc_hint"), F.col("doc_hint_explicit")))
+
+    def search(self, queries: DataFrame, max_results: int | None = None, with_variants: bool = False) -> DataFrame:
+        """Hits of all queries (query_id, query): (query_id, id, score, rank, source). ``with_variants`` also embeds
+        the query as a question for rules and for requirements and takes the best score of the three."""
+        n = max_results or (15 if self.hybrid else 5)
+        most = n + 10 if self.hybrid else n
+        k = min(2 * most, 50)
+        asked = self.analyse(queries)
+        found = V.lookup(asked.where("type = 'article_lookup'").select("query_id", "article_num", "doc_hint"), self.chunks).where(F.col("rank") <= n)
         found = found.select("query_id", "id", "score", "rank", F.lit("lookup").alias("source"))
         general = asked.where("type = 'general'")
-        embedded = self.embed(general.withColumn("query", expanded(general)))
-        hits = V.nearest(embedded, self.vectors, min(2 * max_results, 50), id_col="id")
-        if self.mode == "hybrid":
-            lexical = V.bm25(self.chunks, general.select("query_id", terms(F.col("query")).alias("terms")), min(2 * max_results, 50), id_col="id", text_col="content")
+        texts = [expanded(general)]
+        if with_variants:
+            texts += [variants(F.col("query"))[i] for i in (1, 2)]
+        nearest = [V.nearest(self.embed(general.withColumn("query", text)), self.vectors, k, id_col="id", filters=("wanted", "doc_code")).withColumn("source", F.lit("semantic")) for text in texts]
+        hits = V.ranked(V.union_hits(*nearest), k) if with_variants else nearest[0]
+        if self.hybrid:
+            terms_ = F.array_distinct(terms(F.array_join(synonyms(terms(F.col("query"))), " ")))
+            lexical = V.bm25(self.chunks, general.select("query_id", "wanted", terms_.alias("terms")), k, id_col="id", text_col="content", filters=("wanted", "doc_code"))
             hits = V.fuse(hits, lexical)
-        else:
-            hits = hits.withColumn("source", F.lit("semantic"))
-        rows = hits.join(self.chunks.select("id", "doc_code", "article", F.col("content").alias("text")), "id").join(general.select("query_id", "query", "intent"), "query_id")
-        rows = V.best_of_key(rows.withColumn("key", F.struct("doc_code", "article")), "key", max_results)
-        if self.mode == "hybrid":
+        if queries.limit(V.MOST_QUERIES + 1).count() <= V.MOST_QUERIES:
+            hits = F.broadcast(hits)  # at most 50 for each query: the chunks' texts don't move
+        rows = self.chunks.select("id", "doc_code", "article", F.col("content").alias("text")).join(hits, "id")
+        rows = rows.join(general.select("query_id", "query", "intent", "article_num"), "query_id")
+        rows = V.best_of_key(rows.withColumn("key", F.struct("doc_code", "article")), "key", most)
+        if self.hybrid:
             rows = rows.withColumn("score", F.col("score") + V.cross_score(F.col("text"), F.col("query")))
-        rows = V.gate(V.rerank_by_intent(rows), self.threshold)
-        return rows.select("query_id", "id", "score", "rank", "source").unionByName(found)
+        rows = V.rerank_by_intent(rows)
+        if self.hybrid:
+            rows = V.adaptive(rows, 0.7, n, most)
+        rows = rows.select("query_id", "id", "score", "rank", "source").unionByName(found)
+        if self.threshold is not None:
+            return V.gate(rows, self.threshold)
+        if not self.hybrid:
+            return V.gate(rows, 0.45)
+        of = asked.select("query_id", V.type_threshold(F.col("type")).alias("least"))
+        return V.gate(rows.join(of, "query_id"), F.col("least")).drop("least")
+
+    def overview(self, queries: DataFrame, hits: DataFrame, enabled: bool = True, requested: bool = True, generate: Callable[[DataFrame], DataFrame] = O.extracts) -> DataFrame:
+        """Overviews of the queries that get one: no lookups, and only where something was found. Chunks may have the columns
+        document, citation and page."""
+        asked = self.analyse(queries)
+        n = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_"))
+        asked = asked.join(n, "query_id", "left").where(O.wanted(F.col("type"), F.coalesce("n_", F.lit(0)), enabled, requested))
+        given = [F.col(c).cast("string").alias(c) if c in self.chunks.columns else F.lit(None).cast("string").alias(c) for c in ("document", "citation", "article", "page")]
+        rows = self.chunks.select("id", *given, "content").join(hits.select("query_id", "id", "rank", "score"), "id").join(asked.select("query_id"), "query_id", "left_semi")
+        return O.overviews(asked, rows, generate)

@@ -9,16 +9,18 @@ from . import registry as R
 from .functions import query_text as Q
 from .functions import text as X
 from .operators import documents as D
+from .operators import overview as O  # noqa: N812
 from .operators import reports as P
 from .operators import retrieval as V
+from .operators.embedding import HashedWords, embed
+from .plans import search as S
 from .sources.files import not_yet_done
 
 STEMS = ["540 - Gender Identity", "123.198 - Assignments", "16.14 - Termination of Mandates", "623.01 - X", "623.02 - X", "EU Succession Regulation - 650.2012", "Museum Rules", "Companies Act", "SUBSIDIARY LEGISLATION 386 02", "Notes", "55.09 - Code of Ethics", "13 - Commercial Code", "79 - Commissioners"]
 QUESTIONS = [
-    "What are the steps for holding an AGM?", "How does a company change its name?", "What is the procedure for increasing share capital?", "How is bankruptcy declared?",
-    "What is the process for protesting a bill of exchange?", "What are the duties of company directors?", "What are the reporting obligations for directors?", "What records must a company maintain?",
-    "What are the requirements for dividend distributions?", "Show me Article 4 of the Commercial Code", "What does Article 136A of the Companies Act say?", "Find Article 123 about dividends",
-    "Article 4", "477", "art 26", "13 of the code", "smart 5", "Article 9999 of nothing", "S.L. rules on fines", "When is the deadline?",
+    "How to register the name of a company?", "What is a cell company?", "Which fine follows a late filing?", "Does a director have a duty to report?", "When must the annual return be filed?",
+    "Show me Article 12 of the Commercial Code", "Is Article 45B of the Companies Act in force?", "Which steps for a dividend?", "Commercial Code: what must a trader keep?", "What should Cap. 386 require of shareholders?",
+    "Article 4", "477", "art 26", "13 of the code", "smart 5", "Article 9999 of nothing", "S.L. rules on fines", "How does winding up end?", "the apache license, version two", "Consequences of a breach, and in sha the?",
 ]
 TERM_QUERIES = [(1, ["the", "and", "license"]), (2, ["version", "apache"]), (3, ["la", "de"]), (4, ["und", "der", "the"]), (5, ["nosuchterm"])]
 IDS = ["007", "26", "26A", "26J", "27", "x", "550", "600", "0", "12AB"]
@@ -38,12 +40,18 @@ def _sql_any(column: str, parts: list[str]) -> str:
 
 # -- nearest neighbours
 def _vector_queries(spark, sf_dir):
-    return t(spark, sf_dir, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("wanted"))
+    """Every row whose id is divisible by 50 is a query, numbered by the quotient; all rows are searched."""
+    return t(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select((F.col("vec_id") / 50).cast("long").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("wanted"))
+
+
+def _others(hits: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` hits but the query's own row."""
+    return V.ranked(hits.where("id <> query_id * 50").drop("rank"), k)
 
 
 KNN_SQL = """
-WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv, label AS wanted FROM embeddings WHERE vec_id < 10),
-s AS (SELECT query_id, vec_id AS id, label, wanted, 1 / (2 - list_cosine_similarity(embedding::DOUBLE[], qv)) AS score FROM embeddings, q {where}),
+WITH q AS (SELECT vec_id // 50 AS query_id, embedding::DOUBLE[] AS qv, label AS wanted FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id AS id, label, wanted, round(1 / (2 - list_cosine_similarity(embedding::DOUBLE[], qv)), 12) AS score FROM embeddings, q {where}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
 """
 
@@ -62,30 +70,36 @@ def knn_dedup_by_label(spark, sf_dir):
 
 
 def evidence_gate(spark, sf_dir):
-    hits = V.nearest(_vector_queries(spark, sf_dir), t(spark, sf_dir, "embeddings").where("vec_id >= 10"), 5)
+    hits = _others(V.nearest(_vector_queries(spark, sf_dir), t(spark, sf_dir, "embeddings"), 6), 5)
     return V.gate(hits, 0.605).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 def adaptive_k(spark, sf_dir):
-    hits = V.nearest(_vector_queries(spark, sf_dir), t(spark, sf_dir, "embeddings").where("vec_id >= 10"), 25)
+    hits = _others(V.nearest(_vector_queries(spark, sf_dir), t(spark, sf_dir, "embeddings"), 26), 25)
     return V.adaptive(hits, 0.61).select("query_id", "id", "rank", F.round("confidence", 6).alias("confidence"), "adaptive_retrieval")
 
 
 # -- documents to chunks
+SCANNED = "THE CODE [CAP. 13] 21\nCap. 13.\n 42 \nexam-\n ple of\n\n\n\n--- PAGE 3 ---\nwords "
+
+
 def clean_text(spark, sf_dir):
-    c = X.clean_document(F.coalesce("text", F.lit("")))
+    # lines that scans have and the table lacks: a running header, a page number, a chapter alone, a hyphen at a line end
+    c = X.clean_document(F.concat(F.lit(SCANNED), F.coalesce("text", F.lit(""))))
     a = X.clean_article(c)
     return t(spark, sf_dir, "documents").select("doc_id", F.md5(c.cast("binary")).alias("clean_md5"), F.length(c).cast("long").alias("clean_chars"), F.md5(a.cast("binary")).alias("article_md5"))
 
 
-CLEAN_SQL = r"""
-WITH a AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS x FROM documents),
+CLEAN_CTE = r"""
+WITH a AS (SELECT doc_id, regexp_replace({text}, '\r\n?', chr(10), 'g') AS x FROM documents),
 b AS (SELECT doc_id, regexp_replace(x, '(?m)^\s*##\s+.*$', '', 'g') AS x FROM a),
 c AS (SELECT doc_id, regexp_replace(x, '(?m)^\s*[A-Z][A-Z\s\[\]\.\-]*CAP\.?\s*\d+\]?\s*\d+\s*$', '', 'g') AS x FROM b),
 d AS (SELECT doc_id, regexp_replace(x, '(?m)^\s*Cap\.\s*\d+\.?\s*$', '', 'g') AS x FROM c),
 e AS (SELECT doc_id, regexp_replace(x, '(?m)^\s*\d+\s*$', '', 'g') AS x FROM d),
 f AS (SELECT doc_id, regexp_replace(x, '(\w)-\s*\n\s*(\w)', '\1\2', 'g') AS x FROM e),
-g AS (SELECT doc_id, regexp_replace(x, '\n{2,}', chr(10) || chr(10), 'g') AS x FROM f)
+g AS (SELECT doc_id, regexp_replace(x, '\n{{2,}}', chr(10) || chr(10), 'g') AS x FROM f)
+"""
+CLEAN_SQL = CLEAN_CTE.format(text=f"{_quoted(SCANNED)} || coalesce(text, '')") + r"""
 SELECT doc_id, md5(x) AS clean_md5, length(x)::BIGINT AS clean_chars, md5(regexp_replace(regexp_replace(regexp_replace(x, '(?i)---\s*PAGE\s*(\d+)\s*---', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS article_md5 FROM g
 """
 
@@ -187,16 +201,38 @@ def query_analysis(spark, sf_dir):
 
 
 _HINT = "CASE " + " ".join(f"WHEN {_sql_any('low', names)} THEN {_quoted(code)}" for code, names in R.EXPLICIT_HINTS) + f" WHEN {_sql_any('low', R.HINT_WORDS)} THEN 'companies_act' WHEN contains(low, 's.l.') OR contains(low, 'subsidiary legislation') THEN 'sl' END"
-_INTENT = "CASE WHEN article_num IS NOT NULL AND doc_hint IS NOT NULL THEN NULL " + " ".join(f"WHEN {_sql_any('low', words)} THEN {_quoted(name)}" for name, words in R.INTENTS) + " END"
-ANALYSE_CTE = rf"""
+
+
+def _analyse_cte(intents, letter: str) -> str:
+    intent = "CASE WHEN article_num IS NOT NULL AND doc_hint IS NOT NULL THEN NULL " + " ".join(f"WHEN {_sql_any('low', words)} THEN {_quoted(name)}" for name, words in intents) + " END"
+    return rf"""
 q AS (SELECT i::INT AS query_id, ([{', '.join(map(_quoted, QUESTIONS))}])[i + 1] AS query FROM range({len(QUESTIONS)}) r(i)),
 a AS (SELECT *, lower(query) AS low FROM q),
-b AS (SELECT *, upper(coalesce(nullif(regexp_extract(low, '\b(?:article|art\.?)\s*(\d+[A-Z]?)\b', 1), ''), nullif(regexp_extract(low, '\b(\d+[A-Z]?)\s*(?:of|from|in)\s*(?:the\s*)?(?:commercial\s*)?code\b', 1), ''), nullif(regexp_extract(low, '^(\d+[A-Z]?)$', 1), ''))) AS article_num, {_HINT} AS doc_hint, {' OR '.join(_sql_any('low', n) for _, n in R.EXPLICIT_HINTS)} AS doc_hint_explicit FROM a),
-c AS (SELECT *, CASE WHEN article_num IS NULL THEN 'general' ELSE 'article_lookup' END AS type, {_INTENT} AS intent, CASE WHEN article_num IS NOT NULL AND doc_hint IS NOT NULL THEN '' ELSE array_to_string(list_filter(list_transform(regexp_split_to_array(low, '\s+'), lambda w: regexp_replace(w, '^[.,?!]+|[.,?!]+$', '', 'g')), lambda w: w <> '' AND NOT list_contains([{', '.join(map(_quoted, R.STOPWORDS))}], w)), ' ') END AS keywords FROM b)
+b AS (SELECT *, upper(coalesce(nullif(regexp_extract(low, '\b(?:article|art\.?)\s*(\d+{letter}?)\b', 1), ''), nullif(regexp_extract(low, '\b(\d+{letter}?)\s*(?:of|from|in)\s*(?:the\s*)?(?:commercial\s*)?code\b', 1), ''), nullif(regexp_extract(low, '^(\d+{letter}?)$', 1), ''))) AS article_num, {_HINT} AS doc_hint, {' OR '.join(_sql_any('low', n) for _, n in R.EXPLICIT_HINTS)} AS doc_hint_explicit FROM a),
+c AS (SELECT *, CASE WHEN article_num IS NULL THEN 'general' ELSE 'article_lookup' END AS type, {intent} AS intent, CASE WHEN article_num IS NOT NULL AND doc_hint IS NOT NULL THEN '' ELSE array_to_string(list_filter(list_transform(regexp_split_to_array(low, '\s+'), lambda w: regexp_replace(w, '^[.,?!]+|[.,?!]+$', '', 'g')), lambda w: w <> '' AND NOT list_contains([{', '.join(map(_quoted, R.STOPWORDS))}], w)), ' ') END AS keywords FROM b)
 """
+
+
+ANALYSE_CTE = _analyse_cte(R.INTENTS, "[A-Z]")
+WIDENED_CTE = _analyse_cte(R.WIDENED_INTENTS, "[a-z]")
 ANALYSIS_SQL = f"WITH {ANALYSE_CTE} SELECT query_id, query, type, article_num, doc_hint, doc_hint_explicit, intent, coalesce(CASE intent {' '.join(f'WHEN {_quoted(k)} THEN {_quoted(v)}' for k, v in R.INTENT_LABELS.items())} END, 'General information') AS label, keywords FROM c"
 
 
+def query_analysis_widened(spark, sf_dir):
+    out = Q.analyse(_questions(spark), letters=True, widened=True)
+    terms = F.array_join(Q.synonyms(F.split(F.lower("query"), " ")), "|")
+    return out.select("query_id", "original_query", "type", "article_num", "intent", Q.explicit_document(F.col("doc_hint"), F.col("doc_hint_explicit")).alias("restricted_to"), terms.alias("with_synonyms"))
+
+
+def _synonyms_sql(words: str) -> str:
+    cases = " ".join(f"WHEN {_quoted(w)} THEN [{', '.join(_quoted(x) for o in others for x in o.split(' '))}]" for w, others in R.SYNONYMS.items())
+    return f"flatten(list_transform({words}, lambda w: CASE w {cases} ELSE [] END))"
+
+
+WIDENED_SQL = f"""WITH {WIDENED_CTE}, w AS (SELECT *, string_split(low, ' ') AS ws FROM c), d AS (SELECT *, list_concat(ws, {_synonyms_sql('ws')}) AS l FROM w)
+SELECT query_id, query AS original_query, type, article_num, intent, CASE WHEN doc_hint_explicit AND doc_hint IN ('companies_act', 'code_13') THEN doc_hint END AS restricted_to, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS with_synonyms FROM d"""
+
+
 def query_expansion(spark, sf_dir):
     out = Q.analyse(_questions(spark)).withColumn("expanded", Q.expanded(Q.analyse(_questions(spark))))
     return out.select("query_id", "expanded", F.posexplode(Q.variants(F.col("query"))).alias("variant_no", "variant"))
@@ -270,7 +306,7 @@ SELECT doc_id, round(0.15::DOUBLE * (0.3::DOUBLE * exact::INT + 0.4::DOUBLE * co
 
 # -- lookups, contexts, citations
 def _line_chunks(spark, sf_dir):
-    rows = D.lines(t(spark, sf_dir, "documents"), "doc_id").join(t(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").where("line_no <= 30")
+    rows = D.lines(t(spark, sf_dir, "documents"), "doc_id").join(t(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     return rows.select(F.format_string("%d_%d", "doc_id", "line_no").alias("id"), F.col("source").alias("doc_code"), F.col("line_no").cast("string").alias("article"), F.col("doc_id").alias("chunk_index"))
 
 
@@ -283,7 +319,7 @@ def lookup_tiers(spark, sf_dir):
 
 
 LOOKUP_SQL = f"""
-WITH {LINES_SQL}, k AS (SELECT l.doc_id || '_' || line_no AS id, source AS doc_code, line_no::VARCHAR AS article, l.doc_id AS ci FROM l JOIN documents USING (doc_id) WHERE line_no <= 30),
+WITH {LINES_SQL}, k AS (SELECT l.doc_id || '_' || line_no AS id, source AS doc_code, line_no::VARCHAR AS article, l.doc_id AS ci FROM l JOIN documents USING (doc_id)),
 a(query_id, article_num, doc_hint) AS (VALUES {', '.join(f'({i}, {_quoted(n)}, {_quoted(h) if h else "NULL::VARCHAR"})' for i, n, h in ASKS)}),
 j AS (SELECT *, CASE WHEN doc_hint = doc_code THEN 0 WHEN doc_hint IS NULL AND doc_code = 'src5' THEN 1 WHEN doc_hint IS NULL AND doc_code = 'src2' THEN 2 ELSE 3 END AS tier FROM a JOIN k ON article = article_num),
 b AS (SELECT *, min(tier) OVER (PARTITION BY query_id) AS best FROM j)
@@ -293,11 +329,11 @@ SELECT query_id, id, doc_code, tier, 1.0::DOUBLE AS score, row_number() OVER (PA
 
 def _cited(spark, sf_dir):
     hits = V.nearest(_vector_queries(spark, sf_dir), t(spark, sf_dir, "embeddings"), 12)
-    docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("document"), F.substring("text", 1, 40).alias("content"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("Art. "), (F.col("doc_id") % 4).cast("string"))).alias("citation"), (F.col("doc_id") % 4).cast("string").alias("article"), F.when(F.col("doc_id") % 5 == 0, "x").otherwise((F.col("doc_id") % 2).cast("string")).alias("page"))
+    docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("document"), F.col("text").alias("content"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("Art. "), (F.col("doc_id") % 4).cast("string"))).alias("citation"), (F.col("doc_id") % 4).cast("string").alias("article"), F.when(F.col("doc_id") % 5 == 0, "x").otherwise((F.col("doc_id") % 2).cast("string")).alias("page"))
     return hits.join(docs, "id")
 
 
-_CITED = KNN_SQL.format(where="") + """, h AS (SELECT query_id, rank, source AS document, substr(text, 1, 40) AS content, CASE WHEN doc_id % 3 > 0 THEN 'Art. ' || doc_id % 4 END AS citation, (doc_id % 4)::VARCHAR AS article, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE (doc_id % 2)::VARCHAR END AS page FROM r JOIN documents ON doc_id = id WHERE rank <= 12)"""
+_CITED = KNN_SQL.format(where="") + """, h AS (SELECT query_id, rank, score, source AS document, text AS content, CASE WHEN doc_id % 3 > 0 THEN 'Art. ' || doc_id % 4 END AS citation, (doc_id % 4)::VARCHAR AS article, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE (doc_id % 2)::VARCHAR END AS page FROM r JOIN documents ON doc_id = id WHERE rank <= 12)"""
 
 
 def overview_citations(spark, sf_dir):
@@ -305,11 +341,197 @@ def overview_citations(spark, sf_dir):
 
 
 def context_assembly(spark, sf_dir):
-    return V.contexts(_cited(spark, sf_dir))
+    return V.contexts(_cited(spark, sf_dir)).select("query_id", F.md5(F.col("context").cast("binary")).alias("context_md5"), F.length("context").cast("long").alias("context_chars"), "articles_analyzed")
+
+
+def overviews(spark, sf_dir):
+    """Queries with an even number found something, the others get the answer for nothing found."""
+    queries = _vector_queries(spark, sf_dir).select("query_id", F.concat(F.lit("question "), F.col("query_id").cast("string")).alias("query"), F.lit(None).cast("string").alias("intent"))
+    out = O.overviews(queries, _cited(spark, sf_dir).where("query_id % 2 = 0"))
+    listed = F.array_join(F.transform("citations", lambda c: F.concat_ws("/", c["document"], c["article"], c["page"])), "|")
+    return out.select("query_id", "overview", listed.alias("cited"), F.round("confidence", 6).alias("confidence"), "articles_analyzed")
+
+
+def prompts(spark, sf_dir):
+    out = Q.analyse(_questions(spark))
+    return out.select("query_id", O.instruction(F.col("intent")).alias("instruction"), F.md5(O.prompt(F.col("query"), F.col("intent"), F.lit("[D] Art. 1:\nText.")).cast("binary")).alias("prompt_md5"), O.wanted(F.col("type"), F.col("query_id") % 3).alias("gets_overview"))
 
 
 CITATIONS_SQL = _CITED + " SELECT query_id, document, article, page, arg_min(citation, rank) AS citation, min(rank)::INT AS first_rank FROM (SELECT *, rank AS r0 FROM h) GROUP BY ALL".replace("arg_min(citation, rank)", "(list(citation ORDER BY rank))[1]")
-CONTEXT_SQL = _CITED + """ SELECT query_id, string_agg('[' || coalesce(document, 'Unknown Document') || '] ' || coalesce(citation, 'Article ' || coalesce(article, '?')) || CASE WHEN try_cast(page AS INT) >= 1 THEN ' (Page ' || try_cast(page AS INT) || ')' ELSE '' END || ':' || chr(10) || coalesce(content, ''), chr(10) || chr(10) ORDER BY rank) AS context, count(*)::INT AS articles_analyzed FROM h GROUP BY 1"""
+_INSTRUCTION = f"coalesce(CASE intent {' '.join(f'WHEN {_quoted(k)} THEN {_quoted(v)}' for k, v in R.INSTRUCTIONS.items())} END, {_quoted(R.INSTRUCTION)})"
+PROMPTS_SQL = f"""WITH {ANALYSE_CTE} SELECT query_id, {_INSTRUCTION} AS instruction, md5('Answer from the sources below and from nothing else. If they don''t answer the question, say so.' || chr(10) || chr(10) || 'Question: ' || query || chr(10) || chr(10) || 'Intent: ' || coalesce(intent, 'general information') || chr(10) || chr(10) || 'Sources:' || chr(10) || '[D] Art. 1:' || chr(10) || 'Text.' || chr(10) || chr(10) || {_INSTRUCTION} || ' Name document, article and page of each source you use.') AS prompt_md5, type <> 'article_lookup' AND query_id % 3 > 0 AS gets_overview FROM c"""
+_HEADING = "'[' || coalesce(document, 'Unknown Document') || '] ' || coalesce(citation, 'Article ' || coalesce(article, '?')) || CASE WHEN try_cast(page AS INT) >= 1 THEN ' (Page ' || try_cast(page AS INT) || ')' ELSE '' END"
+OVERVIEWS_SQL = _CITED + rf""", e AS (SELECT *, trim(regexp_replace(coalesce(content, ''), '\s+', ' ', 'g')) AS flat FROM h WHERE query_id % 2 = 0),
+x AS (SELECT query_id, string_agg(coalesce(nullif(regexp_extract(flat, '^(.*?[.!?])(?: |$)', 1), ''), flat) || ' ' || {_HEADING}, chr(10) ORDER BY rank) FILTER (place <= 3) AS overview, count(*)::INT AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM e) GROUP BY 1),
+f AS (SELECT query_id, document, article, page, min(rank) AS first FROM e GROUP BY ALL), l AS (SELECT query_id, string_agg(concat_ws('/', document, article, page), '|' ORDER BY first) AS cited FROM f GROUP BY 1),
+k AS (SELECT query_id, greatest(0.1, least(0.95, avg(score))) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM h) WHERE place <= 3 GROUP BY 1)
+SELECT q.query_id, coalesce(overview, {_quoted(O.NOTHING_FOUND)}) AS overview, coalesce(cited, '') AS cited, round(CASE WHEN n IS NULL THEN 0 ELSE confidence END, 6) AS confidence, coalesce(n, 0)::INT AS articles_analyzed FROM q LEFT JOIN x USING (query_id) LEFT JOIN l USING (query_id) LEFT JOIN k USING (query_id)
+"""
+CONTEXT_SQL = _CITED + """ SELECT query_id, md5(context) AS context_md5, length(context) AS context_chars, articles_analyzed FROM (SELECT query_id, string_agg('[' || coalesce(document, 'Unknown Document') || '] ' || coalesce(citation, 'Article ' || coalesce(article, '?')) || CASE WHEN try_cast(page AS INT) >= 1 THEN ' (Page ' || try_cast(page AS INT) || ')' ELSE '' END || ':' || chr(10) || coalesce(content, ''), chr(10) || chr(10) ORDER BY rank) AS context, count(*)::INT AS articles_analyzed FROM h GROUP BY 1)"""
+
+
+# -- the whole plans, on chunks made of the documents
+DIMS = 32
+
+
+def _search_chunks(spark, sf_dir):
+    code = F.when(F.col("doc_id") % 3 == 0, "companies_act").when(F.col("doc_id") % 3 == 1, "code_13").otherwise(F.col("source"))
+    return t(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), code.alias("doc_code"), (F.col("doc_id") % 50).cast("string").alias("article"), F.col("doc_id").alias("chunk_index"))
+
+
+def _search(spark, sf_dir, mode):
+    chunks, provider = _search_chunks(spark, sf_dir), HashedWords(DIMS)
+    engine = S.SearchEngine(chunks, embed(chunks, "content", provider).select("id", "doc_code", "embedding"), lambda q: embed(q, "query", provider, "vector"), mode)
+    return engine.search(_questions(spark).withColumn("query_id", F.col("query_id").cast("long"))).select("query_id", "id", F.round("score", 6).alias("score"), "rank", "source")
+
+
+def search_semantic(spark, sf_dir):
+    return _search(spark, sf_dir, "semantic")
+
+
+def search_hybrid(spark, sf_dir):
+    return _search(spark, sf_dir, "hybrid")
+
+
+_TERMS_SQL = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: x <> '')"
+
+
+def _hashed_sql(name: str, source: str, key: str, text: str) -> str:
+    """CTEs that end in ``name`` (key, v): the hashed words of a text."""
+    return f"""
+{name}w AS (SELECT {key}, w, count(*) AS n FROM (SELECT {key}, unnest({_TERMS_SQL.format(text)}) AS w FROM {source}) GROUP BY ALL),
+{name}s AS (SELECT {key}, (('0x' || substr(md5(w), 1, 6))::INT) % {DIMS} AS p, sum(CASE WHEN substr(md5(w), 7, 1) < '8' THEN n ELSE -n END) AS x FROM {name}w GROUP BY ALL),
+{name}l AS (SELECT k.{key}, list(coalesce(x, 0)::DOUBLE ORDER BY k.p) AS v FROM (SELECT {key}, p FROM {source}, range({DIMS}) r(p)) k LEFT JOIN {name}s s ON s.{key} = k.{key} AND s.p = k.p GROUP BY 1),
+{name} AS (SELECT {key}, CASE WHEN list_sum(list_transform(v, lambda y: abs(y))) = 0 THEN list_transform(v, lambda y: 1.0::DOUBLE) ELSE v END AS v FROM {name}l)"""
+
+
+def _search_sql(hybrid: bool) -> str:
+    n, most, k = (15, 25, 50) if hybrid else (5, 5, 10)
+    pick = lambda table, key: f"CASE {key} {' '.join(f'WHEN {_quoted(a)} THEN {_quoted(b)}' for a, b in table.items())} END"
+    boost = f"CASE WHEN CASE intent {' '.join(f'WHEN {_quoted(i)} THEN {_sql_any("lower(text)", cues)}' for i, _, cues in R.BOOSTS)} END THEN {pick({i: str(b) for i, b, _ in R.BOOSTS}, 'intent')}::DOUBLE ELSE 0 END"
+    ctes = f"""
+WITH {WIDENED_CTE if hybrid else ANALYSE_CTE},
+ch AS (SELECT doc_id AS id, text, CASE doc_id % 3 WHEN 0 THEN 'companies_act' WHEN 1 THEN 'code_13' ELSE source END AS doc_code, (doc_id % 50)::VARCHAR AS article FROM documents WHERE text IS NOT NULL),
+lo AS (SELECT query_id, id, CASE WHEN doc_hint = doc_code THEN 0 WHEN doc_hint IS NULL AND doc_code = 'companies_act' THEN 1 WHEN doc_hint IS NULL AND doc_code = 'code_13' THEN 2 ELSE 3 END AS tier FROM c JOIN ch ON article = article_num WHERE type = 'article_lookup'),
+lb AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id)::INT AS rank FROM (SELECT *, min(tier) OVER (PARTITION BY query_id) AS best FROM lo) WHERE tier = best),
+g AS (SELECT *, CASE WHEN doc_hint_explicit AND doc_hint IN ('companies_act', 'code_13') THEN doc_hint END AS wanted, concat_ws(' ', query, {pick(R.EXPANSIONS, 'intent')}, nullif(keywords, ''), {pick(R.NUDGES, 'doc_hint')}) AS expanded FROM c WHERE type = 'general'),
+{_hashed_sql('cv', 'ch', 'id', 'text').strip()},
+{_hashed_sql('qv', 'g', 'query_id', 'expanded').strip()},
+se AS (SELECT query_id, ch.id, round(1 / (2 - list_cosine_similarity(cv.v, qv.v)), 12) AS score FROM g JOIN qv USING (query_id), ch JOIN cv USING (id) WHERE wanted IS NULL OR wanted = doc_code),
+sr AS (SELECT query_id, id, score, 'semantic' AS source, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM se QUALIFY rank <= {k})"""
+    if hybrid:
+        ctes += f""",
+gt AS (SELECT query_id, wanted, {_TERMS_SQL.format('query')} AS ws FROM g),
+tq AS (SELECT DISTINCT query_id, wanted, unnest(list_concat(ws, {_synonyms_sql('ws')})) AS term FROM gt),
+tok AS (SELECT id, doc_code, {_TERMS_SQL.format('text')} AS l FROM ch), st AS (SELECT count(*) AS n, avg(len(l)) AS avgdl FROM tok),
+tf AS (SELECT id, doc_code, dl, term, count(*) AS tf FROM (SELECT id, doc_code, len(l) AS dl, unnest(l) AS term FROM tok) WHERE term IN (SELECT term FROM tq) GROUP BY ALL), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+ls AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM tf JOIN dfs USING (term) JOIN tq USING (term), st WHERE wanted IS NULL OR wanted = doc_code GROUP BY ALL),
+lr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM ls QUALIFY rank <= {k}),
+hi AS (SELECT coalesce(s.query_id, l.query_id) AS query_id, coalesce(s.id, l.id) AS id, coalesce(1.0::DOUBLE / (60 + s.rank), 0) + coalesce(1.0::DOUBLE / (60 + l.rank), 0) AS score, CASE WHEN l.rank IS NULL OR s.rank <= l.rank THEN 'semantic' ELSE 'bm25' END AS source FROM sr s FULL JOIN lr l ON s.query_id = l.query_id AND s.id = l.id)"""
+    else:
+        ctes += ",\nhi AS (SELECT query_id, id, score, source FROM sr)"
+    cross, article = "0", "0"
+    if hybrid:
+        ctes += f""",
+bk AS (SELECT hi.*, text, doc_code, article, query, intent, article_num, row_number() OVER (PARTITION BY query_id, doc_code, article ORDER BY score DESC, hi.id) AS p FROM hi JOIN ch USING (id) JOIN g USING (query_id)),
+b0 AS (SELECT * FROM bk WHERE p = 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {most}),
+b1 AS (SELECT *, {_TERMS_SQL.format('text')} AS l, list_distinct({_TERMS_SQL.format('query')}) AS asked FROM b0),
+bt AS (SELECT *, len(list_filter(asked, lambda a: list_contains(l, a))) / len(asked)::DOUBLE AS cov, coalesce(list_max(list_transform(list_filter(range(1, len(l) + 1), lambda i: list_contains(asked, l[i])), lambda i: len(list_filter(asked, lambda a: list_contains(l[i:i + 19], a))))), 0) AS best FROM b1)"""
+        cross = "0.15::DOUBLE * (0.3::DOUBLE * contains(lower(text), lower(query))::INT + 0.4::DOUBLE * cov + 0.3::DOUBLE * CASE WHEN best >= 2 THEN best / len(asked)::DOUBLE ELSE 0 END)"
+    else:
+        ctes += f""",
+bk AS (SELECT hi.*, text, doc_code, article, query, intent, article_num, row_number() OVER (PARTITION BY query_id, doc_code, article ORDER BY score DESC, hi.id) AS p FROM hi JOIN ch USING (id) JOIN g USING (query_id)),
+bt AS (SELECT * FROM bk WHERE p = 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {most})"""
+    return ctes + f""",
+rr AS (SELECT query_id, id, source, greatest(0, least(1, score + {cross} + {boost} + {article})) AS score FROM bt),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM rr),
+cf AS (SELECT query_id, greatest(0.1, least(0.95, avg(score))) AS confidence FROM rk WHERE rank <= 3 GROUP BY 1),
+al AS (SELECT query_id, id, score, rank, source, {0.10 if hybrid else 0.45} AS least FROM rk JOIN cf USING (query_id) WHERE rank <= CASE WHEN confidence < 0.7 THEN {most} ELSE {n} END UNION ALL SELECT query_id, id, 1.0, rank, 'lookup', {0.80 if hybrid else 0.45} FROM lb WHERE rank <= {n})
+SELECT query_id::BIGINT AS query_id, id, round(score, 6) AS score, rank, source FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM al) WHERE top >= least
+"""
+
+
+def _articles(spark, sf_dir):
+    """Every third line of a document is the heading of an article."""
+    lines = F.transform(F.split("text", "\n"), lambda line, i: F.when(i % 3 == 0, F.concat((F.floor(i / 3) + 1).cast("string"), F.lit(". "), line)).otherwise(line))
+    return t(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("stem"), F.array_join(lines, "\n").alias("content"))
+
+
+def segment_articles(spark, sf_dir):
+    rows = D.segment(_articles(spark, sf_dir), "stem")
+    return rows.select("stem", "article", F.md5(F.col("content").cast("binary")).alias("content_md5"), "page", "position", "article_order")
+
+
+ARTICLES_CTE = rf"""{LINES_SQL}, bl AS (SELECT doc_id, ((line_no - 1) // 3)::INT AS block, string_agg(CASE WHEN (line_no - 1) % 3 = 0 THEN ' ' || line ELSE line END, chr(10) ORDER BY line_no) AS body FROM l GROUP BY ALL),
+ar AS (SELECT doc_id::VARCHAR AS stem, (block + 1)::VARCHAR AS article, regexp_replace(regexp_replace(regexp_replace(body, '(?i)---\s*PAGE\s*(\d+)\s*---', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS content, 1 AS page, (block + 1) * 100 AS article_order FROM bl WHERE block < 550),
+ap AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY article_order)::INT AS position FROM ar WHERE content <> '')"""
+SEGMENT_SQL = f"WITH {ARTICLES_CTE} SELECT stem, article, md5(content) AS content_md5, page, position, article_order FROM ap"
+
+
+def build_chunks(spark, sf_dir):
+    """The first plan as a whole: clean, classify, segment, cut, the first of equal ids kept."""
+    files = _articles(spark, sf_dir).withColumn("stem", F.concat(F.lit("604."), F.lpad("stem", 9, "0"), F.lit(" - x")))
+    rows = S.build_chunks(files, 100, 20)
+    return rows.select("id", F.md5(F.col("content").cast("binary")).alias("content_md5"), "article", "chunk_index", "total_chunks", "tokens", "citation", "document", "id_label", "doc_code")
+
+
+def build_report(spark, sf_dir):
+    files = _articles(spark, sf_dir).withColumn("stem", F.concat(F.lit("604."), F.lpad("stem", 9, "0"), F.lit(" - x")))
+    return S.build_report(files, 100, 20)
+
+
+# cleaned lines keep their places: what the clean-up takes away are blank lines and headings, so articles are made of cleaned text
+BUILD_CTE = CLEAN_CTE.format(text="(SELECT string_agg(CASE WHEN (line_no - 1) % 3 = 0 THEN ((line_no - 1) // 3 + 1)::VARCHAR || '. ' || line ELSE line END, chr(10) ORDER BY line_no) FROM (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no))").replace("FROM documents)", "FROM documents WHERE text IS NOT NULL)", 1).rstrip() + r""",
+ln AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS line_no FROM g),
+hd AS (SELECT *, regexp_extract(line, '^[\t  ]*([0-9]{1,4}[A-Z]?)\s*\.(?:\s|$)', 1) AS head FROM ln),
+bk AS (SELECT *, sum((head <> '')::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM hd),
+bl AS (SELECT doc_id, block, max(head) AS head, string_agg(regexp_replace(line, '^[\t  ]*([0-9]{1,4}[A-Z]?)\s*\.(?:\s|$)', ''), chr(10) ORDER BY line_no) AS body FROM bk WHERE block > 0 GROUP BY ALL),
+ar AS (SELECT doc_id, block, ltrim(head, '0') AS article, regexp_extract(head, '[0-9]+')::INT * 100 + CASE WHEN regexp_extract(head, '[A-Z]') = '' THEN 0 ELSE ascii(regexp_extract(head, '[A-Z]')) - 64 END AS v, regexp_replace(regexp_replace(regexp_replace(body, '(?i)---\s*PAGE\s*(\d+)\s*---', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS content FROM bl),
+rs AS (SELECT *, max(v) OVER (PARTITION BY doc_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ar WHERE v BETWEEN 1 AND 55000 AND content <> ''),
+ap AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block)::INT AS position, list_filter(regexp_split_to_array(content, '[ \t\r\n]+'), lambda z: z <> '') AS w FROM rs WHERE before IS NULL OR v > before),
+cn AS (SELECT *, CASE WHEN len(w) <= 100 THEN 1 ELSE ceil((len(w) - 100) / 80.0)::INT + 1 END AS k FROM ap),
+ck AS (SELECT *, unnest(range(k))::INT AS i, lpad(doc_id::VARCHAR, 9, '0') AS no FROM cn),
+ci AS (SELECT *, printf('residential_leases#%s_regulation_%s_p1_pos%d_chunk_%d', no, article, position, i + 1) AS id FROM ck)"""
+BUILD_SQL = BUILD_CTE + " SELECT id, md5(array_to_string(w[i * 80 + 1 : i * 80 + 100], ' ')) AS content_md5, article, i AS chunk_index, k::INT AS total_chunks, len(w[i * 80 + 1 : i * 80 + 100])::INT AS tokens, 'Private Residential Leases Act (Cap. 604) Reg. ' || article AS citation, 'Private Residential Leases Act (Cap. 604)' AS document, 'regulation' AS id_label, 'residential_leases#' || no AS doc_code FROM ci"
+REPORT_SQL = BUILD_CTE + """, pf AS (SELECT '604.' || no || ' - x' AS file, count(*) AS chunks FROM ci GROUP BY 1), pa AS (SELECT '604.' || lpad(doc_id::VARCHAR, 9, '0') || ' - x' AS file, count(*) AS articles, string_agg(article, ',' ORDER BY v) AS article_list FROM ap GROUP BY 1)
+SELECT file, 'Private Residential Leases Act (Cap. 604)' AS document, articles, chunks, article_list, (SELECT count(*) FROM pa) AS total_documents, (SELECT sum(articles)::BIGINT FROM pa) AS total_articles, (SELECT count(DISTINCT id) FROM ci) AS total_chunks FROM pa JOIN pf USING (file)"""
+
+
+# -- smaller steps of the search
+def knn_offset(spark, sf_dir):
+    return V.after(V.nearest(_vector_queries(spark, sf_dir), t(spark, sf_dir, "embeddings"), 20), 10).withColumn("score", F.round("score", 6))
+
+
+def union_of_hits(spark, sf_dir):
+    queries = _vector_queries(spark, sf_dir)
+    every, same = (V.nearest(queries, t(spark, sf_dir, "embeddings"), k, filters=f).withColumn("source", F.lit(n)) for k, f, n in ((10, None, "all"), (10, ("wanted", "label"), "label")))
+    return V.union_hits(every, same).withColumn("score", F.round("score", 6))
+
+
+def keyword_rerank(spark, sf_dir):
+    docs = t(spark, sf_dir, "documents").where("text is not null").select(F.lit(1).alias("query_id"), F.lit("License").alias("query"), F.col("doc_id").alias("id"), "text", ((F.col("doc_id") % 97) / F.lit(100.0)).alias("score"))
+    return V.rerank_by_keyword(docs).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def article_rerank(spark, sf_dir):
+    text = F.concat("text", F.lit(" see Article "), (F.col("doc_id") % 7).cast("string"), F.lit(". Then article 3."))
+    docs = t(spark, sf_dir, "documents").where("text is not null").select(F.lit(1).alias("query_id"), F.lit(None).cast("string").alias("intent"), F.lit("4").alias("article_num"), F.col("doc_id").alias("id"), text.alias("text"), ((F.col("doc_id") % 97) / F.lit(200.0)).alias("score"))
+    return V.rerank_by_intent(docs).where("rank <= 40").select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def hit_cards(spark, sf_dir):
+    card = V.hit_card((F.col("doc_id") % 201) / F.lit(200.0), F.concat(F.lit("Art. "), (F.col("doc_id") % 9).cast("string"), F.lit(", p. 1")), F.col("text"))
+    return t(spark, sf_dir, "documents").where("text is not null").select("doc_id", card.alias("c")).select("doc_id", "c.*")
+
+
+def gate_by_type(spark, sf_dir):
+    hits = _others(V.nearest(_vector_queries(spark, sf_dir), t(spark, sf_dir, "embeddings"), 6), 5)
+    kind = F.when(F.col("query_id") % 2 == 0, "article_lookup").otherwise("general")
+    return V.gate(hits, V.type_threshold(kind, 0.61, 0.5)).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def log_totals(spark, sf_dir):
+    return P.log_totals(t(spark, sf_dir, "conversations").where("role = 'user'"), "text")
 
 
 # -- reports and logs
@@ -370,7 +592,7 @@ def clean_and_chunk(spark, sf_dir):
     return D.first_wins(rows, F.md5(F.col("content").cast("binary")), ["source", "doc_id", "chunk_index"], ["total_chunks"]).withColumnRenamed("key_", "chunk_md5")
 
 
-FLAGSHIP_SQL = CLEAN_SQL.rsplit("SELECT doc_id, md5(x)", 1)[0].rstrip() + r""",
+FLAGSHIP_SQL = CLEAN_CTE.format(text="coalesce(text, '')").rstrip() + r""",
 w AS (SELECT doc_id, source, list_filter(regexp_split_to_array(x, '[ \t\r\n]+'), lambda v: v <> '') AS l FROM g JOIN documents USING (doc_id)),
 n AS (SELECT *, CASE WHEN len(l) <= 100 THEN 1 ELSE ceil((len(l) - 100) / 80.0)::INT + 1 END AS k FROM w),
 ch AS (SELECT *, unnest(range(k))::INT AS i FROM n),
@@ -382,8 +604,8 @@ SQL: dict[str, str] = {
     "knn_cosine_topk": KNN_SQL.format(where="") + "SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 20",
     "knn_filtered": KNN_SQL.format(where="WHERE label = wanted") + "SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 10",
     "knn_dedup_by_label": KNN_SQL.format(where="") + ", b AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) AS k FROM r WHERE rank <= 50) SELECT query_id, id, label, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY b.score DESC, id)::INT AS rank FROM b WHERE k = 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY b.score DESC, id) <= 5",
-    "evidence_gate": KNN_SQL.format(where="WHERE vec_id >= 10") + "SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM r) WHERE rank <= 5 AND top >= 0.605",
-    "adaptive_k": KNN_SQL.format(where="WHERE vec_id >= 10") + ", c AS (SELECT query_id, greatest(0.1, least(0.95, avg(score))) AS confidence FROM r WHERE rank <= 3 GROUP BY 1) SELECT query_id, id, rank::INT AS rank, round(confidence, 6) AS confidence, confidence < 0.61 AS adaptive_retrieval FROM r JOIN c USING (query_id) WHERE rank <= CASE WHEN confidence < 0.61 THEN 25 ELSE 15 END",
+    "evidence_gate": KNN_SQL.format(where="WHERE vec_id <> query_id * 50") + "SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM r) WHERE rank <= 5 AND top >= 0.605",
+    "adaptive_k": KNN_SQL.format(where="WHERE vec_id <> query_id * 50") + ", c AS (SELECT query_id, greatest(0.1, least(0.95, avg(score))) AS confidence FROM r WHERE rank <= 3 GROUP BY 1) SELECT query_id, id, rank::INT AS rank, round(confidence, 6) AS confidence, confidence < 0.61 AS adaptive_retrieval FROM r JOIN c USING (query_id) WHERE rank <= CASE WHEN confidence < 0.61 THEN 25 ELSE 15 END",
     "clean_text": CLEAN_SQL, "token_chunks": TOKEN_CHUNKS_SQL, "chunk_dedup_first_wins": DEDUP_SQL, "line_articles_monotone": MONOTONE_SQL, "page_asof_fill": ASOF_SQL, "next_greater_span": SPAN_SQL,
     "article_value_order": ARTICLE_SQL, "classify_filenames": CLASSIFY_SQL, "query_analysis": ANALYSIS_SQL, "query_expansion": EXPANSION_SQL,
     "bm25_topk": f"WITH {BM25_CTE} SELECT query_id, id, score, rank FROM lex", "rrf_fusion": RRF_SQL, "intent_rerank": RERANK_SQL, "cross_rerank": CROSS_SQL, "lookup_tiers": LOOKUP_SQL,
@@ -400,6 +622,15 @@ SQL: dict[str, str] = {
     "url_filename": r"WITH p AS (SELECT page_id, regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*', ''), '([^/]*)$', 1) AS f FROM pages) SELECT page_id, CASE WHEN f = '' THEN 'document.pdf' WHEN ends_with(lower(f), '.pdf') THEN f ELSE f || '.pdf' END AS file_name FROM p",
     "skip_existing": "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "clean_and_chunk": FLAGSHIP_SQL,
+    "search_semantic": _search_sql(False), "search_hybrid": _search_sql(True), "segment_articles": SEGMENT_SQL, "build_chunks": BUILD_SQL, "build_report": REPORT_SQL,
+    "overviews": OVERVIEWS_SQL, "prompts": PROMPTS_SQL, "query_analysis_widened": WIDENED_SQL,
+    "knn_offset": KNN_SQL.format(where="") + "SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank BETWEEN 11 AND 20",
+    "union_of_hits": KNN_SQL.format(where="") + ", same AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM r WHERE label = wanted), u AS (SELECT query_id, id, score, 'all' AS source FROM r WHERE rank <= 10 UNION ALL SELECT query_id, id, score, 'label' FROM same WHERE k <= 10), m AS (SELECT query_id, id, max(score) AS score, min(source) AS source FROM u GROUP BY 1, 2) SELECT query_id, id, round(score, 6) AS score, source, row_number() OVER (PARTITION BY query_id ORDER BY m.score DESC, id)::INT AS rank FROM m",
+    "keyword_rerank": "SELECT 1 AS query_id, doc_id AS id, round(s, 6) AS score, row_number() OVER (ORDER BY s DESC, doc_id)::INT AS rank FROM (SELECT doc_id, (doc_id % 97) / 100.0::DOUBLE + contains(text, 'License')::INT AS s FROM documents WHERE text IS NOT NULL) QUALIFY rank <= 15",
+    "article_rerank": r"SELECT 1 AS query_id, doc_id AS id, round(s, 6) AS score, row_number() OVER (ORDER BY s DESC, doc_id)::INT AS rank FROM (SELECT doc_id, (doc_id % 97) / 200.0::DOUBLE + CASE WHEN regexp_extract(lower(text || ' see Article ' || doc_id % 7 || '. Then article 3.'), '\barticle\s+(\d+[a-z]?)\b', 1) = '4' THEN 0.1::DOUBLE ELSE 0 END AS s FROM documents WHERE text IS NOT NULL) QUALIFY rank <= 40",
+    "hit_cards": "SELECT doc_id, 'Art. ' || doc_id % 9 AS reference, round_even((doc_id % 201) / 200.0::DOUBLE * 100, 0)::INT || '%' AS match, substr(text, 1, 400) || '...' AS preview FROM documents WHERE text IS NOT NULL",
+    "gate_by_type": KNN_SQL.format(where="WHERE vec_id <> query_id * 50") + "SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM r) WHERE rank <= 5 AND top >= CASE WHEN query_id % 2 = 0 THEN 0.61 ELSE 0.5 END",
+    "log_totals": "SELECT count(text) AS total, count(DISTINCT text) AS n_unique FROM conversations WHERE role = 'user'",
 }
 
 

@@ -59,6 +59,30 @@ INTENTS = [
     ("requirement", ["requirement", "duty", "obligation"]),
     ("temporal", ["when", "time", "deadline", "period"]),
 ]
+# The same with the words that were added later.
+WIDENED_INTENTS = [
+    ("definition", ["what is", "define", "meaning"]),
+    ("procedural", ["how to", "how does", "how do", "steps for", "procedure", "process"]),
+    ("penalty", ["penalty", "penalties", "fine", "punishment", "consequences"]),
+    ("requirement", ["requirement", "duty", "obligation", "obligations", "what must", "what should"]),
+    ("temporal", ["when", "time", "deadline", "period"]),
+]
+# Words and their synonyms. Users add their own.
+SYNONYMS = {
+    "company": ["corporation", "limited liability company", "entity"],
+    "director": ["board member", "officer", "company officer"],
+    "dividend": ["distribution", "payment to shareholders"],
+}
+# What an answer should dwell on, by intent.
+INSTRUCTIONS = {
+    "definition": "Say what the terms mean and what follows from that in law.",
+    "procedural": "Give the steps in their order and what each needs.",
+    "penalty": "Give the penalties and when they fall due.",
+    "requirement": "Give the duties, whom they bind and under which conditions.",
+    "temporal": "Give the periods and deadlines and what starts them.",
+}
+INSTRUCTION = "Give what bears on the question."
+
 # What an intent adds to a query.
 EXPANSIONS = {
     "definition": "definition meaning interpret define term construed means",

@@ -75,4 +75,5 @@ def convert_files(spark: SparkSession, folder: str, parse: Callable[[bytes], str
 
 
 def drop_index(spark: SparkSession, name: str) -> None:
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    """Drop a table; ``name`` may have a database in front, parts are quoted."""
+    spark.sql("DROP TABLE IF EXISTS " + ".".join("`" + part.replace("`", "``") + "`" for part in name.split(".")))
