@@ -8,9 +8,10 @@ meet falls slowly with depth. Nodes branch while they are large; small nodes are
 independent trees are repeated until the wanted recall is reached. Candidates are sifted by the sizes of
 their sets and by the share of equal tokens; every link is confirmed on the full sets of shingles.
 
-Equal sets are one document here. What a large node holds at the last level is a crowd of near
-copies: its members are first compared with two pivots of the node; only members that aren't
-connected by then are compared with the others, in blocks that give links and no pairs.
+Equal sets are one document here. Members of a node are first compared with two pivots of it. Nodes whose
+members are all connected by then are settled, such as crowds of near copies. In the others only members of
+different parts are compared: in small nodes all pairs, in large ones the loose members with all, in
+blocks that give links and no pairs.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .components import connected_components
 
 POSITIONS = 128
 LEAF = 32  # members of a small node
-DEPTH = 6  # the level at which large nodes are taken for crowds
+BELOW = 3  # levels by which large nodes branch further; what is large then is taken for a crowd
 BLOCK = 256  # documents of a block
 FEW = 200_000  # up to so many sets to fetch, their ids are sent to all executors
 BLOCK_SHINGLES = 1 << 19
@@ -105,8 +106,9 @@ def minwise(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def paths(tokens: np.ndarray, trees: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (document, node) of the nodes at level ``depth`` of all trees, for tokens (documents, POSITIONS)."""
+def paths(tokens: np.ndarray, trees: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (document, node, deep node) for tokens (documents, POSITIONS): the nodes at level ``depth`` of all trees, and
+    where each leads ``BELOW`` levels further down, at which nodes choose one position."""
     doc = np.repeat(np.arange(len(tokens)), trees)
     node = np.tile(_mix(np.arange(1, trees + 1, dtype=np.uint64) * _ODD), len(tokens))
     for level in range(depth):
@@ -118,16 +120,11 @@ def paths(tokens: np.ndarray, trees: int, depth: int) -> tuple[np.ndarray, np.nd
         first = _mix(node * _ODD ^ tokens[doc, one])
         second = _mix(node[both] * _ODD ^ tokens[doc[both], two[both]] ^ np.uint64(1))
         doc, node = np.concatenate([doc, doc[both]]), np.concatenate([first, second])
-    return doc, node
-
-
-def _children(node: Column, sketch: Column, level: int) -> Column:
-    """The children of a node that a document goes to, by the tokens of its sketch."""
-    choice = F.xxhash64(node, F.lit(level))
-    one, two = F.pmod(choice, F.lit(POSITIONS)).cast("int"), F.pmod(F.shiftright(choice, 32), F.lit(POSITIONS)).cast("int")
-    child = lambda at, k: F.xxhash64(node, F.lit(k), F.substring(sketch, at + 1, F.lit(1)))
-    second = F.when((F.pmod(F.shiftright(choice, 16), F.lit(4)) == 0) & (one != two), child(two, 2))
-    return F.filter(F.array(child(one, 1), second), lambda x: x.isNotNull())
+    deep = node
+    for level in range(depth, depth + BELOW):
+        one = ((_mix(deep + np.uint64(level)) >> np.uint64(8)) % np.uint64(POSITIONS)).astype(np.int64)
+        deep = _mix(deep * _ODD ^ tokens[doc, one])
+    return doc, node, deep
 
 
 def missed(similarity: float, depth: int) -> float:
@@ -165,15 +162,15 @@ def _set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 def sign(df: DataFrame, id_col: str, text_col: str, width: int, trees: int, depth: int) -> DataFrame:
-    """``(id, n, k1, k2, sketch, nodes)``: the set's size and key, a byte of its token at each position, and its
-    nodes at level ``depth``; nulls for an empty set."""
+    """``(id, n, k1, k2, sketch, nodes, deeps)``: the set's size and key, a byte of its token at each position, its
+    nodes at level ``depth`` and the deep node below each; nulls for an empty set."""
 
     def run(batches):
         for b in batches:
             texts = b.column(1).to_pylist()
             sets = [shingles(t, width) if t else () for t in texts]
             some = [i for i, s in enumerate(sets) if len(s)]
-            keys, sketches, nodes = [(None, None)] * len(sets), [None] * len(sets), [None] * len(sets)
+            keys, sketches, nodes, deeps = [(None, None)] * len(sets), *([None] * len(sets) for _ in range(3))
             n = list(map(len, sets))
             if some:
                 tokens = np.empty((len(some), POSITIONS), dtype=np.uint64)
@@ -182,16 +179,16 @@ def sign(df: DataFrame, id_col: str, text_col: str, width: int, trees: int, dept
                     sets[i] = None
                 small = _mix(tokens).astype(np.uint8)
                 for at in range(0, len(some), 1000):
-                    doc, node = paths(tokens[at : at + 1000], trees, depth)
+                    doc, node, deep = paths(tokens[at : at + 1000], trees, depth)
                     order = np.argsort(doc, kind="stable")
-                    ends = np.cumsum(np.bincount(doc, minlength=len(tokens[at : at + 1000])))
-                    for k, own in enumerate(np.split(node[order].view(np.int64), ends[:-1])):
+                    ends = np.cumsum(np.bincount(doc, minlength=len(tokens[at : at + 1000])))[:-1]
+                    for k, own in enumerate(zip(*(np.split(x[order].view(np.int64), ends) for x in (node, deep)), strict=True)):
                         i = some[at + k]
-                        sketches[i], nodes[i] = small[at + k].tobytes(), own
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array([k[j] for k in keys], pa.int64()) for j in (0, 1)), pa.array(sketches, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], names=["id", "n", "k1", "k2", "sketch", "nodes"])
+                        sketches[i], (nodes[i], deeps[i]) = small[at + k].tobytes(), own
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array([k[j] for k in keys], pa.int64()) for j in (0, 1)), pa.array(sketches, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (nodes, deeps))], names=["id", "n", "k1", "k2", "sketch", "nodes", "deeps"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t_"))
-    return rows.mapInArrow(run, "id long, n long, k1 long, k2 long, sketch binary, nodes array<long>")
+    return rows.mapInArrow(run, "id long, n long, k1 long, k2 long, sketch binary, nodes array<long>, deeps array<long>")
 
 
 def _alike(n: Column, m: Column, percent: int) -> Column:
@@ -297,8 +294,8 @@ def near_duplicates(
 
     ``first`` is the level at which nodes are looked at first (3 up to a million rows, one more for each 32 times as
     many, so that unrelated documents hardly meet), ``trees`` as many as let a pair at exactly ``percent`` miss
-    each other there with a chance of at most ``miss`` (:func:`missed`); where nodes are large and branch further it is
-    higher: with 16 trees 3e-5 at level ``DEPTH``. At that level all members of a large node are compared.
+    each other there with a chance of at most ``miss`` (:func:`missed`); where nodes are large and lead on to deep
+    ones it is higher: with 16 trees 3e-4. All members of a large deep node are compared.
     A text that is null, empty or without words has no shingles and links with nothing; one with fewer than
     ``width`` words has one shingle. Texts with equal sets are linked. Null ids take part as no document:
     0 links, null component. Different texts under one id take part each for itself; rows that repeat an id
@@ -309,33 +306,27 @@ def near_duplicates(
     trees = trees or math.ceil(math.log(miss) / math.log(missed(min(percent, 99) / 100, first)))
     with Scratch(df.sparkSession, "near-documents") as tmp:
         signed = tmp(sign(df, id_col, text_col, width, trees, first), "signed", keep=True)
-        groups = signed.where("k1 is not null and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes"))
+        groups = signed.where("k1 is not null and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes"), F.first("deeps").alias("deeps"))
         groups = tmp(groups.withColumn("gid", F.monotonically_increasing_id()), "groups")
-
         some = lambda df: df.limit(1).count() > 0
-        # level by level: nodes with two or more members, their size and their pivots; large ones go on
-        members = groups.select("gid", "n", F.explode("nodes").alias("node"))
-        leaves, stars = [], []
-        for level in range(first, DEPTH + 1):
+
+        # nodes with two or more members, their size and their pivots; large ones lead on to deep ones. Candidates are
+        # pairs of a member and a pivot
+        members = groups.select("gid", "n", F.explode(F.arrays_zip("nodes", "deeps")).alias("p")).select("gid", "n", F.col("p.nodes").alias("node"), F.col("p.deeps").alias("deep"))
+        stars, leaves = [], []
+        for level in (0, 1):
             nodes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("gid", "n")).alias("low"), F.max(F.struct("gid", "n")).alias("high")).where("low.gid < high.gid")
-            met = tmp(members.join(nodes, "node").select("node", "gid", "n", "size", "low", "high"), f"met-{level}")
+            met = tmp(members.join(nodes, "node"), f"met-{level}")
             for pivot in ("low", "high"):
                 alike = (F.col(f"{pivot}.gid") != F.col("gid")) & _alike(F.col("n"), F.col(f"{pivot}.n"), percent)
                 stars.append(met.where(alike).select(F.col(f"{pivot}.gid").alias("pivot"), "gid", "size"))
-            large = met.where(F.col("size") > LEAF)
-            go_on = level < DEPTH and some(large)
-            here = met.where(F.col("size") <= LEAF) if go_on else met
-            leaves.append(here.select(F.struct(F.lit(level).alias("level"), "node").alias("node"), "gid", "n", "size"))
-            if not go_on:
-                break
-            deeper = large.select("gid", "n", "node").join(groups.select("gid", "sketch"), "gid")
-            members = deeper.select("gid", "n", F.explode(_children(F.col("node"), F.col("sketch"), level)).alias("node"))
+            leaves.append(met.where(F.lit(level == 1) | (F.col("size") <= LEAF)).select(F.struct(F.lit(level).alias("level"), "node").alias("node"), "gid", "n", "size"))
+            members = met.where(F.col("size") > LEAF).select("gid", "n", F.col("deep").alias("node")) if level == 0 else None
         pairs = functools.reduce(DataFrame.union, stars).select(F.least("pivot", "gid").alias("a_"), F.greatest("pivot", "gid").alias("b_"), "pivot", "size")
         pairs = pairs.groupBy("a_", "b_").agg(F.min("pivot").alias("a"), F.max("size").alias("size"))
         # a pivot has no more partners from a node than the node has members: they are dealt out by its size
         block = F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / BLOCK))
         pairs = pairs.select("a", F.when(F.col("a") == F.col("a_"), F.col("b_")).otherwise(F.col("a_")).alias("b"), "size").select("a", "b", block.alias("block"))
-        leaves = functools.reduce(DataFrame.union, leaves)
         pairs = tmp(_promising(pairs, groups, percent), "pivot-pairs")
 
         def sets_of(gids: DataFrame, name: str) -> DataFrame:
@@ -345,31 +336,31 @@ def near_duplicates(
         ends = lambda pairs: pairs.select(F.col("a").alias("gid")).union(pairs.select("b"))
         parts = tmp(connected_components(_verify(pairs, sets_of(ends(pairs), "pivot-sets"), percent), tmp), "pivot-parts")
 
-        # nodes whose members aren't all connected yet
-        placed = leaves.join(parts.withColumnRenamed("id", "gid"), "gid", "left").withColumn("part", F.coalesce("component", "gid")).drop("component")
+        # nodes whose members aren't all connected yet; a member of another part than the lowest one's is loose
+        placed = functools.reduce(DataFrame.union, leaves).join(parts.withColumnRenamed("id", "gid"), "gid", "left").withColumn("part", F.coalesce("component", "gid")).drop("component")
         placed = tmp(placed, "placed")
-        mixed = placed.groupBy("node").agg(F.min("part").alias("main"), F.max("part").alias("most")).where("main < most").select("node", "main")
-        loose = tmp(placed.join(mixed, "node"), "unsettled")
-        small = loose.where(F.col("size") <= LEAF)
+        mixed = placed.groupBy("node").agg(F.min(F.struct("gid", "part"))["part"].alias("main"), F.min("part").alias("least"), F.max("part").alias("most")).where("least < most")
+        unsettled = tmp(placed.join(mixed.select("node", "main"), "node"), "unsettled")
+        small, large = unsettled.where(F.col("size") <= LEAF), unsettled.where(F.col("size") > LEAF)
+        is_loose = F.col("part") != F.col("main")
         more = small.alias("x").join(small.alias("y"), "node").where(F.expr("x.gid < y.gid and x.part <> y.part") & _alike(F.col("x.n"), F.col("y.n"), percent))
         more = more.select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b"), F.lit(0).cast("long").alias("block")).distinct()
         more = tmp(_promising(more, groups, percent), "leaf-pairs")
 
-        # large nodes: members outside the node's main part against all, in blocks
-        large = loose.where(F.col("size") > LEAF)
+        # large nodes: loose members against all, in blocks
         further = []
         if some(more) or some(large):
             sets = sets_of(ends(more).union(large.select("gid")), "leaf-sets")
             further.append(_verify(more, sets, percent))
         if some(large):
-            is_loose = F.col("part") != F.col("main")
             count = lambda docs, shingles: F.greatest(F.ceil(docs / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("long")
-            sizes = large.groupBy("node").agg(count(F.sum(is_loose.cast("long")), F.sum(F.when(is_loose, F.col("n")))).alias("l_"), count(F.count(F.lit(1)), F.sum("n")).alias("m_"))
-            large = tmp(large.join(sizes, "node").withColumn("h_", F.xxhash64("gid")), "large-blocks")
-            as_loose = large.where(is_loose).select("node", "gid", "part", F.lit(True).alias("loose"), F.pmod("h_", "l_").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("m_") - 1)).alias("j"))
-            as_other = large.select("node", "gid", "part", F.lit(False).alias("loose"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("l_") - 1)).alias("i"), F.pmod("h_", "m_").alias("j"))
+            key = ["node"]
+            sizes = large.groupBy(*key).agg(count(F.sum(is_loose.cast("long")), F.sum(F.when(is_loose, F.col("n")))).alias("l_"), count(F.count(F.lit(1)), F.sum("n")).alias("m_"))
+            large = tmp(large.join(sizes, key).withColumn("h_", F.xxhash64("gid")), "large-blocks")
+            as_loose = large.where(is_loose).select(*key, "gid", "part", F.lit(True).alias("loose"), F.pmod("h_", "l_").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("m_") - 1)).alias("j"))
+            as_other = large.select(*key, "gid", "part", F.lit(False).alias("loose"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("l_") - 1)).alias("i"), F.pmod("h_", "m_").alias("j"))
             blocks = as_loose.union(as_other).join(sets, "gid")
-            further.append(blocks.groupBy("node", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, percent), "a long, b long"))
+            further.append(blocks.groupBy(*key, "i", "j").applyInPandas(lambda pdf: _block_links(pdf, percent), "a long, b long"))
 
         # what is connected already goes in as stars
         if further:

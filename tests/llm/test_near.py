@@ -44,13 +44,16 @@ def crowd_rows(rng, groups=10, crowd=90):
     return rows
 
 
-def test_documents_with_repeated_ids_and_crowds(spark):
+def test_documents_with_repeated_ids_and_crowds(spark, monkeypatch):
     rng = random.Random(9)
     a, b = ("one two three four five six seven eight nine ten " * 3 + x for x in ("a", "b c d e f g h i j k l m"))
     rows = crowd_rows(rng) + [(1001, a), (1001, b), (1002, a + " "), (1003, b + " ."), (None, a), (None, a), (1004, None), (1005, ""), (1006, "word"), (1007, "WORD"), (1008, "long " + " ".join(f"v{k}" for k in range(30_000))), (1009, "longer " + " ".join(f"v{k}" for k in range(30_000)))]
     frame = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, node string, size int")
     want = sorted(brute_documents(rows, 2, 80), key=str)
-    for more in ({}, {"first": 1, "trees": 16}):  # the second looks at large nodes, down to the last level
+    for more in ({}, {"first": 1, "trees": 24}):
+        if more:  # nearly all nodes are large and lead on to deep ones; crowds are compared in many blocks
+            monkeypatch.setattr(minhash_join, "LEAF", 6)
+            monkeypatch.setattr(minhash_join, "BLOCK", 20)
         got = minhash_join.near_duplicates(frame, width=2, **more).collect()
         assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == want
         assert all(r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"]) for r in got)
@@ -66,7 +69,7 @@ def test_chances_to_miss():
         a, b = np.sort(s[:90]), np.sort(np.concatenate([s[:80], s[90:]]))
         tokens = np.stack([minhash_join.minwise(a), minhash_join.minwise(b)])
         agree.append((tokens[0] == tokens[1]).sum())
-        doc, node = minhash_join.paths(tokens, 1, 3)
+        doc, node, _ = minhash_join.paths(tokens, 1, 3)
         met += bool(set(node[doc == 0].tolist()) & set(node[doc == 1].tolist()))
     assert 0.57 < met / 400 < 0.72 and min(agree) >= 75 and abs(np.mean(agree) - 102.4) < 2
 
