@@ -355,6 +355,10 @@ def near_duplicates(
         if some(large):
             count = lambda docs, shingles: F.greatest(F.ceil(docs / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("long")
             key = ["node"]
+            # trees meet the same crowd again and again: nodes with the same main part and the same loose members are one
+            own = lambda f: f(F.when(is_loose, F.xxhash64("gid")))
+            same = large.groupBy("node").agg(own(F.bit_xor).alias("x"), own(lambda c: F.sum(F.pmod(c, F.lit(1 << 40)))).alias("s"))
+            large = large.join(same, "node").select(F.struct("main", "x", "s").alias("node"), "gid", "n", "part", "main").distinct()
             sizes = large.groupBy(*key).agg(count(F.sum(is_loose.cast("long")), F.sum(F.when(is_loose, F.col("n")))).alias("l_"), count(F.count(F.lit(1)), F.sum("n")).alias("m_"))
             large = tmp(large.join(sizes, key).withColumn("h_", F.xxhash64("gid")), "large-blocks")
             as_loose = large.where(is_loose).select(*key, "gid", "part", F.lit(True).alias("loose"), F.pmod("h_", "l_").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("m_") - 1)).alias("j"))
