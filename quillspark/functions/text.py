@@ -55,6 +55,15 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, "[ \t\r\n]+"), lambda w: w != "")
 
 
+def pieces(c: Column) -> Column:
+    """The words of a text, each with the ASCII blanks behind it and the first with those in front: joined they are the text.
+    A text of blanks only is one piece, an empty one has none."""
+    parts = F.split(c, "(?<=[ \\t\\r\\n])(?=[^ \\t\\r\\n])")
+    leads = c.rlike("^[ \\t\\r\\n]") & (F.size(parts) > 1)
+    joined = F.concat(F.array(F.concat(parts[0], F.get(parts, F.lit(1)))), F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0))))
+    return F.when(leads, joined).otherwise(F.filter(parts, lambda p: p != ""))
+
+
 def terms(c: Column) -> Column:
     """Lower-cased runs of ASCII letters and digits."""
     return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")

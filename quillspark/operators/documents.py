@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import registry as R
-from ..functions.text import PAGE_MARKER, article_id, article_value, clean_article, words
+from ..functions.text import PAGE_MARKER, article_id, article_value, clean_article, pieces
 
 
 def classify(files: DataFrame, stem: str = "stem", chapters: DataFrame | None = None, overviews: DataFrame | None = None) -> DataFrame:
@@ -131,15 +131,37 @@ def token_windows(docs: DataFrame, keys: list[str], tokens: Column, size: int =
     return rows.select(*keys, F.posexplode(windows).alias("chunk_index", "chunk_tokens"), "total_chunks", "total_chunks_ref")
 
 
-def chunk_documents(articles: DataFrame, size: int = 3000, overlap: int = 200, tokens: Callable[[Column], Column] = words, joined: Callable[[Column], Column] | None = None) -> DataFrame:
+def text_windows(docs: DataFrame, keys: list[str], text: str, size: int = 3000, overlap: int = 200, tokens: Callable[[Column], Column] = pieces) -> DataFrame:
+    """Windows like those of :func:`token_windows` that keep the text: adds ``chunk_index``, ``total_chunks``, ``tokens``, ``content``,
+    which is what stands from ``char_start`` (from 0) up to ``char_end`` in the text, and ``own_end``, where the next
+    window begins: texts up to ``own_end`` joined are the whole text. ``tokens`` makes an array that joined gives the text.
+    A null text is empty; an empty text has one empty window."""
+    step = size - overlap
+    n = F.size("pieces_")
+    rows = docs.withColumn("pieces_", tokens(F.coalesce(F.col(text), F.lit("")))).withColumn("total_chunks", F.when(n <= size, 1).otherwise(F.ceil((n - size) / step).cast("int") + 1))
+    places = F.sequence(F.lit(0), F.col("total_chunks") - 1)
+    cut = lambda i, n: F.array_join(F.slice("pieces_", i * step + 1, n), "")
+    own = F.transform(places, lambda i: F.length(cut(i, F.when(i + 1 < F.col("total_chunks"), step).otherwise(size))))
+    rows = rows.withColumn("edges_", F.aggregate(own, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))))
+    windows = F.transform(places, lambda i: F.struct(
+        i.alias("chunk_index"), F.size(F.slice("pieces_", i * step + 1, F.lit(size))).alias("tokens"), cut(i, F.lit(size)).alias("content"),
+        F.get("edges_", i).alias("char_start"), F.get("edges_", i + 1).alias("own_end")))
+    out = rows.select(*keys, "total_chunks", F.inline(windows))
+    return out.withColumn("char_end", F.col("char_start") + F.length("content"))
+
+
+def chunk_documents(articles: DataFrame, size: int = 3000, overlap: int = 200, tokens: Callable[[Column], Column] = pieces, joined: Callable[[Column], Column] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Chunks of classified articles, with id and citation. ``tokens`` makes an array of tokens of a text and ``joined``
-    a text of tokens; a tokenizer's encode and decode fit there as vectorised functions."""
+    a text of tokens; a tokenizer's encode and decode fit there as vectorised functions. The ones given here are words
+    with the blanks behind them, so a chunk is a part of its article as it stands."""
     rows = token_windows(articles, [c for c in articles.columns if c != "content"], tokens(F.col("content")), size, overlap)
-    joined = joined or (lambda c: F.array_join(c, " "))
+    joined = joined or (lambda c: F.array_join(c, ""))
+    # files of one chapter share code and article: the chapter's number behind the dot keeps their ids apart
+    chapter = F.nullif(F.regexp_extract("stem", r"^\d+\.(\d+)", 1), F.lit("")) if "stem" in rows.columns else F.lit(None).cast("string")
     return rows.select(
-        F.format_string("%s_%s_%s_p%d_pos%d_chunk_%d", "doc_code", "id_label", "article", "page", "position", F.col("chunk_index") + 1).alias("id"),
+        F.format_string("%s_%s_%s_p%d_pos%d_chunk_%d", F.concat_ws("#", "doc_code", chapter), "id_label", "article", "page", "position", F.col("chunk_index") + 1).alias("id"),
         joined(F.col("chunk_tokens")).alias("content"), "article", "page", "position", "chunk_index", "total_chunks", F.size("chunk_tokens").alias("tokens"),
-        F.concat_ws(" ", "citation_prefix", "citation_label", "article").alias("citation"), F.col("citation_prefix").alias("document"), "id_label", "doc_code", "doc_overview")
+        F.concat_ws(" ", "citation_prefix", "citation_label", "article").alias("citation"), F.col("citation_prefix").alias("document"), "id_label", "doc_code", "doc_overview", *keep)
 
 
 def first_wins(rows: DataFrame, key: Column, order: list[str], keep: list[str]) -> DataFrame:

@@ -1,6 +1,6 @@
 """Text embedding by an exchangeable provider, in batches on the executors.
 
-A provider is a function of a list of texts that gives a matrix with a row for each. :class:`HashedWords` needs no
+A provider is a function of a list of texts that gives a matrix with a row for each, or pairs of a text's index and its vector. :class:`HashedWords` needs no
 model: it is for plumbing and tests, not for relevance.
 """
 
@@ -9,7 +9,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -42,15 +44,58 @@ class HashedWords:
         return out
 
 
-def embed(df: DataFrame, text_col: str, provider: Callable[[list[str]], np.ndarray], out: str = "embedding", batch: int = 64) -> DataFrame:
-    """``df`` with the column ``out``; the provider is called with at most ``batch`` texts, null ones as empty."""
-    schema = T.StructType([*df.schema, T.StructField(out, T.ArrayType(T.DoubleType()))])
+class Incomplete(ValueError):
+    """A provider's answer that doesn't hold a vector for each text."""
+
+
+def in_order(answer, n: int) -> list[np.ndarray]:
+    """The vectors of an answer for ``n`` texts: rows in order, or pairs of a text's index and its vector in any order."""
+    rows = list(answer)
+    if rows and isinstance(rows[0], tuple):
+        if sorted(i for i, _ in rows) != list(range(n)):
+            raise Incomplete(f"indexes {sorted(i for i, _ in rows)[:5]}... for {n} texts")
+        rows = [v for _, v in sorted(rows, key=lambda r: r[0])]
+    if len(rows) != n:
+        raise Incomplete(f"{len(rows)} vectors for {n} texts")
+    return [np.asarray(v, dtype=np.float64) for v in rows]
+
+
+def _ask(provider: Callable, texts: list[str], attempts: int, wait: float) -> list[tuple[np.ndarray | None, str | None]]:
+    """``(vector, error)`` of each text. A batch that fails at all attempts, each after twice the wait of the one before, is
+    halved until the texts that it fails on stand alone; those are asked for once more."""
+    for turn in range(attempts):
+        try:
+            return [(v, None) for v in in_order(provider(texts), len(texts))]
+        except Exception as e:  # noqa: BLE001  any failure of a service
+            error = f"{type(e).__name__}: {e}"
+            if turn + 1 < attempts:
+                time.sleep(wait * 2**turn)
+    if len(texts) == 1:
+        return [(None, error)]
+    half = len(texts) // 2
+    return [*_ask(provider, texts[:half], 1, 0), *_ask(provider, texts[half:], 1, 0)]
+
+
+def embed(
+    df: DataFrame, text_col: str, provider: Callable[[list[str]], np.ndarray], out: str = "embedding", batch: int = 64,
+    attempts: int = 1, wait: float = 0.5, concurrency: int = 1, error: str | None = None,
+) -> DataFrame:
+    """``df`` with the column ``out``; the provider is called with at most ``batch`` texts, null ones as empty.
+
+    A call that raises, or whose answer lacks a vector, is tried ``attempts`` times, with growing waits from ``wait`` seconds on. At most
+    ``concurrency`` calls of a task run at a time. With ``error`` a text that still fails has a null vector and the
+    reason in a column of this name; without, it fails the job."""
+    added = [T.StructField(out, T.ArrayType(T.DoubleType())), *([T.StructField(error, T.StringType())] if error else [])]
 
     def run(batches):
-        for b in batches:
-            texts = [t or "" for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
-            parts = [provider(texts[k : k + batch]) for k in range(0, len(texts), batch)]
-            vectors = [x for part in parts for x in np.asarray(part, dtype=np.float64)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float64()))], names=[*b.schema.names, out])
+        with ThreadPoolExecutor(max_workers=concurrency) as pool:
+            for b in batches:
+                texts = [t or "" for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
+                calls = [texts[k : k + batch] for k in range(0, len(texts), batch)]
+                answers = [x for part in pool.map(lambda c: _ask(provider, c, attempts, wait), calls) for x in part]
+                if not error and (why := next((e for _, e in answers if e), None)):
+                    raise RuntimeError(f"no embedding: {why}")
+                columns = [pa.array([v for v, _ in answers], pa.list_(pa.float64())), *([pa.array([e for _, e in answers], pa.string())] if error else [])]
+                yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*b.schema.names, *(f.name for f in added)])
 
-    return df.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return df.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, T.StructType([*df.withColumn(text_col, F.col(text_col).cast("string")).schema, *added]))

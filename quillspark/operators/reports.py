@@ -61,13 +61,17 @@ def log_totals(logs: DataFrame, message: str = "message") -> DataFrame:
     return logs.agg(F.count(message).alias("total"), F.count_distinct(message).alias("n_unique"))
 
 
-def build_report(articles: DataFrame, chunks: DataFrame, file: str = "stem") -> DataFrame:
+def build_report(articles: DataFrame, chunks: DataFrame, file: str = "stem", files: DataFrame | None = None) -> DataFrame:
     """``(file, document, articles, chunks, article_list, total_documents, total_articles, total_chunks)``: a row for each
     file with its articles in order and its chunks before equal ids are merged, and the totals, chunks after that.
 
-    ``articles``: (file, document, article, article_order, position); ``chunks``: (file, id). Files without articles have no row."""
+    ``articles``: (file, document or citation_prefix, article, article_order, position); ``chunks``: (file, id). ``files``: (file, document)
+    lists all files; those without articles have a row with zeros then, and count as documents."""
+    document = "document" if "document" in articles.columns else "citation_prefix"
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("article_order", "position", "article"))), lambda x: x["article"]), ",")
-    per_file = articles.groupBy(F.col(file).alias("file")).agg(F.min("document").alias("document"), F.count(F.lit(1)).alias("articles"), listed.alias("article_list"))
+    per_file = articles.groupBy(F.col(file).alias("file")).agg(F.min(document).alias("document"), F.count(F.lit(1)).alias("articles"), listed.alias("article_list"))
+    if files is not None:
+        per_file = files.select(F.col(file).alias("file"), "document").join(per_file.drop("document"), "file", "left").na.fill(0, ["articles"]).na.fill("", ["article_list"])
     per_file = per_file.join(chunks.groupBy(F.col(file).alias("file")).agg(F.count(F.lit(1)).alias("chunks")), "file", "left").na.fill(0, ["chunks"])
-    totals = per_file.agg(F.count(F.lit(1)).alias("total_documents"), F.sum("articles").alias("total_articles")).crossJoin(chunks.agg(F.count_distinct("id").alias("total_chunks")))
+    totals = per_file.agg(F.count(F.lit(1)).alias("total_documents"), F.coalesce(F.sum("articles"), F.lit(0)).alias("total_articles")).crossJoin(chunks.agg(F.count_distinct("id").alias("total_chunks")))
     return per_file.select("file", "document", "articles", "chunks", "article_list").crossJoin(F.broadcast(totals))

@@ -1,7 +1,7 @@
 """Nearest neighbours, BM25, fusion, re-ranking, gates and lookups over tables of queries.
 
-Queries are a table. Where they are sent to all executors their number is checked first
-(``most_queries``); beyond that they go in blocks of that size, each block with a pass of its own.
+Queries are a table. Where they, or their terms, are sent to all executors their number is checked first;
+beyond that they are dealt out in blocks or joined.
 """
 
 from __future__ import annotations
@@ -10,17 +10,16 @@ import functools
 import re
 from collections import Counter
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.query_text import article_boost, intent_boost
 from ..functions.text import terms
+from .vectors import MOST_QUERIES, approximate_nearest, nearest, ranked  # noqa: F401
 
-MOST_QUERIES = 10_000
-QUERY_BLOCK = 256
 _TERM = re.compile("[a-z0-9]+")
 
 
@@ -30,91 +29,6 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def _best(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of hits (query row, score, id) the first ``k`` of each row, best score first, ties by id."""
-    order = np.lexsort((ids, -scores, rows))
-    rows = rows[order]
-    begin = np.searchsorted(rows, rows)
-    keep = np.arange(len(rows)) - begin < k
-    return rows[keep], scores[order][keep], ids[order][keep]
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    """A column of equally long lists as a matrix."""
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return values.reshape(len(column), -1)
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-
-
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", filters: tuple[str, str] | None = None, most_queries: int = MOST_QUERIES) -> DataFrame:
-    """``(query_id, id, score, rank)``: the ``k`` best by ``1 / (1 + cosine distance)``, ties by id.
-
-    ``queries``: (query_id, vector). Each Arrow batch of vectors is multiplied with blocks of queries, and a task
-    holds and gives its best ``k`` for each query only, so what is shuffled grows neither with the vectors' width
-    nor with their number in a task. ``filters = (query column, vector column)`` restricts to rows with equal
-    values; a null in the query column restricts nothing. Vectors have one length; null ones are passed over."""
-    columns = ["query_id", "vector", *([filters[0]] if filters else [])]
-    rows = queries.select(*columns).limit(most_queries + 1).collect()
-    if len(rows) > most_queries:
-        n = -(-2 * queries.count() // most_queries)  # blocks of about half the bound
-        block = lambda i: queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
-        return functools.reduce(DataFrame.union, (nearest(block(i), vectors, k, id_col, vector_col, filters, most_queries) for i in range(n)))
-    q = _unit(np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1)) if rows else np.zeros((0, 1))
-    ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-    wanted = np.array([r[filters[0]] for r in rows], dtype=object) if filters else None
-
-    def run(batches):
-        held = np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64)
-        for b in batches:
-            if not b.num_rows or not len(q):
-                continue
-            x, own = _unit(_matrix(b.column(1))).T, b.column(0).to_numpy()
-            kind = np.array(b.column(2).to_pylist(), dtype=object) if filters else None
-            for at in range(0, len(q), QUERY_BLOCK):
-                s = np.round(1 / (2 - q[at : at + QUERY_BLOCK] @ x), 12)  # so that equal vectors tie
-                if filters:
-                    mine = wanted[at : at + QUERY_BLOCK, None]
-                    s = np.where((mine == kind[None, :]) | np.equal(mine, None), s, -1.0)
-                # all that reach the k-th best of their row, ties included
-                least = np.partition(s, len(own) - k, axis=1)[:, len(own) - k, None] if len(own) > k else -0.5
-                i, j = np.nonzero((s >= least) & (s >= 0))
-                held = tuple(np.concatenate(p) for p in zip(held, (i + at, s[i, j], own[j]), strict=True))
-            held = _best(*held, k)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[2]), pa.array(held[1])], names=["query_id", "id", "score"])
-
-    source = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long"), vector_col, *([filters[1]] if filters else []))
-    return ranked(source.mapInArrow(run, "query_id long, id long, score double"), k)
-
-
-def approximate_nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", bucket: float = 0.5, tables: int = 8, least_cosine: float = 0.0, seed: int = 1) -> DataFrame:
-    """``(query_id, id, score, rank)`` like :func:`nearest`, for tables of queries as large as those of vectors: only
-    pairs that share a bucket of random projections of the unit vectors, and have a cosine of at least
-    ``least_cosine``, are compared. Every row is indexed; there is nothing to fit but the random directions.
-    Narrower buckets compare less and find less: measure the recall against :func:`nearest`."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(df: DataFrame, key: str, column: str) -> DataFrame:
-        x = F.col(column).cast("array<double>")
-        norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
-        return df.where(F.col(column).isNotNull()).select(F.col(key).alias("key"), array_to_vector(F.transform(x, lambda v: v / norm)).alias("unit"))
-
-    index = unit(vectors, id_col, vector_col)
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(index)
-    # of unit vectors the squared distance is twice the cosine distance
-    near = model.approxSimilarityJoin(unit(queries, "query_id", "vector"), index, float(np.sqrt(2 * (1 - least_cosine))) + 1e-9, "d")
-    return ranked(near.select(F.col("datasetA.key").alias("query_id"), F.col("datasetB.key").cast("long").alias("id"), (1 / (1 + F.col("d") * F.col("d") / 2)).alias("score")), k)
-
-
-def ranked(hits: DataFrame, k: int | None = None, by: str = "query_id", score: str = "score", tie: str = "id") -> DataFrame:
-    """Adds ``rank`` from 1 (best score first, ties by id) and keeps the first ``k``."""
-    out = hits.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), tie)))
-    return out.where(F.col("rank") <= k) if k else out
-
-
 def best_of_key(hits: DataFrame, key: str, n: int) -> DataFrame:
     """The best hit of each key, then the first ``n`` of each query."""
     first = hits.withColumn("k_", F.row_number().over(Window.partitionBy("query_id", key).orderBy(F.desc("score"), "id"))).where("k_ = 1").drop("k_", "rank")
@@ -125,67 +39,66 @@ def bm25(
     docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text",
     filters: tuple[str, str] | None = None, most_terms: int = MOST_QUERIES,
 ) -> DataFrame:
-    """``(query_id, id, score, rank)`` under BM25. ``queries``: (query_id, terms); a term asked twice counts twice.
-
-    One pass counts documents, their lengths and the documents of each asked term; a second one scores, inside
-    a document's row, and only hits leave it. Both send the asked terms to the executors after checking their
-    number; more than ``most_terms`` are joined instead. ``filters`` as in :func:`nearest`."""
-    extra = [filters[0]] if filters else []
-    asks = queries.select("query_id", *extra, F.explode("terms").alias("term")).groupBy("query_id", *extra, "term").agg(F.count(F.lit(1)).alias("times"))
-    asked = asks.limit(most_terms + 1).collect()
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text_"), *([F.col(filters[1]).alias("kind_")] if filters else []))
-    if len(asked) > most_terms:
-        return _bm25_by_join(rows, asks, k, k1, b, filters)
-    wanted: dict[str, list[tuple]] = {}  # term: queries that ask for it, how often, and what they are restricted to
-    for r in asked:
-        wanted.setdefault(r["term"], []).append((r["query_id"], r["times"], r[filters[0]] if filters else None))
-
-    def count(batches):
+    """``(query_id, id, score, rank)`` under BM25. ``queries``: (query_id, terms); a term asked twice counts twice. Ids are
+    unique, may be of any type and keep it; rows with a null id or text are no documents.
+
+    Texts are read in one pass, which counts the asked terms in each document and documents and their lengths per batch;
+    only these counts are shuffled, and weights and scores come from them. The asked terms are sent to the executors after
+    checking their number; more than ``most_terms`` are joined instead. ``filters`` as in :func:`nearest`."""
+    asks = queries.select("query_id", (F.col(filters[0]) if filters else F.lit(None)).cast("string").alias("wanted"), F.explode("terms").alias("term"))
+    asks = asks.groupBy("query_id", "wanted", "term").agg(F.count(F.lit(1)).alias("times"))
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(filters[1]) if filters else F.lit(None)).cast("string").alias("kind"), F.col(text_col).alias("text"))
+    asked = asks.select("term").distinct().limit(most_terms + 1).collect()
+    counts = _count_terms(rows, {r["term"] for r in asked}) if len(asked) <= most_terms else _count_joined_terms(rows, asks)
+    counts = counts.repartition("term", "id")  # an exchange that both uses below read
+    totals = counts.where("id is null").agg(F.sum("tf").alias("n_docs"), F.sum("len").alias("length"))
+    hits = counts.where("id is not null")
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return ranked(score_terms(hits, term_weights(asks, df, totals), k1, b), k)
+
+
+def _count_terms(rows: DataFrame, wanted: set[str]) -> DataFrame:
+    """``(id, kind, term, tf, len)`` of each document and asked term in it; rows without an id hold the number of
+    documents of a batch and their length."""
+
+    def run(batches):
         for batch in batches:
-            found = Counter()
-            length = 0
-            for text in batch.column(1).to_pylist():
+            out, length = [], 0
+            for key, kind, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tokens = _TERM.findall(text.lower())
                 length += len(tokens)
-                found.update(wanted.keys() & set(tokens))
-            terms = ["", *found]  # documents themselves are counted under the empty term
-            yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array([batch.num_rows, *found.values()], pa.int64()), pa.array([length] + [0] * len(found), pa.int64())], names=["term", "n", "length"])
+                out += [(key, kind, t, n, len(tokens)) for t, n in Counter(filter(wanted.__contains__, tokens)).items()]
+            out.append((None, None, None, batch.num_rows, length))
+            types = (batch.schema.field(0).type, pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["id", "kind", "term", "tf", "len"])
 
-    totals = {r[0]: (r[1], r[2]) for r in rows.mapInArrow(count, "term string, n long, length long").groupBy("term").agg(F.sum("n"), F.sum("length")).collect()}
-    n_docs, length = totals.get("", (0, 0))
-    mean = length / n_docs if n_docs else 0.0
-    idf = {t: float(np.log(1 + (n_docs - totals[t][0] + 0.5) / (totals[t][0] + 0.5))) for t in wanted if t in totals}
+    return rows.mapInArrow(run, T.StructType([rows.schema["id"], *(T.StructField(n, t()) for n, t in (("kind", T.StringType), ("term", T.StringType), ("tf", T.LongType), ("len", T.LongType)))]))
 
-    def score(batches):
-        for batch in batches:
-            out: list[tuple] = []
-            kinds = batch.column(2).to_pylist() if filters else [None] * batch.num_rows
-            for key, text, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), kinds, strict=True):
-                tokens = _TERM.findall(text.lower())
-                sums: dict = {}
-                for t, tf in Counter(x for x in tokens if x in idf).items():
-                    part = idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(tokens) / mean))
-                    for query, times, of in wanted[t]:
-                        if of is None or of == kind:
-                            sums[query] = sums.get(query, 0.0) + times * part
-                out.extend((query, key, x) for query, x in sums.items())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "score"])
-
-    return ranked(rows.mapInArrow(score, "query_id long, id long, score double").withColumn("score", F.round("score", 6)), k)
-
-
-def _bm25_by_join(rows: DataFrame, asks: DataFrame, k: int, k1: float, b: float, filters: tuple[str, str] | None) -> DataFrame:
-    tokens = rows.withColumn("tokens", terms(F.col("text_"))).drop("text_").withColumn("len", F.size("tokens"))
-    stats = tokens.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    kept = ["id", "len", *(["kind_"] if filters else [])]
-    tf = tokens.select(*kept, F.explode("tokens").alias("term")).join(asks.select("term").distinct(), "term", "left_semi").groupBy(*kept, "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = asks.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    hits = tf.join(weights, "term")
-    if filters:
-        hits = hits.where(F.col(filters[0]).isNull() | (F.col(filters[0]) == F.col("kind_")))
-    return ranked(hits.groupBy(F.col("query_id").cast("long").alias("query_id"), "id").agg(F.round(F.sum(part), 6).alias("score")), k)
+
+def _count_joined_terms(rows: DataFrame, asks: DataFrame) -> DataFrame:
+    """The same by a join, for any number of asked terms."""
+    tokens = rows.withColumn("tokens", terms(F.col("text"))).drop("text").withColumn("len", F.size("tokens").cast("long"))
+    tf = tokens.select("id", "kind", "len", F.explode("tokens").alias("term")).join(asks.select("term").distinct(), "term", "left_semi").groupBy("id", "kind", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
+    whole = tokens.agg(F.count(F.lit(1)).alias("tf"), F.coalesce(F.sum("len"), F.lit(0)).alias("len"))
+    none = [F.lit(None).cast(rows.schema["id"].dataType).alias("id"), *(F.lit(None).cast("string").alias(c) for c in ("kind", "term"))]
+    return tf.select("id", "kind", "term", "tf", "len").unionAll(whole.select(*none, "tf", "len"))
+
+
+def term_weights(asks: DataFrame, df: DataFrame, totals: DataFrame) -> DataFrame:
+    """``(query_id, wanted, term, weight, mean_len)`` from asks (.., times), documents of a term (term, df) and one row (n_docs, length)."""
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return asks.join(df, "term").crossJoin(F.broadcast(totals)).select("query_id", "wanted", "term", (F.col("times") * idf).alias("weight"), (F.col("length") / F.col("n_docs")).alias("mean_len"))
+
+
+def tf_part(tf: Column, length: Column, mean: Column, k1: float, b: float) -> Column:
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+
+
+def score_terms(hits: DataFrame, weights: DataFrame, k1: float, b: float) -> DataFrame:
+    """``(query_id, id, score)`` of counts (id, kind, term, tf, len)."""
+    both = hits.join(weights, "term").where(F.col("wanted").isNull() | F.col("wanted").eqNullSafe(F.col("kind")))
+    part = F.col("weight") * tf_part(F.col("tf"), F.col("len"), F.col("mean_len"), k1, b)
+    return both.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def fuse(semantic: DataFrame, lexical: DataFrame, constant: int = 60) -> DataFrame:

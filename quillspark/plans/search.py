@@ -8,31 +8,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.query_text import analyse, expanded, explicit_document, synonyms, variants
-from ..functions.text import clean_document, terms, words
+from ..functions.text import clean_document, terms
 from ..operators import documents as D
 from ..operators import overview as O  # noqa: N812
 from ..operators import reports as P
 from ..operators import retrieval as V
+from ..operators.phrases import with_synonyms
+from ..sources.cells import CellIndex
+from ..sources.postings import TermIndex
 
 
 def build_chunks(files: DataFrame, size: int = 3000, overlap: int = 200, **segmenting) -> DataFrame:
     """Chunks of ``files`` (stem, content): cleaned, classified, segmented, cut, first of equal ids kept.
 
-    Files of one chapter share ids; the chapter number keeps them apart."""
-    texts = D.classify(files.withColumn("content", clean_document(F.col("content"))))
-    articles = D.segment(texts, "stem", **segmenting).join(texts.drop("content"), "stem")
-    chunks = D.chunk_documents(articles.withColumn("doc_code", F.concat_ws("#", "doc_code", F.nullif(F.regexp_extract("stem", r"^\d+\.(\d+)", 1), F.lit("")))), size, overlap)
+    Files of one chapter share code and article; the chapter's number keeps their ids apart."""
+    chunks = D.chunk_documents(articles_of(files, **segmenting), size, overlap)
     return D.first_wins(chunks, F.col("id"), ["doc_code", "position", "chunk_index"], chunks.columns).drop("key_", "copies")
 
 
+def articles_of(files: DataFrame, **segmenting) -> DataFrame:
+    """Articles of ``files`` (stem, content) with what :func:`classify` says of their file."""
+    articles = D.segment(files.withColumn("content", clean_document(F.col("content"))), "stem", **segmenting)
+    return D.classify(articles)
+
+
 def build_report(files: DataFrame, size: int = 3000, overlap: int = 200, **segmenting) -> DataFrame:
     """Articles and chunks of each file, and the totals, of what :func:`build_chunks` makes of ``files``."""
-    texts = D.classify(files.withColumn("content", clean_document(F.col("content"))))
-    articles = D.segment(texts, "stem", **segmenting).join(texts.drop("content"), "stem").withColumn("document", F.col("citation_prefix"))
-    rows = articles.select("stem", "article", "page", "position", F.concat_ws("#", "doc_code", F.nullif(F.regexp_extract("stem", r"^\d+\.(\d+)", 1), F.lit(""))).alias("doc_code"), "id_label", "content")
-    chunks = D.token_windows(rows, [c for c in rows.columns if c != "content"], words(F.col("content")), size, overlap)
-    chunks = chunks.select("stem", F.format_string("%s_%s_%s_p%d_pos%d_chunk_%d", "doc_code", "id_label", "article", "page", "position", F.col("chunk_index") + 1).alias("id"))
-    return P.build_report(articles, chunks)
+    articles = articles_of(files, **segmenting)
+    rows = D.chunk_documents(articles, size, overlap, keep=("stem",))
+    named = D.classify(files.select("stem").distinct()).select("stem", F.col("citation_prefix").alias("document"))
+    return P.build_report(articles, rows.select("stem", "id"), files=named)
+
+
+def vector_search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, embed: Callable[[DataFrame], DataFrame], k: int = 5) -> DataFrame:
+    """Direct search of vectors, without an engine: ``(query_id, id, score, rank, source)`` of queries (query_id, query).
+
+    A query that names an article gets that article's chunks in any document, in the order of their index, if there are
+    some; else, as other queries, the nearest vectors, of each article of a document the best."""
+    number = F.nullif(F.regexp_extract(F.lower("query"), r"\b(?:article|art\.?)\s*(\d+)\b", 1), F.lit(""))
+    asks = queries.select("query_id", number.alias("article_num"), F.lit(None).cast("string").alias("doc_hint"))
+    found = V.lookup(asks.where("article_num is not null"), chunks, preferred=()).where(F.col("rank") <= k)
+    others = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    near = V.nearest(embed(others), vectors, min(2 * k, 50), id_col="id").join(chunks.select("id", "doc_code", "article"), "id")
+    near = V.best_of_key(near.withColumn("key", F.struct("doc_code", "article")), "key", k)
+    one = lambda df, source: df.select("query_id", "id", "score", "rank", F.lit(source).alias("source"))
+    return one(found, "lookup").unionByName(one(near, "semantic"))
 
 
 class SearchEngine:
@@ -41,12 +61,16 @@ class SearchEngine:
     ``embed`` turns a table with a text column ``query`` into one with ``vector``. ``mode`` is ``semantic`` (5 results, the
     best must reach 0.45) or ``hybrid``: BM25 over the query's terms and their synonyms beside it, fused, re-ranked by
     closeness to the query; 15 results, 10 more when confidence is low; the best must reach 0.80 for lookups, 0.10 else.
-    ``threshold`` overrides both. Queries that name one of the two statutes search in it alone."""
+    ``threshold`` overrides both. Queries that name one of the two statutes search in it alone. Ids may be of any type.
+
+    ``cells`` (an index of the vectors that keeps ``doc_code``) and ``postings`` (one of the chunks' content with ``doc_code`` as their
+    kind) are searched in place of the tables. ``phrases`` (phrase, synonym) are used in place of the known synonyms."""
 
-    def __init__(self, chunks: DataFrame, vectors: DataFrame, embed: Callable[[DataFrame], DataFrame], mode: str = "semantic", threshold: float | None = None):
+    def __init__(self, chunks: DataFrame, vectors: DataFrame, embed: Callable[[DataFrame], DataFrame], mode: str = "semantic", threshold: float | None = None, cells: CellIndex | None = None, postings: TermIndex | None = None, phrases: DataFrame | None = None):
         if mode not in ("semantic", "hybrid"):
             raise ValueError(f"no mode {mode!r}")
         self.chunks, self.embed, self.hybrid, self.threshold = chunks, embed, mode == "hybrid", threshold
+        self.cells, self.postings, self.phrases = cells, postings, phrases
         self.vectors = vectors if "doc_code" in vectors.columns else vectors.join(chunks.select("id", "doc_code"), "id")
 
     def analyse(self, queries: DataFrame) -> DataFrame:
@@ -66,11 +90,20 @@ class SearchEngine:
         texts = [expanded(general)]
         if with_variants:
             texts += [variants(F.col("query"))[i] for i in (1, 2)]
-        nearest = [V.nearest(self.embed(general.withColumn("query", text)), self.vectors, k, id_col="id", filters=("wanted", "doc_code")).withColumn("source", F.lit("semantic")) for text in texts]
+        asks = [self.embed(general.withColumn("query", text)) for text in texts]
+        of = ("wanted", "doc_code")
+        nearest = [self.cells.search(a, k, filters=of) if self.cells else V.nearest(a, self.vectors, k, id_col="id", filters=of) for a in asks]
+        nearest = [hits.withColumn("source", F.lit("semantic")) for hits in nearest]
         hits = V.ranked(V.union_hits(*nearest), k) if with_variants else nearest[0]
         if self.hybrid:
-            terms_ = F.array_distinct(terms(F.array_join(synonyms(terms(F.col("query"))), " ")))
-            lexical = V.bm25(self.chunks, general.select("query_id", "wanted", terms_.alias("terms")), k, id_col="id", text_col="content", filters=("wanted", "doc_code"))
+            if self.phrases is None:
+                asked_terms = general.select("query_id", "wanted", F.array_distinct(terms(F.array_join(synonyms(terms(F.col("query"))), " "))).alias("terms"))
+            else:
+                asked_terms = with_synonyms(general.select("query_id", "wanted", "query"), self.phrases).select("query_id", "wanted", "terms")
+            if self.postings:
+                lexical = self.postings.search(asked_terms, k, filter_col="wanted")
+            else:
+                lexical = V.bm25(self.chunks, asked_terms, k, id_col="id", text_col="content", filters=of)
             hits = V.fuse(hits, lexical)
         if queries.limit(V.MOST_QUERIES + 1).count() <= V.MOST_QUERIES:
             hits = F.broadcast(hits)  # at most 50 for each query: the chunks' texts don't move
