@@ -13,17 +13,22 @@ from .operators import overview as O  # noqa: N812
 from .operators import reports as P
 from .operators import retrieval as V
 from .operators.embedding import HashedWords, embed
+from .operators.phrases import phrase_matches
 from .plans import search as S
+from .sources.cells import CellIndex
 from .sources.files import not_yet_done
+from .sources.index import ChunkIndex
+from .sources.places import new_folder
+from .sources.postings import TermIndex
 
-STEMS = ["540 - Gender Identity", "123.198 - Assignments", "16.14 - Termination of Mandates", "623.01 - X", "623.02 - X", "EU Succession Regulation - 650.2012", "Museum Rules", "Companies Act", "SUBSIDIARY LEGISLATION 386 02", "Notes", "55.09 - Code of Ethics", "13 - Commercial Code", "79 - Commissioners"]
+# what file names begin with; a document's number is put in place of the braces
+STEMS = ["540 - Gender Identity {}", "123.{} - Assignments", "16.14 - Termination of Mandates {}", "623.01 - X {}", "623.02 - X {}", "EU Succession Regulation - 650.2012 ({})", "Museum Rules {}", "Companies Act {}", "SUBSIDIARY LEGISLATION 386 {}", "Notes {}", "55.{} - Code of Ethics", "13 - Commercial Code {}", "79 - Commissioners {}", "{}"]
 QUESTIONS = [
     "How to register the name of a company?", "What is a cell company?", "Which fine follows a late filing?", "Does a director have a duty to report?", "When must the annual return be filed?",
     "Show me Article 12 of the Commercial Code", "Is Article 45B of the Companies Act in force?", "Which steps for a dividend?", "Commercial Code: what must a trader keep?", "What should Cap. 386 require of shareholders?",
     "Article 4", "477", "art 26", "13 of the code", "smart 5", "Article 9999 of nothing", "S.L. rules on fines", "How does winding up end?", "the apache license, version two", "Consequences of a breach, and in sha the?",
 ]
 TERM_QUERIES = [(1, ["the", "and", "license"]), (2, ["version", "apache"]), (3, ["la", "de"]), (4, ["und", "der", "the"]), (5, ["nosuchterm"])]
-IDS = ["007", "26", "26A", "26J", "27", "x", "550", "600", "0", "12AB"]
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -163,50 +168,62 @@ WITH {LINES_SQL} SELECT a.doc_id, a.line_no::INT AS line_no, min(b.line_no)::INT
 
 
 def article_value_order(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in IDS], "raw string").withColumn("article", X.article_id(F.col("raw")))
-    return rows.select("raw", "article", X.article_value(F.col("article")).alias("value"), X.article_value(F.col("article"), 10).alias("tenths"))
+    """Article numbers made of document numbers: with zeros in front, a letter or two behind, or no number at all."""
+    n, letter = F.col("doc_id") % 613, F.element_at(F.split(F.lit(",A,J,AB,x"), ","), (F.col("doc_id") % 5 + 1).cast("int"))
+    raw = F.when(F.col("doc_id") % 17 == 0, "x").otherwise(F.concat(F.lpad(n.cast("string"), F.lit(3) + (F.col("doc_id") % 2).cast("int"), F.lit("0")), letter))
+    rows = t(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")).withColumn("article", X.article_id(F.col("raw")))
+    return rows.select("doc_id", "raw", "article", X.article_value(F.col("article")).alias("value"), X.article_value(F.col("article"), 10).alias("tenths"))
 
 
-ARTICLE_SQL = f"""
-WITH v AS (SELECT unnest([{', '.join(map(_quoted, IDS))}]) AS raw), p AS (SELECT raw, regexp_extract(raw, '^([0-9]+)([A-Z]?)$', 1) AS n, regexp_extract(raw, '^([0-9]+)([A-Z]?)$', 2) AS s FROM v)
-SELECT raw, CASE WHEN n = '' THEN raw ELSE n::INT::VARCHAR || s END AS article, CASE WHEN n = '' THEN -1 ELSE n::INT * 100 + CASE WHEN s = '' THEN 0 ELSE ascii(s) - 64 END END AS value,
+ARTICLE_SQL = r"""
+WITH v AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'x' ELSE lpad((doc_id % 613)::VARCHAR, (3 + doc_id % 2)::INT, '0') || (['', 'A', 'J', 'AB', 'x'])[doc_id % 5 + 1] END AS raw FROM documents),
+p AS (SELECT doc_id, raw, regexp_extract(raw, '^([0-9]+)([A-Z]?)$', 1) AS n, regexp_extract(raw, '^([0-9]+)([A-Z]?)$', 2) AS s FROM v)
+SELECT doc_id, raw, CASE WHEN n = '' THEN raw ELSE n::INT::VARCHAR || s END AS article, CASE WHEN n = '' THEN -1 ELSE n::INT * 100 + CASE WHEN s = '' THEN 0 ELSE ascii(s) - 64 END END AS value,
 CASE WHEN n = '' THEN -1 ELSE n::INT * 10 + CASE WHEN s = '' THEN 0 ELSE ascii(s) - 64 END END AS tenths FROM p
 """
 
 
 def classify_filenames(spark, sf_dir):
-    return D.classify(spark.createDataFrame([(s,) for s in STEMS], "stem string"))
+    name = F.element_at(F.array(*map(F.lit, STEMS)), (F.col("doc_id") % len(STEMS) + 1).cast("int"))
+    files = t(spark, sf_dir, "documents").select("doc_id", F.replace(name, F.lit("{}"), (F.col("doc_id") % 100).cast("string")).alias("stem"))
+    return D.classify(files)
 
 
 CLASSIFY_SQL = f"""
 WITH r(chap, title, code) AS (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)}, {_quoted(c)})' for a, b, c in R.CHAPTERS)}), o(code, ov) AS (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in R.OVERVIEWS)}),
-s AS (SELECT unnest([{', '.join(map(_quoted, STEMS))}]) AS stem),
-n AS (SELECT stem, upper(stem) AS up, regexp_extract(stem, '^([0-9]+(?:\\.[0-9]+)?)\\s*[-.]?\\s*(.+)', 1) AS num, regexp_extract(upper(stem), 'SUBSIDIARY\\s+LEGISLATION\\s+([0-9]+)\\s+([0-9]+)', 1) AS cap, regexp_extract(upper(stem), 'SUBSIDIARY\\s+LEGISLATION\\s+([0-9]+)\\s+([0-9]+)', 2) AS sub FROM s),
+s AS (SELECT doc_id, replace(([{', '.join(map(_quoted, STEMS))}])[doc_id % {len(STEMS)} + 1], '{{}}', (doc_id % 100)::VARCHAR) AS stem FROM documents),
+n AS (SELECT doc_id, stem, upper(stem) AS up, regexp_extract(stem, '^([0-9]+(?:\\.[0-9]+)?)\\s*[-.]?\\s*(.+)', 1) AS num, regexp_extract(upper(stem), 'SUBSIDIARY\\s+LEGISLATION\\s+([0-9]+)\\s+([0-9]+)', 1) AS cap, regexp_extract(upper(stem), 'SUBSIDIARY\\s+LEGISLATION\\s+([0-9]+)\\s+([0-9]+)', 2) AS sub FROM s),
 j AS (SELECT n.*, coalesce(a.code, b.code) AS rc, coalesce(a.title, b.title) AS rt, contains(up, 'EU') OR contains(stem, '650.2012') AS eu, contains(up, 'COMPANIES ACT') AS act FROM n LEFT JOIN r a ON a.chap = num LEFT JOIN r b ON b.chap = split_part(num, '.', 1) AND NOT contains(b.chap, '.')),
 k AS (SELECT *, CASE WHEN rc IS NOT NULL THEN rc WHEN eu THEN 'eu_succession' WHEN act THEN 'companies_act' WHEN cap <> '' THEN 'sl_' || cap::INT || '_' || printf('%02d', sub::INT) ELSE 'code_13' END AS doc_code,
 CASE WHEN rc IS NOT NULL THEN rt WHEN eu THEN 'EU Succession Regulation (650/2012)' WHEN act THEN 'Companies Act (Cap. 386)' WHEN cap <> '' THEN 'S.L. ' || cap::INT || '.' || printf('%02d', sub::INT) ELSE 'Commercial Code (Cap. 13)' END AS citation_prefix,
 CASE WHEN rc IS NOT NULL THEN contains(num, '.') WHEN eu OR act THEN false ELSE cap <> '' END AS reg FROM j)
-SELECT stem, citation_prefix, k.doc_code, CASE WHEN reg THEN 'Reg.' ELSE 'Art.' END AS citation_label, CASE WHEN reg THEN 'regulation' ELSE 'article' END AS id_label, rc IS NULL AND NOT eu AND NOT act AND cap = '' AS is_fallback, coalesce(o.ov, '') AS doc_overview FROM k LEFT JOIN o ON o.code = k.doc_code
+SELECT doc_id, stem, citation_prefix, k.doc_code, CASE WHEN reg THEN 'Reg.' ELSE 'Art.' END AS citation_label, CASE WHEN reg THEN 'regulation' ELSE 'article' END AS id_label, rc IS NULL AND NOT eu AND NOT act AND cap = '' AS is_fallback, coalesce(o.ov, '') AS doc_overview FROM k LEFT JOIN o ON o.code = k.doc_code
 """
 
 
 # -- queries
-def _questions(spark):
-    return spark.createDataFrame(list(enumerate(QUESTIONS)), "query_id int, query string")
+def _questions(spark, sf_dir, every=1):
+    """A question of each conversation whose number is divisible by ``every``: the questions above in turn, every second
+    time round with the first two words that stand beside each other in what was said."""
+    n, text = F.floor(F.col("conv_id") / every), F.coalesce("text", F.lit(""))
+    words = F.concat(F.lit(" "), F.regexp_extract(text, "[a-zA-Z]+ [a-zA-Z]+", 0))
+    question = F.element_at(F.array(*map(F.lit, QUESTIONS)), (n % len(QUESTIONS) + 1).cast("int"))
+    rows = t(spark, sf_dir, "conversations").where((F.col("turn") == 0) & (F.col("conv_id") % every == 0))
+    return rows.select(n.cast("long").alias("query_id"), F.concat(question, F.when(F.floor(n / len(QUESTIONS)) % 2 == 1, words).otherwise("")).alias("query"))
 
 
 def query_analysis(spark, sf_dir):
-    out = Q.analyse(_questions(spark))
+    out = Q.analyse(_questions(spark, sf_dir))
     return out.select("query_id", "query", "type", "article_num", "doc_hint", "doc_hint_explicit", "intent", Q.intent_label(F.col("intent")).alias("label"), F.array_join("keywords", " ").alias("keywords"))
 
 
 _HINT = "CASE " + " ".join(f"WHEN {_sql_any('low', names)} THEN {_quoted(code)}" for code, names in R.EXPLICIT_HINTS) + f" WHEN {_sql_any('low', R.HINT_WORDS)} THEN 'companies_act' WHEN contains(low, 's.l.') OR contains(low, 'subsidiary legislation') THEN 'sl' END"
 
 
-def _analyse_cte(intents, letter: str) -> str:
+def _analyse_cte(intents, letter: str, every: int = 1) -> str:
     intent = "CASE WHEN article_num IS NOT NULL AND doc_hint IS NOT NULL THEN NULL " + " ".join(f"WHEN {_sql_any('low', words)} THEN {_quoted(name)}" for name, words in intents) + " END"
     return rf"""
-q AS (SELECT i::INT AS query_id, ([{', '.join(map(_quoted, QUESTIONS))}])[i + 1] AS query FROM range({len(QUESTIONS)}) r(i)),
+q AS (SELECT n AS query_id, ([{', '.join(map(_quoted, QUESTIONS))}])[n % {len(QUESTIONS)} + 1] || CASE WHEN (n // {len(QUESTIONS)}) % 2 = 1 THEN ' ' || regexp_extract(coalesce(text, ''), '[a-zA-Z]+ [a-zA-Z]+', 0) ELSE '' END AS query FROM (SELECT conv_id // {every} AS n, text FROM conversations WHERE turn = 0 AND conv_id % {every} = 0)),
 a AS (SELECT *, lower(query) AS low FROM q),
 b AS (SELECT *, upper(coalesce(nullif(regexp_extract(low, '\b(?:article|art\.?)\s*(\d+{letter}?)\b', 1), ''), nullif(regexp_extract(low, '\b(\d+{letter}?)\s*(?:of|from|in)\s*(?:the\s*)?(?:commercial\s*)?code\b', 1), ''), nullif(regexp_extract(low, '^(\d+{letter}?)$', 1), ''))) AS article_num, {_HINT} AS doc_hint, {' OR '.join(_sql_any('low', n) for _, n in R.EXPLICIT_HINTS)} AS doc_hint_explicit FROM a),
 c AS (SELECT *, CASE WHEN article_num IS NULL THEN 'general' ELSE 'article_lookup' END AS type, {intent} AS intent, CASE WHEN article_num IS NOT NULL AND doc_hint IS NOT NULL THEN '' ELSE array_to_string(list_filter(list_transform(regexp_split_to_array(low, '\s+'), lambda w: regexp_replace(w, '^[.,?!]+|[.,?!]+$', '', 'g')), lambda w: w <> '' AND NOT list_contains([{', '.join(map(_quoted, R.STOPWORDS))}], w)), ' ') END AS keywords FROM b)
@@ -215,11 +232,12 @@ c AS (SELECT *, CASE WHEN article_num IS NULL THEN 'general' ELSE 'article_looku
 
 ANALYSE_CTE = _analyse_cte(R.INTENTS, "[A-Z]")
 WIDENED_CTE = _analyse_cte(R.WIDENED_INTENTS, "[a-z]")
+SEARCH_EVERY = 5  # every fifth conversation asks in the searches
 ANALYSIS_SQL = f"WITH {ANALYSE_CTE} SELECT query_id, query, type, article_num, doc_hint, doc_hint_explicit, intent, coalesce(CASE intent {' '.join(f'WHEN {_quoted(k)} THEN {_quoted(v)}' for k, v in R.INTENT_LABELS.items())} END, 'General information') AS label, keywords FROM c"
 
 
 def query_analysis_widened(spark, sf_dir):
-    out = Q.analyse(_questions(spark), letters=True, widened=True)
+    out = Q.analyse(_questions(spark, sf_dir), letters=True, widened=True)
     terms = F.array_join(Q.synonyms(F.split(F.lower("query"), " ")), "|")
     return out.select("query_id", "original_query", "type", "article_num", "intent", Q.explicit_document(F.col("doc_hint"), F.col("doc_hint_explicit")).alias("restricted_to"), terms.alias("with_synonyms"))
 
@@ -234,7 +252,8 @@ SELECT query_id, query AS original_query, type, article_num, intent, CASE WHEN d
 
 
 def query_expansion(spark, sf_dir):
-    out = Q.analyse(_questions(spark)).withColumn("expanded", Q.expanded(Q.analyse(_questions(spark))))
+    out = Q.analyse(_questions(spark, sf_dir))
+    out = out.withColumn("expanded", Q.expanded(out))
     return out.select("query_id", "expanded", F.posexplode(Q.variants(F.col("query"))).alias("variant_no", "variant"))
 
 
@@ -345,26 +364,28 @@ def context_assembly(spark, sf_dir):
 
 
 def overviews(spark, sf_dir):
-    """Queries with an even number found something, the others get the answer for nothing found."""
+    """Queries that find nothing near enough get the answer for nothing found."""
     queries = _vector_queries(spark, sf_dir).select("query_id", F.concat(F.lit("question "), F.col("query_id").cast("string")).alias("query"), F.lit(None).cast("string").alias("intent"))
-    out = O.overviews(queries, _cited(spark, sf_dir).where("query_id % 2 = 0"))
+    out = O.overviews(queries, V.gate(_cited(spark, sf_dir).where("id <> query_id * 50"), 0.605))
     listed = F.array_join(F.transform("citations", lambda c: F.concat_ws("/", c["document"], c["article"], c["page"])), "|")
     return out.select("query_id", "overview", listed.alias("cited"), F.round("confidence", 6).alias("confidence"), "articles_analyzed")
 
 
 def prompts(spark, sf_dir):
-    out = Q.analyse(_questions(spark))
-    return out.select("query_id", O.instruction(F.col("intent")).alias("instruction"), F.md5(O.prompt(F.col("query"), F.col("intent"), F.lit("[D] Art. 1:\nText.")).cast("binary")).alias("prompt_md5"), O.wanted(F.col("type"), F.col("query_id") % 3).alias("gets_overview"))
+    """Each question with the document of its number as its only source."""
+    docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("["), F.col("source"), F.lit("] Art. 1:\n"), F.coalesce("text", F.lit(""))).alias("context"))
+    out = Q.analyse(_questions(spark, sf_dir)).join(docs, "query_id")
+    return out.select("query_id", O.instruction(F.col("intent")).alias("instruction"), F.md5(O.prompt(F.col("query"), F.col("intent"), F.col("context")).cast("binary")).alias("prompt_md5"), O.wanted(F.col("type"), F.col("query_id") % 3).alias("gets_overview"))
 
 
 CITATIONS_SQL = _CITED + " SELECT query_id, document, article, page, arg_min(citation, rank) AS citation, min(rank)::INT AS first_rank FROM (SELECT *, rank AS r0 FROM h) GROUP BY ALL".replace("arg_min(citation, rank)", "(list(citation ORDER BY rank))[1]")
 _INSTRUCTION = f"coalesce(CASE intent {' '.join(f'WHEN {_quoted(k)} THEN {_quoted(v)}' for k, v in R.INSTRUCTIONS.items())} END, {_quoted(R.INSTRUCTION)})"
-PROMPTS_SQL = f"""WITH {ANALYSE_CTE} SELECT query_id, {_INSTRUCTION} AS instruction, md5('Answer from the sources below and from nothing else. If they don''t answer the question, say so.' || chr(10) || chr(10) || 'Question: ' || query || chr(10) || chr(10) || 'Intent: ' || coalesce(intent, 'general information') || chr(10) || chr(10) || 'Sources:' || chr(10) || '[D] Art. 1:' || chr(10) || 'Text.' || chr(10) || chr(10) || {_INSTRUCTION} || ' Name document, article and page of each source you use.') AS prompt_md5, type <> 'article_lookup' AND query_id % 3 > 0 AS gets_overview FROM c"""
+PROMPTS_SQL = f"""WITH {ANALYSE_CTE} SELECT query_id, {_INSTRUCTION} AS instruction, md5('Answer from the sources below and from nothing else. If they don''t answer the question, say so.' || chr(10) || chr(10) || 'Question: ' || query || chr(10) || chr(10) || 'Intent: ' || coalesce(intent, 'general information') || chr(10) || chr(10) || 'Sources:' || chr(10) || '[' || source || '] Art. 1:' || chr(10) || coalesce(text, '') || chr(10) || chr(10) || {_INSTRUCTION} || ' Name document, article and page of each source you use.') AS prompt_md5, type <> 'article_lookup' AND query_id % 3 > 0 AS gets_overview FROM c JOIN documents ON doc_id = query_id"""
 _HEADING = "'[' || coalesce(document, 'Unknown Document') || '] ' || coalesce(citation, 'Article ' || coalesce(article, '?')) || CASE WHEN try_cast(page AS INT) >= 1 THEN ' (Page ' || try_cast(page AS INT) || ')' ELSE '' END"
-OVERVIEWS_SQL = _CITED + rf""", e AS (SELECT *, trim(regexp_replace(coalesce(content, ''), '\s+', ' ', 'g')) AS flat FROM h WHERE query_id % 2 = 0),
+OVERVIEWS_SQL = _CITED.replace("h AS (SELECT query_id, rank,", "h AS (SELECT query_id, id, rank,") + rf""", h2 AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM h WHERE id <> query_id * 50) WHERE top >= 0.605), e AS (SELECT *, trim(regexp_replace(coalesce(content, ''), '\s+', ' ', 'g')) AS flat FROM h2),
 x AS (SELECT query_id, string_agg(coalesce(nullif(regexp_extract(flat, '^(.*?[.!?])(?: |$)', 1), ''), flat) || ' ' || {_HEADING}, chr(10) ORDER BY rank) FILTER (place <= 3) AS overview, count(*)::INT AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM e) GROUP BY 1),
 f AS (SELECT query_id, document, article, page, min(rank) AS first FROM e GROUP BY ALL), l AS (SELECT query_id, string_agg(concat_ws('/', document, article, page), '|' ORDER BY first) AS cited FROM f GROUP BY 1),
-k AS (SELECT query_id, greatest(0.1, least(0.95, avg(score))) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM h) WHERE place <= 3 GROUP BY 1)
+k AS (SELECT query_id, greatest(0.1, least(0.95, avg(score))) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM h2) WHERE place <= 3 GROUP BY 1)
 SELECT q.query_id, coalesce(overview, {_quoted(O.NOTHING_FOUND)}) AS overview, coalesce(cited, '') AS cited, round(CASE WHEN n IS NULL THEN 0 ELSE confidence END, 6) AS confidence, coalesce(n, 0)::INT AS articles_analyzed FROM q LEFT JOIN x USING (query_id) LEFT JOIN l USING (query_id) LEFT JOIN k USING (query_id)
 """
 CONTEXT_SQL = _CITED + """ SELECT query_id, md5(context) AS context_md5, length(context) AS context_chars, articles_analyzed FROM (SELECT query_id, string_agg('[' || coalesce(document, 'Unknown Document') || '] ' || coalesce(citation, 'Article ' || coalesce(article, '?')) || CASE WHEN try_cast(page AS INT) >= 1 THEN ' (Page ' || try_cast(page AS INT) || ')' ELSE '' END || ':' || chr(10) || coalesce(content, ''), chr(10) || chr(10) ORDER BY rank) AS context, count(*)::INT AS articles_analyzed FROM h GROUP BY 1)"""
@@ -379,10 +400,13 @@ def _search_chunks(spark, sf_dir):
     return t(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), code.alias("doc_code"), (F.col("doc_id") % 50).cast("string").alias("article"), F.col("doc_id").alias("chunk_index"))
 
 
+def _engine(chunks, mode, **more):
+    provider = HashedWords(DIMS)
+    return S.SearchEngine(chunks, embed(chunks, "content", provider).select("id", "doc_code", "embedding"), lambda q: embed(q, "query", provider, "vector"), mode, **more)
+
+
 def _search(spark, sf_dir, mode):
-    chunks, provider = _search_chunks(spark, sf_dir), HashedWords(DIMS)
-    engine = S.SearchEngine(chunks, embed(chunks, "content", provider).select("id", "doc_code", "embedding"), lambda q: embed(q, "query", provider, "vector"), mode)
-    return engine.search(_questions(spark).withColumn("query_id", F.col("query_id").cast("long"))).select("query_id", "id", F.round("score", 6).alias("score"), "rank", "source")
+    return _engine(_search_chunks(spark, sf_dir), mode).search(_questions(spark, sf_dir, SEARCH_EVERY)).select("query_id", "id", F.round("score", 6).alias("score"), "rank", "source")
 
 
 def search_semantic(spark, sf_dir):
@@ -405,15 +429,18 @@ def _hashed_sql(name: str, source: str, key: str, text: str) -> str:
 {name} AS (SELECT {key}, CASE WHEN list_sum(list_transform(v, lambda y: abs(y))) = 0 THEN list_transform(v, lambda y: 1.0::DOUBLE) ELSE v END AS v FROM {name}l)"""
 
 
-def _search_sql(hybrid: bool) -> str:
+_SEARCH_CHUNKS = "SELECT doc_id AS id, text, CASE doc_id % 3 WHEN 0 THEN 'companies_act' WHEN 1 THEN 'code_13' ELSE source END AS doc_code, (doc_id % 50)::VARCHAR AS article, doc_id AS chunk_index FROM documents WHERE text IS NOT NULL"
+
+
+def _search_sql(hybrid: bool, chunks: str = _SEARCH_CHUNKS) -> str:
     n, most, k = (15, 25, 50) if hybrid else (5, 5, 10)
     pick = lambda table, key: f"CASE {key} {' '.join(f'WHEN {_quoted(a)} THEN {_quoted(b)}' for a, b in table.items())} END"
     boost = f"CASE WHEN CASE intent {' '.join(f'WHEN {_quoted(i)} THEN {_sql_any("lower(text)", cues)}' for i, _, cues in R.BOOSTS)} END THEN {pick({i: str(b) for i, b, _ in R.BOOSTS}, 'intent')}::DOUBLE ELSE 0 END"
     ctes = f"""
-WITH {WIDENED_CTE if hybrid else ANALYSE_CTE},
-ch AS (SELECT doc_id AS id, text, CASE doc_id % 3 WHEN 0 THEN 'companies_act' WHEN 1 THEN 'code_13' ELSE source END AS doc_code, (doc_id % 50)::VARCHAR AS article FROM documents WHERE text IS NOT NULL),
-lo AS (SELECT query_id, id, CASE WHEN doc_hint = doc_code THEN 0 WHEN doc_hint IS NULL AND doc_code = 'companies_act' THEN 1 WHEN doc_hint IS NULL AND doc_code = 'code_13' THEN 2 ELSE 3 END AS tier FROM c JOIN ch ON article = article_num WHERE type = 'article_lookup'),
-lb AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id)::INT AS rank FROM (SELECT *, min(tier) OVER (PARTITION BY query_id) AS best FROM lo) WHERE tier = best),
+WITH {_analyse_cte(R.WIDENED_INTENTS, "[a-z]", SEARCH_EVERY) if hybrid else _analyse_cte(R.INTENTS, "[A-Z]", SEARCH_EVERY)},
+ch AS ({chunks}),
+lo AS (SELECT query_id, id, chunk_index, CASE WHEN doc_hint = doc_code THEN 0 WHEN doc_hint IS NULL AND doc_code = 'companies_act' THEN 1 WHEN doc_hint IS NULL AND doc_code = 'code_13' THEN 2 ELSE 3 END AS tier FROM c JOIN ch ON article = article_num WHERE type = 'article_lookup'),
+lb AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_index, id)::INT AS rank FROM (SELECT *, min(tier) OVER (PARTITION BY query_id) AS best FROM lo) WHERE tier = best),
 g AS (SELECT *, CASE WHEN doc_hint_explicit AND doc_hint IN ('companies_act', 'code_13') THEN doc_hint END AS wanted, concat_ws(' ', query, {pick(R.EXPANSIONS, 'intent')}, nullif(keywords, ''), {pick(R.NUDGES, 'doc_hint')}) AS expanded FROM c WHERE type = 'general'),
 {_hashed_sql('cv', 'ch', 'id', 'text').strip()},
 {_hashed_sql('qv', 'g', 'query_id', 'expanded').strip()},
@@ -468,20 +495,29 @@ ap AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY article_order)::I
 SEGMENT_SQL = f"WITH {ARTICLES_CTE} SELECT stem, article, md5(content) AS content_md5, page, position, article_order FROM ap"
 
 
+CHAPTERS = [("13", "Commercial Code (Cap. 13)", "code_13"), ("604", "Private Residential Leases Act (Cap. 604)", "residential_leases"), ("55", "Notarial Profession and Notarial Archives Act (Cap. 55)", "notarial_act")]
+
+
+def _files(spark, sf_dir):
+    """Documents as files of three chapters; those whose number is divisible by 7 hold no article."""
+    rows = _articles(spark, sf_dir).withColumn("no", F.col("stem").cast("long"))
+    chapter = F.element_at(F.array(*(F.lit(c) for c, *_ in CHAPTERS)), (F.col("no") % 3 + 1).cast("int"))
+    content = F.when(F.col("no") % 7 == 0, F.regexp_replace("content", "[0-9]+", "n")).otherwise(F.col("content"))
+    return rows.select(F.concat(chapter, F.lit("."), F.lpad(F.col("no").cast("string"), 9, "0"), F.lit(" - x")).alias("stem"), content.alias("content"))
+
+
 def build_chunks(spark, sf_dir):
     """The first plan as a whole: clean, classify, segment, cut, the first of equal ids kept."""
-    files = _articles(spark, sf_dir).withColumn("stem", F.concat(F.lit("604."), F.lpad("stem", 9, "0"), F.lit(" - x")))
-    rows = S.build_chunks(files, 100, 20)
+    rows = S.build_chunks(_files(spark, sf_dir), 100, 20)
     return rows.select("id", F.md5(F.col("content").cast("binary")).alias("content_md5"), "article", "chunk_index", "total_chunks", "tokens", "citation", "document", "id_label", "doc_code")
 
 
 def build_report(spark, sf_dir):
-    files = _articles(spark, sf_dir).withColumn("stem", F.concat(F.lit("604."), F.lpad("stem", 9, "0"), F.lit(" - x")))
-    return S.build_report(files, 100, 20)
+    return S.build_report(_files(spark, sf_dir), 100, 20)
 
 
 # cleaned lines keep their places: what the clean-up takes away are blank lines and headings, so articles are made of cleaned text
-BUILD_CTE = CLEAN_CTE.format(text="(SELECT string_agg(CASE WHEN (line_no - 1) % 3 = 0 THEN ((line_no - 1) // 3 + 1)::VARCHAR || '. ' || line ELSE line END, chr(10) ORDER BY line_no) FROM (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no))").replace("FROM documents)", "FROM documents WHERE text IS NOT NULL)", 1).rstrip() + r""",
+BUILD_CTE = CLEAN_CTE.format(text="(SELECT CASE WHEN doc_id % 7 = 0 THEN regexp_replace(s, '[0-9]+', 'n', 'g') ELSE s END FROM (SELECT string_agg(CASE WHEN (line_no - 1) % 3 = 0 THEN ((line_no - 1) // 3 + 1)::VARCHAR || '. ' || line ELSE line END, chr(10) ORDER BY line_no) FROM (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no)) o(s))").replace("FROM documents)", "FROM documents WHERE text IS NOT NULL)", 1).rstrip() + r""",
 ln AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS line_no FROM g),
 hd AS (SELECT *, regexp_extract(line, '^[\t  ]*([0-9]{1,4}[A-Z]?)\s*\.(?:\s|$)', 1) AS head FROM ln),
 bk AS (SELECT *, sum((head <> '')::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM hd),
@@ -491,10 +527,141 @@ rs AS (SELECT *, max(v) OVER (PARTITION BY doc_id ORDER BY block ROWS BETWEEN UN
 ap AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block)::INT AS position, list_filter(regexp_split_to_array(content, '[ \t\r\n]+'), lambda z: z <> '') AS w FROM rs WHERE before IS NULL OR v > before),
 cn AS (SELECT *, CASE WHEN len(w) <= 100 THEN 1 ELSE ceil((len(w) - 100) / 80.0)::INT + 1 END AS k FROM ap),
 ck AS (SELECT *, unnest(range(k))::INT AS i, lpad(doc_id::VARCHAR, 9, '0') AS no FROM cn),
-ci AS (SELECT *, printf('residential_leases#%s_regulation_%s_p1_pos%d_chunk_%d', no, article, position, i + 1) AS id FROM ck)"""
-BUILD_SQL = BUILD_CTE + " SELECT id, md5(array_to_string(w[i * 80 + 1 : i * 80 + 100], ' ')) AS content_md5, article, i AS chunk_index, k::INT AS total_chunks, len(w[i * 80 + 1 : i * 80 + 100])::INT AS tokens, 'Private Residential Leases Act (Cap. 604) Reg. ' || article AS citation, 'Private Residential Leases Act (Cap. 604)' AS document, 'regulation' AS id_label, 'residential_leases#' || no AS doc_code FROM ci"
-REPORT_SQL = BUILD_CTE + """, pf AS (SELECT '604.' || no || ' - x' AS file, count(*) AS chunks FROM ci GROUP BY 1), pa AS (SELECT '604.' || lpad(doc_id::VARCHAR, 9, '0') || ' - x' AS file, count(*) AS articles, string_agg(article, ',' ORDER BY v) AS article_list FROM ap GROUP BY 1)
-SELECT file, 'Private Residential Leases Act (Cap. 604)' AS document, articles, chunks, article_list, (SELECT count(*) FROM pa) AS total_documents, (SELECT sum(articles)::BIGINT FROM pa) AS total_articles, (SELECT count(DISTINCT id) FROM ci) AS total_chunks FROM pa JOIN pf USING (file)"""
+cj AS (SELECT *, array_to_string(w[i * 80 + 1 : i * 80 + 100], ' ') || CASE WHEN i + 1 < k THEN ' ' ELSE '' END AS piece, """ + f"([{', '.join(_quoted(c) for _, _, c in CHAPTERS)}])[doc_id % 3 + 1] AS code, ([{', '.join(_quoted(c) for _, c, _ in CHAPTERS)}])[doc_id % 3 + 1] AS title, ([{', '.join(_quoted(c) for c, *_ in CHAPTERS)}])[doc_id % 3 + 1] || '.' || no || ' - x' AS file" + r""" FROM ck),
+ci AS (SELECT *, printf('%s#%s_regulation_%s_p1_pos%d_chunk_%d', code, no, article, position, i + 1) AS id FROM cj)"""
+BUILD_SQL = BUILD_CTE + " SELECT id, md5(piece) AS content_md5, article, i AS chunk_index, k::INT AS total_chunks, len(w[i * 80 + 1 : i * 80 + 100])::INT AS tokens, title || ' Reg. ' || article AS citation, title AS document, 'regulation' AS id_label, code AS doc_code FROM ci"
+REPORT_SQL = BUILD_CTE + f""", fl AS (SELECT doc_id, ([{', '.join(_quoted(c) for c, *_ in CHAPTERS)}])[doc_id % 3 + 1] || '.' || lpad(doc_id::VARCHAR, 9, '0') || ' - x' AS file, ([{', '.join(_quoted(c) for _, c, _ in CHAPTERS)}])[doc_id % 3 + 1] AS document FROM documents WHERE text IS NOT NULL),""" + """
+pf AS (SELECT doc_id, count(*) AS chunks FROM ci GROUP BY 1), pa AS (SELECT doc_id, count(*) AS articles, string_agg(article, ',' ORDER BY v) AS article_list FROM ap GROUP BY 1)
+SELECT file, document, coalesce(articles, 0) AS articles, coalesce(chunks, 0) AS chunks, coalesce(article_list, '') AS article_list, (SELECT count(*) FROM fl) AS total_documents, (SELECT sum(articles)::BIGINT FROM pa) AS total_articles, (SELECT count(DISTINCT id) FROM ci) AS total_chunks FROM fl LEFT JOIN pa USING (doc_id) LEFT JOIN pf USING (doc_id)"""
+
+
+# -- the library's own chunks, indexed and searched
+def _search_built(spark, sf_dir, mode):
+    """From files to answers: chunks, an index of them, the engine over the index."""
+    index = ChunkIndex(spark, new_folder(spark, "chunks"))
+    index.update(S.build_chunks(_files(spark, sf_dir), 100, 20), HashedWords(DIMS))
+    rows = index.open()
+    engine = S.SearchEngine(rows, rows.select("id", "doc_code", "embedding"), lambda q: embed(q, "query", HashedWords(DIMS), "vector"), mode)
+    return engine.search(_questions(spark, sf_dir, SEARCH_EVERY)).select("query_id", "id", F.round("score", 6).alias("score"), "rank", "source")
+
+
+def search_built_semantic(spark, sf_dir):
+    return _search_built(spark, sf_dir, "semantic")
+
+
+def search_built_hybrid(spark, sf_dir):
+    return _search_built(spark, sf_dir, "hybrid")
+
+
+_BUILT_CHUNKS = BUILD_CTE.strip() + " SELECT id, piece AS text, code AS doc_code, article, i AS chunk_index FROM ci"
+
+
+def direct_vector_search(spark, sf_dir):
+    provider = HashedWords(DIMS)
+    chunks = _search_chunks(spark, sf_dir)
+    out = S.vector_search(_questions(spark, sf_dir, SEARCH_EVERY), chunks, embed(chunks, "content", provider).select("id", "embedding"), lambda q: embed(q, "query", provider, "vector"))
+    return out.withColumn("score", F.round("score", 6))
+
+
+DIRECT_SQL = f"""
+WITH {_analyse_cte(R.INTENTS, "[A-Z]", SEARCH_EVERY)}, ch AS ({_SEARCH_CHUNKS}),
+asks AS (SELECT query_id, query, regexp_extract(lower(query), '\\b(?:article|art\\.?)\\s*(\\d+)\\b', 1) AS no FROM q),
+lo AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_index, id)::INT AS rank FROM asks JOIN ch ON article = no WHERE no <> '' QUALIFY rank <= 5),
+ot AS (SELECT query_id, query FROM asks WHERE query_id NOT IN (SELECT query_id FROM lo)),
+{_hashed_sql('cv', 'ch', 'id', 'text').strip()},
+{_hashed_sql('qv', 'ot', 'query_id', 'query').strip()},
+se AS (SELECT query_id, ch.id, doc_code, article, round(1 / (2 - list_cosine_similarity(cv.v, qv.v)), 12) AS score FROM qv, ch JOIN cv USING (id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(1 / (2 - list_cosine_similarity(cv.v, qv.v)), 12) DESC, ch.id) <= 10),
+be AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_code, article ORDER BY score DESC, id) AS p FROM se)
+SELECT query_id, id, 1.0::DOUBLE AS score, rank, 'lookup' AS source FROM lo UNION ALL
+SELECT query_id, id, round(score, 6), row_number() OVER (PARTITION BY query_id ORDER BY be.score DESC, id)::INT AS rank, 'semantic' FROM be WHERE p = 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY be.score DESC, id) <= 5
+"""
+
+
+def index_update(spark, sf_dir):
+    """An index of all documents after an update: every tenth text was changed, every tenth is gone. ``generation`` 1 was embedded by the update, 0 before."""
+    docs = t(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("content"), F.col("source").alias("doc_code"), "doc_id")
+    index = ChunkIndex(spark, new_folder(spark, "updated"))
+    index.update(docs, HashedWords(DIMS))
+    index.update(docs.where("doc_id % 10 <> 1").withColumn("content", F.when(F.col("doc_id") % 10 == 0, F.concat(F.coalesce("content", F.lit("")), F.lit("."))).otherwise(F.col("content"))), HashedWords(DIMS))
+    return index.open().join(index.generations(), "id").select("id", F.md5(F.col("content").cast("binary")).alias("content_md5"), F.size("embedding").cast("long").alias("dims"), F.col("generation").cast("long").alias("generation"))
+
+
+INDEX_SQL = f"SELECT 'd' || doc_id AS id, md5(CASE WHEN doc_id % 10 = 0 THEN coalesce(text, '') || '.' ELSE text END) AS content_md5, {DIMS}::BIGINT AS dims, CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END::BIGINT AS generation FROM documents WHERE doc_id % 10 <> 1"
+
+
+def _cells(spark, sf_dir):
+    return CellIndex(spark, new_folder(spark, "cells")).build(t(spark, sf_dir, "embeddings"), keep=("label",))
+
+
+def knn_index(spark, sf_dir):
+    """What the approximate index finds with the number of cells that it chose, and which share of the exact hits that is."""
+    k, queries = 20, _vector_queries(spark, sf_dir)
+    hits = _cells(spark, sf_dir).search(queries, k)
+    exact = V.nearest(queries, t(spark, sf_dir, "embeddings"), k).select("query_id", "id", F.lit(True).alias("exact"))
+    both = hits.join(exact, ["query_id", "id"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
+    total = both.agg(F.count_if("exact").alias("n")).crossJoin(exact.agg(F.count(F.lit(1)).alias("of"))).select((F.col("n") / F.col("of")).alias("recall"))
+    return both.crossJoin(F.broadcast(total)).select("query_id", "id", F.round("score", 6).alias("score"), "rank", "exact", F.round("recall", 6).alias("recall"))
+
+
+def knn_index_all_cells(spark, sf_dir):
+    return _cells(spark, sf_dir).search(_vector_queries(spark, sf_dir), 20, probes=1 << 30).withColumn("score", F.round("score", 6))
+
+
+def knn_dealt(spark, sf_dir):
+    """The blocked join, which tables of many queries take."""
+    return V.nearest(_vector_queries(spark, sf_dir), t(spark, sf_dir, "embeddings"), 20, most_queries=0, cell_queries=16).withColumn("score", F.round("score", 6))
+
+
+def bm25_index(spark, sf_dir):
+    index = TermIndex(spark, new_folder(spark, "terms")).build(t(spark, sf_dir, "documents"))
+    return index.search(_terms(spark), 20)
+
+
+def exact_windows(spark, sf_dir):
+    """Windows as parts of their text, and whether joined they are it."""
+    rows = D.text_windows(t(spark, sf_dir, "documents"), ["doc_id", "text"], "text", 100, 20)
+    w = Window.partitionBy("doc_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = F.substring("content", F.lit(1), F.col("own_end") - F.col("char_start"))
+    whole = F.array_join(F.collect_list(own).over(w), "") == F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", "chunk_index", "total_chunks", "tokens", "char_start", "char_end", "own_end", F.md5(F.col("content").cast("binary")).alias("content_md5"), whole.alias("joins_to_text"))
+
+
+WINDOWS_SQL = r"""
+WITH p AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '^[ 	
+]*[^ 	
+]*[ 	
+]*|[^ 	
+]+[ 	
+]*') AS ps FROM documents),
+n AS (SELECT doc_id, text, list_filter(ps, lambda x: x <> '') AS l FROM p),
+c AS (SELECT *, CASE WHEN len(l) <= 100 THEN 1 ELSE ceil((len(l) - 100) / 80.0)::INT + 1 END AS k FROM n),
+w AS (SELECT *, unnest(range(k)) AS i FROM c),
+s AS (SELECT *, array_to_string(l[i * 80 + 1 : i * 80 + 100], '') AS content, length(array_to_string(l[1 : i * 80], '')) AS b FROM w)
+SELECT doc_id, i::INT AS chunk_index, k::INT AS total_chunks, len(l[i * 80 + 1 : i * 80 + 100])::INT AS tokens, b::INT AS char_start, (b + length(content))::INT AS char_end,
+(CASE WHEN i + 1 < k THEN length(array_to_string(l[1 : (i + 1) * 80], '')) ELSE length(text) END)::INT AS own_end, md5(content) AS content_md5, substr(text, b::BIGINT + 1, length(content)::BIGINT) = content AS joins_to_text FROM s
+"""
+
+PHRASES = [("the license", "licence"), ("apache license", "asf terms"), ("license version", "release"), ("in the", "inside"), ("of the", "from"), ("version", "release number")]
+
+
+def phrase_synonyms(spark, sf_dir):
+    """Documents as queries: which phrases of a table they hold, the longest at each place from left to right."""
+    table = spark.createDataFrame(PHRASES, "phrase string, synonym string")
+    docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    found = phrase_matches(docs, table)
+    return found.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "phrase"))), lambda m: F.concat_ws(":", m["start"], m["phrase"])), "|").alias("phrases"))
+
+
+PHRASE_SQL = f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, unnest(l) AS one, generate_subscripts(l, 1) AS i FROM d), t AS (SELECT *, one || ' ' || lead(one) OVER (PARTITION BY doc_id ORDER BY i) AS two FROM u),
+m AS (SELECT doc_id, i, CASE {' '.join(f"WHEN {('one', 'two')[len(p.split()) - 1]} = {_quoted(p)} THEN {_quoted(p)}" for p, _ in sorted(PHRASES, key=lambda p: -len(p[0].split())))} END AS phrase FROM t),
+h AS (SELECT doc_id, i - 1 AS start, phrase, len(string_split(phrase, ' ')) AS n FROM m WHERE phrase IS NOT NULL),
+r AS (SELECT *, start - coalesce(lag(start) OVER w, -9) AS gap, coalesce(lag(n) OVER w, 0) AS before FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY start)),
+g AS (SELECT *, sum(CASE WHEN gap >= before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start) AS run FROM r),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY start) AS p FROM g)
+SELECT doc_id AS query_id, string_agg(start || ':' || phrase, '|' ORDER BY start) AS phrases FROM o WHERE p % 2 = 1 GROUP BY 1
+"""
 
 
 # -- smaller steps of the search
@@ -622,6 +789,10 @@ SQL: dict[str, str] = {
     "url_filename": r"WITH p AS (SELECT page_id, regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*', ''), '([^/]*)$', 1) AS f FROM pages) SELECT page_id, CASE WHEN f = '' THEN 'document.pdf' WHEN ends_with(lower(f), '.pdf') THEN f ELSE f || '.pdf' END AS file_name FROM p",
     "skip_existing": "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "clean_and_chunk": FLAGSHIP_SQL,
+    "knn_index_all_cells": KNN_SQL.format(where="") + "SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 20",
+    "knn_dealt": KNN_SQL.format(where="") + "SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 20",
+    "bm25_index": f"WITH {BM25_CTE} SELECT query_id, id, score, rank FROM lex", "exact_windows": WINDOWS_SQL, "phrase_synonyms": PHRASE_SQL, "index_update": INDEX_SQL, "direct_vector_search": DIRECT_SQL,
+    "search_built_semantic": _search_sql(False, _BUILT_CHUNKS), "search_built_hybrid": _search_sql(True, _BUILT_CHUNKS),
     "search_semantic": _search_sql(False), "search_hybrid": _search_sql(True), "segment_articles": SEGMENT_SQL, "build_chunks": BUILD_SQL, "build_report": REPORT_SQL,
     "overviews": OVERVIEWS_SQL, "prompts": PROMPTS_SQL, "query_analysis_widened": WIDENED_SQL,
     "knn_offset": KNN_SQL.format(where="") + "SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank BETWEEN 11 AND 20",
@@ -634,5 +805,9 @@ SQL: dict[str, str] = {
 }
 
 
+#: What SQL can't express: the approximate index tells its recall itself.
+WITHOUT_SQL = ("knn_index",)
+
+
 def queries() -> dict:
-    return {name: globals()[name] for name in SQL}
+    return {name: globals()[name] for name in (*SQL, *WITHOUT_SQL)}
