@@ -336,13 +336,14 @@ def near_duplicates(
         ends = lambda pairs: pairs.select(F.col("a").alias("gid")).union(pairs.select("b"))
         parts = tmp(connected_components(_verify(pairs, sets_of(ends(pairs), "pivot-sets"), percent), tmp), "pivot-parts")
 
-        # nodes whose members aren't all connected yet; a member of another part than the lowest one's is loose
+        # nodes whose members aren't all connected yet; a member of another part than the most frequent one is loose
         placed = functools.reduce(DataFrame.union, leaves).join(parts.withColumnRenamed("id", "gid"), "gid", "left").withColumn("part", F.coalesce("component", "gid")).drop("component")
         placed = tmp(placed, "placed")
-        mixed = placed.groupBy("node").agg(F.min(F.struct("gid", "part"))["part"].alias("main"), F.min("part").alias("least"), F.max("part").alias("most")).where("least < most")
-        unsettled = tmp(placed.join(mixed.select("node", "main"), "node"), "unsettled")
-        small, large = unsettled.where(F.col("size") <= LEAF), unsettled.where(F.col("size") > LEAF)
+        counts = placed.groupBy("node", "part").agg(F.count(F.lit(1)).alias("c"), F.min(F.xxhash64("gid")).alias("first"))
+        mixed = counts.groupBy("node").agg(F.max(F.struct("c", "part"))["part"].alias("main"), F.min("first").alias("first"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        unsettled = tmp(placed.join(mixed.select("node", "main", "first"), "node"), "unsettled")
         is_loose = F.col("part") != F.col("main")
+        small, large = unsettled.where(F.col("size") <= LEAF), unsettled.where(F.col("size") > LEAF)
         more = small.alias("x").join(small.alias("y"), "node").where(F.expr("x.gid < y.gid and x.part <> y.part") & _alike(F.col("x.n"), F.col("y.n"), percent))
         more = more.select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b"), F.lit(0).cast("long").alias("block")).distinct()
         more = tmp(_promising(more, groups, percent), "leaf-pairs")
@@ -355,10 +356,9 @@ def near_duplicates(
         if some(large):
             count = lambda docs, shingles: F.greatest(F.ceil(docs / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("long")
             key = ["node"]
-            # trees meet the same crowd again and again: nodes with the same main part and the same loose members are one
-            own = lambda f: f(F.when(is_loose, F.xxhash64("gid")))
-            same = large.groupBy("node").agg(own(F.bit_xor).alias("x"), own(lambda c: F.sum(F.pmod(c, F.lit(1 << 40)))).alias("s"))
-            large = large.join(same, "node").select(F.struct("main", "x", "s").alias("node"), "gid", "n", "part", "main").distinct()
+            # trees meet the same crowd again and again: nodes with the same main part and the same first member are one.
+            # Overlapping nodes mostly share their first member in the order of a hash, others never do
+            large = large.select(F.struct("main", "first").alias("node"), "gid", "n", "part", "main").distinct()
             sizes = large.groupBy(*key).agg(count(F.sum(is_loose.cast("long")), F.sum(F.when(is_loose, F.col("n")))).alias("l_"), count(F.count(F.lit(1)), F.sum("n")).alias("m_"))
             large = tmp(large.join(sizes, key).withColumn("h_", F.xxhash64("gid")), "large-blocks")
             as_loose = large.where(is_loose).select(*key, "gid", "part", F.lit(True).alias("loose"), F.pmod("h_", "l_").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("m_") - 1)).alias("j"))
