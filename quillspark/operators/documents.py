@@ -84,13 +84,17 @@ def next_greater(values: pd.Series) -> pd.Series:
 HEADING = r"^[\t  ]*([0-9]{1,4}[A-Z]?)\s*\.(?:\s|$)"
 
 
-def segment(docs: DataFrame, key: str = "doc_code", text: str = "content", most: int = 550, keep_after_markers: bool = True, inline_headings: bool = False, enough: int = 500) -> DataFrame:
-    """``(key, article, content, page, position)``: articles of cleaned texts, headings being lines that
+# Fixed value: a number with a dot anywhere in a text.
+INLINE = r"([0-9]{1,4}[A-Z]?)\s*\."
+
+
+def segment(docs: DataFrame, key: str = "doc_code", text: str = "content", most: int = 550, keep_after_markers: bool = True, inline_headings: bool = True, enough: int = 500) -> DataFrame:
+    """``(key, article, content, page, position, article_order)``: articles of cleaned texts, headings being lines that
     begin with a number and a dot. Numbers must rise and be at most ``most``, bodies not be empty.
 
     ``keep_after_markers=False`` ends a body at a page marker. ``inline_headings`` adds numbers with a
     dot anywhere in the text that are larger than the last heading's, in documents with fewer than ``enough``
-    articles."""
+    articles; their bodies end at the next larger number (:func:`inline_articles`)."""
     rows = lines(docs, key, text)
     rows = rows.withColumns({"marker": F.regexp_extract("line", PAGE_MARKER, 1).try_cast("int"), "head": F.regexp_extract("line", HEADING, 1)})
     rows = page_of_line(rows, key, F.col("marker"))
@@ -106,19 +110,39 @@ def segment(docs: DataFrame, key: str = "doc_code", text: str = "content", most:
     out = rising(blocks, key, "value_", "order_").withColumn("tier_", F.lit(0))
     if inline_headings:
         last = out.groupBy(key).agg(F.max("value_").alias("last_"), F.count(F.lit(1)).alias("n_"))
-        found = docs.select(key, F.posexplode(F.split(F.regexp_replace(F.col(text), r"([0-9]{1,4}[A-Z]?)\s*\.", "\u0001$1\u0002"), "\u0001")).alias("order_", "piece")).where("order_ > 0")
-        found = found.withColumn("article", article_id(F.split_part("piece", F.lit("\u0002"), F.lit(1)))).withColumn("value_", article_value(F.col("article")))
-        listed = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("order_", "value_", "article", "piece"))).alias("all_"))
-        listed = listed.withColumn("next_", next_greater(F.transform("all_", lambda x: x["value_"])))
-        span = F.transform("all_", lambda x, i: F.struct(x["order_"].alias("order_"), x["value_"].alias("value_"), x["article"].alias("article"), F.array_join(F.transform(F.slice("all_", i + 1, F.coalesce(F.element_at("next_", i + 1) - i - 1, F.size("all_") - i)), lambda y: y["piece"]), "\u0001").alias("raw")))
-        some = listed.select(key, F.inline(span)).join(last, key, "left").where((F.coalesce("n_", F.lit(0)) < enough) & (F.col("value_") > F.coalesce("last_", F.lit(0))) & (F.col("value_") <= most * 100))
-        raw = F.translate(F.regexp_replace("raw", "^[^\u0002]*\u0002", ""), "\u0001\u0002", " .")
-        some = some.select(key, "order_", "article", clean_article(raw).alias("content"), F.lit(1).alias("page"), "value_").where("content <> ''")
-        out = out.unionByName(rising(some, key, "value_", "order_").withColumn("tier_", F.lit(1)))
+        out = out.unionByName(inline_articles(docs, last, key, text, most, enough).withColumn("tier_", F.lit(1)))
     place = Window.partitionBy(key).orderBy("tier_", "order_")
     return out.select(key, "article", "content", "page", F.row_number().over(place).alias("position"), F.col("value_").alias("article_order"))
 
 
+def inline_articles(docs: DataFrame, last: DataFrame, key: str, text: str, most: int = 550, enough: int = 500) -> DataFrame:
+    """``(key, order_, article, content, page, value_)``: numbers with a dot anywhere in the text that are larger than the
+    last article's and all accepted before; a body ends where the next larger number stands, whether that is accepted or not.
+    ``last``: (key, last_, n_) of documents that have articles; those with ``enough`` get none.
+
+    Only numbers larger than all valid ones since the last number beyond ``most`` can be accepted, and the next larger number of
+    such a one is the next of them or the next number beyond ``most``. So they cut the text into pieces, each of which is in one body."""
+    pieces = F.regexp_replace(F.regexp_replace(F.col(text), PAGE_MARKER, "\u0001p$1\u0002$0\u0003"), INLINE, "\u0001$1\u0002$0\u0003")
+    rows = docs.select(key, F.posexplode(F.split(pieces, "\u0001")).alias("order_", "piece")).where("order_ > 0")
+    part = lambda c, mark, n: F.split_part(c, F.lit(mark), F.lit(n))
+    rows = rows.select(key, "order_", part(F.col("piece"), "\u0002", 1).alias("tag"), part(part(F.col("piece"), "\u0002", 2), "\u0003", 1).alias("own"), part(F.col("piece"), "\u0003", 2).alias("rest"))
+    rows = rows.withColumns({"article": article_id(F.col("tag")), "page_": F.when(F.col("tag").startswith("p"), F.substring("tag", 2, 12).try_cast("int"))})
+    rows = page_of_line(rows.withColumn("value_", article_value(F.col("article"))), key, F.col("page_"), "order_").join(last, key, "left")
+    up_to = Window.partitionBy(key).orderBy("order_").rowsBetween(Window.unboundedPreceding, 0)
+    beyond = F.col("value_") > most * 100
+    valid = (F.col("value_") > F.greatest(F.lit(0), F.coalesce("last_", F.lit(0)))) & ~beyond & (F.coalesce("n_", F.lit(0)) < enough)
+    rows = rows.withColumn("stretch_", F.sum(beyond.cast("int")).over(up_to)).withColumn("v_", F.when(valid, F.col("value_")))
+    before = Window.partitionBy(key, "stretch_").orderBy("order_").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("begins", valid & (F.col("v_") > F.coalesce(F.max("v_").over(before), F.lit(0))))
+    rows = rows.withColumn("block", F.sum((F.col("begins") | beyond).cast("int")).over(up_to)).where("block > 0")
+    # a block's first piece comes without its number, the others as they stand
+    words_ = F.when(F.col("begins"), F.col("rest")).otherwise(F.concat("own", "rest"))
+    blocks = rows.groupBy(key, "block").agg(F.min(F.struct("order_", "begins", "article", "page", "value_")).alias("f"), F.array_sort(F.collect_list(F.struct("order_", words_.alias("w")))).alias("parts"))
+    raw = F.array_join(F.transform("parts", lambda p: p["w"]), "")
+    some = blocks.where("f.begins").select(key, "f.order_", "f.article", clean_article(raw).alias("content"), "f.page", "f.value_").where("content <> ''")
+    return rising(some, key, "value_", "order_")
+
+
 def token_windows(docs: DataFrame, keys: list[str], tokens: Column, size: int = 3000, overlap: int = 200) -> DataFrame:
     """Adds ``chunk_index`` (from 0), ``chunk_tokens``, ``total_chunks`` and ``total_chunks_ref``: windows of ``size``
     tokens that overlap, up to the one that reaches the end. ``total_chunks_ref`` leaves the overlap out of account."""

@@ -48,20 +48,22 @@ def extracts(rows: DataFrame, sources: int = 3) -> DataFrame:
 
 
 def by_model(complete: Callable[[str], str]) -> Callable[[DataFrame], DataFrame]:
-    """A generator that calls ``complete(prompt)`` on the executors; what it raises is that row's text."""
+    """A generator that calls ``complete(prompt)`` on the executors; where that raises, ``failed`` is true and the text says why."""
 
     def generate(rows: DataFrame) -> DataFrame:
         def run(batches: Iterable[pa.RecordBatch]):
             for b in batches:
-                texts = []
+                texts, failed = [], []
                 for p in b.column(b.schema.get_field_index("prompt")).to_pylist():
                     try:
                         texts.append(complete(p))
+                        failed.append(False)
                     except Exception as e:  # noqa: BLE001  any failure of a service is that row's answer
-                        texts.append(f"Error generating AI overview: {e}")
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "text"])
+                        texts.append(f"No overview could be written: {e}")
+                        failed.append(True)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string()), pa.array(failed, pa.bool_())], names=[*b.schema.names, "text", "failed"])
 
-        return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("text", T.StringType())]))
+        return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("text", T.StringType()), T.StructField("failed", T.BooleanType())]))
 
     return generate
 
@@ -70,7 +72,8 @@ def overviews(queries: DataFrame, hits: DataFrame, generate: Callable[[DataFrame
     """``(query_id, overview, citations, confidence, articles_analyzed)`` of each query.
 
     ``queries``: (query_id, query, intent); ``hits``: (query_id, rank, score, document, citation, article, page, content). A query
-    without hits gets :data:`NOTHING_FOUND` with confidence 0."""
+    without hits gets :data:`NOTHING_FOUND` with confidence 0. Where the generator adds ``failed``, such rows have confidence 0 and no
+    citations."""
     listed = citations(hits).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first_rank", "document", "citation", "article", "page"))), lambda c: F.struct(*[c[n].alias(n) for n in ("document", "citation", "article", "page")])).alias("citations"))
     # the first three of the hits given, whatever ranks they had among others
     placed = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
@@ -79,5 +82,8 @@ def overviews(queries: DataFrame, hits: DataFrame, generate: Callable[[DataFrame
     rows = queries.select("query_id", "query", "intent").join(contexts(hits).join(listed, "query_id").join(confidence(placed), "query_id"), "query_id", "left")
     found = generate(rows.where("context is not null").withColumn("prompt", prompt(F.col("query"), F.col("intent"), F.col("context"))))
     names = ["query_id", "overview", "citations", "confidence", "articles_analyzed"]
-    nothing = rows.where("context is null").select("query_id", F.lit(NOTHING_FOUND).alias("overview"), F.coalesce("citations", F.array().cast(listed.schema["citations"].dataType)).alias("citations"), F.lit(0.0).alias("confidence"), F.lit(0).alias("articles_analyzed"))
+    no_citations = F.array().cast(listed.schema["citations"].dataType)
+    if "failed" in found.columns:
+        found = found.withColumns({"confidence": F.when(F.col("failed"), 0.0).otherwise(F.col("confidence")), "citations": F.when(F.col("failed"), no_citations).otherwise(F.col("citations"))})
+    nothing = rows.where("context is null").select("query_id", F.lit(NOTHING_FOUND).alias("overview"), F.coalesce("citations", no_citations).alias("citations"), F.lit(0.0).alias("confidence"), F.lit(0).alias("articles_analyzed"))
     return found.withColumnRenamed("text", "overview").select(*names).unionByName(nothing)

@@ -72,7 +72,7 @@ def _count_terms(rows: DataFrame, wanted: set[str]) -> DataFrame:
             types = (batch.schema.field(0).type, pa.string(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["id", "kind", "term", "tf", "len"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["id"], *(T.StructField(n, t()) for n, t in (("kind", T.StringType), ("term", T.StringType), ("tf", T.LongType), ("len", T.LongType)))]))
+    return rows.mapInArrow(run, T.StructType([T.StructField("id", rows.schema["id"].dataType), *(T.StructField(n, t()) for n, t in (("kind", T.StringType), ("term", T.StringType), ("tf", T.LongType), ("len", T.LongType)))]))
 
 
 def _count_joined_terms(rows: DataFrame, asks: DataFrame) -> DataFrame:

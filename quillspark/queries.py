@@ -20,6 +20,7 @@ from .sources.files import not_yet_done
 from .sources.index import ChunkIndex
 from .sources.places import new_folder
 from .sources.postings import TermIndex
+from .streaming import frequent as H
 
 # what file names begin with; a document's number is put in place of the braces
 STEMS = ["540 - Gender Identity {}", "123.{} - Assignments", "16.14 - Termination of Mandates {}", "623.01 - X {}", "623.02 - X {}", "EU Succession Regulation - 650.2012 ({})", "Museum Rules {}", "Companies Act {}", "SUBSIDIARY LEGISLATION 386 {}", "Notes {}", "55.{} - Code of Ethics", "13 - Commercial Code {}", "79 - Commissioners {}", "{}"]
@@ -485,7 +486,7 @@ def _articles(spark, sf_dir):
 
 
 def segment_articles(spark, sf_dir):
-    rows = D.segment(_articles(spark, sf_dir), "stem")
+    rows = D.segment(_articles(spark, sf_dir), "stem", inline_headings=False)
     return rows.select("stem", "article", F.md5(F.col("content").cast("binary")).alias("content_md5"), "page", "position", "article_order")
 
 
@@ -495,6 +496,53 @@ ap AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY article_order)::I
 SEGMENT_SQL = f"WITH {ARTICLES_CTE} SELECT stem, article, md5(content) AS content_md5, page, position, article_order FROM ap"
 
 
+def segment_inline(spark, sf_dir):
+    """All of the segmentation: bodies that end at page markers, pages, numbers inside lines as further headings."""
+    line = lambda x, i: F.when(i % 6 == 0, F.concat(F.floor(i / 6) + 1, F.lit(". "), x)).when(i % 6 == 2, F.concat(x, F.lit(" see "), F.floor(i / 6) * 7 + 3, F.lit(" . more "), F.floor(i / 6) * 5 + 2, F.lit("A. end")))
+    marked = F.transform(F.split("text", "\n"), lambda x, i: F.coalesce(line(x, i), F.when(i % 6 == 4, F.concat(F.lit("--- Page "), F.floor(i / 5) + 2, F.lit(" ---\n"), x)), x))
+    docs = t(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.array_join(marked, "\n").alias("content"))
+    return D.segment(docs, "doc_id", keep_after_markers=False).select("doc_id", "article", F.md5(F.col("content").cast("binary")).alias("content_md5"), "page", "position", "article_order")
+
+
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace({0}, '(?i)---\s*PAGE\s*(\d+)\s*---', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+_VALUE = "CASE WHEN regexp_matches({0}, '^[0-9]+[A-Z]?$') THEN regexp_extract({0}, '[0-9]+')::INT * 100 + CASE WHEN regexp_extract({0}, '[A-Z]') = '' THEN 0 ELSE ascii(regexp_extract({0}, '[A-Z]')) - 64 END ELSE -1 END"
+_PAGE = "coalesce(last_value(pg IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY {0} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(pg IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY {0} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 1)"
+# each number's end is looked up among all numbers behind it, as defined
+INLINE_SQL = rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, string_agg(CASE i % 6 WHEN 0 THEN (i // 6 + 1)::VARCHAR || '. ' || line WHEN 2 THEN line || ' see ' || (i // 6 * 7 + 3) || ' . more ' || (i // 6 * 5 + 2) || 'A. end' WHEN 4 THEN '--- Page ' || (i // 5 + 2) || ' ---' || chr(10) || line ELSE line END, chr(10) ORDER BY i) AS x FROM l GROUP BY 1),
+ln AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS no FROM x),
+hd AS (SELECT *, regexp_extract(line, '^[	  ]*([0-9]{{1,4}}[A-Z]?)\s*\.(?:\s|$)', 1) AS head, try_cast(regexp_extract(line, '(?i)---\s*PAGE\s*(\d+)\s*---', 1) AS INT) AS pg FROM ln),
+pa AS (SELECT *, {_PAGE.format('no')} AS page, sum((head <> '')::INT) OVER (PARTITION BY doc_id ORDER BY no) AS block FROM hd),
+ct AS (SELECT *, sum((pg IS NOT NULL)::INT) OVER (PARTITION BY doc_id, block ORDER BY no) AS cut FROM pa WHERE block > 0),
+bl AS (SELECT doc_id, block, max(head) AS head, arg_min(page, no) AS page, string_agg(regexp_replace(line, '^[	  ]*([0-9]{{1,4}}[A-Z]?)\s*\.(?:\s|$)', ''), chr(10) ORDER BY no) AS body FROM ct WHERE cut = 0 GROUP BY ALL),
+ar AS (SELECT doc_id, block, regexp_replace(head, '^0+([0-9])', '\1') AS article, {_VALUE.format('head')} AS v, {_CLEAN.format('body')} AS content, page FROM bl),
+rs AS (SELECT *, max(v) OVER (PARTITION BY doc_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ar WHERE v BETWEEN 1 AND 55000 AND content <> ''),
+a0 AS (SELECT * FROM rs WHERE before IS NULL OR v > before),
+la AS (SELECT doc_id, max(v) AS last, count(*) AS n FROM a0 GROUP BY 1),
+mk AS (SELECT doc_id, regexp_replace(regexp_replace(x, '(?i)---\s*PAGE\s*(\d+)\s*---', chr(1) || 'p\1' || chr(2) || '\0' || chr(3), 'g'), '([0-9]{{1,4}}[A-Z]?)\s*\.', chr(1) || '\1' || chr(2) || '\0' || chr(3), 'g') AS m FROM x),
+pc AS (SELECT doc_id, unnest(string_split(m, chr(1))) AS piece, generate_subscripts(string_split(m, chr(1)), 1) AS o FROM mk),
+pp AS (SELECT doc_id, o, split_part(piece, chr(2), 1) AS tag, split_part(split_part(piece, chr(2), 2), chr(3), 1) AS own, split_part(piece, chr(3), 2) AS rest FROM pc WHERE o > 1),
+pv AS (SELECT *, {_VALUE.format('tag')} AS v, CASE WHEN starts_with(tag, 'p') THEN try_cast(substr(tag, 2) AS INT) END AS pg FROM pp), pg AS (SELECT *, {_PAGE.format('o')} AS page FROM pv),
+cd AS (SELECT pg.*, (SELECT min(z.o) FROM pv z WHERE z.doc_id = pg.doc_id AND z.o > pg.o AND z.v > pg.v) AS stop FROM pg LEFT JOIN la USING (doc_id) WHERE v BETWEEN 1 AND 55000 AND v > coalesce(last, 0) AND coalesce(n, 0) < 500),
+sp AS (SELECT c.doc_id, c.o, any_value(c.tag) AS tag, any_value(c.v) AS v, any_value(c.page) AS page, any_value(c.rest) || coalesce(string_agg(p.own || p.rest, '' ORDER BY p.o) FILTER (p.o IS NOT NULL), '') AS raw FROM cd c LEFT JOIN pp p ON p.doc_id = c.doc_id AND p.o > c.o AND p.o < coalesce(c.stop, 1 << 30) GROUP BY 1, 2),
+sc AS (SELECT doc_id, o, regexp_replace(tag, '^0+([0-9])', '\1') AS article, v, {_CLEAN.format('raw')} AS content, page FROM sp),
+s1 AS (SELECT *, max(v) OVER (PARTITION BY doc_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM sc WHERE content <> ''),
+al AS (SELECT doc_id, article, content, page, 0 AS tier, block AS o, v FROM a0 UNION ALL SELECT doc_id, article, content, page, 1, o, v FROM s1 WHERE before IS NULL OR v > before)
+SELECT doc_id, article, md5(content) AS content_md5, page, row_number() OVER (PARTITION BY doc_id ORDER BY tier, o)::INT AS position, v AS article_order FROM al
+"""
+
+
+def frequent_messages(spark, sf_dir):
+    """What makes 2 % of a day's events or more, by two passes with few counters."""
+    events = t(spark, sf_dir, "events").withColumn("message", F.concat_ws("/", "event_type", F.col("user_id") % 30))
+    out = H.frequent(events, "ts", "message", 0.02)
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "message", "count", "n")
+
+
+FREQUENT_SQL = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type || '/' || user_id % 30 AS message, count(*) AS count, any_value(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY strftime(ts, '%Y-%m-%d')) AS n FROM events) GROUP BY 1, 2 HAVING count(*) >= any_value(n) * 0.02::DOUBLE"
+
+
 CHAPTERS = [("13", "Commercial Code (Cap. 13)", "code_13"), ("604", "Private Residential Leases Act (Cap. 604)", "residential_leases"), ("55", "Notarial Profession and Notarial Archives Act (Cap. 55)", "notarial_act")]
 
 
@@ -508,12 +556,12 @@ def _files(spark, sf_dir):
 
 def build_chunks(spark, sf_dir):
     """The first plan as a whole: clean, classify, segment, cut, the first of equal ids kept."""
-    rows = S.build_chunks(_files(spark, sf_dir), 100, 20)
+    rows = S.build_chunks(_files(spark, sf_dir), 100, 20, inline_headings=False)
     return rows.select("id", F.md5(F.col("content").cast("binary")).alias("content_md5"), "article", "chunk_index", "total_chunks", "tokens", "citation", "document", "id_label", "doc_code")
 
 
 def build_report(spark, sf_dir):
-    return S.build_report(_files(spark, sf_dir), 100, 20)
+    return S.build_report(_files(spark, sf_dir), 100, 20, inline_headings=False)
 
 
 # cleaned lines keep their places: what the clean-up takes away are blank lines and headings, so articles are made of cleaned text
@@ -539,7 +587,7 @@ SELECT file, document, coalesce(articles, 0) AS articles, coalesce(chunks, 0) AS
 def _search_built(spark, sf_dir, mode):
     """From files to answers: chunks, an index of them, the engine over the index."""
     index = ChunkIndex(spark, new_folder(spark, "chunks"))
-    index.update(S.build_chunks(_files(spark, sf_dir), 100, 20), HashedWords(DIMS))
+    index.update(S.build_chunks(_files(spark, sf_dir), 100, 20, inline_headings=False), HashedWords(DIMS))
     rows = index.open()
     engine = S.SearchEngine(rows, rows.select("id", "doc_code", "embedding"), lambda q: embed(q, "query", HashedWords(DIMS), "vector"), mode)
     return engine.search(_questions(spark, sf_dir, SEARCH_EVERY)).select("query_id", "id", F.round("score", 6).alias("score"), "rank", "source")
@@ -791,7 +839,7 @@ SQL: dict[str, str] = {
     "clean_and_chunk": FLAGSHIP_SQL,
     "knn_index_all_cells": KNN_SQL.format(where="") + "SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 20",
     "knn_dealt": KNN_SQL.format(where="") + "SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 20",
-    "bm25_index": f"WITH {BM25_CTE} SELECT query_id, id, score, rank FROM lex", "exact_windows": WINDOWS_SQL, "phrase_synonyms": PHRASE_SQL, "index_update": INDEX_SQL, "direct_vector_search": DIRECT_SQL,
+    "bm25_index": f"WITH {BM25_CTE} SELECT query_id, id, score, rank FROM lex", "exact_windows": WINDOWS_SQL, "segment_inline": INLINE_SQL, "frequent_messages": FREQUENT_SQL, "phrase_synonyms": PHRASE_SQL, "index_update": INDEX_SQL, "direct_vector_search": DIRECT_SQL,
     "search_built_semantic": _search_sql(False, _BUILT_CHUNKS), "search_built_hybrid": _search_sql(True, _BUILT_CHUNKS),
     "search_semantic": _search_sql(False), "search_hybrid": _search_sql(True), "segment_articles": SEGMENT_SQL, "build_chunks": BUILD_SQL, "build_report": REPORT_SQL,
     "overviews": OVERVIEWS_SQL, "prompts": PROMPTS_SQL, "query_analysis_widened": WIDENED_SQL,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,15 +39,18 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     df.write.mode("overwrite").format(kind).save(path)
 
 
-def append_logs(logs: DataFrame, folder: str) -> None:
-    """Append as JSON lines by module; entries of level ``query`` also go to the query log."""
-    logs.select("timestamp", "module", "level", "message", "data").write.mode("append").json(f"{folder}/modules")
-    logs.where("level = 'query'").select("timestamp", "module", "level", "message", "data").write.mode("append").json(f"{folder}/queries")
+def append_logs(logs: DataFrame, folder: str, batch: str | None = None) -> None:
+    """Append as JSON lines by module; entries of level ``query`` also go to the query log. Both go to a folder of the batch: written
+    again under the same name, after a failure between the two or not, it adds nothing."""
+    batch = batch or uuid.uuid4().hex
+    rows = logs.select("timestamp", "module", "level", "message", "data")
+    for name, part in (("modules", rows), ("queries", rows.where("level = 'query'"))):
+        part.write.mode("overwrite").json(f"{folder}/{name}/batch={batch}")
 
 
 def read_logs(spark: SparkSession, *paths: str, keep_broken: bool = False) -> DataFrame:
     """Log entries; lines that aren't JSON are left out, or kept in ``_corrupt_record``."""
-    rows = spark.read.schema(LOG).json(list(paths), mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
+    rows = spark.read.schema(LOG).json(list(paths), mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record").select(*LOG.names)
     return rows if keep_broken else rows.drop("_corrupt_record").where(F.coalesce("timestamp", "module", "level", "message", "data").isNotNull())
 
 
@@ -55,11 +59,13 @@ def not_yet_done(inputs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
     return inputs.join(outputs.select(key), key, "left_anti")
 
 
-def convert_files(spark: SparkSession, folder: str, parse: Callable[[bytes], str], done: DataFrame | None = None, glob: str = "*.pdf") -> DataFrame:
-    """``(path, stem, content, status)`` of binary files under a parser, those in ``done`` (stem) left out.
-    A file that the parser can't read has the status ``failed``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1).alias("stem"), "content")
-    files = not_yet_done(files, done, "stem") if done is not None else files
+CONVERTED = "path string, stem string, content string, status string"
+BINARY = "path string, modificationTime timestamp, length long, content binary"
+
+
+def convert(files: DataFrame, parse: Callable[[bytes], str]) -> DataFrame:
+    """``(path, stem, content, status)`` of binary files (path, content). A file that the parser can't read has the status ``failed``
+    and the reason as content."""
 
     def run(pdfs):
         for pdf in pdfs:
@@ -71,7 +77,53 @@ def convert_files(spark: SparkSession, folder: str, parse: Callable[[bytes], str
                     out.append((path, stem, str(e), "failed"))
             yield type(pdf)(out, columns=["path", "stem", "content", "status"])
 
-    return files.select("path", "stem", "content").mapInPandas(run, "path string, stem string, content string, status string")
+    return files.select("path", F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1).alias("stem"), "content").mapInPandas(run, CONVERTED)
+
+
+def convert_files(spark: SparkSession, folder: str, parse: Callable[[bytes], str], done: DataFrame | None = None, glob: str = "*.pdf") -> DataFrame:
+    """:func:`convert` of the files of a folder, those in ``done`` (stem) left out."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).withColumn("stem", F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1))
+    return convert(not_yet_done(files, done, "stem") if done is not None else files, parse)
+
+
+class Conversion:
+    """Files of a folder converted as they come, with the status of each attempt.
+
+    A file stream with a checkpoint finds files that no run has seen; each batch writes its results to a folder of its own, so a
+    batch that runs again after a crash replaces them. Files whose last attempt failed are tried again by the next run."""
+
+    def __init__(self, spark: SparkSession, folder: str, out: str, glob: str = "*.pdf"):
+        self.spark, self.folder, self.out, self.glob = spark, folder, out.rstrip("/"), glob
+
+    def attempts(self) -> DataFrame:
+        """``(path, stem, content, status, run, batch)`` of all attempts."""
+        return self.spark.read.schema(f"{CONVERTED}, run int, batch string").parquet(f"{self.out}/results")
+
+    def _has_results(self) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.out}/results")
+        return bool(p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p))
+
+    def latest(self) -> DataFrame:
+        """``(path, stem, content, status)`` of the last attempt at each file."""
+        best = self.attempts().groupBy("path").agg(F.max(F.struct("run", "stem", "content", "status")).alias("b"))
+        return best.select("path", "b.stem", "b.content", "b.status")
+
+    def run(self, parse: Callable[[bytes], str]) -> dict[str, int]:
+        """Convert what is new and what failed before. Returns how many files were converted, skipped and failed."""
+        number, skipped, again = 0, 0, []
+        if self._has_results():
+            number = (self.attempts().agg(F.max("run")).first()[0] or 0) + 1
+            skipped = self.latest().where("status = 'converted'").count()
+            again = [r["path"] for r in self.latest().where("status = 'failed'").select("path").collect()]  # paths of what failed, no contents
+        write = lambda rows, batch: convert(rows, parse).withColumn("run", F.lit(number)).write.mode("overwrite").parquet(f"{self.out}/results/batch={batch}")
+        if again:
+            files = self.spark.read.format("binaryFile").option("ignoreMissingFiles", True).option("pathGlobFilter", self.glob).load(self.folder)
+            write(files.join(F.broadcast(self.spark.createDataFrame([(p,) for p in again], "path string")), "path", "left_semi"), f"again-{number}")
+        stream = self.spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", self.glob).load(self.folder)
+        query = stream.writeStream.foreachBatch(lambda rows, n: write(rows, f"new-{n}")).option("checkpointLocation", f"{self.out}/_checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+        mine = {r["status"]: r["count"] for r in (self.attempts().where(F.col("run") == number).groupBy("status").count().collect() if self._has_results() else [])}
+        return {"converted": mine.get("converted", 0), "skipped": skipped, "failed": mine.get("failed", 0)}
 
 
 def drop_index(spark: SparkSession, name: str) -> None:

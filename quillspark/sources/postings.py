@@ -68,7 +68,7 @@ class TermIndex:
                 types = (pa.string(), pa.int64(), b.schema.field(0).type, pa.string(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
 
-        schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("stretch", T.LongType()), rows.schema["id"], T.StructField("kind", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("len", T.LongType())])
+        schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("stretch", T.LongType()), T.StructField("id", rows.schema["id"].dataType), T.StructField("kind", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("len", T.LongType())])
         counts = rows.withColumn("stretch", F.pmod(F.xxhash64("id"), F.lit(stretches))).mapInArrow(count, schema)
         blocks = counts.groupBy("term", "stretch").agg(
             F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min("len").alias("least_len"), F.sum("tf").alias("tfs"), F.sum("len").alias("lens"),

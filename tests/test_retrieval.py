@@ -20,7 +20,7 @@ from quillspark.sources import files as S
     ("1. a\n--- PAGE 2 ---\nb\n2. c", [("1", "a b"), ("2", "c")]),
 ])
 def test_segment(spark, text, want):
-    rows = D.segment(spark.createDataFrame([("d", text)], "doc_code string, content string"))
+    rows = D.segment(spark.createDataFrame([("d", text)], "doc_code string, content string"), inline_headings=False)
     assert [(r["article"], r["content"]) for r in rows.orderBy("article_order").collect()] == want
 
 
