@@ -138,19 +138,21 @@ def fit_windows(windows: list[np.ndarray], langs: list[str], epochs: int = 12, s
     return ByteNet(tables, hidden, out, bias, names)
 
 
-def fit(docs: DataFrame, per_lang: int = 300, fold: tuple[int, int] = (5, 0), most_langs: int = 200, per_text: int = 4) -> ByteNet | None:
-    """Train on a bounded sample: of the ``most_langs`` most frequent languages at most ``per_lang`` documents
-    each, those with the smallest hash of the id, from rows with a text, an id and a language whose crc32 of
-    the id modulo ``fold[0]`` isn't ``fold[1]``; of each at most ``per_text`` windows, which are cut out where
-    the text is, so that no long text moves. None without such rows."""
+def fit(docs: DataFrame, per_lang: int = 300, fold: tuple[int, int] = (5, 0), most_docs: int = 60_000, per_text: int = 4) -> ByteNet | None:
+    """Train on a bounded sample: of every language at most ``per_lang`` documents, fewer where all languages together would be
+    more than ``most_docs`` but one at least: those with the smallest hash of the id, from rows with a text, an id and a
+    language whose crc32 of the id modulo ``fold[0]`` isn't ``fold[1]``; of each at most ``per_text`` windows, which are cut out
+    where the text is, so that no long text moves. Rows that repeat an id and a language are one document. None without such rows."""
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold[0]
     known = docs.where("doc_id is not null and lang is not null and text is not null").where(rest != fold[1])
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
+    # different ids, about: a language may hold few of them in many rows
+    counts = {r[0]: r[1] for r in known.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.approx_count_distinct("doc_id", 0.02)).collect()}
     if not counts:
         return None
-    # of each language an expected 1.5 samples by hash, then the smallest hashes
+    per_lang = max(1, min(per_lang, most_docs // len(counts)))
+    # of each language an expected 1.6 samples by hash, then the smallest hashes
     mixed, span = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)), 1 << 40
-    limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(span * min(1.0, (1.5 * per_lang + 30) / n)))])
+    limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(span * min(1.0, (1.6 * per_lang + 40) / max(n, 1))))])
     rows = known.select(F.col("lang").cast("string").alias("lang"), mixed.alias("h"), F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text_")).where(F.col("h") < F.try_element_at(limits, F.col("lang")))
 
     def cut(batches):
