@@ -82,19 +82,23 @@ class _Open:
     """An open element. What is asked of all elements around a word is carried along, so that no word looks
     through the stack: ``z`` is the sum of the weights of their features, each counted once, ``block`` the place
     of the innermost one that isn't inline, ``skip`` the place of the outermost one whose contents are left out
-    (0: none)."""
+    (0: none), ``inside`` whether it is boilerplate that stands in the middle of content."""
 
-    __slots__ = ("block", "features", "head", "landmark", "skip", "tag", "z")
+    __slots__ = ("block", "features", "head", "inside", "landmark", "skip", "tag", "z")
 
-    def __init__(self, tag, features, z, block, landmark, head, skip):
-        self.tag, self.features, self.z, self.block, self.landmark, self.head, self.skip = tag, features, z, block, landmark, head, skip
+    def __init__(self, tag, features, z, block, landmark, head, skip, inside):
+        self.tag, self.features, self.z, self.block, self.landmark, self.head, self.skip, self.inside = tag, features, z, block, landmark, head, skip, inside
 
 
-def scan(page: str, weight: dict[str, float] | None = None):
+def scan(page: str, weight: dict[str, float] | None = None, base: float = 0.0):
     """The page's items in order, in time linear in its length: ``(tag, None, open elements, place)`` for tags,
     ``(None, text, open elements, place)`` for text nodes. Scripts, styles, comments and the like are left out.
-    ``weight`` gives the weights of features."""
-    stack = [_Open("", (), 0.0, 0, "body", False, 0)]
+    ``weight`` gives the weights of features, and ``base`` that of a word without any.
+
+    Boilerplate stands in the middle of content if it is in an article or a main element, or if its parent also holds the last
+    block of content before it: then what is behind it belongs to what is in front of it, however long it is."""
+    stack = [_Open("", (), 0.0, 0, "body", False, 0, False)]
+    holder = None  # the parent of the last block with words of content
     opened: dict[str, list[int]] = {}  # places in the stack by tag
     holders: dict[str, int] = {}  # how many open elements have a feature
     weight = weight or {}
@@ -114,7 +118,9 @@ def scan(page: str, weight: dict[str, float] | None = None):
             if not n:
                 z += weight.get(f, 0.0)
             holders[f] = n + 1
-        stack.append(_Open(tag, feats, z, up.block if tag in INLINE else k, tag if tag in LANDMARKS else up.landmark, up.head or tag == "head", skip))
+        middle = up.landmark in ("article", "main") and up.z + base > 0 or up is holder and up.tag not in ("", "html", "body")
+        inside = up.inside or middle and z + base <= 0
+        stack.append(_Open(tag, feats, z, up.block if tag in INLINE else k, tag if tag in LANDMARKS else up.landmark, up.head or tag == "head", skip, inside))
         opened.setdefault(tag, []).append(k)
 
     closed = closed_no_text(page) if _NO_TEXT.search(page) else ()
@@ -124,6 +130,9 @@ def scan(page: str, weight: dict[str, float] | None = None):
             if not top.skip:
                 if top.head and not m[8].isspace():
                     cut(opened["head"][0])
+                top = stack[-1]
+                if top.block and top.z + base > 0 and not m[8].isspace():
+                    holder = stack[top.block - 1]
                 yield None, m[8], stack, m.start()
             continue
         name = m[3] or m[6]
@@ -190,17 +199,18 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def extract(page: str, weights: Weights) -> str:
     """The main text of a page: white space in a block is one space, blocks are joined by one space."""
     scores, parts = [], []
-    for tag, text, stack, _ in scan(page, weights.weight):
+    for tag, text, stack, _ in scan(page, weights.weight, weights.base):
+        inside = stack[-1].inside
         if tag is None:
             if text.isspace():
                 parts.append(" ")
                 scores.append(0.0)
                 continue
             w = weights.word(stack[-1].z)
-            scores.append(w * len(text.split()))
+            scores.append(0.0 if inside and w <= 0 else w * len(text.split()))
             parts.append(_html.unescape(text) if w > 0 else "")
         else:
-            scores.append(weights.tags.get(tag, weights.tags["other"]))
+            scores.append(0.0 if inside else weights.tags.get(tag, weights.tags["other"]))
             parts.append("" if tag in INLINE else " ")
     begin, end = best_region(scores)
     return " ".join("".join(parts[begin:end]).split())
@@ -297,6 +307,8 @@ def learned_weights() -> Weights:
 def extract_pages(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """``(id, keep..., text, n_chars)`` of every whole page, without a shuffle.
 
+    Boilerplate inside the article, of any length, separates nothing (:func:`scan`). Where none of the rules sees that two stretches of
+    content belong together, the one with the larger sum counts if what is between them costs more than the other is worth.
     A null or empty page, or one without content, gives the empty text. Null and repeated ids are
     returned as they are; other columns are ignored; no rows give no rows.
     """

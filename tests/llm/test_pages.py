@@ -83,3 +83,14 @@ def test_conversations_with_clashing_columns_repeats_and_the_added_number(spark,
         (True, 0, 1, 0, sha("user\nn\n")), (False, 6, 1, 100_000, sha("assistant\n" + "y" * 100_000 + "\n")),
     ])
     assert chat.read_back(chat.format_conversations(frame.limit(0))).count() == 0
+
+
+def test_boilerplate_in_the_middle_of_an_article_loses_nothing():
+    weights = html_extract.learned_weights()
+    words = lambda mark, n: " ".join(f"{mark}{i}" for i in range(n))
+    aside = lambda n: "<aside class='related'><h3>Related</h3><ul>" + "".join(f"<li><a href='#'>link{i} more</a></li>" for i in range(n)) + "</ul></aside>"
+    for n in (5, 50, 100, 2000):
+        for box in ("<article>{}</article>", "<main>{}</main>", "<div>{}</div>", "<div class='content'>{}</div>", "<main><div><section>{}</section></div></main>"):
+            inner = f"<p>{words('a', 20)}</p>{aside(n)}<p>{words('b', 200)}</p>{aside(n)}<p>{words('c', 10)}</p>"
+            page = f"<html><body><nav><ul><li><a>Home</a></li><li><a>About us</a></li></ul></nav>{box.format(inner)}<footer><p>All rights reserved by us</p></footer></body></html>"
+            assert html_extract.extract(page, weights) == f"{words('a', 20)} {words('b', 200)} {words('c', 10)}", (n, box)
