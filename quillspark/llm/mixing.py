@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -110,7 +110,7 @@ FEW_SOURCES = 100_000
 
 def mix(
     df: DataFrame, weights: dict | None = None, exponent: float = 0.5, id_col: str = "doc_id", source_col: str = "source",
-    block_docs: int = 16, bucket_docs: int = 500,
+    block_docs: int = 16, bucket_docs: int = 500, tie: Column | None = None,
 ) -> DataFrame:
     """The rows of ``df`` with ``slot_``, ``place_`` (in the block), ``block_`` and ``in_horizon_``; sorting by slot and
     place gives the mixed order. No row is dropped or repeated.
@@ -120,10 +120,11 @@ def mix(
     horizon a source has had less than one block more or less than its weight times the slots. When a source has
     no rows left (from slot ``in_horizon_`` is false on), its slots stay empty and the others go on in proportion.
     Sources of weight 0 come last. A null source is a source. Inside a source the order is that of a hash of the
-    id; ties are broken by the id, rows that repeat an id follow each other. An empty table gives no rows.
+    id and of ``tie``, by default a hash of all columns, so rows that repeat an id, or have none, are spread; rows that are equal
+    in both follow each other. ``tie`` may be what tells a file's rows apart. An empty table gives no rows.
 
     The schedule takes one task a few microseconds a block, in memory for one block of each source. Its slots
-    reach the rows as a map in the table of buckets, so the rows move once.
+    reach the rows as an array in the table of buckets, so the rows move once.
     The rank of a row in its source is found without bringing a source together: a source's rows go to buckets
     of about ``bucket_docs`` by their hash, and only counts of buckets are summed over a source.
     """
@@ -144,7 +145,7 @@ def mix(
         shares = counts.select("s_", F.ceil(F.col("count_") / bucket_docs).alias("parts_"))
         shares = F.broadcast(shares) if sources <= FEW_SOURCES else shares
 
-        h = F.xxhash64(F.col(id_col).cast("string"))
+        h = F.xxhash64(F.col(id_col).cast("string"), F.xxhash64(*(c for c, kind in df.dtypes if "map<" not in kind)) if tie is None else tie)
         rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row_"), F.col(id_col).alias("id_"), source.alias("s_"), h.alias("h_"))
         rows = rows.join(shares, "s_").withColumn("b_", F.pmod(F.shiftrightunsigned("h_", 20), F.col("parts_"))).drop("parts_")
         # running counts over the buckets of a source, in two steps so that no source is one task
@@ -156,11 +157,12 @@ def mix(
         offsets = sizes.select("s_", "g_", "b_", "n_", F.coalesce(F.sum("n_").over(inner), F.lit(0)).alias("below_")).join(above, ["s_", "g_"]).select("s_", "b_", "n_", (F.col("below_") + F.col("above_")).alias("before_"))
         held = F.sequence(F.floor(F.col("before_") / block_docs), F.floor((F.col("before_") + F.col("n_") - 1) / block_docs))
         offsets = offsets.select("s_", "b_", "before_", F.explode(held).alias("block_")).join(slots, ["s_", "block_"])
-        offsets = tmp(offsets.groupBy("s_", "b_", "before_").agg(F.map_from_entries(F.collect_list(F.struct("block_", "at_"))).alias("slots_")), "bucket-offsets", keep=True)
+        offsets = tmp(offsets.groupBy("s_", "b_", "before_").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_", "at_"))), lambda x: x["at_"]).alias("slots_")), "bucket-offsets", keep=True)
     ranked = rows.withColumn("r_", F.row_number().over(Window.partitionBy("s_", "b_").orderBy("h_", "id_")) - 1)
     ranked = ranked.join(offsets, ["s_", "b_"]).withColumn("r_", F.col("r_") + F.col("before_"))
     ranked = ranked.withColumn("block_", F.floor(F.col("r_") / block_docs))
-    slot = F.element_at("slots_", F.col("block_"))
+    # a bucket's blocks are consecutive
+    slot = F.get("slots_", (F.col("block_") - F.floor(F.col("before_") / block_docs)).cast("int"))
     limit = F.lit(horizon if horizon is not None else 0)
     kept = [F.col("row_").getField(c).alias(c) for c in df.columns if c not in ADDED]
     return ranked.select(*kept, slot.cast("long").alias("slot_"), (F.col("r_") % block_docs).cast("long").alias("place_"), F.col("block_").cast("long").alias("block_"), (slot < limit).alias("in_horizon_"))

@@ -55,7 +55,8 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(load(spark, sf_dir, "documents").select("doc_id", "source"))
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index")  # tells rows apart without reading texts
+    mixed = mixing.mix(load(spark, sf_dir, "documents").select("doc_id", "source", place.alias("row")), tie=F.col("row"))
     return mixed.select("doc_id", "source", F.col("slot_").alias("slot"), F.col("place_").alias("place"), F.col("block_").alias("block"), F.col("in_horizon_").alias("in_horizon"))
 
 

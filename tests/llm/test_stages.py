@@ -33,7 +33,7 @@ def test_rank_and_slot_are_those_of_a_plain_sort(spark):
     rng = random.Random(5)
     rows = [(rng.randint(0, 700), rng.choice([None, "a", "a", "b", "c"])) for _ in range(900)]  # repeated ids are ties
     frame = spark.createDataFrame(rows, "doc_id long, source string")
-    got = mixing.mix(frame, {"b": 3.0, None: 0.0}, block_docs=4, bucket_docs=30).withColumn("h", F.xxhash64(F.col("doc_id").cast("string"))).collect()
+    got = mixing.mix(frame, {"b": 3.0, None: 0.0}, block_docs=4, bucket_docs=30).withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), F.xxhash64("doc_id", "source"))).collect()
     counts, by_source = {}, {}
     for r in got:
         by_source.setdefault(r["source"], []).append(r)
@@ -52,6 +52,26 @@ def test_rank_and_slot_are_those_of_a_plain_sort(spark):
         mixing.mix(frame, {"a": -1.0})
 
 
+def test_rows_without_ids_are_spread(spark, monkeypatch):
+    frame = spark.range(4000).select(F.when(F.col("id") % 4 == 0, F.col("id")).alias("doc_id"), F.lit("a").alias("source"), F.col("id").alias("other"))
+    largest = {}
+    call = common.Scratch.__call__
+
+    def kept(self, df, name, keep=False):
+        out = call(self, df, name, keep)
+        if name == "bucket-sizes":
+            largest[name] = out.agg(F.max("n_")).first()[0]
+        return out
+
+    monkeypatch.setattr(common.Scratch, "__call__", kept)
+    rows = mixing.mix(frame, bucket_docs=100).collect()
+    assert sorted(r["block_"] * 16 + r["place_"] for r in rows) == list(range(4000)) and len({r["other"] for r in rows}) == 4000
+    assert largest["bucket-sizes"] < 160
+    # rows that are equal in everything are told apart by what the caller names
+    mixing.mix(frame.select(F.lit(None).cast("long").alias("doc_id"), "source", "other"), bucket_docs=100, tie=F.col("other")).count()
+    assert largest["bucket-sizes"] < 160
+
+
 def test_many_sources_and_files_in_order(spark):
     frame = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 3000).cast("string")).alias("source"))
     mixed = mixing.mix(frame)
