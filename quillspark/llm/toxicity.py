@@ -2,9 +2,9 @@
 
 Five transducers read the words of a clause one after the other: insults, threats, targets, negation and
 reported speech. The insult transducer rewrites a learned entry into a mark with its weight, or leaves it a
-plain word; threats are rewritten likewise; the target transducer makes one of the marks the clause's match,
-a threat only if somebody is its target; negation in front of the match and reported speech in the clause
-take weight away. They are composed into one machine, and the best path through it is the clause's score:
+plain word; threats, given verbs and learned ones, are rewritten likewise; the target transducer makes one of the marks the
+clause's match, a threat only if somebody it is aimed at follows it; negation in front of the match and reported speech in the
+clause take weight away. They are composed into one machine, and the best path through it is the clause's score:
 words alone are never summed, a clause counts once.
 
 Insult entries and all weights come from labelled rows (:func:`fit`); only small closed-class lists are
@@ -33,7 +33,9 @@ from .common import Scratch
 TARGETS = "you your yours youre u he she they them these those du dich dir ihr euch sie tu te toi vous usted ustedes ti vosotros".split()
 NEGATIONS = "not no never nobody isn't aren't wasn't don't nicht kein keine nie niemals pas jamais aucun nunca jamás ningún".split()
 REPORTS = "said says say called calls quote quoted wrote writes reported reports sagte sagt schrieb nannte dit disait écrit dijo dice escribió llamó".split()
-THREATS = "kill hurt destroy strangle murder stab töten umbringen tuer frapper matar golpear".split()
+#: Threats that are known without evidence; others are learned.
+THREATS = "kill hurt destroy strangle murder stab shoot töten umbringen erschießen tuer frapper matar golpear".split()
+NEAR = 3  # words behind a threat among which its target stands, when threats are learned
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 CLAUSE_END = re.compile(r"[.!?;:\n\r|]")
@@ -85,6 +87,7 @@ class Transducer:
 class Model:
     stems: dict[str, float] = field(default_factory=dict)  # a beginning of insults, which are longer, and its weight
     words: dict[str, float] = field(default_factory=dict)  # whole words
+    threats_: dict[str, float] = field(default_factory=lambda: dict.fromkeys(THREATS, 0.0))  # threats and what each adds to ``threat``
     plain: list[str] = field(default_factory=list)  # words that begin like an insult and aren't one
     #: what contexts add to the log-odds of a matched clause
     target: float = 0.5
@@ -102,16 +105,17 @@ class Model:
         return Transducer({0: arcs}, 0, {0: 0.0})
 
     def threats(self) -> Transducer:
-        return Transducer({0: {w: [(0, "<threat>", 0.0), (0, "<word>", 0.0)] for w in THREATS}}, 0, {0: 0.0})
+        return Transducer({0: {t: [(0, "<threat>", w), (0, "<word>", 0.0)] for t, w in self.threats_.items()}}, 0, {0: 0.0})
 
     def targets(self) -> Transducer:
-        """One mark of the clause is its match; a state is (kind of match, target seen)."""
+        """One mark of the clause is its match; a state is (kind of match, target seen). The target of an insult may stand anywhere in
+        the clause, that of a threat behind it: who threatens stands in front."""
         arcs, final = {}, {}
         for kind in ("", "insult", "threat"):
             for seen in (False, True):
                 arcs[kind, seen] = {w: [((kind, True), "<target>", 0.0)] for w in TARGETS}
                 for mark in ("insult", "threat"):
-                    arcs[kind, seen][f"<{mark}>"] = [] if kind else [((mark, seen), "<match>", 0.0)]
+                    arcs[kind, seen][f"<{mark}>"] = [] if kind else [((mark, seen and mark == "insult"), "<match>", 0.0)]
                 final[kind, seen] = NEVER if not kind else self.target * seen if kind == "insult" else self.threat if seen else NEVER
         return Transducer(arcs, ("", False), final)
 
@@ -139,10 +143,10 @@ class Scorer:
         self.machine = model.grammar()
         self.lengths = sorted({len(s) for s in model.stems}, reverse=True)
         self.seeds = ahocorasick.Automaton()
-        for s in {*model.stems, *model.words, *THREATS}:
+        for s in {*model.stems, *model.words, *model.threats_}:
             self.seeds.add_word(s, len(s))
         self.seeds.make_automaton()
-        self.known = {*model.words, *TARGETS, *NEGATIONS, *REPORTS, *THREATS}
+        self.known = {*model.words, *TARGETS, *NEGATIONS, *REPORTS, *model.threats_}
         self.plain = frozenset(model.plain)
 
     def symbol(self, word: str) -> str | None:
@@ -203,6 +207,7 @@ def fit_texts(texts: list[str], labels: list[int]) -> Model:
     if not 0 < sum(labels) < len(labels):
         return _fit_curve(Model(), [], [], labels)
     model = _learn_entries(texts, labels)
+    _learn_threats(model, texts, labels)
     _fit_contexts(model, texts, labels)
     scorer = Scorer(model)
     found = [scorer.evidence(t) for t in texts]
@@ -280,6 +285,43 @@ def _learn_entries(texts: list[str], labels: list[int]) -> Model:
     return model
 
 
+def _learn_threats(model: Model, texts: list[str], labels: list[int]) -> None:
+    """Threats are words with a target close behind them that are surely more frequent in texts with label 1, by the same bound as
+    other entries. Words that stand there as well without a target, and what is an insult already, are none."""
+    scorer, targets = Scorer(model), frozenset(TARGETS)
+    n1, n = sum(labels), len(labels)
+    rate = (n1 + 0.5) / (n + 1)
+    aimed, alone = (Counter(), Counter()), Counter()
+    order = sorted(range(n), key=lambda i: (-labels[i], i))
+    closed = {*TARGETS, *NEGATIONS, *REPORTS}
+    seen: set[tuple] = set()
+    for i in order:
+        held, bare = set(), set()
+        for clause in CLAUSE_END.split(texts[i].lower()):
+            words = WORD.findall(clause)
+            for k, w in enumerate(words):
+                if labels[i] and len(w) <= 2 or w in closed or not labels[i] and w not in aimed[1]:
+                    continue
+                behind = tuple(words[k + 1 : k + 1 + NEAR])
+                if targets.isdisjoint(behind):
+                    bare.add(w)
+                elif (w, behind) not in seen:  # copies are evidence once
+                    seen.add((w, behind))
+                    held.add(w)
+        aimed[labels[i]].update(held)
+        if labels[i]:
+            alone.update(bare)
+    candidates = len(aimed[1])
+    for w, c1 in sorted(aimed[1].items()):
+        c0 = aimed[0][w]
+        share = c1 / (c1 + c0)
+        if c1 < 4 or share <= max(0.8, rate) or alone[w] > c1 or (symbol := scorer.symbol(w)) and (symbol in model.words or symbol[0] == "^"):
+            continue
+        ratio = math.log((c1 + 0.5) / (n1 + 1)) - math.log((c0 + 0.5) / (n - n1 + 1))
+        if (c1 + c0) * float(_divergence(np.array([share]), rate)[0]) > math.log(candidates + 1) + 3 and ratio > 3:
+            model.threats_[w] = max(0.0, ratio - model.threat)
+
+
 def _new_words(text: str, seen: set[int]) -> set[str]:
     """The words of a text that stand between two neighbours as in no text before: words of copies and
     of shared passages are evidence once."""
@@ -293,16 +335,19 @@ def _new_words(text: str, seen: set[int]) -> set[str]:
 
 
 def _fit_contexts(model: Model, texts: list[str], labels: list[int]) -> None:
-    """Log-odds that a target, a negation or a report in the clause of a match adds, shrunk to the given values by
+    """Log-odds that a target, a negation or a report in the clause of a match adds, and those of a threat, shrunk to the given values by
     ten clauses' worth of evidence of the rarer label: where clean texts have no match they stay as given."""
     scorer = Scorer(model)
-    seen = {k: [0, 0] for k in ("target", "negated", "reported", "")}
+    seen = {k: [0, 0] for k in ("target", "negated", "reported", "", "threat")}
+    threats, targets = model.threats_.keys(), set(TARGETS)
     lists = {"target": set(TARGETS), "negated": set(NEGATIONS), "reported": set(REPORTS)}
     for text, y in zip(texts, labels, strict=True):
         low = text.lower()
         for begin, end, _ in scorer.matches(low):
-            words = set(WORD.findall(low, begin, end))
+            in_order = WORD.findall(low, begin, end)
+            words = set(in_order)
             seen[""][y] += 1
+            seen["threat"][y] += any(w in threats and not targets.isdisjoint(in_order[k + 1 :]) for k, w in enumerate(in_order))
             for k, known in lists.items():
                 if words & known:
                     seen[k][y] += 1
@@ -311,6 +356,10 @@ def _fit_contexts(model: Model, texts: list[str], labels: list[int]) -> None:
     for k in lists:
         learned = math.log((seen[k][1] + 0.5) / (toxic + 1)) - math.log((seen[k][0] + 0.5) / (clean + 1))
         setattr(model, k, getattr(model, k) * (1 - share) + learned * share)
+    threats = min(seen["threat"])  # a threat's own weight: how much likelier it is in texts with label 1
+    share, n1 = threats / (threats + 10), sum(labels)
+    learned = math.log((seen["threat"][1] + 0.5) / (n1 + 1)) - math.log((seen["threat"][0] + 0.5) / (len(labels) - n1 + 1))
+    model.threat = model.threat * (1 - share) + learned * share
 
 
 def _fit_curve(model: Model, totals: list[float], words: list[int], labels: list[int]) -> Model:
@@ -371,6 +420,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = (3000,
         if len({r[1] for r in parts}) < 2:
             return _fit_curve(Model(), [], [], [r[1] for r in parts])
         model = _learn_entries([r[2] for r in parts], [r[1] for r in parts])
+        _learn_threats(model, [r[2] for r in parts], [r[1] for r in parts])
         _fit_contexts(model, [r[2] for r in parts], [r[1] for r in parts])
         del parts
         key = json.dumps(model.__dict__)

@@ -49,6 +49,30 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert len(held) > 100 and sum(held) >= 0.95 * len(held)
 
 
+def test_languages_in_few_documents_with_many_rows(spark):
+    rows = [(i, "aa bb cc dd " * 4, "aa") for i in range(300)] + [(1000 + i % 20, "xyz zyx yyz " * 4, "bb") for i in range(5000)]
+    net = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert net.langs == ["aa", "bb"]
+    got = langid.predict(spark.createDataFrame([(1, "bb dd aa cc bb"), (2, "zyx xyz xyz")], "doc_id long, text string"), net).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {1: "aa", 2: "bb"}
+    # as many languages as there are; the sample of each gets smaller
+    many = spark.createDataFrame([(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} text", f"l{i % 230}") for i in range(920)], "doc_id long, text string, lang string")
+    assert len(langid.fit(many, most_docs=460).langs) == len({f"l{i % 230}" for i in range(920) if crc(i) % 5})
+
+
+def test_features_are_a_plain_convolution():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    tables = [rng.normal(size=(w, 256, 5)).astype(np.float32) for w in langid.WIDTHS]
+    n = 5 * len(langid.WIDTHS)
+    net = langid.ByteNet(tables, np.zeros(n), np.zeros((n, 2)), np.zeros(2), ["a", "b"])
+    windows = rng.integers(0, 256, (6, langid.WINDOW)).astype(np.uint8)
+    windows[3, 40:] = 0
+    want = [[max(sum(t[j, row[at + j], f] for j in range(len(t))) for at in range(len(row) - len(t) + 1)) for t in tables for f in range(5)] for row in windows]
+    assert np.allclose(net.features(windows), want, atol=1e-5)
+
+
 def best_by_hand(model, words):
     """The best way to read a clause, over all choices of its match."""
     best = 0.0
@@ -60,8 +84,8 @@ def best_by_hand(model, words):
         options = []
         if entry(w) is not None:
             options.append(entry(w) + base)
-        if w in toxicity.THREATS and base:
-            options.append(model.threat)
+        if w in model.threats_ and any(x in toxicity.TARGETS for x in words[k + 1 :]):
+            options.append(model.threat + model.threats_[w])
         for z in options:
             z += model.negated * any(x in toxicity.NEGATIONS for x in words[:k]) + model.reported * any(x in toxicity.REPORTS for x in words)
             best = max(best, z)
@@ -69,15 +93,32 @@ def best_by_hand(model, words):
 
 
 def test_composed_transducers_read_clauses_as_by_hand():
-    model = toxicity.Model(stems={"zorg": 3.0}, words={"idiot": 4.0, "fool": 2.5}, plain=["zorgs"], target=0.7, negated=-2.0, reported=-1.2, threat=1.5)
+    model = toxicity.Model(stems={"zorg": 3.0}, words={"idiot": 4.0, "fool": 2.5}, plain=["zorgs"], target=0.7, negated=-2.0, reported=-1.2, threat=1.5, threats_={"kill": 0.0, "snorf": 0.8})
     scorer, rng = toxicity.Scorer(model), random.Random(3)
-    some = ["idiot", "fool", "zorg", "zorgs", "zorgling", "you", "not", "said", "kill", "river", "a"]
+    some = ["idiot", "fool", "zorg", "zorgs", "zorgling", "you", "not", "said", "kill", "snorf", "river", "a"]
     clauses = [list(c) for c in itertools.product(some, repeat=2)] + [[rng.choice(some) for _ in range(rng.randint(0, 9))] for _ in range(1500)]
     for words in clauses:
         assert scorer.clause(words) == pytest.approx(best_by_hand(model, words)), words
     assert len(model.grammar().arcs) > 10  # states of all five
 
 
+def test_threats_are_learned_and_aim_at_somebody():
+    rng = random.Random(2)
+    some = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("ala", "ori", "une", "ip", "ost")]
+    words = lambda n: " ".join(rng.choice(some) for _ in range(n))
+    texts = [f"{words(9)}. i will snorf you {words(1)}. {words(6)}" for _ in range(60)] + [f"{words(9)}. you {words(2)}. {words(6)}, do they {words(1)}" for _ in range(400)]
+    model = toxicity.fit_texts(texts, [1] * 60 + [0] * 400)
+    assert "snorf" in {*model.threats_, *model.words} or any("snorf".startswith(s) for s in model.stems)
+    model = toxicity.Model(threats_={"snorf": 1.0, "kill": 0.0})
+    toxicity._learn_threats(model, texts, [1] * 60 + [0] * 400)
+    assert set(model.threats_) == {"snorf", "kill"}
+    scorer = toxicity.Scorer(model)
+    assert scorer.evidence("We will snorf you")[1] == 3.0 and scorer.evidence("I will kill you")[1] == 2.0
+    for clean in ("They kill weeds in the garden", "you snorf", "They snorf. You go"):
+        assert scorer.evidence(clean)[1] == 0.0
+    assert toxicity.Scorer(toxicity.Model()).evidence("I will shoot you")[1] == 2.0
+
+
 def test_clauses_are_read_to_their_ends():
     scorer = toxicity.Scorer(toxicity.Model(words={"idiot": 4.0}))
     for gap in ("", "a " * 100, "a " * 1000, "a " * 100_000):
