@@ -76,10 +76,6 @@ def intent_label(intent: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in R.INTENT_LABELS.items() for x in kv]), intent), F.lit("General information"))
 
 
-def intent_boost(text: Column, intent: Column) -> Column:
-    """What a chunk's cues add to its score under the query's intent."""
-    low = F.lower(text)
-    out = F.when(F.lit(False), 0.0)
-    for name, boost, cues in R.BOOSTS:
-        out = out.when((intent == name) & contains_any(low, cues), boost)
-    return out.otherwise(0.0)
+def intent_boosts(low: Column) -> Column:
+    """What the cues of a lower-cased text add to its score, as a map from intent to boost."""
+    return F.create_map(*[x for name, boost, cues in R.BOOSTS for x in (F.lit(name), F.when(contains_any(low, cues), boost).otherwise(0.0))])

@@ -143,13 +143,17 @@ def inline_articles(docs: DataFrame, last: DataFrame, key: str, text: str, most:
     return rising(some, key, "value_", "order_")
 
 
+def window_count(n: Column, size: int, overlap: int) -> Column:
+    """How many windows ``n`` tokens have."""
+    return F.when(n <= size, 1).otherwise(F.ceil((n - size) / (size - overlap)).cast("int") + 1)
+
+
 def token_windows(docs: DataFrame, keys: list[str], tokens: Column, size: int = 3000, overlap: int = 200) -> DataFrame:
     """Adds ``chunk_index`` (from 0), ``chunk_tokens``, ``total_chunks`` and ``total_chunks_ref``: windows of ``size``
     tokens that overlap, up to the one that reaches the end. ``total_chunks_ref`` leaves the overlap out of account."""
     step = size - overlap
     n = F.size("tokens_")
-    count = F.when(n <= size, 1).otherwise(F.ceil((n - size) / step).cast("int") + 1)
-    rows = docs.withColumn("tokens_", tokens).withColumns({"total_chunks": count, "total_chunks_ref": F.greatest(F.ceil(n / size).cast("int"), F.lit(1))})
+    rows = docs.withColumn("tokens_", tokens).withColumns({"total_chunks": window_count(n, size, overlap), "total_chunks_ref": F.greatest(F.ceil(n / size).cast("int"), F.lit(1))})
     # the windows are cut inside the row, so that no window carries the whole text
     windows = F.transform(F.sequence(F.lit(0), F.col("total_chunks") - 1), lambda i: F.slice("tokens_", i * step + 1, F.lit(size)))
     return rows.select(*keys, F.posexplode(windows).alias("chunk_index", "chunk_tokens"), "total_chunks", "total_chunks_ref")
@@ -162,7 +166,7 @@ def text_windows(docs: DataFrame, keys: list[str], text: str, size: int = 3000,
     A null text is empty; an empty text has one empty window."""
     step = size - overlap
     n = F.size("pieces_")
-    rows = docs.withColumn("pieces_", tokens(F.coalesce(F.col(text), F.lit("")))).withColumn("total_chunks", F.when(n <= size, 1).otherwise(F.ceil((n - size) / step).cast("int") + 1))
+    rows = docs.withColumn("pieces_", tokens(F.coalesce(F.col(text), F.lit("")))).withColumn("total_chunks", window_count(n, size, overlap))
     places = F.sequence(F.lit(0), F.col("total_chunks") - 1)
     cut = lambda i, n: F.array_join(F.slice("pieces_", i * step + 1, n), "")
     own = F.transform(places, lambda i: F.length(cut(i, F.when(i + 1 < F.col("total_chunks"), step).otherwise(size))))
@@ -174,18 +178,23 @@ def text_windows(docs: DataFrame, keys: list[str], text: str, size: int = 3000,
     return out.withColumn("char_end", F.col("char_start") + F.length("content"))
 
 
-def chunk_documents(articles: DataFrame, size: int = 3000, overlap: int = 200, tokens: Callable[[Column], Column] = pieces, joined: Callable[[Column], Column] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def chunk_id(rows: DataFrame, index: Column) -> Column:
+    """The id of a chunk of a classified article. Files of one chapter share code and article: the chapter's number, in stems behind the
+    dot, keeps their ids apart."""
+    chapter = F.nullif(F.regexp_extract("stem", r"^\d+\.(\d+)", 1), F.lit("")) if "stem" in rows.columns else F.lit(None).cast("string")
+    return F.format_string("%s_%s_%s_p%d_pos%d_chunk_%d", F.concat_ws("#", "doc_code", chapter), "id_label", "article", "page", "position", index + 1)
+
+
+def chunk_documents(articles: DataFrame, size: int = 3000, overlap: int = 200, tokens: Callable[[Column], Column] = pieces, joined: Callable[[Column], Column] | None = None) -> DataFrame:
     """Chunks of classified articles, with id and citation. ``tokens`` makes an array of tokens of a text and ``joined``
     a text of tokens; a tokenizer's encode and decode fit there as vectorised functions. The ones given here are words
     with the blanks behind them, so a chunk is a part of its article as it stands."""
     rows = token_windows(articles, [c for c in articles.columns if c != "content"], tokens(F.col("content")), size, overlap)
     joined = joined or (lambda c: F.array_join(c, ""))
-    # files of one chapter share code and article: the chapter's number behind the dot keeps their ids apart
-    chapter = F.nullif(F.regexp_extract("stem", r"^\d+\.(\d+)", 1), F.lit("")) if "stem" in rows.columns else F.lit(None).cast("string")
     return rows.select(
-        F.format_string("%s_%s_%s_p%d_pos%d_chunk_%d", F.concat_ws("#", "doc_code", chapter), "id_label", "article", "page", "position", F.col("chunk_index") + 1).alias("id"),
+        chunk_id(rows, F.col("chunk_index")).alias("id"),
         joined(F.col("chunk_tokens")).alias("content"), "article", "page", "position", "chunk_index", "total_chunks", F.size("chunk_tokens").alias("tokens"),
-        F.concat_ws(" ", "citation_prefix", "citation_label", "article").alias("citation"), F.col("citation_prefix").alias("document"), "id_label", "doc_code", "doc_overview", *keep)
+        F.concat_ws(" ", "citation_prefix", "citation_label", "article").alias("citation"), F.col("citation_prefix").alias("document"), "id_label", "doc_code", "doc_overview")
 
 
 def first_wins(rows: DataFrame, key: Column, order: list[str], keep: list[str]) -> DataFrame:

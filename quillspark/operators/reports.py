@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def corpus_report(chunks: DataFrame, document: str) -> DataFrame:
@@ -56,6 +61,42 @@ def matching_lines(docs: DataFrame, part: str, key: str = "doc_id", text: str =
     return rows.where(F.lower("line").contains(part.lower())).withColumn("line_no", F.col("line_no") + 1)
 
 
+def lines_with(queries: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", most_queries: int = 100_000) -> DataFrame:
+    """``(query_id, key, line_no, line)``: lines that contain a query (query_id, query), upper and lower case alike, each once for each
+    query. Null and empty queries are in no line.
+
+    The queries go to the tasks as an automaton that reads each line once, whatever their number; beyond ``most_queries`` in
+    blocks of about half as many, each with a pass of its own."""
+    asks = queries.select("query_id", F.lower("query").alias("part")).where("part <> ''")
+    some = asks.limit(most_queries + 1).collect()
+    if len(some) > most_queries:
+        n = -(-2 * asks.count() // most_queries)
+        block = lambda i: queries.where(F.pmod(F.xxhash64("query_id", "query"), F.lit(n)) == i)
+        return functools.reduce(DataFrame.union, (lines_with(block(i), docs, key, text, most_queries) for i in range(n)))
+    wanted: dict[str, list] = {}
+    for r in some:
+        wanted.setdefault(r["part"], []).append(r["query_id"])
+    kinds = queries.schema["query_id"].dataType, docs.schema[key].dataType
+    schema = T.StructType([T.StructField("query_id", kinds[0]), T.StructField(key, kinds[1]), T.StructField("line_no", T.IntegerType()), T.StructField("line", T.StringType())])
+    types = [to_arrow_type(f.dataType) for f in schema]
+
+    def run(batches):
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for part, ids in wanted.items():
+            machine.add_word(part, ids)
+        machine.make_automaton()
+        for b in batches:
+            out = []
+            for own, whole in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for no, (line, low) in enumerate(zip(whole.split("\n"), whole.lower().split("\n"), strict=True) if wanted else (), 1):
+                    out += [(q, own, no, line) for q in dict.fromkeys(q for _, ids in machine.iter(low) for q in ids)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=schema.names)
+
+    return docs.where(F.col(text).isNotNull()).select(key, F.col(text).cast("string")).mapInArrow(run, schema)
+
+
 def log_totals(logs: DataFrame, message: str = "message") -> DataFrame:
     """Logged queries and different ones."""
     return logs.agg(F.count(message).alias("total"), F.count_distinct(message).alias("n_unique"))

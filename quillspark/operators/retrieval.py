@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.query_text import article_boost, intent_boost
+from ..functions.query_text import article_boost, intent_boosts
 from ..functions.text import terms
+from ..sources.places import new_folder
 from .vectors import MOST_QUERIES, approximate_nearest, nearest, ranked  # noqa: F401
 
 _TERM = re.compile("[a-z0-9]+")
@@ -42,15 +43,17 @@ def bm25(
     """``(query_id, id, score, rank)`` under BM25. ``queries``: (query_id, terms); a term asked twice counts twice. Ids are
     unique, may be of any type and keep it; rows with a null id or text are no documents.
 
-    Texts are read in one pass, which counts the asked terms in each document and documents and their lengths per batch;
-    only these counts are shuffled, and weights and scores come from them. The asked terms are sent to the executors after
+    Texts are read in one pass, which counts the asked terms in each document and documents and their lengths per batch; these
+    counts are written to the shared folder, and weights and scores come from them. The asked terms are sent to the executors after
     checking their number; more than ``most_terms`` are joined instead. ``filters`` as in :func:`nearest`."""
     asks = queries.select("query_id", (F.col(filters[0]) if filters else F.lit(None)).cast("string").alias("wanted"), F.explode("terms").alias("term"))
     asks = asks.groupBy("query_id", "wanted", "term").agg(F.count(F.lit(1)).alias("times"))
     rows = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(filters[1]) if filters else F.lit(None)).cast("string").alias("kind"), F.col(text_col).alias("text"))
     asked = asks.select("term").distinct().limit(most_terms + 1).collect()
     counts = _count_terms(rows, {r["term"] for r in asked}) if len(asked) <= most_terms else _count_joined_terms(rows, asks)
-    counts = counts.repartition("term", "id")  # an exchange that both uses below read
+    at = new_folder(docs.sparkSession, "term-counts")
+    counts.write.parquet(at)
+    counts = docs.sparkSession.read.schema(counts.schema).parquet(at)
     totals = counts.where("id is null").agg(F.sum("tf").alias("n_docs"), F.sum("len").alias("length"))
     hits = counts.where("id is not null")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -122,13 +125,19 @@ def after(hits: DataFrame, offset: int, k: int | None = None) -> DataFrame:
     return hits.where((F.col("rank") > offset) & (F.col("rank") <= offset + k if k else F.lit(True)))
 
 
+def with_boosts(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``boosts``, what each intent adds to the row's score; the text is lowered once."""
+    return rows.withColumn("low_", F.lower(text)).withColumn("boosts", intent_boosts(F.col("low_"))).drop("low_")
+
+
 def rerank_by_intent(hits: DataFrame) -> DataFrame:
     """Adds the intent's boost, and that of a named article if there is a column ``article_num``, to the score (between
-    0 and 1) and ranks anew. Needs text and intent."""
-    boost = intent_boost(F.col("text"), F.col("intent"))
+    0 and 1) and ranks anew. Needs intent and text, or ``boosts`` of :func:`with_boosts` in place of the text."""
+    rows = hits if "boosts" in hits.columns else with_boosts(hits)
+    boost = F.coalesce(F.try_element_at("boosts", F.col("intent")), F.lit(0.0))
     if "article_num" in hits.columns:
         boost = boost + article_boost(F.col("text"), F.col("article_num"))
-    return ranked(hits.drop("rank").withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") + boost))))
+    return ranked(rows.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") + boost))).drop("rank", "boosts"))
 
 
 def rerank_by_keyword(hits: DataFrame, k: int = 15) -> DataFrame:

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.query_text import analyse, expanded, explicit_document, synonyms, variants
-from ..functions.text import clean_document, terms
+from ..functions.text import clean_document, pieces, terms
 from ..operators import documents as D
 from ..operators import overview as O  # noqa: N812
 from ..operators import reports as P
 from ..operators import retrieval as V
 from ..operators.phrases import with_synonyms
 from ..sources.cells import CellIndex
+from ..sources.places import new_folder
 from ..sources.postings import TermIndex
 
 
@@ -34,10 +35,14 @@ def articles_of(files: DataFrame, **segmenting) -> DataFrame:
 
 def build_report(files: DataFrame, size: int = 3000, overlap: int = 200, **segmenting) -> DataFrame:
     """Articles and chunks of each file, and the totals, of what :func:`build_chunks` makes of ``files``."""
-    articles = articles_of(files, **segmenting)
-    rows = D.chunk_documents(articles, size, overlap, keep=("stem",))
+    # what the report needs of an article is written once; its text stays where it is
+    at, spark = new_folder(files.sparkSession, "articles"), files.sparkSession
+    articles = articles_of(files, **segmenting).withColumn("n", D.window_count(F.size(pieces(F.col("content"))), size, overlap))
+    articles.select("stem", "citation_prefix", "article", "article_order", "position", "page", "doc_code", "id_label", "n").write.parquet(at)
+    articles = spark.read.parquet(at)
+    chunks = articles.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     named = D.classify(files.select("stem").distinct()).select("stem", F.col("citation_prefix").alias("document"))
-    return P.build_report(articles, rows.select("stem", "id"), files=named)
+    return P.build_report(articles, chunks.select("stem", D.chunk_id(chunks, F.col("i")).alias("id")), files=named)
 
 
 def vector_search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, embed: Callable[[DataFrame], DataFrame], k: int = 5) -> DataFrame:
@@ -55,6 +60,25 @@ def vector_search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, emb
     return one(found, "lookup").unionByName(one(near, "semantic"))
 
 
+def enhanced_search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, embed: Callable[[DataFrame], DataFrame], k: int = 15, each: int = 10) -> DataFrame:
+    """``(query_id, id, line_no, content, score, rank, source)``: of a query (query_id, query) and its variants the first ``each`` hits of
+    :func:`vector_search`, and beside them the lines of chunks that hold one of them, with score 0 and their number (from 1; 0 for
+    whole chunks); texts that hold the query as it is get 1 more; the first ``k``. Chunks may have the column ``doc_overview``."""
+    asks = queries.select("query_id", F.posexplode(variants(F.col("query"))).alias("no", "query"))
+    numbered = asks.select(F.concat_ws("\u0001", F.col("query_id").cast("string"), "no").alias("ask"), "query_id", "query")
+    near = vector_search(numbered.select(F.col("ask").alias("query_id"), "query"), chunks, vectors, embed, each)
+    near = near.select(F.col("query_id").alias("ask"), "id", "score", "source").join(numbered.select("ask", "query_id"), "ask")
+    near = near.groupBy("query_id", "id").agg(F.max("score").alias("score"), F.max("source").alias("source")).join(chunks.select("id", "content"), "id")
+    lines = P.lines_with(numbered.select(F.col("ask").alias("query_id"), "query"), chunks, "id", "content").withColumnRenamed("query_id", "ask")
+    lines = lines.join(numbered.select("ask", "query_id"), "ask").select("query_id", "id", "line_no", F.col("line").alias("content")).distinct()
+    rows = near.select("query_id", "id", F.lit(0).alias("line_no"), "content", "score", "source").unionByName(lines.withColumns({"score": F.lit(0.0), "source": F.lit("keyword")}))
+    rows = rows.join(queries.select("query_id", "query"), "query_id")
+    held = F.coalesce(F.col("content").contains(F.col("query")), F.lit(False)).cast("int")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id", "line_no"))
+    out = rows.withColumn("score", F.col("score") + held).drop("query").withColumn("rank", place).where(F.col("rank") <= k)
+    return out.join(chunks.select("id", "doc_overview"), "id") if "doc_overview" in chunks.columns else out
+
+
 class SearchEngine:
     """Answers queries over ``chunks`` (id, content, doc_code, article, chunk_index, ...) with ``vectors`` (id, embedding).
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import registry as R
 from .functions import query_text as Q
 from .functions import text as X
+from .functions.tokens import tokenizer_pieces
 from .operators import documents as D
 from .operators import overview as O  # noqa: N812
 from .operators import reports as P
@@ -17,7 +18,7 @@ from .operators.phrases import phrase_matches
 from .plans import search as S
 from .sources.cells import CellIndex
 from .sources.files import not_yet_done
-from .sources.index import ChunkIndex
+from .sources.index import ChunkIndex, setting
 from .sources.places import new_folder
 from .sources.postings import TermIndex
 from .streaming import frequent as H
@@ -297,7 +298,8 @@ def _hits_with_text(spark, sf_dir):
     docs = t(spark, sf_dir, "documents").where("text is not null")
     intents = spark.createDataFrame([(i, n) for i, (n, *_) in enumerate(R.BOOSTS)], "query_id int, intent string")
     score = (F.col("doc_id") % 97) / F.lit(100.0)
-    return docs.select(F.col("doc_id").alias("id"), "text", score.alias("score")).crossJoin(F.broadcast(intents))
+    # each text is read once, what its cues add goes on
+    return V.with_boosts(docs.select(F.col("doc_id").alias("id"), "text", score.alias("score"))).drop("text").crossJoin(F.broadcast(intents))
 
 
 def intent_rerank(spark, sf_dir):
@@ -611,17 +613,53 @@ def direct_vector_search(spark, sf_dir):
     return out.withColumn("score", F.round("score", 6))
 
 
-DIRECT_SQL = f"""
-WITH {_analyse_cte(R.INTENTS, "[A-Z]", SEARCH_EVERY)}, ch AS ({_SEARCH_CHUNKS}),
+def _direct_sql(k: int, questions: str) -> str:
+    """CTEs that end in ``dv`` (query_id, id, score, rank, source), on the search's chunks."""
+    return f"""
+WITH {questions}, ch AS ({_SEARCH_CHUNKS}),
 asks AS (SELECT query_id, query, regexp_extract(lower(query), '\\b(?:article|art\\.?)\\s*(\\d+)\\b', 1) AS no FROM q),
-lo AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_index, id)::INT AS rank FROM asks JOIN ch ON article = no WHERE no <> '' QUALIFY rank <= 5),
+lo AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_index, id)::INT AS rank FROM asks JOIN ch ON article = no WHERE no <> '' QUALIFY rank <= {k}),
 ot AS (SELECT query_id, query FROM asks WHERE query_id NOT IN (SELECT query_id FROM lo)),
 {_hashed_sql('cv', 'ch', 'id', 'text').strip()},
 {_hashed_sql('qv', 'ot', 'query_id', 'query').strip()},
-se AS (SELECT query_id, ch.id, doc_code, article, round(1 / (2 - list_cosine_similarity(cv.v, qv.v)), 12) AS score FROM qv, ch JOIN cv USING (id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(1 / (2 - list_cosine_similarity(cv.v, qv.v)), 12) DESC, ch.id) <= 10),
-be AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_code, article ORDER BY score DESC, id) AS p FROM se)
-SELECT query_id, id, 1.0::DOUBLE AS score, rank, 'lookup' AS source FROM lo UNION ALL
-SELECT query_id, id, round(score, 6), row_number() OVER (PARTITION BY query_id ORDER BY be.score DESC, id)::INT AS rank, 'semantic' FROM be WHERE p = 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY be.score DESC, id) <= 5
+se AS (SELECT query_id, ch.id, doc_code, article, round(1 / (2 - list_cosine_similarity(cv.v, qv.v)), 12) AS score FROM qv, ch JOIN cv USING (id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(1 / (2 - list_cosine_similarity(cv.v, qv.v)), 12) DESC, ch.id) <= {min(2 * k, 50)}),
+be AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_code, article ORDER BY score DESC, id) AS p FROM se),
+dv AS (SELECT query_id, id, 1.0::DOUBLE AS score, rank, 'lookup' AS source FROM lo UNION ALL
+SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY be.score DESC, id)::INT AS rank, 'semantic' FROM be WHERE p = 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY be.score DESC, id) <= {k})"""
+
+
+DIRECT_SQL = _direct_sql(5, _analyse_cte(R.INTENTS, "[A-Z]", SEARCH_EVERY)) + " SELECT query_id, id, round(score, 6) AS score, rank, source FROM dv"
+
+
+def _needles(spark, sf_dir):
+    """The first two words beside each other of each document whose number is divisible by 50."""
+    docs = t(spark, sf_dir, "documents").where("doc_id % 50 = 0")
+    return docs.select((F.col("doc_id") / 50).cast("long").alias("query_id"), F.regexp_extract("text", "[a-zA-Z]+ [a-zA-Z]+", 0).alias("query")).where("query <> ''")
+
+
+_NEEDLES_SQL = "q AS (SELECT doc_id // 50 AS query_id, regexp_extract(text, '[a-zA-Z]+ [a-zA-Z]+', 0) AS query FROM documents WHERE doc_id % 50 = 0 AND regexp_extract(text, '[a-zA-Z]+ [a-zA-Z]+', 0) <> '')"
+
+
+def keyword_lines(spark, sf_dir):
+    return P.lines_with(_needles(spark, sf_dir), t(spark, sf_dir, "documents"))
+
+
+KEYWORD_SQL = f"WITH {_NEEDLES_SQL}, {LINES_SQL} SELECT query_id, doc_id, line_no::INT AS line_no, line FROM l, q WHERE contains(lower(line), lower(query))"
+
+
+def enhanced_search(spark, sf_dir):
+    chunks, provider = _search_chunks(spark, sf_dir), HashedWords(DIMS)
+    out = S.enhanced_search(_needles(spark, sf_dir), chunks, embed(chunks, "content", provider).select("id", "embedding"), lambda q: embed(q, "query", provider, "vector"))
+    return out.select("query_id", "id", "line_no", F.md5(F.col("content").cast("binary")).alias("content_md5"), F.round("score", 6).alias("score"), "rank", "source")
+
+
+ENHANCED_SQL = _direct_sql(10, "q0 AS (" + _NEEDLES_SQL.removeprefix("q AS (").removesuffix(")") + "), q AS (SELECT query_id * 3 + i AS query_id, ['', 'rules for ', 'requirements of '][i + 1] || query AS query FROM q0, range(3) r(i))") + f""",
+{LINES_SQL},
+nb AS (SELECT query_id // 3 AS query_id, id, max(score) AS score, max(source) AS source FROM dv GROUP BY 1, 2),
+kl AS (SELECT DISTINCT query_id // 3 AS query_id, doc_id AS id, line_no::INT AS line_no, line AS content FROM l, q WHERE contains(lower(line), lower(query))),
+un AS (SELECT query_id, id, 0 AS line_no, text AS content, score, source FROM nb JOIN ch USING (id) UNION ALL SELECT query_id, id, line_no, content, 0, 'keyword' FROM kl),
+sc AS (SELECT un.*, score + contains(content, query)::INT AS s FROM un JOIN q0 USING (query_id))
+SELECT query_id, id, line_no, md5(content) AS content_md5, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id, line_no)::INT AS rank, source FROM sc QUALIFY rank <= 15
 """
 
 
@@ -674,6 +712,15 @@ def exact_windows(spark, sf_dir):
     return rows.select("doc_id", "chunk_index", "total_chunks", "tokens", "char_start", "char_end", "own_end", F.md5(F.col("content").cast("binary")).alias("content_md5"), whole.alias("joins_to_text"))
 
 
+def tokenizer_windows(spark, sf_dir):
+    """Texts put together again from windows of 1,000 tokens of a public tokenizer."""
+    pieces = tokenizer_pieces(setting(spark, "tokenizer.path", "/opt/tokenizers/byte_bpe_50k.json"))
+    rows = D.text_windows(t(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], "text", 1000, 100, pieces)
+    own = F.substring("content", F.lit(1), F.col("own_end") - F.col("char_start"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", own.alias("own")))), lambda x: x["own"]), "")
+    return rows.groupBy("doc_id").agg(whole.alias("whole")).select("doc_id", F.md5(F.col("whole").cast("binary")).alias("text_md5"), F.length("whole").cast("long").alias("n_chars"))
+
+
 WINDOWS_SQL = r"""
 WITH p AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '^[ 	
 ]*[^ 	
@@ -839,7 +886,8 @@ SQL: dict[str, str] = {
     "clean_and_chunk": FLAGSHIP_SQL,
     "knn_index_all_cells": KNN_SQL.format(where="") + "SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 20",
     "knn_dealt": KNN_SQL.format(where="") + "SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 20",
-    "bm25_index": f"WITH {BM25_CTE} SELECT query_id, id, score, rank FROM lex", "exact_windows": WINDOWS_SQL, "segment_inline": INLINE_SQL, "frequent_messages": FREQUENT_SQL, "phrase_synonyms": PHRASE_SQL, "index_update": INDEX_SQL, "direct_vector_search": DIRECT_SQL,
+    "bm25_index": f"WITH {BM25_CTE} SELECT query_id, id, score, rank FROM lex", "exact_windows": WINDOWS_SQL, "segment_inline": INLINE_SQL, "frequent_messages": FREQUENT_SQL, "phrase_synonyms": PHRASE_SQL, "tokenizer_windows": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5, length(coalesce(text, ''))::BIGINT AS n_chars FROM documents",
+    "index_update": INDEX_SQL, "keyword_lines": KEYWORD_SQL, "enhanced_search": ENHANCED_SQL, "direct_vector_search": DIRECT_SQL,
     "search_built_semantic": _search_sql(False, _BUILT_CHUNKS), "search_built_hybrid": _search_sql(True, _BUILT_CHUNKS),
     "search_semantic": _search_sql(False), "search_hybrid": _search_sql(True), "segment_articles": SEGMENT_SQL, "build_chunks": BUILD_SQL, "build_report": REPORT_SQL,
     "overviews": OVERVIEWS_SQL, "prompts": PROMPTS_SQL, "query_analysis_widened": WIDENED_SQL,
