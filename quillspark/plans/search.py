@@ -88,13 +88,13 @@ class SearchEngine:
     ``threshold`` overrides both. Queries that name one of the two statutes search in it alone. Ids may be of any type.
 
     ``cells`` (an index of the vectors that keeps ``doc_code``) and ``postings`` (one of the chunks' content with ``doc_code`` as their
-    kind) are searched in place of the tables. ``phrases`` (phrase, synonym) are used in place of the known synonyms."""
+    kind) are searched in place of the tables, ``probes`` cells for each query. ``phrases`` (phrase, synonym) are used in place of the known synonyms."""
 
-    def __init__(self, chunks: DataFrame, vectors: DataFrame, embed: Callable[[DataFrame], DataFrame], mode: str = "semantic", threshold: float | None = None, cells: CellIndex | None = None, postings: TermIndex | None = None, phrases: DataFrame | None = None):
+    def __init__(self, chunks: DataFrame, vectors: DataFrame, embed: Callable[[DataFrame], DataFrame], mode: str = "semantic", threshold: float | None = None, cells: CellIndex | None = None, postings: TermIndex | None = None, phrases: DataFrame | None = None, probes: int | None = None):
         if mode not in ("semantic", "hybrid"):
             raise ValueError(f"no mode {mode!r}")
         self.chunks, self.embed, self.hybrid, self.threshold = chunks, embed, mode == "hybrid", threshold
-        self.cells, self.postings, self.phrases = cells, postings, phrases
+        self.cells, self.postings, self.phrases, self.probes = cells, postings, phrases, probes
         self.vectors = vectors if "doc_code" in vectors.columns else vectors.join(chunks.select("id", "doc_code"), "id")
 
     def analyse(self, queries: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ class SearchEngine:
             texts += [variants(F.col("query"))[i] for i in (1, 2)]
         asks = [self.embed(general.withColumn("query", text)) for text in texts]
         of = ("wanted", "doc_code")
-        nearest = [self.cells.search(a, k, filters=of) if self.cells else V.nearest(a, self.vectors, k, id_col="id", filters=of) for a in asks]
+        nearest = [self.cells.search(a, k, self.probes, of) if self.cells else V.nearest(a, self.vectors, k, id_col="id", filters=of) for a in asks]
         nearest = [hits.withColumn("source", F.lit("semantic")) for hits in nearest]
         hits = V.ranked(V.union_hits(*nearest), k) if with_variants else nearest[0]
         if self.hybrid:

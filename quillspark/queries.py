@@ -16,6 +16,7 @@ from .operators import retrieval as V
 from .operators.embedding import HashedWords, embed
 from .operators.phrases import phrase_matches
 from .plans import search as S
+from .plans.corpus import Corpus
 from .sources.cells import CellIndex
 from .sources.files import not_yet_done
 from .sources.index import ChunkIndex, setting
@@ -204,13 +205,15 @@ SELECT doc_id, stem, citation_prefix, k.doc_code, CASE WHEN reg THEN 'Reg.' ELSE
 
 
 # -- queries
-def _questions(spark, sf_dir, every=1):
-    """A question of each conversation whose number is divisible by ``every``: the questions above in turn, every second
-    time round with the first two words that stand beside each other in what was said."""
-    n, text = F.floor(F.col("conv_id") / every), F.coalesce("text", F.lit(""))
-    words = F.concat(F.lit(" "), F.regexp_extract(text, "[a-zA-Z]+ [a-zA-Z]+", 0))
+def _questions(spark, sf_dir, search=False):
+    """A question of each conversation's beginning, or, as the searches take them, of each document whose number is divisible by 50:
+    the questions above in turn, every second time round with the first two words that stand beside each other in the text."""
+    if search:
+        rows = t(spark, sf_dir, "documents").where("doc_id % 50 = 0").select(F.floor(F.col("doc_id") / 50).alias("n"), "text")
+    else:
+        rows = t(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("n"), "text")
+    n, words = F.col("n"), F.concat(F.lit(" "), F.regexp_extract(F.coalesce("text", F.lit("")), "[a-zA-Z]+ [a-zA-Z]+", 0))
     question = F.element_at(F.array(*map(F.lit, QUESTIONS)), (n % len(QUESTIONS) + 1).cast("int"))
-    rows = t(spark, sf_dir, "conversations").where((F.col("turn") == 0) & (F.col("conv_id") % every == 0))
     return rows.select(n.cast("long").alias("query_id"), F.concat(question, F.when(F.floor(n / len(QUESTIONS)) % 2 == 1, words).otherwise("")).alias("query"))
 
 
@@ -222,10 +225,10 @@ def query_analysis(spark, sf_dir):
 _HINT = "CASE " + " ".join(f"WHEN {_sql_any('low', names)} THEN {_quoted(code)}" for code, names in R.EXPLICIT_HINTS) + f" WHEN {_sql_any('low', R.HINT_WORDS)} THEN 'companies_act' WHEN contains(low, 's.l.') OR contains(low, 'subsidiary legislation') THEN 'sl' END"
 
 
-def _analyse_cte(intents, letter: str, every: int = 1) -> str:
+def _analyse_cte(intents, letter: str, search: bool = False) -> str:
     intent = "CASE WHEN article_num IS NOT NULL AND doc_hint IS NOT NULL THEN NULL " + " ".join(f"WHEN {_sql_any('low', words)} THEN {_quoted(name)}" for name, words in intents) + " END"
     return rf"""
-q AS (SELECT n AS query_id, ([{', '.join(map(_quoted, QUESTIONS))}])[n % {len(QUESTIONS)} + 1] || CASE WHEN (n // {len(QUESTIONS)}) % 2 = 1 THEN ' ' || regexp_extract(coalesce(text, ''), '[a-zA-Z]+ [a-zA-Z]+', 0) ELSE '' END AS query FROM (SELECT conv_id // {every} AS n, text FROM conversations WHERE turn = 0 AND conv_id % {every} = 0)),
+q AS (SELECT n AS query_id, ([{', '.join(map(_quoted, QUESTIONS))}])[n % {len(QUESTIONS)} + 1] || CASE WHEN (n // {len(QUESTIONS)}) % 2 = 1 THEN ' ' || regexp_extract(coalesce(text, ''), '[a-zA-Z]+ [a-zA-Z]+', 0) ELSE '' END AS query FROM ({'SELECT doc_id // 50 AS n, text FROM documents WHERE doc_id % 50 = 0' if search else 'SELECT conv_id AS n, text FROM conversations WHERE turn = 0'})),
 a AS (SELECT *, lower(query) AS low FROM q),
 b AS (SELECT *, upper(coalesce(nullif(regexp_extract(low, '\b(?:article|art\.?)\s*(\d+{letter}?)\b', 1), ''), nullif(regexp_extract(low, '\b(\d+{letter}?)\s*(?:of|from|in)\s*(?:the\s*)?(?:commercial\s*)?code\b', 1), ''), nullif(regexp_extract(low, '^(\d+{letter}?)$', 1), ''))) AS article_num, {_HINT} AS doc_hint, {' OR '.join(_sql_any('low', n) for _, n in R.EXPLICIT_HINTS)} AS doc_hint_explicit FROM a),
 c AS (SELECT *, CASE WHEN article_num IS NULL THEN 'general' ELSE 'article_lookup' END AS type, {intent} AS intent, CASE WHEN article_num IS NOT NULL AND doc_hint IS NOT NULL THEN '' ELSE array_to_string(list_filter(list_transform(regexp_split_to_array(low, '\s+'), lambda w: regexp_replace(w, '^[.,?!]+|[.,?!]+$', '', 'g')), lambda w: w <> '' AND NOT list_contains([{', '.join(map(_quoted, R.STOPWORDS))}], w)), ' ') END AS keywords FROM b)
@@ -234,7 +237,6 @@ c AS (SELECT *, CASE WHEN article_num IS NULL THEN 'general' ELSE 'article_looku
 
 ANALYSE_CTE = _analyse_cte(R.INTENTS, "[A-Z]")
 WIDENED_CTE = _analyse_cte(R.WIDENED_INTENTS, "[a-z]")
-SEARCH_EVERY = 5  # every fifth conversation asks in the searches
 ANALYSIS_SQL = f"WITH {ANALYSE_CTE} SELECT query_id, query, type, article_num, doc_hint, doc_hint_explicit, intent, coalesce(CASE intent {' '.join(f'WHEN {_quoted(k)} THEN {_quoted(v)}' for k, v in R.INTENT_LABELS.items())} END, 'General information') AS label, keywords FROM c"
 
 
@@ -409,7 +411,7 @@ def _engine(chunks, mode, **more):
 
 
 def _search(spark, sf_dir, mode):
-    return _engine(_search_chunks(spark, sf_dir), mode).search(_questions(spark, sf_dir, SEARCH_EVERY)).select("query_id", "id", F.round("score", 6).alias("score"), "rank", "source")
+    return _engine(_search_chunks(spark, sf_dir), mode).search(_questions(spark, sf_dir, True)).select("query_id", "id", F.round("score", 6).alias("score"), "rank", "source")
 
 
 def search_semantic(spark, sf_dir):
@@ -440,7 +442,7 @@ def _search_sql(hybrid: bool, chunks: str = _SEARCH_CHUNKS) -> str:
     pick = lambda table, key: f"CASE {key} {' '.join(f'WHEN {_quoted(a)} THEN {_quoted(b)}' for a, b in table.items())} END"
     boost = f"CASE WHEN CASE intent {' '.join(f'WHEN {_quoted(i)} THEN {_sql_any("lower(text)", cues)}' for i, _, cues in R.BOOSTS)} END THEN {pick({i: str(b) for i, b, _ in R.BOOSTS}, 'intent')}::DOUBLE ELSE 0 END"
     ctes = f"""
-WITH {_analyse_cte(R.WIDENED_INTENTS, "[a-z]", SEARCH_EVERY) if hybrid else _analyse_cte(R.INTENTS, "[A-Z]", SEARCH_EVERY)},
+WITH {_analyse_cte(R.WIDENED_INTENTS, "[a-z]", True) if hybrid else _analyse_cte(R.INTENTS, "[A-Z]", True)},
 ch AS ({chunks}),
 lo AS (SELECT query_id, id, chunk_index, CASE WHEN doc_hint = doc_code THEN 0 WHEN doc_hint IS NULL AND doc_code = 'companies_act' THEN 1 WHEN doc_hint IS NULL AND doc_code = 'code_13' THEN 2 ELSE 3 END AS tier FROM c JOIN ch ON article = article_num WHERE type = 'article_lookup'),
 lb AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_index, id)::INT AS rank FROM (SELECT *, min(tier) OVER (PARTITION BY query_id) AS best FROM lo) WHERE tier = best),
@@ -592,7 +594,7 @@ def _search_built(spark, sf_dir, mode):
     index.update(S.build_chunks(_files(spark, sf_dir), 100, 20, inline_headings=False), HashedWords(DIMS))
     rows = index.open()
     engine = S.SearchEngine(rows, rows.select("id", "doc_code", "embedding"), lambda q: embed(q, "query", HashedWords(DIMS), "vector"), mode)
-    return engine.search(_questions(spark, sf_dir, SEARCH_EVERY)).select("query_id", "id", F.round("score", 6).alias("score"), "rank", "source")
+    return engine.search(_questions(spark, sf_dir, True)).select("query_id", "id", F.round("score", 6).alias("score"), "rank", "source")
 
 
 def search_built_semantic(spark, sf_dir):
@@ -603,13 +605,23 @@ def search_built_hybrid(spark, sf_dir):
     return _search_built(spark, sf_dir, "hybrid")
 
 
+def search_corpus(spark, sf_dir):
+    """The same by a corpus: postings and cells, of which all are probed, in place of the tables."""
+    corpus = Corpus(spark, new_folder(spark, "corpus"), HashedWords(DIMS), size=100, overlap=20, inline_headings=False)
+    corpus.build(files=_files(spark, sf_dir))
+    cells = CellIndex(spark, new_folder(spark, "corpus-cells")).build(corpus.chunks.open(), "id", "embedding", keep=("doc_code",))
+    rows = corpus.chunks.open()
+    engine = S.SearchEngine(rows, rows.select("id", "doc_code", "embedding"), lambda q: embed(q, "query", HashedWords(DIMS), "vector"), "hybrid", cells=cells, postings=corpus.terms, probes=1 << 30)
+    return engine.search(_questions(spark, sf_dir, True)).select("query_id", "id", F.round("score", 6).alias("score"), "rank", "source")
+
+
 _BUILT_CHUNKS = BUILD_CTE.strip() + " SELECT id, piece AS text, code AS doc_code, article, i AS chunk_index FROM ci"
 
 
 def direct_vector_search(spark, sf_dir):
     provider = HashedWords(DIMS)
     chunks = _search_chunks(spark, sf_dir)
-    out = S.vector_search(_questions(spark, sf_dir, SEARCH_EVERY), chunks, embed(chunks, "content", provider).select("id", "embedding"), lambda q: embed(q, "query", provider, "vector"))
+    out = S.vector_search(_questions(spark, sf_dir, True), chunks, embed(chunks, "content", provider).select("id", "embedding"), lambda q: embed(q, "query", provider, "vector"))
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -628,7 +640,7 @@ dv AS (SELECT query_id, id, 1.0::DOUBLE AS score, rank, 'lookup' AS source FROM
 SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY be.score DESC, id)::INT AS rank, 'semantic' FROM be WHERE p = 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY be.score DESC, id) <= {k})"""
 
 
-DIRECT_SQL = _direct_sql(5, _analyse_cte(R.INTENTS, "[A-Z]", SEARCH_EVERY)) + " SELECT query_id, id, round(score, 6) AS score, rank, source FROM dv"
+DIRECT_SQL = _direct_sql(5, _analyse_cte(R.INTENTS, "[A-Z]", True)) + " SELECT query_id, id, round(score, 6) AS score, rank, source FROM dv"
 
 
 def _needles(spark, sf_dir):
@@ -888,7 +900,7 @@ SQL: dict[str, str] = {
     "knn_dealt": KNN_SQL.format(where="") + "SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 20",
     "bm25_index": f"WITH {BM25_CTE} SELECT query_id, id, score, rank FROM lex", "exact_windows": WINDOWS_SQL, "segment_inline": INLINE_SQL, "frequent_messages": FREQUENT_SQL, "phrase_synonyms": PHRASE_SQL, "tokenizer_windows": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5, length(coalesce(text, ''))::BIGINT AS n_chars FROM documents",
     "index_update": INDEX_SQL, "keyword_lines": KEYWORD_SQL, "enhanced_search": ENHANCED_SQL, "direct_vector_search": DIRECT_SQL,
-    "search_built_semantic": _search_sql(False, _BUILT_CHUNKS), "search_built_hybrid": _search_sql(True, _BUILT_CHUNKS),
+    "search_built_semantic": _search_sql(False, _BUILT_CHUNKS), "search_built_hybrid": _search_sql(True, _BUILT_CHUNKS), "search_corpus": _search_sql(True, _BUILT_CHUNKS),
     "search_semantic": _search_sql(False), "search_hybrid": _search_sql(True), "segment_articles": SEGMENT_SQL, "build_chunks": BUILD_SQL, "build_report": REPORT_SQL,
     "overviews": OVERVIEWS_SQL, "prompts": PROMPTS_SQL, "query_analysis_widened": WIDENED_SQL,
     "knn_offset": KNN_SQL.format(where="") + "SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank BETWEEN 11 AND 20",

@@ -104,4 +104,5 @@ EXPLICIT_HINTS = [("companies_act", ["companies act", "cap. 386", "cap 386"]), (
 HINT_WORDS = ["company", "companies", "shareholder", "director", "distribution", "dividend", "solvency", "balance sheet", "capital maintenance", "memorandum", "articles of association", "liquidator", "winding up", "company secretary", "beneficial owner"]
 NUDGES = {"companies_act": "Companies Act Cap. 386", "code_13": "Commercial Code Cap. 13"}
 INTENT_LABELS = {"definition": "Definition", "procedural": "Procedure", "penalty": "Penalty / Offence", "requirement": "Requirement / Obligation", "temporal": "Timing / Deadline"}
-STOPWORDS = "the a an is are what who where when how can do does in of to for with about malta code commercial".split()
+# Words that are no keywords.
+STOPWORDS = ["the", "a", "an", "is", "are", "what", "who", "where", "when", "how", "can", "do", "does", "in", "of", "to", "for", "with", "about", "malta", "code", "commercial"]

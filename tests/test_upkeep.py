@@ -182,10 +182,7 @@ def test_search_over_built_chunks(spark, tmp_path, mode):
     queries = spark.createDataFrame([(1, "what is a trader"), (2, "Article 2 of the commercial code"), (3, "Commercial Code: which penalty"), (4, "Article 4"), (5, "Article 99")], "query_id long, query string")
     answers = []
     for more in ({}, {"cells": cells, "postings": postings}):
-        engine = SearchEngine(rows, rows.select("id", "doc_code", "embedding"), ask, mode, threshold=0.0, **more)
-        if more:
-            cells_all = lambda q, k, filters=None: CellIndex.search(cells, q, k, probes=99, filters=filters)
-            engine.cells = type("All", (), {"search": staticmethod(cells_all)})()
+        engine = SearchEngine(rows, rows.select("id", "doc_code", "embedding"), ask, mode, threshold=0.0, probes=99, **more)
         hits = engine.search(queries)
         answers.append(sorted((r["query_id"], r["id"], round(r["score"], 6), r["rank"], r["source"]) for r in hits.collect()))
     assert answers[0] == answers[1]
