@@ -60,8 +60,8 @@ class DigestIndex:
         from earlier data keeps its earlier ``keep_id``, and no row of ``df`` with it is kept.
         ``batch`` names the data: absorbed again under the same name, after a failure or not, it gives the
         same answer and nothing is appended twice. Without it each call is a batch of its own.
-        Rows that repeat an id together with its text all get the same answer. Other columns are
-        ignored; an empty table gives no rows.
+        Rows that repeat an id together with its text all get the same answer. A text of any length is hashed whole
+        where it is. Other columns are ignored; an empty table gives no rows.
         """
         own = batch or uuid.uuid4().hex
         with Scratch(self.spark, "digests") as tmp:

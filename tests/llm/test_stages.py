@@ -29,6 +29,17 @@ def test_a_batch_may_be_absorbed_again(spark):
     assert not os.path.exists(index.path) and not index.exists()
 
 
+def test_very_long_texts_are_told_apart_to_their_ends(spark):
+    long = "word and more " * 200_000
+    rows = [(1, long + "a"), (2, long + "b"), (3, "\t" + long + "a "), (4, long + "a")]
+    index = exact_dedup.DigestIndex(spark, buckets=2)
+    try:
+        got = index.absorb(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        index.drop()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == [(1, 3, 3, False), (2, 2, 1, True), (3, 3, 3, True), (4, 3, 3, False)]
+
+
 def test_rank_and_slot_are_those_of_a_plain_sort(spark):
     rng = random.Random(5)
     rows = [(rng.randint(0, 700), rng.choice([None, "a", "a", "b", "c"])) for _ in range(900)]  # repeated ids are ties
@@ -156,6 +167,8 @@ def test_the_pipeline_is_a_plain_version_of_it(spark, tmp_path):
         docs.append((i, text))
     base = docs[1][1]
     docs += [(None, base + " "), (None, docs[2][1]), (None, None), (900, ""), (901, base + " tail"), (902, docs[3][1]), (902, docs[4][1]), (5, docs[5][1]), (7, docs[8][1] + " more"), (7, "another text altogether, all by itself here"), (903, "clean   text"), (904, "clean text")]
+    long = " ".join(rng.choice(fill) for _ in range(2500))  # several sequences, in pieces
+    docs += [(905, long), (906, long + " end")]
     labels = [(i, int(i % 6 == 0)) for i in range(150)] + [(None, 1), (3, None)]
     spark.createDataFrame([(i, t, "en", rng.choice([None, "a", "b"]), len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
