@@ -287,11 +287,13 @@ def _learn_entries(texts: list[str], labels: list[int]) -> Model:
 
 def _learn_threats(model: Model, texts: list[str], labels: list[int]) -> None:
     """Threats are words with a target close behind them that are surely more frequent in texts with label 1, by the same bound as
-    other entries. Words that stand there as well without a target, and what is an insult already, are none."""
+    other entries. Words that stand more often without a target, and what is an insult already, are none. They are chosen
+    greedily by the texts they add, of equal evidence the one that stands nearest to its targets."""
     scorer, targets = Scorer(model), frozenset(TARGETS)
     n1, n = sum(labels), len(labels)
     rate = (n1 + 0.5) / (n + 1)
-    aimed, alone = (Counter(), Counter()), Counter()
+    aimed, alone, gaps = (Counter(), Counter()), Counter(), Counter()
+    holders: dict[str, set[int]] = {}
     order = sorted(range(n), key=lambda i: (-labels[i], i))
     closed = {*TARGETS, *NEGATIONS, *REPORTS}
     seen: set[tuple] = set()
@@ -308,18 +310,28 @@ def _learn_threats(model: Model, texts: list[str], labels: list[int]) -> None:
                 elif (w, behind) not in seen:  # copies are evidence once
                     seen.add((w, behind))
                     held.add(w)
+                    if labels[i]:
+                        gaps[w] += next(j for j, x in enumerate(behind) if x in targets)
         aimed[labels[i]].update(held)
         if labels[i]:
             alone.update(bare)
-    candidates = len(aimed[1])
-    for w, c1 in sorted(aimed[1].items()):
+            for w in held:
+                holders.setdefault(w, set()).add(i)
+    found = []
+    for w, c1 in aimed[1].items():
         c0 = aimed[0][w]
         share = c1 / (c1 + c0)
         if c1 < 4 or share <= max(0.8, rate) or alone[w] > c1 or (symbol := scorer.symbol(w)) and (symbol in model.words or symbol[0] == "^"):
             continue
+        sure = (c1 + c0) * float(_divergence(np.array([share]), rate)[0])
         ratio = math.log((c1 + 0.5) / (n1 + 1)) - math.log((c0 + 0.5) / (n - n1 + 1))
-        if (c1 + c0) * float(_divergence(np.array([share]), rate)[0]) > math.log(candidates + 1) + 3 and ratio > 3:
+        if sure > math.log(len(aimed[1]) + 1) + 3 and ratio > 3:
+            found.append((-sure, gaps[w] / c1, w, ratio))
+    covered: set[int] = set()
+    for *_, w, ratio in sorted(found):
+        if len(holders[w] - covered) >= 2:
             model.threats_[w] = max(0.0, ratio - model.threat)
+            covered |= holders[w]
 
 
 def _new_words(text: str, seen: set[int]) -> set[str]:
