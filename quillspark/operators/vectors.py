@@ -185,10 +185,12 @@ def approximate_nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col:
         x = F.col(column).cast("array<double>")
         top = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: F.greatest(s, F.abs(v)))
         good = (F.size(x) == dims) & F.forall(x, lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False))) & (top(x) > 0)
+        once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  not again for each component
+        over = lambda x, by: once(by, lambda b: F.transform(x, lambda v: v / b))
         # filters may run behind the functions of the library: those get a vector that they can read in any case
-        rows = df.select(F.col(key).alias("key"), F.coalesce(good, F.lit(False)).alias("good"), F.when(good, F.transform(x, lambda v: v / top(x))).otherwise(F.array_repeat(F.lit(1.0), dims)).alias("x"))
+        rows = df.select(F.col(key).alias("key"), F.coalesce(good, F.lit(False)).alias("good"), F.when(good, over(x, top(x))).otherwise(F.array_repeat(F.lit(1.0), dims)).alias("x"))
         norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
-        return rows.where("good and key is not null").select("key", array_to_vector(F.transform("x", lambda v: v / norm)).alias("unit"))
+        return rows.where("good and key is not null").select("key", array_to_vector(over("x", norm)).alias("unit"))
 
     index = unit(vectors, id_col, vector_col)
     model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed)
