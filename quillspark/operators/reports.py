@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 
 import pyarrow as pa
@@ -61,42 +62,122 @@ def matching_lines(docs: DataFrame, part: str, key: str = "doc_id", text: str =
     return rows.where(F.lower("line").contains(part.lower())).withColumn("line_no", F.col("line_no") + 1)
 
 
-def lines_with(queries: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", most_queries: int = 100_000) -> DataFrame:
+def _lines_found(parts: list[str]):
+    """A function of a text: ``(number, line, places of the parts that it contains)`` of its lines that contain some."""
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for i, part in enumerate(parts):
+        machine.add_word(part, i)
+    machine.make_automaton()
+
+    def found(whole: str):
+        for no, (line, low) in enumerate(zip(whole.split("\n"), whole.lower().split("\n"), strict=True) if parts else (), 1):
+            if at := dict.fromkeys(i for _, i in machine.iter(low)):
+                yield no, line, list(at)
+
+    return found
+
+
+def lines_with(queries: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", most_queries: int = 100_000, piece: int = 1 << 22) -> DataFrame:
     """``(query_id, key, line_no, line)``: lines that contain a query (query_id, query), upper and lower case alike, each once for each
     query. Null and empty queries are in no line.
 
     The queries go to the tasks as an automaton that reads each line once, whatever their number; beyond ``most_queries`` in
-    blocks of about half as many, each with a pass of its own."""
+    blocks of about half as many, each with a pass of its own. A task holds one text and about ``piece`` characters of what it found."""
     asks = queries.select("query_id", F.lower("query").alias("part")).where("part <> ''")
     some = asks.limit(most_queries + 1).collect()
     if len(some) > most_queries:
         n = -(-2 * asks.count() // most_queries)
         block = lambda i: queries.where(F.pmod(F.xxhash64("query_id", "query"), F.lit(n)) == i)
-        return functools.reduce(DataFrame.union, (lines_with(block(i), docs, key, text, most_queries) for i in range(n)))
-    wanted: dict[str, list] = {}
+        return functools.reduce(DataFrame.union, (lines_with(block(i), docs, key, text, most_queries, piece) for i in range(n)))
+    wanted: dict[str, dict] = {}
     for r in some:
-        wanted.setdefault(r["part"], []).append(r["query_id"])
+        wanted.setdefault(r["part"], {})[r["query_id"]] = True
     kinds = queries.schema["query_id"].dataType, docs.schema[key].dataType
     schema = T.StructType([T.StructField("query_id", kinds[0]), T.StructField(key, kinds[1]), T.StructField("line_no", T.IntegerType()), T.StructField("line", T.StringType())])
     types = [to_arrow_type(f.dataType) for f in schema]
 
     def run(batches):
-        import ahocorasick
+        found, asked = _lines_found(list(wanted)), [list(ids) for ids in wanted.values()]
+        ids, own, nos, lines, at, held = [], [], [], [], [], 0  # at: each row's line
+
+        def rows():
+            cut = [pa.array(v, t) for v, t in zip((own, nos, lines), types[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(ids, types[0]), *(c.take(pa.array(at, pa.int32())) for c in cut)], names=schema.names)
 
-        machine = ahocorasick.Automaton()
-        for part, ids in wanted.items():
-            machine.add_word(part, ids)
-        machine.make_automaton()
         for b in batches:
-            out = []
-            for own, whole in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for no, (line, low) in enumerate(zip(whole.split("\n"), whole.lower().split("\n"), strict=True) if wanted else (), 1):
-                    out += [(q, own, no, line) for q in dict.fromkeys(q for _, ids in machine.iter(low) for q in ids)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=schema.names)
+            for i in range(b.num_rows):
+                for no, line, parts in found(b.column(1)[i].as_py()):
+                    mine = asked[parts[0]] if len(parts) == 1 else list(dict.fromkeys(q for p in parts for q in asked[p]))
+                    step = max(1, piece // (len(line) + 32))
+                    for begin in range(0, len(mine), step):
+                        some = mine[begin : begin + step]
+                        own.append(b.column(0)[i].as_py())
+                        nos.append(no)
+                        lines.append(line)
+                        ids += some
+                        at += [len(own) - 1] * len(some)
+                        held += len(some) * (len(line) + 32)
+                        if held >= piece:
+                            yield rows()
+                            ids, own, nos, lines, at, held = [], [], [], [], [], 0
+        if at:
+            yield rows()
 
     return docs.where(F.col(text).isNotNull()).select(key, F.col(text).cast("string")).mapInArrow(run, schema)
 
 
+def first_lines(queries: DataFrame, docs: DataFrame, k: int, key: str = "id", text: str = "content", most_queries: int = 20_000) -> DataFrame:
+    """``(query, key, line_no, held)``: of each query (query, parts) the first ``k`` lines that contain one of its parts, upper and lower case
+    alike: those that hold the query as it is first (``held``), then by key and number.
+
+    A task keeps ``k`` lines of each query, without their text. Queries go to the tasks, in blocks of about half ``most_queries``; equal
+    ones are looked for once. Keys that aren't whole numbers or strings are ranked by Spark alone."""
+    asks = queries.where("query is not null").groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list(F.transform("parts", F.lower)))).alias("parts"))
+    some = asks.limit(most_queries + 1).collect()
+    if len(some) > most_queries:
+        n = -(-2 * asks.count() // most_queries)
+        return functools.reduce(DataFrame.union, (first_lines(queries.where(F.pmod(F.xxhash64("query"), F.lit(n)) == i), docs, k, key, text, most_queries) for i in range(n)))
+    asked = [r["query"] for r in some]
+    of: dict[str, list[int]] = {}
+    for i, r in enumerate(some):
+        for part in filter(None, r["parts"]):
+            of.setdefault(part, []).append(i)
+    kind = docs.schema[key].dataType
+    sorts = isinstance(kind, (T.IntegralType, T.StringType))
+    schema = T.StructType([T.StructField("query", T.StringType()), T.StructField(key, kind), T.StructField("line_no", T.IntegerType()), T.StructField("held", T.BooleanType())])
+    types = [to_arrow_type(f.dataType) for f in schema]
+
+    def run(batches):
+        found, mine = _lines_found(list(of)), list(of.values())
+        best: dict[int, list[tuple]] = {}
+
+        def rows(out):
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=schema.names)
+
+        for b in batches:
+            for i in range(b.num_rows):
+                own, out = b.column(0)[i].as_py(), []
+                for no, line, parts in found(b.column(1)[i].as_py()):
+                    for q in mine[parts[0]] if len(parts) == 1 else dict.fromkeys(q for p in parts for q in mine[p]):
+                        if not sorts:
+                            out.append((asked[q], own, no, asked[q] in line))
+                            continue
+                        kept = best.setdefault(q, [])
+                        if len(kept) == k and (False, own, no) >= kept[-1]:
+                            continue
+                        bisect.insort(kept, (asked[q] not in line, own, no))
+                        del kept[k:]
+                if out:
+                    yield rows(out)
+        yield rows([(asked[q], own, no, not without) for q, kept in best.items() for without, own, no in kept])
+
+    rows = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, F.col(text).cast("string")).mapInArrow(run, schema)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("held"), key, "line_no"))
+    return rows.withColumn("place_", place).where(F.col("place_") <= k).drop("place_")
+
+
 def log_totals(logs: DataFrame, message: str = "message") -> DataFrame:
     """Logged queries and different ones."""
     return logs.agg(F.count(message).alias("total"), F.count_distinct(message).alias("n_unique"))

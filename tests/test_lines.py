@@ -57,3 +57,26 @@ def test_windows_in_tokens_of_a_tokenizer(spark):
         n = len(coder.encode(t or "", add_special_tokens=False).ids)
         assert [r["tokens"] for r in rows] == [min(7, n - 5 * k) for k in range(len(rows))] and len(rows) == (1 if n <= 7 else -(-(n - 7) // 5) + 1)
         assert "".join(r["content"][: r["own_end"] - r["char_start"]] for r in rows) == (t or "")
+
+
+def test_lines_in_pieces(spark):
+    """What a task holds of its finds is bounded: one line that many queries ask for is given in several pieces."""
+    docs = spark.createDataFrame([(1, "The fee\nno\nfee and FEE of the fee"), (2, None), (3, "a fee")], "doc_id long, text string")
+    asks = [(i, ("fee", "the FEE", "none")[i % 3]) for i in range(60)]
+    got = P.lines_with(spark.createDataFrame(asks, "query_id int, query string"), docs, piece=64).collect()
+    lines = [(1, 1, "The fee"), (1, 3, "fee and FEE of the fee"), (3, 1, "a fee")]
+    assert sorted(map(tuple, got)) == sorted((i, *x) for i, q in asks for x in lines if q.lower() in x[2].lower())
+
+
+@pytest.mark.parametrize("most", [100, 3])
+def test_first_lines(spark, most):
+    """Of each query the lines that a sort of all of them puts first."""
+    texts = {i: "\n".join(f"{w} {i % 3} rules for {v}" for w in ("Fee", "fee", "tax") for v in ("fee", "Tax", "x")) for i in range(20)}
+    queries = ["fee", "Fee", "tax", "none", "x", "0 rules"]
+    asks = spark.createDataFrame([(q, [q, f"rules for {q}"]) for q in queries] * 2, "query string, parts array<string>")
+    got = P.first_lines(asks, spark.createDataFrame([*texts.items(), (99, None)], "id long, content string").repartition(3), 4, most_queries=most).collect()
+    want = []
+    for q in queries:
+        hits = [(q not in line, i, no) for i, text in texts.items() for no, line in enumerate(text.split("\n"), 1) if q.lower() in line.lower()]
+        want += [(q, i, no, not without) for without, i, no in sorted(hits)[:4]]
+    assert sorted(map(tuple, got)) == sorted(want)
