@@ -164,3 +164,13 @@ def test_postings_give_what_bm25_gives(spark, tmp_path, monkeypatch, as_id):
     assert TermIndex(spark, str(tmp_path / "none")).build(docs.limit(0)).search(queries, 5).count() == 0
     # a new build is switched in at its end
     assert index.build(docs.where("kind = 'x'"), kind_col="kind").blocks().where("term = ''").count() == 1 and index._state()["number"] == 1
+
+
+def test_dealt_vectors_move_once(spark, tmp_path):
+    """However few queries are compared at a time, only queries are repeated, once for each part of the vectors."""
+    rows = vector_rows(random.Random(4), int)
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    queries = spark.createDataFrame(vector_queries(rows), "query_id long, vector array<double>, wanted string")
+    got = nearest(queries, vectors, 5, most_queries=0, cell_queries=1)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+    assert sorted((r["query_id"], r["id"], r["rank"]) for r in got.collect()) == plain_nearest(vector_queries(rows), rows, 5, False)
