@@ -117,3 +117,15 @@ def test_stream_equals_batch(spark, tmp_path):
         (tmp_path / f"texts/{n}.txt").write_text(n)
         ingest_texts(spark, str(tmp_path / "texts"), str(tmp_path / "table"), str(tmp_path / "cp2")).awaitTermination(120)
     assert sorted(r["content"] for r in spark.read.parquet(str(tmp_path / "table")).collect()) == ["a", "b"]
+
+
+def test_bm25_scores_in_the_tasks(spark):
+    """Queries that ask the same are scored once, a few at a time; pairs of queries and documents meet in no join by term."""
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 9))), "xy"[i % 2]) for i in range(60)] + [(99, None, "x")], "doc_id long, text string, kind string").repartition(3)
+    asks = [(i, [["a", "b"], ["b", "a"], ["c", "c", "zz"], [], ["f"]][i % 5], [None, "x", "nosuch"][i % 3]) for i in range(30)]
+    queries = spark.createDataFrame(asks, "query_id long, terms array<string>, wanted string")
+    got = V.bm25(docs, queries, 4, filters=("wanted", "kind"), most_queries=2)
+    assert "term#" not in got._jdf.queryExecution().optimizedPlan().toString()
+    joined = V.bm25(docs, queries, 4, filters=("wanted", "kind"), most_terms=0)  # the way of many terms
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, joined.collect()))
