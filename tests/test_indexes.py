@@ -174,3 +174,13 @@ def test_dealt_vectors_move_once(spark, tmp_path):
     got = nearest(queries, vectors, 5, most_queries=0, cell_queries=1)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
     assert sorted((r["query_id"], r["id"], r["rank"]) for r in got.collect()) == plain_nearest(vector_queries(rows), rows, 5, False)
+
+
+def test_all_cells_are_not_asked_one_by_one(spark, tmp_path):
+    """A search of all cells repeats no query for each of them."""
+    rows = vector_rows(random.Random(4), int)
+    index = CellIndex(spark, str(tmp_path / "i")).build(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), keep=("label",), cells=20)
+    queries = spark.createDataFrame(vector_queries(rows), "query_id long, vector array<double>, wanted string")
+    got = index.search(queries, 5, probes=1 << 30, filters=("wanted", "label"))
+    assert "cell#" not in got._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
+    assert sorted((r["query_id"], r["id"], r["rank"]) for r in got.collect()) == plain_nearest(vector_queries(rows), rows, 5, True)
