@@ -178,11 +178,16 @@ def text_windows(docs: DataFrame, keys: list[str], text: str, size: int = 3000,
     return out.withColumn("char_end", F.col("char_start") + F.length("content"))
 
 
-def chunk_id(rows: DataFrame, index: Column) -> Column:
-    """The id of a chunk of a classified article. Files of one chapter share code and article: the chapter's number, in stems behind the
-    dot, keeps their ids apart."""
+def id_code(rows: DataFrame) -> Column:
+    """What the ids of a classified file's chunks begin with. Files of one chapter share code and article: the chapter's number, in stems
+    behind the dot, keeps their ids apart."""
     chapter = F.nullif(F.regexp_extract("stem", r"^\d+\.(\d+)", 1), F.lit("")) if "stem" in rows.columns else F.lit(None).cast("string")
-    return F.format_string("%s_%s_%s_p%d_pos%d_chunk_%d", F.concat_ws("#", "doc_code", chapter), "id_label", "article", "page", "position", index + 1)
+    return F.concat_ws("#", "doc_code", chapter)
+
+
+def chunk_id(rows: DataFrame, index: Column) -> Column:
+    """The id of a chunk of a classified article. What stands behind :func:`id_code` holds six underscores, so ids with different codes differ."""
+    return F.format_string("%s_%s_%s_p%d_pos%d_chunk_%d", id_code(rows), "id_label", "article", "page", "position", index + 1)
 
 
 def chunk_documents(articles: DataFrame, size: int = 3000, overlap: int = 200, tokens: Callable[[Column], Column] = pieces, joined: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -38,7 +38,7 @@ class Corpus:
         """Make the corpus that of the text files in ``folder``, or of a table (stem, content). ``embedding`` goes to :func:`embed`.
         Returns how many chunks were embedded, failed, kept and removed."""
         files = read_texts(self.spark, folder).select("stem", "content") if files is None else files
-        counts = self.chunks.update(build_chunks(files, **self.options), self.provider, **embedding)
+        counts = self.chunks.update(build_chunks(files, **self.options), self.provider, unique=True, **embedding)
         rows = self.chunks.open()
         if counts["embedded"] or counts["removed"] or not self.terms.exists():
             self.terms.build(rows, "id", "content", "doc_code")

@@ -75,9 +75,10 @@ class ChunkIndex:
         """Chunks that the provider failed on, with ``error``; the next :meth:`update` takes them up again."""
         return self._rows(self._state()).where("embedding is null").drop("embedding", "digest", "part")
 
-    def update(self, chunks: DataFrame, provider: Callable[[list[str]], np.ndarray], batch: int = 64, **options) -> dict[str, int]:
+    def update(self, chunks: DataFrame, provider: Callable[[list[str]], np.ndarray], batch: int = 64, unique: bool = False, **options) -> dict[str, int]:
         """Make the index hold ``chunks`` and nothing else. Only chunks that are new or changed, or that failed before, are
-        embedded; those that are no longer there go. Rows that repeat all columns are one. ``options`` go to :func:`embed`.
+        embedded; those that are no longer there go. Rows that repeat all columns are one; ``unique`` says that no id is there
+        twice, as in chunks of :func:`build_chunks`, and spares the shuffle of all texts that looks for such rows. ``options`` go to :func:`embed`.
 
         Returns how many were embedded, failed and removed, and how many stayed as they were."""
         before = self.versions.current()
@@ -85,7 +86,8 @@ class ChunkIndex:
         part, gone_at = self.versions.new_folder("part"), self.versions.new_folder("gone")
         rows = chunks.drop(*self.OWN)
         digest = F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256)
-        rows = rows.withColumn("digest", digest).dropDuplicates(["id", "digest"])
+        rows = rows.withColumn("digest", digest)
+        rows = rows if unique else rows.dropDuplicates(["id", "digest"])
         known = self._rows(state).select("id", "digest", "part", F.col("embedding").isNotNull().alias("done")) if state["parts"] else None
         fresh = rows.join(known.where("done").select("id", "digest"), ["id", "digest"], "left_anti") if known else rows
         order = [c for c in ("doc_code", "article", "id") if c in rows.columns]

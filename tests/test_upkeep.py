@@ -11,7 +11,7 @@ from quillspark.operators import documents as D
 from quillspark.operators import retrieval as V
 from quillspark.operators.embedding import HashedWords, embed
 from quillspark.operators.phrases import phrase_matches, with_synonyms
-from quillspark.plans.search import SearchEngine, build_chunks, build_report, vector_search
+from quillspark.plans.search import SearchEngine, articles_of, build_chunks, build_report, vector_search
 from quillspark.sources.cells import CellIndex
 from quillspark.sources.index import ChunkIndex, drop_files, setting, write_sample
 from quillspark.sources.postings import TermIndex
@@ -196,6 +196,23 @@ def test_search_over_built_chunks(spark, tmp_path, mode):
     assert more.count() >= 1
 
 
+def test_only_chunks_whose_ids_begin_alike_are_compared(spark, tmp_path):
+    """Texts move once, when lines are put in order; a copy's ids are still told apart from those of files that have their own."""
+    alone = build_chunks(files(spark), inline_headings=False)
+    index = ChunkIndex(spark, str(tmp_path / "index"))
+    index.update(alone, HashedWords(16), unique=True)
+    moved = [line.split("hashpartitioning(")[1] for line in alone._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in line]
+    assert moved and all(x.startswith("stem") for x in moved)
+    assert {r["id"] for r in index.open().collect()} == {r["id"] for r in alone.collect()}
+    more = spark.createDataFrame([("Companies Act (copy)", "1. A board has duties.\n9. Nothing else.\n"), ("13.1 - Copy", "1. A copy.\n")], "stem string, content string")
+    both = files(spark).unionByName(more)
+    chunks = build_chunks(both)
+    plain = D.chunk_documents(articles_of(both))
+    want = D.first_wins(plain, F.col("id"), ["doc_code", "position", "chunk_index"], plain.columns)
+    rows = lambda df: sorted(tuple(r) for r in df.select(*sorted(plain.columns)).collect())
+    assert rows(chunks) == rows(want) and chunks.count() == plain.count() - 2
+
+
 def test_direct_vector_search(spark, tmp_path):
     chunks = build_chunks(files(spark))
     rows = embed(chunks, "content", HashedWords(16))
