@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,6 +167,33 @@ def test_postings_give_what_bm25_gives(spark, tmp_path, monkeypatch, as_id):
     assert index.build(docs.where("kind = 'x'"), kind_col="kind").blocks().where("term = ''").count() == 1 and index._state()["number"] == 1
 
 
+def test_postings_are_shuffled_in_blocks(spark, tmp_path):
+    """Less is shuffled for a build than single postings would take, and no posting is for a search."""
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(300)}" for _ in range(150)), None) for i in range(4000)], "doc_id long, text string, kind string").repartition(2, "doc_id").cache()
+    n = docs.selectExpr("sum(size(array_distinct(split(text, ' '))))").first()[0]
+
+    def written():
+        time.sleep(1)
+        return spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = written()
+    index = TermIndex(spark, str(tmp_path / "terms")).build(docs)
+    built = written()
+    assert built - before < 6 * n
+    assert index.blocks().selectExpr("sum(n)").first()[0] == n + 1
+    queries = spark.createDataFrame([(1, [f"w{i}" for i in range(100)])], "query_id long, terms array<string>")
+    at = written()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = index.search(queries, 5).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert written() - at < 2 * n
+    assert [(r["id"], r["score"]) for r in hits] == [(r["id"], r["score"]) for r in V.bm25(docs, queries, 5).collect()]
+
+
 def test_dealt_vectors_move_once(spark, tmp_path):
     """However few queries are compared at a time, only queries are repeated, once for each part of the vectors."""
     rows = vector_rows(random.Random(4), int)
