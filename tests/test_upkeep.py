@@ -1,6 +1,7 @@
 """Index upkeep with crashes, providers that fail, windows that keep the text, phrase synonyms, search over built chunks."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -213,6 +214,21 @@ def test_only_chunks_whose_ids_begin_alike_are_compared(spark, tmp_path):
     assert rows(chunks) == rows(want) and chunks.count() == plain.count() - 2
 
 
+def test_an_index_of_unique_chunks_shuffles_no_text(spark, tmp_path):
+    rows = spark.range(500).selectExpr("cast(id as string) as id", "repeat(md5(cast(id as string)), 20) as content", "'a' as doc_code", "cast(id as string) as article")
+    rows.write.parquet(str(tmp_path / "chunks"))
+    chunks, index = spark.read.parquet(str(tmp_path / "chunks")), ChunkIndex(spark, str(tmp_path / "index"))
+
+    def written():
+        time.sleep(1)
+        return spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = written()
+    assert index.update(chunks, HashedWords(16), unique=True) == {"embedded": 500, "failed": 0, "kept": 0, "removed": 0}
+    assert written() - before < 5000
+    assert index.update(chunks.union(chunks), HashedWords(16))["kept"] == 500 and index.open().count() == 500
+
+
 def test_direct_vector_search(spark, tmp_path):
     chunks = build_chunks(files(spark))
     rows = embed(chunks, "content", HashedWords(16))
