@@ -229,6 +229,31 @@ def test_an_index_of_unique_chunks_shuffles_no_text(spark, tmp_path):
     assert index.update(chunks.union(chunks), HashedWords(16))["kept"] == 500 and index.open().count() == 500
 
 
+def test_equal_queries_are_searched_once(spark, tmp_path):
+    """What queries ask for is looked up and compared once: pairs of queries and chunks aren't shuffled."""
+    chunks = spark.range(3000).selectExpr("format_string('c%04d', id) as id", "concat('text ', id % 7) as content", "if(id % 3 = 0, 'code_13', 'notarial_act') as doc_code", "cast(id % 2 as string) as article", "cast(id % 5 as int) as chunk_index")
+    embed(chunks, "content", HashedWords(16)).write.parquet(str(tmp_path / "rows"))
+    rows, asked = spark.read.parquet(str(tmp_path / "rows")), []
+    texts = ["Article 1", "Article 1 of the Notarial Act", "text 3", "which text, 4", "Article 99", None]
+    queries = spark.createDataFrame([(i, texts[i % 6]) for i in range(600)], "query_id long, query string")
+
+    def ask(some):
+        asked.append(some.count())
+        return embed(some, "query", HashedWords(16), "vector")
+
+    before = spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    hits = SearchEngine(rows, rows.select("id", "doc_code", "embedding"), ask, threshold=0.0).search(queries).collect()
+    time.sleep(1)
+    assert spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite() - before < 1_000_000
+    assert asked == [3]
+    by = {q: sorted((h["rank"], h["id"], round(h["score"], 9), h["source"]) for h in hits if h["query_id"] == q) for q in range(600)}
+    found = lambda other: [(i + 1, f"c{n:04d}", 1.0, "lookup") for i, n in enumerate(sorted((n for n in range(1, 3000, 2) if other or n % 3 == 0), key=lambda n: (n % 5, n))[:5])]
+    assert by[0] == found(False) and by[1] in (found(False), found(True)) and by[4] == []
+    assert all(by[q] == by[q % 6] for q in range(600)) and all(by[q] and {x[3] for x in by[q]} == {"semantic"} for q in (2, 3, 5))
+    few = V.lookup(queries.limit(9).select("query_id", F.lit("1").alias("article_num"), F.lit(None).cast("string").alias("doc_hint")), rows, k=5, most_asks=0)
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in few.collect()) == [(q, i, key) for q in range(9) for i, key, _, _ in found(False)]
+
+
 def test_direct_vector_search(spark, tmp_path):
     chunks = build_chunks(files(spark))
     rows = embed(chunks, "content", HashedWords(16))
