@@ -88,13 +88,52 @@ HEADING = r"^[\t  ]*([0-9]{1,4}[A-Z]?)\s*\.(?:\s|$)"
 INLINE = r"([0-9]{1,4}[A-Z]?)\s*\."
 
 
-def segment(docs: DataFrame, key: str = "doc_code", text: str = "content", most: int = 550, keep_after_markers: bool = True, inline_headings: bool = True, enough: int = 500) -> DataFrame:
+def _segment_rows(docs: DataFrame, key: str, text: str, most: int) -> DataFrame:
+    """What :func:`segment` makes of headings at the beginnings of lines, each text in its row, so that nothing is shuffled."""
+    rows = docs.where(F.col(text).isNotNull()).select(key, F.split(text, "\n").alias("lines_"))
+    rows = rows.withColumn("heads_", F.transform("lines_", lambda line: F.regexp_extract(line, HEADING, 1)))
+    marks = F.transform("lines_", lambda line, i: F.struct((i + 1).alias("at"), F.regexp_extract(line, PAGE_MARKER, 1).try_cast("int").alias("page")))
+    rows = rows.withColumn("marks_", F.filter(marks, lambda m: m["page"].isNotNull()))
+    rows = rows.withColumn("begins_", F.filter(F.transform("heads_", lambda h, i: F.when(h != "", i + 1)), lambda i: i.isNotNull()))
+
+    def article(begin: Column, i: Column) -> Column:
+        end = F.coalesce(F.get("begins_", i + 1), F.size("lines_") + 1)
+        first = F.regexp_replace(F.element_at("lines_", begin), HEADING, "")
+        content = clean_article(F.array_join(F.concat(F.array(first), F.slice("lines_", begin + 1, end - begin - 1)), "\n"))
+        return F.struct(article_id(F.element_at("heads_", begin)).alias("article"), content.alias("content"), begin.alias("begin"))
+
+    rows = rows.select(key, "marks_", F.transform("begins_", article).alias("articles_"))
+    valued = F.transform("articles_", lambda a: F.struct(*(a[c].alias(c) for c in ("article", "content", "begin")), article_value(a["article"]).alias("value")))
+    rows = rows.select(key, "marks_", valued.alias("articles_"))
+    valid = lambda a: (a["value"] > 0) & (a["value"] <= most * 100) & (a["content"] != "")
+    rows = rows.select(key, "marks_", F.filter("articles_", valid).alias("articles_"))
+    # rising values, of which there are no more than valid numbers
+    none = F.struct(F.lit(0).alias("top"), F.array().cast("array<int>").alias("kept"))
+    more = lambda so_far, x: F.struct(x["value"].alias("top"), F.concat(so_far["kept"], F.array(x["at"])).alias("kept"))
+    numbered = F.transform("articles_", lambda a, i: F.struct(a["value"].alias("value"), (i + 1).alias("at")))
+    rows = rows.withColumn("kept_", F.aggregate(numbered, none, lambda so_far, x: F.when(x["value"] > so_far["top"], more(so_far, x)).otherwise(so_far))["kept"])
+
+    def placed(i: Column) -> Column:
+        a = F.element_at("articles_", i)
+        before = F.filter("marks_", lambda m: m["at"] <= a["begin"])
+        page = F.coalesce(F.get(before, F.size(before) - 1)["page"], F.get("marks_", F.lit(0))["page"], F.lit(1))
+        return F.struct(*(a[c].alias(c) for c in ("article", "content", "value")), page.alias("page"))
+
+    # outer: else Spark filters texts by the size of the whole expression, which it then works out for each element
+    rows = rows.select(key, F.posexplode_outer(F.transform("kept_", placed)).alias("position", "a")).where("a is not null")
+    return rows.select(key, "a.article", "a.content", "a.page", (F.col("position") + 1).alias("position"), F.col("a.value").alias("article_order"))
+
+
+def segment(docs: DataFrame, key: str = "doc_code", text: str = "content", most: int = 550, keep_after_markers: bool = True, inline_headings: bool = True, enough: int = 500, unique: bool = False) -> DataFrame:
     """``(key, article, content, page, position, article_order)``: articles of cleaned texts, headings being lines that
     begin with a number and a dot. Numbers must rise and be at most ``most``, bodies not be empty.
 
     ``keep_after_markers=False`` ends a body at a page marker. ``inline_headings`` adds numbers with a
     dot anywhere in the text that are larger than the last heading's, in documents with fewer than ``enough``
-    articles; their bodies end at the next larger number (:func:`inline_articles`)."""
+    articles; their bodies end at the next larger number (:func:`inline_articles`). ``unique`` says that no key is there twice:
+    without inline headings and ends at markers a text is then segmented in its row and isn't shuffled."""
+    if unique and keep_after_markers and not inline_headings:
+        return _segment_rows(docs, key, text, most)
     rows = lines(docs, key, text)
     rows = rows.withColumns({"marker": F.regexp_extract("line", PAGE_MARKER, 1).try_cast("int"), "head": F.regexp_extract("line", HEADING, 1)})
     rows = page_of_line(rows, key, F.col("marker"))

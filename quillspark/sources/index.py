@@ -92,7 +92,7 @@ class ChunkIndex:
         fresh = rows.join(known.where("done").select("id", "digest"), ["id", "digest"], "left_anti") if known else rows
         order = [c for c in ("doc_code", "article", "id") if c in rows.columns]
         made = embed(fresh, "content", provider, batch=batch, error="error", **options).withColumn("part", F.lit(part.rpartition("/")[2]))
-        made.sortWithinPartitions(*order).write.parquet(part)
+        made.sortWithinPartitions(*order).write.option("compression", "zstd").parquet(part)
         counts = {"kept": 0, "removed": 0}
         gone = []
         if known:
@@ -115,7 +115,7 @@ class ChunkIndex:
         rows = rows.withColumn("digest", F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256)).dropDuplicates(["id", "digest"])
         order = [c for c in ("doc_code", "article", "id") if c in rows.columns]
         made = embed(rows, "content", provider, batch=batch, error="error", **options).withColumn("part", F.lit(part.rpartition("/")[2]))
-        made.sortWithinPartitions(*order).write.parquet(part)
+        made.sortWithinPartitions(*order).write.option("compression", "zstd").parquet(part)
         self.versions.publish({"parts": [part], "gone": []}, before and before["number"])
         return self.open()
 
@@ -132,7 +132,7 @@ class ChunkIndex:
         state, part = self._state(), self.versions.new_folder("part")
         rows = self._rows(state).withColumn("part", F.lit(part.rpartition("/")[2]))
         order = [c for c in ("doc_code", "article", "id") if c in rows.columns]
-        rows.sortWithinPartitions(*order).write.parquet(part)
+        rows.sortWithinPartitions(*order).write.option("compression", "zstd").parquet(part)
         self.versions.publish({"parts": [part], "gone": []}, state["number"])
 
     def clean(self) -> list[str]:
